@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyband.llm import lsm_dedup, mixture, pii_spans, virtual_slots
+from tallyband.llm import lsm_dedup, mixture, pii_spans, simhash_pivots, virtual_slots
 from tallyband.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,11 +29,16 @@ def op9_lsm_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op3_virtual_slots": op3_virtual_slots,
     "op6_pii_spans": op6_pii_spans,
     "op8_hierarchical_mixture": op8_hierarchical_mixture,
     "op9_lsm_dedup": op9_lsm_dedup,
+    "op10_simhash_pivots": op10_simhash_pivots,
 }
 
 ORACLE_SQL: dict[str, str] = {}
