@@ -67,3 +67,10 @@ def drop_rows(docs: DataFrame, tags: DataFrame) -> DataFrame:
         name += "_"
     tagged = docs.withColumn(name, row_tag())
     return tagged.join(gone, tagged[name] == gone["tag"], "left_anti").drop(name)
+
+
+def vocabulary(name: str) -> str:
+    """Place of a file of the public tokenizers installed here; other files are given by their path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

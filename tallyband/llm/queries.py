@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyband.llm import lsm_dedup, mixture, pii_spans, simhash_pivots, virtual_slots
-from tallyband.llm.common import table
+from tallyband.llm import byte_bpe, lsm_dedup, mixture, pii_spans, simhash_pivots, virtual_slots
+from tallyband.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.digest(pii_spans.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.round_trip_digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"))
+
+
 def op8_hierarchical_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixture.copies_in_mixture(docs, mixture.plan_mixture(mixture.token_counts(docs)))
@@ -36,6 +40,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op3_virtual_slots": op3_virtual_slots,
     "op6_pii_spans": op6_pii_spans,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_hierarchical_mixture": op8_hierarchical_mixture,
     "op9_lsm_dedup": op9_lsm_dedup,
     "op10_simhash_pivots": op10_simhash_pivots,
