@@ -6,16 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyband.llm import byte_bpe, lsm_dedup, mixture, pii_spans, simhash_pivots, virtual_slots
+from tallyband.llm import byte_bpe, lattice_lm, lsm_dedup, mixture, pii_spans, rule_ensemble, simhash_pivots, virtual_slots
 from tallyband.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lattice_lm.score_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), lattice_lm.training_part())
+    return scored.select("doc_id", (~lattice_lm.training_part()).alias("held_out"), *scored.columns[1:])
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule_ensemble.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_spans.digest(pii_spans.find_spans(table(spark, sf_dir, "documents")))
 
@@ -38,7 +47,9 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_lattice_lm": op1_lattice_lm,
     "op3_virtual_slots": op3_virtual_slots,
+    "op5_rule_ensemble": op5_rule_ensemble,
     "op6_pii_spans": op6_pii_spans,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_hierarchical_mixture": op8_hierarchical_mixture,
