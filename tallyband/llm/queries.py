@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyband.llm import byte_bpe, lattice_lm, lsm_dedup, mixture, pii_spans, rule_ensemble, simhash_pivots, virtual_slots
+from tallyband.llm import byte_bpe, byte_gru, lattice_lm, lsm_dedup, mixture, pii_spans, rule_ensemble, simhash_pivots, virtual_slots
 from tallyband.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~lattice_lm.training_part()).alias("held_out"), *scored.columns[1:])
 
 
+def op2_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_gru.identified(table(spark, sf_dir, "documents"))
+
+
 def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
@@ -48,6 +52,7 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_lattice_lm": op1_lattice_lm,
+    "op2_byte_gru": op2_byte_gru,
     "op3_virtual_slots": op3_virtual_slots,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_pii_spans": op6_pii_spans,
