@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyband.llm import byte_bpe, byte_gru, lattice_lm, lsm_dedup, mixture, pii_spans, rule_ensemble, simhash_pivots, virtual_slots
+from tallyband.llm import byte_bpe, byte_gru, lattice_lm, lsm_dedup, mixture, pii_spans, pivot_index, rule_ensemble, simhash_pivots, virtual_slots
 from tallyband.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return virtual_slots.shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op4_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivot_index.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rule_ensemble.rated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,16 +55,24 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     "op1_lattice_lm": op1_lattice_lm,
     "op2_byte_gru": op2_byte_gru,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_pivot_index": op4_pivot_index,
     "op5_rule_ensemble": op5_rule_ensemble,
     "op6_pii_spans": op6_pii_spans,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_hierarchical_mixture": op8_hierarchical_mixture,
     "op9_lsm_dedup": op9_lsm_dedup,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -70,6 +83,14 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
+ORACLE_SQL["op4_pivot_index"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
 _SHARE = """
 {name}_n AS (SELECT {path}, budget, sum(capacity)::BIGINT AS capacity FROM {src} GROUP BY {path}, budget),
 {name}_w AS (SELECT *, {weight} AS w FROM {name}_n),
