@@ -22,13 +22,12 @@ KEYS_PER_BUCKET = 40
 MOST_BUCKETS = 4096
 
 
-def _below(keys: Column, bounds: list, low: int, high: int) -> Column:
+def _below(keys: Column, bounds: list[Column], low: int, high: int) -> Column:
     """Number of bounds at or below the keys, by halving."""
     if low == high:
         return F.lit(low)
     mid = (low + high) // 2
-    bound = F.struct(*(F.lit(v) for v in bounds[mid]))
-    return F.when(keys < bound, _below(keys, bounds, low, mid)).otherwise(_below(keys, bounds, mid + 1, high))
+    return F.when(keys < bounds[mid], _below(keys, bounds, low, mid)).otherwise(_below(keys, bounds, mid + 1, high))
 
 
 def bucketed(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
@@ -43,7 +42,8 @@ def bucketed(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PE
     rows = sample.orderBy(*order).collect()  # at most 4 * MOST_BUCKETS * KEYS_PER_BUCKET short rows
     bounds = sorted({tuple(rows[len(rows) * k // buckets]) for k in range(1, buckets)}, key=lambda r: [(v is not None, v) for v in r]) if rows else []
     bounds = [b for b in bounds if all(v is not None for v in b)]
-    return df.withColumn(BUCKET, _below(F.struct(*order), bounds, 0, len(bounds)))
+    typed = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True))) for b in bounds]
+    return df.withColumn(BUCKET, _below(F.struct(*order), typed, 0, len(typed)))
 
 
 def _carry(df: DataFrame, totals: Mapping[str, Column], before: Mapping[str, Column], by: Sequence[str]) -> DataFrame:

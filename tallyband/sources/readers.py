@@ -15,7 +15,8 @@ from tallyband.sources.casts import cast_columns
 def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, encoding: str = "UTF-8", sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
     """Header in the first line. Empty and missing cells are NULL, cells beyond the header are dropped.
 
-    columns: the header's names, if known; else the first line of the files is read for them.
+    columns: the header's names, if known; else the first line of the files is read for them. encoding: one that Spark reads;
+    with spark.sql.legacy.javaCharsets any of Java's.
     """
     if columns is None:
         columns = spark.read.csv(path, header=True, encoding=encoding, sep=sep).columns
