@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyband.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
@@ -25,9 +27,18 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def work_table(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
+#: Rows of a narrow table that make a file worth its task.
+ROWS_PER_FILE = 200_000
+
+
+def work_table(df: DataFrame, name: str, most_rows: int | None = None, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    most_rows: a bound of its rows, where one is known; a small table then becomes few files.
+    """
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
     path = work_path(spark, name)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -43,6 +54,7 @@ def remainder(n: int, name: str = "doc_id") -> Column:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
