@@ -254,6 +254,17 @@ def suppress_blank_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return in_output_order(report, 1).select("section", "segment", "customer", "customers")
 
 
+@CATALOG.add("""
+WITH p AS (SELECT *, lag(event_type) OVER (ORDER BY ts, event_id) AS pt FROM events), f AS (SELECT *, sum((pt IS NULL OR pt <> event_type)::INT) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p)
+SELECT event_id, row_number() OVER (PARTITION BY run ORDER BY ts, event_id)::INT AS detailcnt FROM f
+""")
+def detail_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows since the last header, in a report that isn't sorted by its break."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
+    runs = break_islands(events, ["ts", "event_id"], {"type": ["event_type"]})
+    return break_row_numbers(runs, ["ts", "event_id"], ["type_no"], "detailcnt").select("event_id", "detailcnt")
+
+
 @CATALOG.add("SELECT n_name, count(*) OVER () AS nations, (SELECT count(*) FROM region) AS regions FROM nation")
 def grand_total_on_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report totals known before the first detail."""
