@@ -27,7 +27,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        after = work_table(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
+        after = work_table(after, "edges", 2 * state[0])  # in practice no more than before
         now = _state(after)
         edges = after
         if now == state:

@@ -179,12 +179,13 @@ def marked_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     """tag, doc_id, fingerprint, component_id, kept of every row; the row with the component's id is kept."""
     rows = work_table(fingerprints(docs, size), "fingerprints")
     best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("tag").alias("t")))
-    prints = work_table(rows.groupBy("fp").agg(best.alias("best")), "distinct-fingerprints")
+    many = rows.count()
+    prints = work_table(rows.groupBy("fp").agg(best.alias("best")), "distinct-fingerprints", many)
     found = connected_components(links(prints.select("fp"), radius))
     linked = found.join(prints, found["node"] == prints["fp"]).select("fp", "root", "best")
     roots = linked.groupBy("root").agg(F.min("best").alias("of_all"))
     linked = linked.join(roots, "root").select("fp", "of_all")
-    labels = work_table(prints.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "best").alias("best")), "fingerprint-labels")
+    labels = work_table(prints.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "best").alias("best")), "fingerprint-labels", many)
     component = F.when(F.col("best.id") != NO_ID, F.col("best.id"))
     return rows.join(labels, "fp").select(
         "tag", "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component.alias("component_id"), (F.col("tag") == F.col("best.t")).alias("kept")
