@@ -24,14 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import drop_rows, row_tag, text_or_empty, work_table
+from tallyband.llm.common import BROADCAST_TAGS, drop_rows, row_tag, text_or_empty, work_table
 from tallyband.llm.graph import connected_components
 
 SHINGLE = 3
 RADIUS = 3
 REFERENCES = 16
-#: Five blocks of bits: first bit and width.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Blocks of bits, and how many of them two fingerprints have in common where they meet: links of up to 3 bits are found
+#: by two of five blocks, the wide candidates by three of nine.
+CLOSE = (5, 2)
+WIDE = (9, 3)
+WIDE_RADIUS = 11
+#: For wide candidates: words of a shingle and Jaccard similarity of the shingle sets that make two texts similar.
+WORDS = 5
+SIMILARITY = 0.8
 NO_ID = 2**63 - 1
 #: Links held before they are folded into the forest; a bound on memory, not on links.
 FOLD = 2_000_000
@@ -75,50 +81,71 @@ def references(count: int = REFERENCES) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, count, dtype=np.uint64)
 
 
-def _keyed(prints: DataFrame) -> DataFrame:
-    """table, part, fp: each fingerprint under its ten keys."""
+def _keyed(prints: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+    """table, part, fp: each fingerprint under its keys, one for each choice of blocks."""
+    count, common = blocks
+    cuts = [64 * k // count for k in range(count + 1)]
     masks = []
-    for pair in combinations(BLOCKS, 2):
-        bits = sum(((1 << width) - 1) << first for first, width in pair)
+    for chosen in combinations(range(count), common):
+        bits = sum(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in chosen)
         masks.append(bits - (1 << 64) if bits >> 63 else bits)
     keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)))
     return prints.select("fp", F.explode(keys).alias("key")).select("key.table", "key.part", "fp")
 
 
 class _Forest:
+    """Links that connect all that are linked, shorter ones first."""
+
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
         self.count = 0
 
-    def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        self.held.append((i, j))
+    def add(self, i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> None:
+        self.held.append((i, j, bits))
         self.count += len(i)
         if self.count > FOLD:
             self.fold()
 
-    def fold(self) -> np.ndarray:
-        """Smallest row that each row is linked to."""
+    def _union(self, i: np.ndarray, j: np.ndarray) -> None:
         label = self.label
-        if self.held:
-            i, j = (np.concatenate(x) for x in zip(*self.held, strict=True))
-            while True:
-                least = np.minimum(label[i], label[j])
-                before = label.copy()
-                np.minimum.at(label, before[i], least)
-                np.minimum.at(label, before[j], least)
-                np.minimum.at(label, i, least)
-                np.minimum.at(label, j, least)
-                label = label[label]
-                if np.array_equal(label, before):
-                    break
-            self.held, self.count = [], 0
+        while True:
+            before = label.copy()
+            least = np.minimum(label[i], label[j])
+            for place in (before[i], before[j], i, j):
+                np.minimum.at(label, place, least)
+            label = label[label]
+            if np.array_equal(label, before):
+                break
         self.label = label
-        return label
+
+    def fold(self) -> None:
+        if not self.held:
+            return
+        i, j, bits = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        self.held, self.count = [], 0
+        for level in np.unique(bits):
+            a, b = i[bits == level], j[bits == level]
+            one, two = self.label[a], self.label[b]
+            apart = one != two
+            if not apart.any():
+                continue
+            a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+            # one link between any two groups
+            _, first = np.unique(np.minimum(one, two) * np.int64(len(self.label)) + np.maximum(one, two), return_index=True)
+            self.kept.append((a[first], b[first]))
+            self._union(a[first], b[first])
+
+    def links(self) -> tuple[np.ndarray, np.ndarray]:
+        self.fold()
+        if not self.kept:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
 
 
 def links_under_keys(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as fingerprints) of a spanning forest in each group. group: numbers that rise; prints: uint64."""
+    """Links (as fingerprints) that connect all linked ones in each group. group: numbers that rise; prints: uint64."""
     table = np.bitwise_count(prints[:, None] ^ refs[None, :]).astype(np.int16)
     order = np.lexsort((table[:, 0], group))
     group, prints, table = group[order], prints[order], table[order]
@@ -131,14 +158,14 @@ def links_under_keys(group: np.ndarray, prints: np.ndarray, radius: int, refs: n
         j = i + step
         near = np.abs(table[i] - table[j]).max(axis=1) <= radius
         a, b = i[near], j[near]
-        same = np.bitwise_count(prints[a] ^ prints[b]) <= radius
+        bits = np.bitwise_count(prints[a] ^ prints[b])
+        same = bits <= radius
         if same.any():
-            forest.add(a[same], b[same])
+            forest.add(a[same], b[same], bits[same])
         step += 1
         i = i[stop[i] > i + step]
-    label = forest.fold()
-    own = np.flatnonzero(label != np.arange(len(label)))
-    return prints[own], prints[label[own]]
+    a, b = forest.links()
+    return prints[a], prints[b]
 
 
 def _links(radius: int):
@@ -167,21 +194,17 @@ def _links(radius: int):
     return run
 
 
-def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """a, b: links between different fingerprints of prints(fp), enough of them to connect all that are linked."""
-    if radius > 3:
-        raise ValueError("five blocks, two by two, find all links up to three bits only")
-    keyed = _keyed(prints).repartition("table", "part").sortWithinPartitions("table", "part")
+def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, int] = CLOSE) -> DataFrame:
+    """a, b: links between different fingerprints of prints(fp) that agree on enough blocks; enough of them to connect all that are linked.
+
+    With radius <= blocks[0] - blocks[1] every two fingerprints within the radius agree on enough blocks.
+    """
+    keyed = _keyed(prints, blocks).repartition("table", "part").sortWithinPartitions("table", "part")
     return keyed.mapInArrow(_links(radius), "a long, b long")
 
 
-def marked_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """tag, doc_id, fingerprint, component_id, kept of every row; the row with the component's id is kept."""
-    rows = work_table(fingerprints(docs, size), "fingerprints")
-    best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("tag").alias("t")))
-    many = rows.count()
-    prints = work_table(rows.groupBy("fp").agg(best.alias("best")), "distinct-fingerprints", many)
-    found = connected_components(links(prints.select("fp"), radius))
+def _labelled(rows: DataFrame, prints: DataFrame, found: DataFrame, many: int) -> DataFrame:
+    """The rows with the best row of their component. found: node and root of linked fingerprints."""
     linked = found.join(prints, found["node"] == prints["fp"]).select("fp", "root", "best")
     roots = linked.groupBy("root").agg(F.min("best").alias("of_all"))
     linked = linked.join(roots, "root").select("fp", "of_all")
@@ -192,6 +215,21 @@ def marked_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> D
     )
 
 
+def _prints(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
+    rows = work_table(fingerprints(docs, size), "fingerprints")
+    best = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("tag").alias("t")))
+    many = rows.count()
+    return rows, work_table(rows.groupBy("fp").agg(best.alias("best")), "distinct-fingerprints", many), many
+
+
+def marked_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """tag, doc_id, fingerprint, component_id, kept of every row; the row with the component's id is kept."""
+    if radius > CLOSE[0] - CLOSE[1]:
+        raise ValueError("two of five blocks find all links up to three bits only")
+    rows, prints, many = _prints(docs, size)
+    return _labelled(rows, prints, connected_components(links(prints.select("fp"), radius)), many)
+
+
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id of every row of docs."""
     return marked_rows(docs, size, radius).drop("tag", "kept")
@@ -200,3 +238,58 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """The rows of docs, a stored table, that stay when one of each component does; all columns as they were."""
     return drop_rows(docs, marked_rows(docs, size, radius).filter(~F.col("kept")).select("tag"))
+
+
+# --- wide candidates, verified by their texts -------------------------------------------------------------------------------
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest = xxhash.xxh64_intdigest
+        for batch in batches:
+            sets = []
+            for data in batch.column("data"):
+                own = data.as_buffer().to_pybytes().lower().split()
+                hashes = {digest(b" ".join(own[k : k + words])) for k in range(max(1, len(own) - words + 1))} if own else set()
+                sets.append(np.sort(np.fromiter(hashes, np.uint64, len(hashes))).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
+
+    return run
+
+
+def _similar(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= least * (len(x) + len(y) - common))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+    """As marked_rows, for texts whose sets of `words`-word shingles have a Jaccard similarity of at least `similarity`.
+
+    docs is a stored table. Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks;
+    under each key the shortest candidate links that connect the others are verified by the shingles of one text each.
+    Texts of one fingerprint are taken for similar.
+    """
+    rows, prints, many = _prints(docs, SHINGLE)
+    pairs = work_table(links(prints.select("fp"), radius, WIDE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", 2 * pairs.count())
+    few = nodes.count() <= BROADCAST_TAGS  # beyond it a shuffle
+    texts = docs.select(row_tag(), text_or_empty().cast("binary").alias("data"))
+    texts = texts.join(F.broadcast(nodes) if few else nodes, F.col("tag") == F.col("own")).select("fp", "data")
+    sets = work_table(texts.mapInArrow(_shingle_sets(words), "fp long, shingles binary"), "wide-shingles")
+    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("two")), "b")
+    verified = both.select("a", "b", "one", "two").mapInArrow(_similar(similarity), "a long, b long")
+    return _labelled(rows, prints, connected_components(verified), many)
+
+
+def without_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs, a stored table, that stay when one of each component of similar_rows() does; all columns as they were."""
+    return drop_rows(docs, similar_rows(docs, words, similarity).filter(~F.col("kept")).select("tag"))
