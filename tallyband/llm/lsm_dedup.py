@@ -84,12 +84,13 @@ def _only(docs: DataFrame, digests: DataFrame, many: bool, digest_bytes: int) ->
 def marked_rows(docs: DataFrame, keep: str = "max", digest_bytes: int = 32) -> DataFrame:
     """tag, doc_id, keep_id, group_size, kept, text_sha256 of every row of docs. digest_bytes: shorter in tests, to make collisions."""
     rows = work_table(digest_rows(docs, digest_bytes), "lsm-rows")
-    index = work_table(compact(flush(rows, keep)), "lsm-compacted")
+    index = work_table(compact(flush(rows, keep)), "lsm-compacted", rows.count())
 
     hits = index.filter(F.col("group_size") > 1).select("digest")
-    many = hits.count() > BROADCAST_DIGESTS
+    rows_of_hits = hits.count()
+    many = rows_of_hits > BROADCAST_DIGESTS
     texts = _only(docs, hits, many, digest_bytes).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
-    clashes = work_table(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "lsm-clashes")
+    clashes = work_table(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "lsm-clashes", rows_of_hits)
 
     sign = 1 if keep == "max" else -1
     keep_id = F.when(F.col("best_id") != NO_ID, F.col("best_id") * sign)

@@ -119,19 +119,20 @@ def plan_mixture(counted: DataFrame, spec: Mixture = PRODUCTION) -> DataFrame:
     The mixture takes each of its documents `epochs` times, and once more where the order is at most `cutoff`.
     """
     counted = work_table(counted, "mix-counted")
-    leaves = work_table(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves")
+    leaves = work_table(counted.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "mix-leaves", counted.count())
+    many = leaves.count()
     budgets = leaf_budgets(leaves, spec).filter("tokens > 0")
-    plan = work_table(budgets.select("*", F.expr("cast(budget div tokens as int)").alias("epochs"), F.expr("budget % tokens").alias("part")), "mix-budgets")
+    plan = work_table(budgets.select("*", F.expr("cast(budget div tokens as int)").alias("epochs"), F.expr("budget % tokens").alias("part")), "mix-budgets", many)
     ordered = counted.join(plan.select(*LEVELS, "epochs", "part"), list(LEVELS)).withColumn("order", _order(spec)).withColumn("range", F.substring("order", 1, PREFIX_DIGITS))
     sums = ordered.groupBy(*LEVELS, "part", "range").agg(F.sum("tokens").alias("range_tokens"))
     upto = F.sum("range_tokens").over(Window.partitionBy(*LEVELS).orderBy("range"))
     # The first range that the budget doesn't cover.
     ends = sums.withColumn("upto", upto).filter("upto > part").groupBy(*LEVELS, "part").agg(F.min(F.struct("range", (F.col("upto") - F.col("range_tokens")).alias("before"))).alias("at"))
-    ends = work_table(ends.select(*LEVELS, F.col("at.range").alias("range"), F.col("at.before").alias("before")), "mix-ends")
+    ends = work_table(ends.select(*LEVELS, F.col("at.range").alias("range"), F.col("at.before").alias("before")), "mix-ends", many)
     inside = ordered.join(ends, [*LEVELS, "range"]).withColumn("end", F.col("before") + F.sum("tokens").over(Window.partitionBy(*LEVELS).orderBy("order")))
     last = inside.filter("end <= part").groupBy(*LEVELS).agg(F.max("order").alias("last"))
     cut = ends.join(last, list(LEVELS), "left").select(*LEVELS, F.coalesce("last", "range").alias("cutoff"))
-    return work_table(plan.join(cut, list(LEVELS)).drop("part"), "mix-plan")
+    return work_table(plan.join(cut, list(LEVELS)).drop("part"), "mix-plan", many)
 
 
 def copies_in_mixture(docs: DataFrame, plan: DataFrame, spec: Mixture = PRODUCTION) -> DataFrame:
