@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import row_tag, work_table
+from tallyband.llm.common import BROADCAST_TAGS, row_tag, work_table
 
 SAMPLE = 4096
 PIVOTS = 32
@@ -224,11 +224,14 @@ def _expand(shared: Broadcast, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
         for batch in batches:
-            for row in batch.to_pylist():
+            given = {c: batch.column(c) for c in batch.schema.names}
+            for k_row in range(batch.num_rows):
+                # read in place: a batch holds many matrices
+                row = {c: x[k_row].as_buffer() for c, x in given.items() if c not in ("pivot", "ring")}
                 tags, ids, least = (np.frombuffer(row[c], np.int64) for c in ("q_tags", "q_ids", "q_least"))
                 q = np.frombuffer(row["q_data"], np.float64).reshape(-1, index.dim)
                 dists = np.frombuffer(row["dists"], np.float64)
-                d = index.query_distances(q)[:, row["pivot"]]
+                d = index.query_distances(q)[:, given["pivot"][k_row].as_py()]
                 reach = (q * q).sum(axis=1) + index.norm2
                 reach = np.sqrt(np.maximum(0, reach - 2 * least.astype(np.float64) + 1e-6 * reach + 1e-3))
                 low, high = np.searchsorted(dists, (d - reach).min(), "left"), np.searchsorted(dists, (d + reach).max(), "right")
@@ -260,6 +263,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     packed, chunks, index = build(rows, index)
     shared = spark.sparkContext.broadcast(index)
     queries = packed.filter(is_query).select("tag", "vec_id", "v")
+    # queries that are searched together share what they read of an annulus
+    queries = queries.coalesce(max(1, queries.count() // GROUP))
     place = F.row_number().over(Window.partitionBy("q_tag").orderBy(F.desc("score"), "vec_id"))
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
@@ -270,6 +275,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     early = work_table(search(queries, True), "pivot-early")
     # with k hits, the last of them; else no bound yet
     least = early.groupBy(F.col("q_tag").alias("tag")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-    later = queries.join(least, "tag", "left").withColumn("least", F.coalesce("least", F.lit(-(2**63))))
+    later = queries.join(F.broadcast(least) if early.count() <= BROADCAST_TAGS else least, "tag", "left")
+    later = later.withColumn("least", F.coalesce("least", F.lit(-(2**63))))
     both = early.drop("rank").unionByName(search(later, False).drop("rank"))
     return both.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
