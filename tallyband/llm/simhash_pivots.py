@@ -39,6 +39,9 @@ WIDE_RADIUS = 11
 WORDS = 5
 SIMILARITY = 0.8
 NO_ID = 2**63 - 1
+#: Candidates that a fingerprint has verified under a key in the first round after the forest's, and the growth from round to round.
+FIRST_CANDIDATES = 4
+MORE_CANDIDATES = 4
 #: Links held before they are folded into the forest; a bound on memory, not on links.
 FOLD = 2_000_000
 
@@ -81,16 +84,16 @@ def references(count: int = REFERENCES) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, count, dtype=np.uint64)
 
 
-def _keyed(prints: DataFrame, blocks: tuple[int, int]) -> DataFrame:
-    """table, part, fp: each fingerprint under its keys, one for each choice of blocks."""
+def _keyed(prints: DataFrame, blocks: tuple[int, int], *carried: str) -> DataFrame:
+    """table, part, fp and the carried columns: each fingerprint under its keys, one for each choice of blocks."""
     count, common = blocks
     cuts = [64 * k // count for k in range(count + 1)]
     masks = []
     for chosen in combinations(range(count), common):
         bits = sum(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in chosen)
         masks.append(bits - (1 << 64) if bits >> 63 else bits)
-    keys = F.array(*(F.struct(F.lit(k).cast("byte").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)))
-    return prints.select("fp", F.explode(keys).alias("key")).select("key.table", "key.part", "fp")
+    keys = F.array(*(F.struct(F.lit(k).cast("short").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)))
+    return prints.select("fp", *carried, F.explode(keys).alias("key")).select("key.table", "key.part", "fp", *carried)
 
 
 class _Forest:
@@ -144,56 +147,111 @@ class _Forest:
         return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
 
 
-def links_under_keys(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as fingerprints) that connect all linked ones in each group. group: numbers that rise; prints: uint64."""
+def _close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i, j and the distance of all pairs of a group within the radius, in parts. group: numbers that rise; prints: uint64."""
     table = np.bitwise_count(prints[:, None] ^ refs[None, :]).astype(np.int16)
     order = np.lexsort((table[:, 0], group))
-    group, prints, table = group[order], prints[order], table[order]
-    place = group.astype(np.int64) * 256 + table[:, 0]
+    ordered, table = prints[order], table[order]
+    place = group[order].astype(np.int64) * 256 + table[:, 0]
     stop = np.searchsorted(place, place + radius, side="right")  # beyond it the first distance rules a pair out
-    forest = _Forest(len(prints))
     i = np.flatnonzero(stop > np.arange(len(prints)) + 1)
     step = 1
     while len(i):
         j = i + step
         near = np.abs(table[i] - table[j]).max(axis=1) <= radius
         a, b = i[near], j[near]
-        bits = np.bitwise_count(prints[a] ^ prints[b])
+        bits = np.bitwise_count(ordered[a] ^ ordered[b])
         same = bits <= radius
         if same.any():
-            forest.add(a[same], b[same], bits[same])
+            yield order[a[same]], order[b[same]], bits[same]
         step += 1
         i = i[stop[i] > i + step]
+
+
+def links_under_keys(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (as fingerprints) that connect all linked ones in each group. group: numbers that rise; prints: uint64."""
+    forest = _Forest(len(prints))
+    for i, j, bits in _close_pairs(group, prints, radius, refs):
+        forest.add(i, j, bits)
     a, b = forest.links()
     return prints[a], prints[b]
 
 
-def _links(radius: int):
-    refs = references()
+def candidates_under_keys(group: np.ndarray, prints: np.ndarray, root: np.ndarray, radius: int, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (as fingerprints) within the radius and with different roots, the `most` shortest of each fingerprint and group; and the fingerprints that have more."""
+    held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
+    more = np.zeros(len(prints), bool)
+    limit, count = FOLD, 0
+
+    def shortest() -> None:
+        own, other, bits = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((prints[other], bits, own))
+        own, other, bits = own[order], other[order], bits[order]
+        rank = np.arange(len(own)) - np.searchsorted(own, own)
+        more[own[rank >= most]] = True
+        keep = rank < most
+        held[:] = [(own[keep], other[keep], bits[keep])]
+
+    for i, j, bits in _close_pairs(group, prints, radius, refs):
+        apart = root[i] != root[j]
+        i, j, bits = i[apart], j[apart], bits[apart]
+        held += [(i, j, bits), (j, i, bits)]
+        count += 2 * len(i)
+        if count > limit:
+            shortest()
+            count = len(held[0][0])
+            limit = FOLD + 2 * count
+    shortest()
+    own, other, _ = held[0]
+    return prints[own], prints[other], prints[more]
+
+
+def _by_key(names: list[str], columns: int, done):
+    """mapInArrow over rows sorted by their first columns, the key: done gets whole keys, as a number that rises and the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left: list[np.ndarray] = [np.empty(0, np.int8), np.empty(0, np.int64), np.empty(0, np.int64)]
+        left: list[np.ndarray] | None = None
 
-        def done(rows: list[np.ndarray]) -> pa.RecordBatch:
-            new = np.concatenate(([False], (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])))
-            a, b = links_under_keys(np.cumsum(new), rows[2].view(np.uint64), radius, refs)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        def whole(rows: list[np.ndarray]) -> pa.RecordBatch:
+            new = np.concatenate(([False], np.any([x[1:] != x[:-1] for x in rows[:columns]], axis=0)))
+            return pa.RecordBatch.from_arrays(done(np.cumsum(new), *rows[columns:]), names=names)
 
-        for batch in batches:  # sorted by key: the last key of a batch may go on in the next
-            rows = [np.concatenate((old, batch.column(k).to_numpy(zero_copy_only=False))) for k, old in enumerate(left)]
-            if not len(rows[0]):
+        for batch in batches:  # the last key of a batch may go on in the next
+            if not batch.num_rows:
                 continue
-            other = np.flatnonzero((rows[0] != rows[0][-1]) | (rows[1] != rows[1][-1]))
+            rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(batch.num_columns)]
+            rows = rows if left is None else [np.concatenate(x) for x in zip(left, rows, strict=True)]
+            other = np.flatnonzero(np.any([x != x[-1] for x in rows[:columns]], axis=0))
             cut = other[-1] + 1 if len(other) else 0
             left = [x[cut:] for x in rows]
             if cut:
-                yield done([x[:cut] for x in rows])
-        if len(left[0]):
-            yield done(left)
+                yield whole([x[:cut] for x in rows])
+        if left is not None:
+            yield whole(left)
 
     return run
 
 
+def _links(radius: int):
+    refs = references()
+
+    def done(group: np.ndarray, prints: np.ndarray) -> list[pa.Array]:
+        return [pa.array(x.view(np.int64)) for x in links_under_keys(group, prints.view(np.uint64), radius, refs)]
+
+    return _by_key(["a", "b"], 2, done)
+
+
+def _candidates(radius: int, most: int):
+    refs = references()
+
+    def done(group: np.ndarray, prints: np.ndarray, root: np.ndarray) -> list[pa.Array]:
+        a, b, more = (x.view(np.int64) for x in candidates_under_keys(group, prints.view(np.uint64), root, radius, refs, most))
+        none = pa.nulls(len(more), pa.int64())
+        return [pa.array(np.concatenate((np.minimum(a, b), more))), pa.concat_arrays([pa.array(np.maximum(a, b)), none])]
+
+    return _by_key(["a", "b"], 2, done)
+
+
 def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, int] = CLOSE) -> DataFrame:
     """a, b: links between different fingerprints of prints(fp) that agree on enough blocks; enough of them to connect all that are linked.
 
@@ -273,21 +331,47 @@ def _similar(least: float):
 def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """As marked_rows, for texts whose sets of `words`-word shingles have a Jaccard similarity of at least `similarity`.
 
-    docs is a stored table. Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks;
-    under each key the shortest candidate links that connect the others are verified by the shingles of one text each.
+    docs is a stored table. Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks.
+    First the shortest candidate links that connect the others under each key are verified by the shingles of one text each.
+    A link that fails may have stood for a true one, so rounds follow: of the candidates between components still apart the
+    shortest of each fingerprint are verified, more of them each round, until no candidate between two components is left.
     Texts of one fingerprint are taken for similar.
     """
     rows, prints, many = _prints(docs, SHINGLE)
     pairs = work_table(links(prints.select("fp"), radius, WIDE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    n_pairs = pairs.count()
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", 2 * pairs.count())
+    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", 2 * n_pairs)
     few = nodes.count() <= BROADCAST_TAGS  # beyond it a shuffle
     texts = docs.select(row_tag(), text_or_empty().cast("binary").alias("data"))
     texts = texts.join(F.broadcast(nodes) if few else nodes, F.col("tag") == F.col("own")).select("fp", "data")
     sets = work_table(texts.mapInArrow(_shingle_sets(words), "fp long, shingles binary"), "wide-shingles")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("two")), "b")
-    verified = both.select("a", "b", "one", "two").mapInArrow(_similar(similarity), "a long, b long")
-    return _labelled(rows, prints, connected_components(verified), many)
+
+    def verified(pairs: DataFrame, n_pairs: int) -> DataFrame:
+        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("two")), "b")
+        return work_table(both.select("a", "b", "one", "two").mapInArrow(_similar(similarity), "a long, b long"), "verified-links", n_pairs)
+
+    tried, found = pairs, verified(pairs, n_pairs)
+    apart = found.count() < n_pairs
+    found = connected_components(found)
+    open_nodes, most = nodes.select("fp"), FIRST_CANDIDATES
+    while apart:
+        # Two fingerprints whose candidate link is not yet verified both had more candidates than were taken.
+        named = open_nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+        keyed = _keyed(named, WIDE, "root").repartition("table", "part").sortWithinPartitions("table", "part")
+        taken = work_table(keyed.mapInArrow(_candidates(radius, most), "a long, b long").distinct(), "wide-candidates")
+        pairs = work_table(taken.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "wide-links")
+        n_pairs = pairs.count()
+        if n_pairs:
+            new = verified(pairs, n_pairs)
+            tried = tried.unionByName(pairs)
+            if not new.isEmpty():
+                # components so far as links from each node to its root
+                found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        open_nodes = taken.filter("b IS NULL").select(F.col("a").alias("fp"))
+        most *= MORE_CANDIDATES
+        apart = not open_nodes.isEmpty()
+    return _labelled(rows, prints, found, many)
 
 
 def without_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
