@@ -44,23 +44,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 BROADCAST_TAGS = 1_000_000
 
 
+#: The column of tagged(); a reserved name.
+TAG = "__tallyband_row_tag"
+
+
 def row_tag() -> Column:
-    """A number for each row. Read from a stored table it is the same in each scan, whichever columns are read."""
+    """A number for each row, for one scan only: another scan may split the files in another way. See tagged()."""
     return F.monotonically_increasing_id().alias("tag")
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row in column TAG, stored with the rows, so that every scan has the same."""
+    if TAG in docs.columns:
+        return docs
+    return work_table(docs.withColumn(TAG, row_tag()), "tagged")
+
+
+def stored_tag(docs: DataFrame) -> Column:
+    """The stored number of rows of tagged(), as column tag; for other tables row_tag(), for one scan only."""
+    return F.col(TAG).alias("tag") if TAG in docs.columns else row_tag()
+
+
 def drop_rows(docs: DataFrame, tags: DataFrame) -> DataFrame:
-    """docs, a stored table, without the rows whose row_tag() is in tags.
+    """docs, made by tagged(), without the rows whose numbers are in tags, and without TAG.
 
     Few tags are broadcast, so that texts are not shuffled; beyond BROADCAST_TAGS an ordinary join does it.
     """
     tags = work_table(tags, "dropped-tags")
     gone = F.broadcast(tags) if tags.count() <= BROADCAST_TAGS else tags
-    name = "__row_tag"
-    while name in docs.columns:
-        name += "_"
-    tagged = docs.withColumn(name, row_tag())
-    return tagged.join(gone, tagged[name] == gone["tag"], "left_anti").drop(name)
+    gone = gone.withColumnRenamed("tag", TAG)
+    return docs.join(gone, TAG, "left_anti").drop(TAG)
 
 
 def vocabulary(name: str) -> str:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import drop_rows, row_tag, text_or_empty, work_table
+from tallyband.llm.common import drop_rows, stored_tag, tagged, text_or_empty, work_table
 
 MEMTABLE_ROWS = 100_000
 BROADCAST_DIGESTS = 500_000
@@ -28,7 +28,7 @@ NO_ID = -(2**63)
 def digest_rows(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     """tag (unique), doc_id, digest, text_sha256 of each row."""
     sha = F.sha2(text_or_empty().cast("binary"), 256)
-    return docs.select(row_tag(), F.col("doc_id").cast("long").alias("doc_id"), sha.alias("text_sha256")).withColumn(
+    return docs.select(stored_tag(docs), F.col("doc_id").cast("long").alias("doc_id"), sha.alias("text_sha256")).withColumn(
         "digest", F.unhex(F.substring("text_sha256", 1, 2 * digest_bytes))
     )
 
@@ -76,7 +76,7 @@ def compact(runs: DataFrame) -> DataFrame:
 def _only(docs: DataFrame, digests: DataFrame, many: bool, digest_bytes: int) -> DataFrame:
     """doc_id, text, text_sha256 and digest of the rows with one of the digests."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
-    texts = docs.select(row_tag(), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_sha256", sha)
+    texts = docs.select(stored_tag(docs), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_sha256", sha)
     texts = texts.withColumn("digest", F.unhex(F.substring("text_sha256", 1, 2 * digest_bytes)))
     return texts.join(digests if many else F.broadcast(digests), "digest", "left_semi")
 
@@ -115,5 +115,6 @@ def exact_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
 
 
 def without_duplicates(docs: DataFrame, keep: str = "max") -> DataFrame:
-    """The rows of docs, a stored table, that stay when one of each group of equal texts does; all columns as they were."""
+    """The rows of docs that stay when one of each group of equal texts does; all columns as they were."""
+    docs = tagged(docs)
     return drop_rows(docs, marked_rows(docs, keep).filter(~F.col("kept")).select("tag"))

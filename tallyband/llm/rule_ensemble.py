@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import drop_rows, remainder, row_tag, text_or_empty
+from tallyband.llm.common import drop_rows, remainder, stored_tag, tagged, text_or_empty
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 4_000
@@ -270,7 +270,8 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, a stored table, that the classifier doesn't reject; all columns as they were."""
+    """The rows of docs that the classifier doesn't reject; all columns as they were."""
     model = fit(docs, labels)
-    tagged = docs.select(row_tag(), "text").withColumnRenamed("tag", "doc_id")
-    return drop_rows(docs, score(tagged, model).filter("predicted = 0").select(F.col("doc_id").alias("tag")))
+    docs = tagged(docs)
+    rows = docs.select(stored_tag(docs), "text").withColumnRenamed("tag", "doc_id")
+    return drop_rows(docs, score(rows, model).filter("predicted = 0").select(F.col("doc_id").alias("tag")))

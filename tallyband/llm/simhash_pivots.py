@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import BROADCAST_TAGS, drop_rows, row_tag, text_or_empty, work_table
+from tallyband.llm.common import BROADCAST_TAGS, drop_rows, stored_tag, tagged, text_or_empty, work_table
 from tallyband.llm.graph import connected_components
 
 SHINGLE = 3
@@ -76,7 +76,7 @@ def _fingerprints(size: int):
 
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """tag, doc_id, fp (the fingerprint as a signed long) of every row."""
-    rows = docs.select(row_tag(), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+    rows = docs.select(stored_tag(docs), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
     return rows.mapInArrow(_fingerprints(size), "tag long, doc_id long, fp long")
 
 
@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 
 def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs, a stored table, that stay when one of each component does; all columns as they were."""
+    """The rows of docs that stay when one of each component does; all columns as they were."""
+    docs = tagged(docs)
     return drop_rows(docs, marked_rows(docs, size, radius).filter(~F.col("kept")).select("tag"))
 
 
@@ -331,19 +332,20 @@ def _similar(least: float):
 def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
     """As marked_rows, for texts whose sets of `words`-word shingles have a Jaccard similarity of at least `similarity`.
 
-    docs is a stored table. Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks.
+    Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks.
     First the shortest candidate links that connect the others under each key are verified by the shingles of one text each.
     A link that fails may have stood for a true one, so rounds follow: of the candidates between components still apart the
     shortest of each fingerprint are verified, more of them each round, until no candidate between two components is left.
     Texts of one fingerprint are taken for similar.
     """
+    docs = tagged(docs)
     rows, prints, many = _prints(docs, SHINGLE)
     pairs = work_table(links(prints.select("fp"), radius, WIDE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
     n_pairs = pairs.count()
     nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
     nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", 2 * n_pairs)
     few = nodes.count() <= BROADCAST_TAGS  # beyond it a shuffle
-    texts = docs.select(row_tag(), text_or_empty().cast("binary").alias("data"))
+    texts = docs.select(stored_tag(docs), text_or_empty().cast("binary").alias("data"))
     texts = texts.join(F.broadcast(nodes) if few else nodes, F.col("tag") == F.col("own")).select("fp", "data")
     sets = work_table(texts.mapInArrow(_shingle_sets(words), "fp long, shingles binary"), "wide-shingles")
 
@@ -375,5 +377,6 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
 
 def without_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, a stored table, that stay when one of each component of similar_rows() does; all columns as they were."""
+    """The rows of docs that stay when one of each component of similar_rows() does; all columns as they were."""
+    docs = tagged(docs)
     return drop_rows(docs, similar_rows(docs, words, similarity).filter(~F.col("kept")).select("tag"))

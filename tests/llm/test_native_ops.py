@@ -160,3 +160,17 @@ def test_mixture_on_awkward_rows(spark):
     out = mixture.mixed(docs(spark), mixture.Mixture(share=100, max_epochs=1))
     assert out.columns == docs(spark).columns
     assert out.count() <= len(AWKWARD)
+
+
+def test_dropped_rows_are_the_same_however_scans_split_the_files(spark, tmp_path):
+    """As where cores join or leave between two scans: files are packed into partitions in another way."""
+    rows = [(k, f"text {k // 2}", "en", "s", 0, None, None, None, None) for k in range(200)]
+    docs(spark, rows).repartition(16).write.parquet(str(tmp_path / "d"))
+    out = lsm_dedup.without_duplicates(spark.read.parquet(str(tmp_path / "d")))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = sorted(r.doc_id for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", cost)
+    assert got == list(range(1, 200, 2))
