@@ -38,6 +38,10 @@ WIDE_RADIUS = 11
 #: For wide candidates: words of a shingle and Jaccard similarity of the shingle sets that make two texts similar.
 WORDS = 5
 SIMILARITY = 0.8
+#: Fingerprints under one key beyond which the key is hot. Fingerprints of hot keys meet under FINE keys, so that links of
+#: up to 3 bits share nine of twelve blocks; what is hot even then is dealt to cells.
+HOT = 50_000
+FINE = (12, 9)
 NO_ID = 2**63 - 1
 #: Candidates that a fingerprint has verified under a key in the first round after the forest's, and the growth from round to round.
 FIRST_CANDIDATES = 4
@@ -238,7 +242,7 @@ def _links(radius: int):
     def done(group: np.ndarray, prints: np.ndarray) -> list[pa.Array]:
         return [pa.array(x.view(np.int64)) for x in links_under_keys(group, prints.view(np.uint64), radius, refs)]
 
-    return _by_key(["a", "b"], 2, done)
+    return _by_key(["a", "b"], 3, done)
 
 
 def _candidates(radius: int, most: int):
@@ -249,16 +253,51 @@ def _candidates(radius: int, most: int):
         none = pa.nulls(len(more), pa.int64())
         return [pa.array(np.concatenate((np.minimum(a, b), more))), pa.concat_arrays([pa.array(np.maximum(a, b)), none])]
 
-    return _by_key(["a", "b"], 2, done)
+    return _by_key(["a", "b"], 3, done)
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, int] = CLOSE) -> DataFrame:
+def _dealt(keyed: DataFrame, hot: int) -> DataFrame:
+    """keyed with a cell after table and part, in tasks of whole cells, sorted. Every two fingerprints of a key meet in some cell.
+
+    A key of up to `hot` fingerprints is one cell; a larger one is cut in chunks, with a cell for every two of them.
+    """
+    large = work_table(keyed.groupBy("table", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot-keys")
+    if large.isEmpty():
+        out = keyed.withColumn("cell", F.lit(0).cast("long"))
+    else:
+        chunks = F.ceil(2 * F.col("n") / hot).cast("long")
+        own = F.pmod(F.xxhash64("fp"), chunks)
+        cells = F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: F.least(k, own) * chunks + F.greatest(k, own))
+        # broadcast: each hot key has `hot` rows of the keyed table
+        out = keyed.join(F.broadcast(large), ["table", "part"], "left").withColumn("cell", F.explode(F.coalesce(cells, F.array(F.lit(0).cast("long"))))).drop("n")
+    rest = [c for c in keyed.columns if c not in ("table", "part")]
+    return out.select("table", "part", "cell", *rest).repartition("table", "part", "cell").sortWithinPartitions("table", "part", "cell")
+
+
+def _links_and_hot(prints: DataFrame, radius: int, blocks: tuple[int, int], hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links as of links(), but among the fingerprints of hot keys only those that share FINE keys; and these fingerprints."""
+    keyed = _keyed(prints, blocks)
+    large = work_table(keyed.groupBy("table", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot-keys")
+    run, schema = _links(radius), "a long, b long"
+    if large.isEmpty():
+        cells = keyed.withColumn("cell", F.lit(0).cast("long")).select("table", "part", "cell", "fp")
+        return cells.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, schema), None
+    cold = keyed.join(F.broadcast(large), ["table", "part"], "left_anti")
+    cold = cold.withColumn("cell", F.lit(0).cast("long")).select("table", "part", "cell", "fp").repartition("table", "part").sortWithinPartitions("table", "part")
+    of_hot = work_table(keyed.join(F.broadcast(large), ["table", "part"], "left_semi").select("fp").distinct(), "hot-fingerprints")
+    fine = _dealt(_keyed(of_hot, FINE), hot)
+    return cold.mapInArrow(run, schema).unionByName(fine.mapInArrow(run, schema)), of_hot
+
+
+def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, int] = CLOSE, hot: int = HOT) -> DataFrame:
     """a, b: links between different fingerprints of prints(fp) that agree on enough blocks; enough of them to connect all that are linked.
 
-    With radius <= blocks[0] - blocks[1] every two fingerprints within the radius agree on enough blocks.
+    With radius <= blocks[0] - blocks[1], and no more than 3, every two fingerprints within the radius agree on enough blocks.
+    Fingerprints of hot keys are linked where they share FINE keys, which for a radius of up to 3 loses none.
     """
-    keyed = _keyed(prints, blocks).repartition("table", "part").sortWithinPartitions("table", "part")
-    return keyed.mapInArrow(_links(radius), "a long, b long")
+    if radius > FINE[0] - FINE[1]:
+        raise ValueError("nine of twelve blocks find all links up to three bits only")
+    return _links_and_hot(prints, radius, blocks, hot)[0]
 
 
 def _labelled(rows: DataFrame, prints: DataFrame, found: DataFrame, many: int) -> DataFrame:
@@ -329,7 +368,7 @@ def _similar(least: float):
     return run
 
 
-def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, hot: int = HOT) -> DataFrame:
     """As marked_rows, for texts whose sets of `words`-word shingles have a Jaccard similarity of at least `similarity`.
 
     Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks.
@@ -340,10 +379,12 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     """
     docs = tagged(docs)
     rows, prints, many = _prints(docs, SHINGLE)
-    pairs = work_table(links(prints.select("fp"), radius, WIDE).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
+    found, of_hot = _links_and_hot(prints.select("fp"), radius, WIDE, hot)
+    pairs = work_table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
     n_pairs = pairs.count()
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", 2 * n_pairs)
+    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
+    nodes = (nodes if of_hot is None else nodes.union(of_hot)).distinct()
+    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", None if of_hot is not None else 2 * n_pairs)
     few = nodes.count() <= BROADCAST_TAGS  # beyond it a shuffle
     texts = docs.select(stored_tag(docs), text_or_empty().cast("binary").alias("data"))
     texts = texts.join(F.broadcast(nodes) if few else nodes, F.col("tag") == F.col("own")).select("fp", "data")
@@ -354,13 +395,15 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
         return work_table(both.select("a", "b", "one", "two").mapInArrow(_similar(similarity), "a long, b long"), "verified-links", n_pairs)
 
     tried, found = pairs, verified(pairs, n_pairs)
-    apart = found.count() < n_pairs
+    apart = of_hot is not None or found.count() < n_pairs
     found = connected_components(found)
     open_nodes, most = nodes.select("fp"), FIRST_CANDIDATES
     while apart:
         # Two fingerprints whose candidate link is not yet verified both had more candidates than were taken.
         named = open_nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-        keyed = _keyed(named, WIDE, "root").repartition("table", "part").sortWithinPartitions("table", "part")
+        keyed = _keyed(named, WIDE, "root")
+        mixed = keyed.groupBy("table", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("table", "part")
+        keyed = _dealt(work_table(keyed.join(mixed, ["table", "part"]), "open-keys"), hot)
         taken = work_table(keyed.mapInArrow(_candidates(radius, most), "a long, b long").distinct(), "wide-candidates")
         pairs = work_table(taken.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "wide-links")
         n_pairs = pairs.count()

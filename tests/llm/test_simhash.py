@@ -1,6 +1,7 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import combinations
 
 import xxhash
 
@@ -80,6 +81,39 @@ def test_links_of_close_prints_against_all_pairs(spark):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
 
 
+def test_no_link_is_lost_under_hot_keys_and_no_task_holds_one(spark):
+    """A family of near copies under the same keys, with a key of more than 20 fingerprints taken for hot."""
+    rng = random.Random(6)
+    base = rng.getrandbits(64)
+    prints = {base}
+    for p in range(400):
+        q = base
+        for b in rng.sample(range(64), rng.randint(1, 7)):
+            q ^= 1 << b
+        prints.add(q)
+    table = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p,) for p in prints], "fp long")
+    found = graph.connected_components(simhash_pivots.links(table, hot=20)).collect()
+    root = {r.node % 2**64: r.root % 2**64 for r in found}
+    label = plain_components([(p, p) for p in prints])
+    groups, plain = defaultdict(set), defaultdict(set)
+    for p in prints:
+        groups[root.get(p, p)].add(p)
+        plain[label[p]].add(p)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, plain.values()))
+    cells = simhash_pivots._dealt(simhash_pivots._keyed(table, simhash_pivots.CLOSE), 20)
+    rows = cells.collect()
+    assert max(Counter((r.table, r.part, r.cell) for r in rows).values()) < 40
+    met = defaultdict(set)
+    for r in rows:
+        met[r.table, r.part, r.cell].add(r.fp)
+    together = {pair for group in met.values() for pair in combinations(sorted(group), 2)}
+    keyed = defaultdict(set)
+    for r in rows:
+        keyed[r.table, r.part].add(r.fp)
+    assert max(map(len, keyed.values())) > 60
+    assert together == {pair for group in keyed.values() for pair in combinations(sorted(group), 2)}
+
+
 def test_components_of_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200) if i % 50 != 49] + [(5, 5), (3, 2)]
     found = graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
