@@ -25,7 +25,8 @@ PATTERNS = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}+",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # only the head is consumed; what may follow it is looked at: the groups, and a character that goes on with the last one
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30})([A-Za-z0-9]?))",
 }
 BASE = ("email", "ip", "card", "phone")
 #: What a text must contain for a kind to be looked for.
@@ -66,8 +67,6 @@ def _valid(kind: str, text: Column) -> Column:
         return F.length(_digits(text)).between(16, 19) & F.call_function("luhn_check", _digits(text))
     if kind == "phone":
         return F.length(_digits(text)).between(8, 15)
-    if kind == "iban":
-        return _mod97(text)
     return F.lit(True)
 
 
@@ -78,11 +77,40 @@ def _has(kind: str, text: Column) -> Column:
     return text.rlike(r"[A-Z]{2}[0-9]{2}" if kind == "iban" else r"[0-9][\x20-]?[0-9]")
 
 
+def _account_numbers(text: Column) -> Column:
+    """As spans_of. From each head the longest number that ends with a group and passes the check; none begins inside another."""
+    pattern = PATTERNS["iban"]
+    heads, runs, more = (F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in range(3))
+    between = F.transform(F.split(text, pattern, -1), lambda part: F.length(part))
+
+    def number(pair: Column) -> Column:
+        groups = F.split(F.concat(pair["head"], pair["run"]), " ")
+        whole = F.size(groups) - F.when(pair["more"] != "", 1).otherwise(0)
+        ends = F.filter(F.sequence(F.lit(1), F.size(groups)), lambda k: k <= whole)
+        numbers = F.transform(ends, lambda k: F.array_join(F.slice(groups, F.lit(1), k), " "))
+        return F.get(F.reverse(F.filter(numbers, lambda n: (F.length(F.replace(n, F.lit(" "), F.lit(""))) >= 15) & _mod97(n))), F.lit(0))
+
+    def step(state: Column, pair: Column) -> Column:
+        start = state["at"] + pair["gap"]
+        stop = start + F.length(pair["match"])
+        taken = pair["match"].isNotNull() & (start >= state["free"])
+        more = F.concat(state["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), pair["match"].alias("match"))))
+        return F.struct((start + 4).alias("at"), F.when(taken, stop).otherwise(state["free"]).alias("free"), F.when(taken, more).otherwise(state["spans"]).alias("spans"))
+
+    none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
+    pairs = F.filter(F.arrays_zip(between.alias("gap"), heads.alias("head"), runs.alias("run"), more.alias("more")), lambda p: p["head"].isNotNull())
+    pairs = F.transform(pairs, lambda p: F.struct(p["gap"].alias("gap"), number(p).alias("match")))
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), none.alias("spans")), step)["spans"]
+    return F.when(_has("iban", text), spans).otherwise(none)
+
+
 def spans_of(kind: str, text: Column) -> Column:
     """array<struct<start, stop, match>>: the confirmed spans of a kind, in order.
 
     Splitting by the pattern gives what stands between the matches; their lengths give the places.
     """
+    if kind == "iban":
+        return _account_numbers(text)
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.transform(F.split(text, pattern, -1), lambda part: F.length(part))

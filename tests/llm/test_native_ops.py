@@ -174,3 +174,21 @@ def test_dropped_rows_are_the_same_however_scans_split_the_files(spark, tmp_path
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", cost)
     assert got == list(range(1, 200, 2))
+
+
+def test_account_numbers_before_capitals_and_numbers(spark):
+    de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"
+    texts = {
+        f"{de} Please pay": [de],
+        f"{spaced} AND more": [spaced],
+        f"{spaced} 2024": [spaced],
+        f"{spaced} {gb} {de}": [spaced, gb, de],
+        f"{de}X": [],
+        f"{de}x {gb}.": [gb],
+        f"é {spaced}": [spaced],
+        "DE89370400440532013001 Please": [],
+    }
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in pii_spans.find_spans(table, ("iban",)).collect():
+        assert [s.match for s in row.spans] == texts[row.text], row.text
+        assert all(row.text[s.start : s.stop] == s.match for s in row.spans)
