@@ -38,8 +38,8 @@ from tallyband.llm.common import remainder, row_tag, text_or_empty, work_table
 HEAD = 200_000
 ROUNDS = 1
 BLOCK_BYTES = 8_000_000
-#: Bytes of the longest piece in use.
-LONGEST = 12
+#: No vocabulary may have a longer piece (bytes); a lattice is as deep as its own longest piece.
+LONGEST = 1024
 #: Added to each piece's expected count.
 ADDED = 0.01
 #: Taken from each word's count for its other segmentations.
@@ -58,8 +58,11 @@ class Lattice:
     """Pieces and their natural log weights. Pieces are found by walking a trie kept as a flat table of edges."""
 
     def __init__(self, pieces: list[bytes], log_p: np.ndarray | None = None):
-        usable = [k for k, p in enumerate(pieces) if 0 < len(p) <= LONGEST and not any(c in b"\t\n\v\f\r " for c in p[1:]) and p[:1] not in (b"\t", b"\n", b"\v", b"\f", b"\r")]
+        usable = [k for k, p in enumerate(pieces) if p and not any(c in b"\t\n\v\f\r " for c in p[1:]) and p[:1] not in (b"\t", b"\n", b"\v", b"\f", b"\r")]
         self.count = len(pieces)
+        self.longest = max((len(pieces[k]) for k in usable), default=1)
+        if self.longest > LONGEST:
+            raise ValueError(f"a piece of more than {LONGEST} bytes")
         nodes = {b"": 0}
         edges: dict[int, int] = {}
         piece_of = [-1]
@@ -124,20 +127,21 @@ class Lattice:
     def arcs(self, data: np.ndarray) -> np.ndarray:
         """piece[w, i, d]: the piece of d + 1 bytes that starts at byte i of word w, or -1. data: words of one length as rows."""
         many, length = data.shape
-        out = np.full((many, length, min(LONGEST, length)), -1, np.int32)
+        out: list[np.ndarray] = []  # as deep as pieces of these words may go
         where = np.arange(many * length)
         node = np.zeros(len(where), np.int64)
         flat = data.reshape(-1)
-        for d in range(out.shape[2]):
+        for d in range(min(self.longest, length)):
             inside = where % length + d < length
             where, node = where[inside], node[inside]
             node = self._children(node << 8 | flat[where + d])
             alive = node > 0
             where, node = where[alive], node[alive]
-            if not len(where):
+            if d and not len(where):
                 break
-            out[where // length, where % length, d] = self.piece_of[node]
-        return out
+            out.append(np.full((many, length), -1, np.int32))
+            out[d][where // length, where % length] = self.piece_of[node]
+        return np.stack(out, axis=2)
 
     def _forward(self, pieces: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln weights of arcs, and ln a(j) for each word and place. The last of log_p stands for no piece."""
@@ -159,7 +163,7 @@ class Lattice:
         size = np.fromiter(map(len, words), np.int64, len(words))
         for length in np.unique(size).tolist():
             rows = np.flatnonzero(size == length)
-            most = max(1, 1_500_000 // ((length + 1) * min(LONGEST, length + 1)))
+            most = max(1, 1_500_000 // ((length + 1) * min(self.longest, length + 1)))
             for first in range(0, len(rows), most):
                 own = rows[first : first + most]
                 data = np.frombuffer(b"".join([b" " + words[r] for r in own.tolist()]), np.uint8).reshape(-1, length + 1)

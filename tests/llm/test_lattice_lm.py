@@ -93,3 +93,18 @@ def test_held_out_texts_are_likelier_than_by_words_alone(spark):
     rows = lattice_lm.score_documents(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), PATH, lattice_lm.training_part())
     held = rows.filter(~lattice_lm.training_part()).collect()
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_long_pieces_are_in_the_lattice():
+    pieces = load_ranks(PATH)
+    lattice = lattice_lm.Lattice(pieces)
+    weight = {p: math.exp(lattice.log_p[k]) for k, p in enumerate(pieces) if lattice.log_p[k] > -600}
+    words = [b"international", b"administration", b"professional", b"-" * 16, b"-" * 70]
+    used = lattice.expected(words, np.ones(len(words)))
+    for word, got in zip(words, lattice.log_marginals(words)[0], strict=True):
+        a = [1.0] + [0.0] * (len(word) + 1)
+        for j in range(1, len(a)):
+            a[j] = sum(a[i] * weight.get((b" " + word)[i:j], 0) for i in range(j))
+        assert got == pytest.approx(math.log(a[-1]), rel=1e-9)
+    for piece in (b" international", b" administration", b" professional", b"-" * 16):
+        assert used[pieces.index(piece)] > 0
