@@ -1,7 +1,7 @@
 """Language-model scores: the likelihood of a text over all its segmentations into the pieces of an existing vocabulary.
 
 A text is a row of words, each with a space before it, then one end. Pieces never cross a space, so the lattice of a text
-is the lattices of its words in a row, and a word's marginal probability is found once for a block of documents. The
+is the lattices of its words in a row, and a word's marginal probability is found once for the whole table. The
 forward recursion is in logarithms: ln a(j) = logsumexp over pieces that end at j of ln a(i) + ln p(piece). Words seen in
 training are pieces of their own besides: the whole word is one more arc over its lattice, with the share
 (count - DISCOUNT) / tokens; what the discounts leave is the weight of all other segmentations.
@@ -11,9 +11,10 @@ documents by ROUNDS steps of expected counts over the table of all their words.
 the most frequent languages of the training documents, and one for the rest. Which set a text was drawn from is summed out
 like the segmentations, so scoring reads the text alone.
 
-Counts of words come from a table that grows with the corpus. Words that make up at least 1 / HEAD of all training tokens
-are at most HEAD; these are broadcast. All other words meet the table in a join, as rows (document, word, times), so
-nothing that grows with the corpus is broadcast or sent to the driver.
+Counts of words come from a table that grows with the corpus; it has the words of all documents, so that each distinct word
+is scored once. Words that make up at least 1 / HEAD of all training tokens are at most HEAD; these are broadcast. All
+other words meet the table in a join, as rows (document, word, times), so nothing that grows with the corpus is
+broadcast or sent to the driver.
 
 Defined results: a null text is the empty text, whose one token is the end; a null id counts as the empty text in the
 hash that holds rows out; a null lang is one of the rest; repeated rows are scored each; without training documents the
@@ -33,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyband.llm.byte_bpe import load_ranks
-from tallyband.llm.common import remainder, row_tag, text_or_empty, work_table
+from tallyband.llm.common import larger, mapped, remainder, row_tag, text_or_empty, work_table
 
 HEAD = 200_000
 ROUNDS = 1
@@ -52,6 +53,8 @@ END = b""
 
 #: ln of a weight that stands for none.
 NONE = -1e30
+#: Pieces of up to so many bytes stand at most places; longer ones are summed up one by one.
+DENSE = 3
 
 
 class Lattice:
@@ -124,46 +127,81 @@ class Lattice:
             open_ = open_[~hit & (seen >= 0)]
         return found
 
-    def arcs(self, data: np.ndarray) -> np.ndarray:
-        """piece[w, i, d]: the piece of d + 1 bytes that starts at byte i of word w, or -1. data: words of one length as rows."""
+    def arcs(self, data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length d + 1 the arcs of such pieces: place (byte * words + word, rising) and piece. data: words of one length as rows."""
         many, length = data.shape
-        out: list[np.ndarray] = []  # as deep as pieces of these words may go
-        where = np.arange(many * length)
-        node = np.zeros(len(where), np.int64)
-        flat = data.reshape(-1)
+        flat = np.ascontiguousarray(data.T).reshape(-1)
+        where, node = np.arange(many * length), np.zeros(many * length, np.int64)
+        out = []
         for d in range(min(self.longest, length)):
-            inside = where % length + d < length
-            where, node = where[inside], node[inside]
-            node = self._children(node << 8 | flat[where + d])
+            inside = np.searchsorted(where, (length - d) * many)
+            where, node = where[:inside], node[:inside]
+            node = self._children(node << 8 | flat[where + d * many])
             alive = node > 0
             where, node = where[alive], node[alive]
-            if d and not len(where):
+            if not len(where):
                 break
-            out.append(np.full((many, length), -1, np.int32))
-            out[d][where // length, where % length] = self.piece_of[node]
-        return np.stack(out, axis=2)
-
-    def _forward(self, pieces: np.ndarray, log_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """ln weights of arcs, and ln a(j) for each word and place. The last of log_p stands for no piece."""
-        many, length, depth = pieces.shape
-        weight = log_p[pieces]
-        a = np.full((many, length + 1), NONE, log_p.dtype)
-        a[:, 0] = 0
+            piece = self.piece_of[node]
+            ends = piece >= 0
+            out.append((where[ends], piece[ends]))
+        return out
+
+    @staticmethod
+    def _weighed(arcs: list[tuple[np.ndarray, np.ndarray]], log_p: np.ndarray, length: int, many: int) -> tuple[list, list]:
+        """ln weights of the arcs: of the DENSE shortest lengths as matrices by byte and word, of others as (d, word, weight) for each byte."""
+        dense, rest = [], [[] for _ in range(length)]
+        for d, (where, piece) in enumerate(arcs):
+            if d < DENSE:
+                weights = np.full((length, many), NONE, log_p.dtype)
+                weights.reshape(-1)[where] = log_p[piece]
+                dense.append(weights)
+                continue
+            cuts = np.searchsorted(where, np.arange(length + 1) * many).tolist()
+            for i in np.flatnonzero(np.diff(cuts)).tolist():
+                own = slice(cuts[i], cuts[i + 1])
+                rest[i].append((d, where[own] - i * many, log_p[piece[own]]))
+        return dense, rest
+
+    @staticmethod
+    def _sum(terms: list[np.ndarray]) -> np.ndarray:
+        """logsumexp, word by word."""
+        if len(terms) == 1:
+            return terms[0]
+        top = np.maximum.reduce(terms)
+        total = np.zeros_like(top)
+        for t in terms:
+            t -= top
+            total += np.exp(t, out=t)
+        return top + np.log(total, out=total)
+
+    def _forward(self, dense: list, rest: list, length: int, many: int, kind: type) -> np.ndarray:
+        """ln a(j) by place and word."""
+        a = np.full((length + 1, many), NONE, kind)
+        a[0] = 0
+        ending: list[list] = [[] for _ in range(length + 1)]
+        for i, own in enumerate(rest):
+            for d, word, weight in own:
+                ending[i + d + 1].append((i, word, weight))
         for j in range(1, length + 1):
-            d = np.arange(min(depth, j))
-            terms = a[:, j - 1 - d]
-            terms += weight[:, j - 1 - d, d]
-            top = terms.max(axis=1)
-            terms -= top[:, None]
-            np.exp(terms, out=terms)
-            a[:, j] = top + np.log(terms.sum(axis=1))
-        return weight, a
+            a[j] = self._sum([a[j - 1 - d] + dense[d][j - 1 - d] for d in range(min(len(dense), j))])
+            for i, word, weight in ending[j]:
+                a[j, word] = np.logaddexp(a[j, word], a[i, word] + weight)
+        return a
+
+    def _backward(self, dense: list, rest: list, length: int, many: int, kind: type) -> np.ndarray:
+        b = np.full((length + 1, many), NONE, kind)
+        b[length] = 0
+        for i in range(length - 1, -1, -1):
+            b[i] = self._sum([b[i + 1 + d] + dense[d][i] for d in range(min(len(dense), length - i))])
+            for d, word, weight in rest[i]:
+                b[i, word] = np.logaddexp(b[i, word], b[i + 1 + d, word] + weight)
+        return b
 
     def _groups(self, words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         size = np.fromiter(map(len, words), np.int64, len(words))
         for length in np.unique(size).tolist():
             rows = np.flatnonzero(size == length)
-            most = max(1, 1_500_000 // ((length + 1) * min(self.longest, length + 1)))
+            most = max(1, 200_000 // (length + 1))
             for first in range(0, len(rows), most):
                 own = rows[first : first + most]
                 data = np.frombuffer(b"".join([b" " + words[r] for r in own.tolist()]), np.uint8).reshape(-1, length + 1)
@@ -174,29 +212,25 @@ class Lattice:
         closed = [self._closed(w, kind) for w in (self.log_p[None, :] if sets is None else sets)]
         out = np.zeros((len(closed), len(words)))
         for rows, data in self._groups(words):
-            pieces = self.arcs(data)
+            many, length = data.shape
+            arcs = self.arcs(data)
             for k, log_p in enumerate(closed):
-                out[k, rows] = self._forward(pieces, log_p)[1][:, -1]
+                out[k, rows] = self._forward(*self._weighed(arcs, log_p, length, many), length, many, kind)[-1]
         return out
 
-    def expected(self, words: list[bytes], times: np.ndarray, log_p: np.ndarray | None = None) -> np.ndarray:
+    def expected(self, words: list[bytes], times: np.ndarray, log_p: np.ndarray | None = None, kind: type = np.float64) -> np.ndarray:
         """How often each piece is used in the words, weighted by probability and by times."""
-        closed = self._closed(self.log_p if log_p is None else log_p, np.float64)
+        closed = self._closed(self.log_p if log_p is None else log_p, kind)
         out = np.zeros(self.count)
         for rows, data in self._groups(words):
-            pieces = self.arcs(data)
-            weight, a = self._forward(pieces, closed)
-            many, length, depth = pieces.shape
-            b = np.full((many, length + 1), NONE)
-            b[:, length] = 0
-            for i in range(length - 1, -1, -1):
-                d = np.arange(min(depth, length - i))
-                terms = b[:, i + 1 + d] + weight[:, i, d]
-                top = terms.max(axis=1)
-                b[:, i] = top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
-            w, i, d = np.nonzero(pieces >= 0)
-            use = a[w, i] + weight[w, i, d] + b[w, i + d + 1] - a[w, length]
-            out += np.bincount(pieces[w, i, d], np.exp(use) * times[rows][w], self.count)
+            many, length = data.shape
+            arcs = self.arcs(data)
+            dense, rest = self._weighed(arcs, closed, length, many)
+            a = self._forward(dense, rest, length, many, kind)
+            b = self._backward(dense, rest, length, many, kind) - a[length]
+            for d, (where, piece) in enumerate(arcs):
+                use = a.reshape(-1)[where] + closed[piece] + b.reshape(-1)[where + (d + 1) * many]
+                out += np.bincount(piece, np.exp(use) * times[rows][where % many], self.count)
         return out
 
 
@@ -235,15 +269,17 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from table()
 
 
-def word_counts(docs: DataFrame, languages: list[str]) -> DataFrame:
-    """word (binary; the end is empty), n of all tokens of docs, and c0, c1.. by language; the last is of all others."""
+def word_counts(docs: DataFrame, languages: list[str], training: Column) -> DataFrame:
+    """word (binary; the end is empty) of all tokens of docs, n of those in training documents, and c0, c1.. by language; the last is of all others."""
     part = F.lit(len(languages))
     for k, lang in enumerate(languages):
         part = F.when(F.col("lang") == lang, k).otherwise(part)
+    part = F.when(training, part).otherwise(len(languages) + 1)
     rows = docs.select(part.cast("int").alias("part"), text_or_empty().cast("binary").alias("data"))
-    found = rows.mapInArrow(_counts, "word binary, part int, n long")
+    found = mapped(rows, _counts, "word binary, part int, n long")
     each = [F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(len(languages) + 1)]
-    return found.groupBy("word").agg(F.sum("n").alias("n"), *each)
+    n = F.sum(F.when(F.col("part") <= len(languages), F.col("n")).otherwise(0))
+    return found.groupBy("word").agg(n.alias("n"), *each)
 
 
 @dataclass(frozen=True)
@@ -276,16 +312,17 @@ def fit_lattice(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) ->
         def use(batches: Iterator[pa.RecordBatch], weights: Broadcast = weights) -> Iterator[pa.RecordBatch]:
             lattice = Lattice(shared.value, weights.value[0])
             total = np.zeros((len(used), lattice.count))
-            for batch in batches:
+            for batch in larger(batches):
                 words = np.array(batch.column("word").to_pylist(), object)
                 for k, part in enumerate(used):
                     n = batch.column(f"c{part}").to_numpy().astype(np.float64)
                     own = np.flatnonzero(n)
-                    total[k] += lattice.expected(words[own].tolist(), n[own], weights.value[k])
+                    if len(own):
+                        total[k] += lattice.expected(words[own].tolist(), n[own], weights.value[k], np.float32)
             k, piece = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], names=["k", "piece", "n"])
 
-        found = counts.filter(~is_end).mapInArrow(use, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
+        found = mapped(counts.filter(~is_end & (F.col("n") > 0)), use, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
         total = np.zeros(log_p.shape)
         total[found.column("k").to_numpy(), found.column("piece").to_numpy()] = found.column("n").to_numpy()
         total += ADDED
@@ -295,44 +332,40 @@ def fit_lattice(counts: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) ->
     return Model(used, log_p, np.log(ends[own] / ends.sum()), np.log(ends[own] / (tokens[own] + 0.01)), np.log10(rest), tokens[own])
 
 
-def _gains(pieces: Broadcast, model: Broadcast):
-    """For each counted word and set: log10 of how many times likelier its own arc makes it."""
+def _scored(pieces: Broadcast, model: Broadcast):
+    """For each word and set: log10 of its probability, over its own arc, if it was counted, and its lattice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         lattice = Lattice(pieces.value, m.log_p[0])
-        for batch in batches:
-            words = np.array(batch.column("word").to_pylist(), object)
-            gain = np.zeros((len(m.parts), len(words)))
+        for batch in larger(batches):
+            score = lattice.log_marginals(batch.column("word").to_pylist(), m.log_p, np.float32) / math.log(10) + m.log_rest[:, None]
             for k, part in enumerate(m.parts):
                 n = batch.column(f"c{part}").to_numpy().astype(np.float64)
                 own = np.flatnonzero(n)
-                if len(own):
-                    other = lattice.log_marginals(words[own].tolist(), m.log_p[k : k + 1])[0] / math.log(10) + m.log_rest[k]
-                    arc = np.log10((n[own] - DISCOUNT) / (m.tokens[k] + 0.01))
-                    gain[k, own] = np.maximum(arc, other) + np.log10(1 + 10 ** -np.abs(arc - other)) - other
-            columns = [batch.column("word"), batch.column("n"), *(pa.array(g.astype(np.float32)) for g in gain)]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", *(f"g{k}" for k in range(len(m.parts)))])
+                arc = np.log10((n[own] - DISCOUNT) / (m.tokens[k] + 0.01))
+                score[k, own] = np.maximum(arc, score[k, own]) + np.log10(1 + 10 ** -np.abs(arc - score[k, own]))
+            columns = [batch.column("word"), batch.column("n"), *(pa.array(x.astype(np.float32)) for x in score)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", *(f"s{k}" for k in range(len(score)))])
 
     return run
 
 
 @dataclass(frozen=True)
 class Head:
-    """Frequent words: place of each, counts and gains (a row a set)."""
+    """Frequent words: place of each, counts and scores (a row a set)."""
 
     place: dict[bytes, int]
     n: np.ndarray
-    gain: np.ndarray
+    score: np.ndarray
 
 
-def _postings(pieces: Broadcast, model: Broadcast, head: Broadcast, end_known: bool):
-    """For blocks of documents: a row each document, and one each (document, word) that isn't in head."""
+def _postings(head: Broadcast, end_known: bool):
+    """For blocks of documents: a row each document, with the sums of its frequent words, and one each (document, other word)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        lattice, known = Lattice(pieces.value, m.log_p[0]), head.value
-        sets = len(m.log_p)
+        known: Head = head.value
+        base, sets = np.log10(known.n + 0.5), len(known.score)
         rows: list[int] = []
         ids: list = []
         codes: list[np.ndarray] = []
@@ -340,25 +373,21 @@ def _postings(pieces: Broadcast, model: Broadcast, head: Broadcast, end_known: b
 
         def block() -> pa.RecordBatch:
             words = list(numbers)
-            score = lattice.log_marginals(words, m.log_p, np.float32) / math.log(10) + m.log_rest[:, None]
             place = np.fromiter((known.place.get(w, -1) for w in words), np.int64, len(words))
-            own = np.flatnonzero(place >= 0)
-            score[:, own] += known.gain[:, place[own]]
-            base = np.zeros(len(words))
-            base[own] = np.log10(known.n[place[own]] + 0.5)
             n = np.array([len(x) for x in codes])
             doc, code = np.repeat(np.arange(len(codes)), n), np.concatenate(codes)
-            tail = place[code] < 0
-            pair, times = np.unique(doc[tail] * np.int64(len(words) + 1) + code[tail], return_counts=True)
+            often = place[code] >= 0
+            where_often, at = doc[often], place[code[often]]
+            pair, times = np.unique(doc[~often] * np.int64(len(words) + 1) + code[~often], return_counts=True)
             where, word = pair // (len(words) + 1), pair % (len(words) + 1)
             row = np.array(rows, np.int64)
-            sums = [np.bincount(doc, x[code], len(codes)) for x in (base, *score)]
+            sums = [np.bincount(where_often, x[at], len(codes)).astype(np.float64) for x in (base, *known.score)]
             columns = [
                 pa.concat_arrays([pa.array(row), pa.array(row[where])]),
                 pa.concat_arrays([pa.array(ids, pa.int64()), pa.nulls(len(pair), pa.int64())]),
                 pa.concat_arrays([pa.nulls(len(rows), pa.binary()), pa.array(words, pa.binary()).take(pa.array(word))]),
                 pa.concat_arrays([pa.array(n + 1), pa.array(times)]),
-                pa.concat_arrays([pa.array(np.bincount(doc, ~tail, len(codes)).astype(np.int64) + end_known), pa.nulls(len(pair), pa.int64())]),
+                pa.concat_arrays([pa.array(np.bincount(where_often, minlength=len(codes)).astype(np.int64) + end_known), pa.nulls(len(pair), pa.int64())]),
                 *(pa.concat_arrays([pa.array(x), pa.nulls(len(pair), pa.float64())]) for x in sums),
             ]
             return pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "word", "n", "known", "base", *(f"s{k}" for k in range(sets))])
@@ -386,35 +415,32 @@ def score_documents(docs: DataFrame, path: str, training: Column, head: int = HE
     """
     sc = docs.sparkSession.sparkContext
     pieces = load_ranks(path)
-    taught = docs.filter(training)
-    often = taught.filter("lang IS NOT NULL").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    counts = work_table(word_counts(taught, [r["lang"] for r in often]), "lm-counts")
+    often = docs.filter(training & F.col("lang").isNotNull()).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = work_table(word_counts(docs, [r["lang"] for r in often], training), "lm-counts")
     is_end = F.col("word") == F.lit(END)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(is_end, F.col("n"))).alias("ends")).first()
+    known = F.when(F.col("n") > 0, 1)
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(known).alias("v"), F.max(F.when(is_end, F.col("n"))).alias("ends")).first()
     fitted = fit_lattice(counts, pieces, rounds)
-    sets = len(fitted.parts)
-    shared, model = sc.broadcast(pieces), sc.broadcast(fitted)
-    gains = "".join(f", g{k} float" for k in range(sets))
-    words = work_table(counts.filter(~is_end).mapInArrow(_gains(shared, model), f"word binary, n long{gains}"), "lm-words")
+    sets = [f"s{k}" for k in range(len(fitted.log_p))]
+    words = mapped(counts.filter(~is_end), _scored(sc.broadcast(pieces), sc.broadcast(fitted)), f"word binary, n long, {', '.join(f'{s} float' for s in sets)}")
+    words = work_table(words, "lm-words")
     # At most `head` words can have a share of 1 / head each.
-    top = words.filter(F.col("n") * head >= total.n).toArrow()
-    gain = np.stack([top.column(f"g{k}").to_numpy() for k in range(sets)]) if sets else np.zeros((1, top.num_rows), np.float32)
-    known = Head({w: k for k, w in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy(), gain)
+    top = words.filter((F.col("n") > 0) & (F.col("n") * head >= total.n)).toArrow()
+    frequent = Head({w: k for k, w in enumerate(top.column("word").to_pylist())}, top.column("n").to_numpy(), np.stack([top.column(s).to_numpy() for s in sets]))
     rows = docs.select(row_tag(), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    scores = [f"s{k}" for k in range(max(sets, 1))]
-    schema = "row long, doc_id long, word binary, n long, known long, base double, " + ", ".join(f"{s} double" for s in scores)
-    found = work_table(rows.mapInArrow(_postings(shared, model, sc.broadcast(known), bool(total.ends)), schema), "lm-postings")
+    schema = "row long, doc_id long, word binary, n long, known long, base double, " + ", ".join(f"{s} double" for s in sets)
+    found = work_table(mapped(rows, _postings(sc.broadcast(frequent), bool(total.ends)), schema), "lm-postings")
 
-    tail = found.filter("word is not null").select("row", "word", F.col("n").alias("times")).join(words, "word", "left")
+    tail = found.filter("word is not null").select("row", "word", F.col("n").alias("times")).join(words, "word")
     tail = tail.groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.coalesce(F.col("n"), F.lit(0)) + 0.5)).alias("tail_base"),
+        F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("tail_base"),
         F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("tail_known"),
-        *(F.sum(F.col("times") * F.col(f"g{k}")).alias(f"tail_{k}") for k in range(sets)),
+        *(F.sum(F.col("times") * F.col(s)).alias(f"tail_{s}") for s in sets),
     )
     own = found.filter("word is null").drop("word").join(tail, "row", "left")
     nothing = F.lit(0.0)
     # log10 of the sum over sets
-    each = [F.col(s) + (F.coalesce(f"tail_{k}", nothing) if sets else nothing) + F.lit(float(fitted.log_share[k] + fitted.log_end[k]) / math.log(10)) for k, s in enumerate(scores)]
+    each = [F.col(s) + F.coalesce(f"tail_{s}", nothing) + F.lit(float(fitted.log_share[k] + fitted.log_end[k]) / math.log(10)) for k, s in enumerate(sets)]
     own = own.withColumn("each", F.array(*each)).withColumn("top", F.array_max("each"))
     score = F.col("top") + F.log10(F.aggregate("each", F.lit(0.0), lambda a, x: a + F.pow(F.lit(10.0), x - F.col("top"))))
     floor = math.log10(total.n + 0.5 * (total.v + 1))

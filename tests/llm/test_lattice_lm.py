@@ -33,6 +33,8 @@ def test_marginals_and_expected_counts():
     words = [b"the", b"internationalisation", "été".encode(), b"x", b"zzzzzzzzzzzz", b"\xff\xfe", b"ab" * 20]
     for word, got in zip(words, lattice.log_marginals(words)[0], strict=True):
         assert got == pytest.approx(math.log(plain_marginal(b" " + word, weight)), rel=1e-9)
+    close = lattice.log_marginals(words, kind=np.float32)[0]
+    assert close == pytest.approx(lattice.log_marginals(words)[0], rel=1e-5)
     used = lattice.expected(words, np.ones(len(words)))
     # pieces of a segmentation cover each byte once
     assert sum(n * len(pieces[k]) for k, n in enumerate(used)) == pytest.approx(sum(len(w) + 1 for w in words))
