@@ -1,16 +1,16 @@
-"""Byte-level BPE encoding and decoding by folding ranked merges over the distinct words of a block of documents.
+"""Byte-level BPE encoding and decoding by folding ranked merges over the distinct words of a corpus.
 
-One pass, no shuffle, nothing gathered: a task takes whole documents until they hold about BLOCK_CHARS characters, splits
-them by the fixed pattern, and numbers the block's distinct words. Each distinct word is encoded once: its bytes become
-ids, and a fold applies, again and again, the merge of lowest rank among the neighbours, read from a table of the
-vocabulary's size. The fold runs over all words of a length at once. Then the ids of the words are put in the order
-of the texts; decoding concatenates the ids' byte pieces.
+A task takes whole documents until they hold about BLOCK_CHARS characters, splits them by the fixed pattern and numbers the
+block's distinct words; a document becomes the numbers of its words. The words of all blocks meet in one shuffle, where
+merge_fold() encodes each distinct word once: its bytes become ids, and a fold of higher-order functions applies, again and
+again, the merge of lowest rank among the neighbours, read from a literal rank map. The ids go back to the word's blocks, which
+put them in the order of their texts; decoding concatenates the ids' byte pieces.
 
-The rank table maps pairs of ids to the merged id. Every way to cut a known piece into two known pieces is a pair. A
+The rank map holds pairs of ids and their merged id. Every way to cut a known piece into two known pieces is a pair. A
 pair stands in one of two slots given by its hashes, so a lookup is two reads of a flat array.
 
-merge_fold() is the same fold as a column expression of higher-order functions with the table as a literal; it gives the
-same ids at many times the cost (README), so encoding documents doesn't use it.
+A word in very many blocks is folded once for each SALTED blocks, so that no group grows with the corpus. Words of more
+than LONG bytes, which would cost the fold the square of their length, are merged with a heap where they are found.
 
 Defined results: a null text is the empty text and has no ids; repeated rows give repeated results; null ids stay null;
 an empty table gives an empty result; only doc_id and text are read; bytes that aren't UTF-8 become U+FFFD.
@@ -22,21 +22,26 @@ import base64
 import hashlib
 import heapq
 import unicodedata
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import text_or_empty
+from tallyband.llm.common import mapped, text_or_empty, work_table
 
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 500_000
-#: Bytes of a word beyond which it is merged by itself, with a heap.
+#: Bytes of a word beyond which it is merged with a heap.
 LONG = 64
+#: Blocks that share one fold of a word.
+SALTED = 100_000
+#: The number of a row that is a document, in a table of numbered words.
+DOCUMENT = 2**31 - 1
 
 #: The white space of the splitting pattern, and the endings it takes as words of their own.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -162,16 +167,6 @@ class RankTable:
             bits += 1
         self.table = table
         self.pieces = pieces
-        self.flat = np.array(table, np.int64)
-        self.own = np.array(self.bytes, np.int64)
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Merged ids of pairs; NO_MERGE or more where there is none. A slot less its pair is an id only in the pair's own slot."""
-        key = a << 32 | b << 16
-        one = self.flat[(a * 40503 + b * 30011) & self.mask] ^ key
-        two = self.flat[(a * 9973 + b * 60493 + (b >> 3)) & self.mask] ^ key
-        low = np.int64(2**63 - 1)  # without the sign bit, which marks an empty slot
-        return np.minimum(one & low, two & low)
 
     def slots(self, key: int) -> tuple[int, int]:
         a, b = key >> 16, key & 0xFFFF
@@ -193,39 +188,9 @@ class RankTable:
         return table
 
 
-def _merge_same_length(data: np.ndarray, table: RankTable) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids of words given as rows of bytes: (row numbers, ids) for each number of ids that comes out."""
-    out = []
-    rows = np.arange(len(data))
-    ids = table.own[data]
-    ranks = table.ranks(ids[:, :-1], ids[:, 1:])
-    while ids.shape[1] > 1:
-        at = ranks.argmin(axis=1)
-        each = np.arange(len(at))
-        best = ranks[each, at]
-        stop = best >= NO_MERGE
-        if stop.any():
-            out.append((rows[stop], ids[stop]))
-            go = ~stop
-            rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
-            each = np.arange(len(at))
-        if not len(rows):
-            return out
-        column = np.arange(ids.shape[1] - 1)
-        ids = np.take_along_axis(ids, column[None, :] + (column[None, :] > at[:, None]), axis=1)
-        ids[each, at] = best
-        column = column[:-1]
-        ranks = np.take_along_axis(ranks, column[None, :] + (column[None, :] >= at[:, None]), axis=1)
-        left, right = each[at > 0], each[at < ids.shape[1] - 1]
-        ranks[left, at[left] - 1] = table.ranks(ids[left, at[left] - 1], best[left])
-        ranks[right, at[right]] = table.ranks(best[right], ids[right, at[right] + 1])
-    out.append((rows, ids))
-    return out
-
-
 def _merge_long(word: bytes, table: RankTable) -> np.ndarray:
     """Ids of one word, with a heap of pairs: n log n steps."""
-    ids = [int(i) for i in table.own[np.frombuffer(word, np.uint8)]]
+    ids = [table.bytes[b] for b in word]
     n = len(ids)
     before, after = list(range(-1, n - 1)), [*range(1, n), -1]
 
@@ -236,8 +201,7 @@ def _merge_long(word: bytes, table: RankTable) -> np.ndarray:
                 return table.table[slot] & 0xFFFF
         return NO_MERGE
 
-    first = np.array(ids)
-    heap = [(r, k, ids[k], ids[k + 1]) for k, r in enumerate(table.ranks(first[:-1], first[1:]).tolist()) if r < NO_MERGE]
+    heap = [(r, k, ids[k], ids[k + 1]) for k in range(n - 1) if (r := rank(ids[k], ids[k + 1])) < NO_MERGE]
     heapq.heapify(heap)
     while heap:
         best, k, a, b = heapq.heappop(heap)
@@ -254,52 +218,6 @@ def _merge_long(word: bytes, table: RankTable) -> np.ndarray:
     return np.array([i for i in ids if i >= 0], np.int64)
 
 
-def encode_words(words: list[bytes], table: RankTable) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the words in order, and how many each word has."""
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    count = np.zeros(len(words), np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    for length in np.unique(size[size <= LONG]).tolist():
-        rows = np.flatnonzero(size == length)
-        data = np.frombuffer(b"".join([words[r] for r in rows.tolist()]), np.uint8).reshape(-1, length)
-        parts += [(rows[own], ids) for own, ids in _merge_same_length(data, table)]
-    for row in np.flatnonzero(size > LONG).tolist():
-        parts.append((np.array([row]), _merge_long(words[row], table)[None, :]))
-    for rows, ids in parts:
-        count[rows] = ids.shape[1]
-    start = np.concatenate(([0], np.cumsum(count)))
-    flat = np.empty(start[-1], np.uint32)
-    for rows, ids in parts:
-        flat[start[rows][:, None] + np.arange(ids.shape[1])[None, :]] = ids
-    return flat, count
-
-
-def encode_texts(texts: list[str], table: RankTable) -> list[np.ndarray]:
-    """Ids of each text, little-endian unsigned 32-bit integers. Distinct words are merged once."""
-    numbers = _Numbers()
-    codes, sizes = [], []
-    first = held = 0
-    for k, text in enumerate(texts, 1):
-        held += len(text)
-        if held < CHUNK_CHARS and k < len(texts):
-            continue
-        words, each = split_words(texts[first:k])
-        codes.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-        sizes.append(each)
-        first, held = k, 0
-    flat, count = encode_words(list(numbers), table)
-    start = np.cumsum(count) - count
-    out = []
-    for mine, each in zip(codes, sizes, strict=True):
-        many = count[mine]
-        ends = np.cumsum(many)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[mine] - (ends - many), many)
-        ids = flat[places].astype("<u4")
-        stops = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(each)))]
-        out += [ids[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)]
-    return out
-
-
 def decode(ids: np.ndarray, pieces: list[bytes]) -> bytes:
     return b"".join(map(pieces.__getitem__, ids.tolist()))
 
@@ -316,42 +234,135 @@ def _table(pieces: Broadcast) -> RankTable:
     return _TABLES[key]
 
 
-def _per_block(pieces: Broadcast, block_chars: int, emit):
-    """Call emit(doc_ids, ids of each text, table) on blocks of whole documents."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+
+
+# --- blocks of documents ----------------------------------------------------------------------------------------------------
+
+_NUMBERED = "block long, number int, doc_id long, codes binary, word binary, ids array<int>"
+
+
+def _blocks(pieces: Broadcast, block_chars: int):
+    """Rows of _NUMBERED: a document with the numbers of its words (packed), or a word with its number (long ones with their ids)."""
+    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
+    names = [c.split()[0] for c in _NUMBERED.split(", ")]
+
+    def rows(block: int, columns: list[list]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[block] * len(columns[0]), *columns], types, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _table(pieces)
+        block = TaskContext.get().partitionId() << 32
+        numbers, chars = _Numbers(), 0
         ids: list = []
         texts: list[str] = []
-        chars = 0
+
+        def numbered() -> pa.RecordBatch:
+            words, each = split_words(texts)
+            codes = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(codes, np.cumsum(each)[:-1])]
+            none = [None] * len(ids)
+            return rows(block, [[DOCUMENT] * len(ids), ids, packed, none, none])
+
+        def words_of_block() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for first in range(0, len(words), 50_000):
+                own = words[first : first + 50_000]
+                none = [None] * len(own)
+                table = _table(pieces) if any(len(w) > LONG for w in own) else None
+                long_ids = [_merge_long(w, table) if len(w) > LONG else None for w in own]
+                yield rows(block, [list(range(first, first + len(own))), none, none, [None if len(w) > LONG else w for w in own], long_ids])
+
+        held = 0
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
                 ids.append(doc_id)
                 texts.append(data.as_buffer().to_pybytes().decode("utf-8", "replace"))
                 chars += len(texts[-1])
-                if chars >= block_chars or len(texts) >= 50_000:
-                    yield emit(ids, encode_texts(texts, table), table)
-                    ids, texts, chars = [], [], 0
-        if texts:
-            yield emit(ids, encode_texts(texts, table), table)
+                held += len(texts[-1]) + 100
+                if held >= min(CHUNK_CHARS, block_chars):
+                    yield numbered()
+                    ids, texts, held = [], [], 0
+                    if chars >= block_chars:
+                        yield from words_of_block()
+                        block, numbers, chars = block + 1, _Numbers(), 0
+        if ids:
+            yield numbered()
+        yield from words_of_block()
 
     return run
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
+def _assembled(pieces: Broadcast, emit: Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch]):
+    """From rows of whole blocks, words in the order of their numbers before documents: emit(doc_ids, ids of each text, pieces)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, flats, sizes = -1, [], []
+        flat = count = start = np.empty(0, np.int64)
+        for batch in batches:
+            blocks, numbers = batch.column("block").to_numpy(), batch.column("number").to_numpy()
+            is_doc = numbers == DOCUMENT
+            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
+            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+                if low == high:
+                    continue
+                if blocks[low] != block:
+                    block, flats, sizes = blocks[low], [], []
+                    flat = count = start = np.empty(0, np.int64)
+                if not is_doc[low]:
+                    ids = batch.column("ids").slice(low, high - low)
+                    flats.append(ids.flatten().to_numpy())
+                    sizes.append(ids.value_lengths().to_numpy())
+                    continue
+                if flats:
+                    flat, count = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+                    start, flats, sizes = np.cumsum(count) - count, [], []
+                doc_ids, out, held = [], [], 0
+                for doc_id, codes in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), batch.column("codes").slice(low, high - low), strict=True):
+                    mine = np.frombuffer(zlib.decompress(codes.as_buffer()), "<u4")
+                    many = count[mine]
+                    ends = np.cumsum(many)
+                    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[mine] - (ends - many), many)
+                    doc_ids.append(doc_id)
+                    out.append(flat[places].astype("<u4"))
+                    held += len(places)
+                    if held > 2_000_000:
+                        yield emit(doc_ids, out, pieces.value)
+                        doc_ids, out, held = [], [], 0
+                if doc_ids:
+                    yield emit(doc_ids, out, pieces.value)
+
+    return run
+
+
+def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schema: str) -> DataFrame:
+    spark = docs.sparkSession
+    ranks = load_ranks(path)
+    pieces = spark.sparkContext.broadcast(ranks)
+    numbered = work_table(mapped(_rows(docs), _blocks(pieces, block_chars), _NUMBERED), "bpe-blocks", compression="zstd")
+    is_doc = F.col("number") == DOCUMENT
+    n_words, n_blocks = numbered.agg(F.count(F.when(~is_doc, 1)), F.count_distinct("block")).first()
+    # set by hand, since few bytes are much work here
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 200_000))
+    words = numbered.filter(F.col("word").isNotNull()).select("word", F.pmod("block", F.lit(1 + n_blocks // SALTED)).alias("salt"), "block", "number")
+    places = words.repartition(tasks, "word", "salt").groupBy("word", "salt").agg(F.collect_list(F.struct("block", "number")).alias("places"))
+    folded = places.select(merge_fold(RankTable(ranks))(F.col("word")).alias("ids"), "places").select("ids", F.explode("places").alias("at"))
+    none = {c: F.lit(None).cast(kind) for c, kind in (("doc_id", "long"), ("codes", "binary"))}
+    folded = folded.select("at.block", "at.number", none["doc_id"].alias("doc_id"), none["codes"].alias("codes"), "ids")
+    others = numbered.filter(F.col("word").isNull()).select("block", "number", "doc_id", "codes", "ids")
+    whole = folded.unionByName(others).repartition(max(tasks, n_blocks), "block").sortWithinPartitions("block", "number")
+    return mapped(whole, _assembled(pieces, emit), schema)
 
 
 def encode_documents(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, ids (array of int) of every row. path: a vocabulary as lines of piece and rank, read by the driver alone."""
 
-    def emit(doc_ids: list, ids: list[np.ndarray], _: RankTable) -> pa.RecordBatch:
+    def emit(doc_ids: list, ids: list[np.ndarray], _: list[bytes]) -> pa.RecordBatch:
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
+        values = pa.array(np.concatenate(ids).astype(np.int32))
         return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
 
-    pieces = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    return _rows(docs).mapInArrow(_per_block(pieces, block_chars, emit), "doc_id long, ids array<int>")
+    return _encoded(docs, path, block_chars, emit, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
@@ -363,26 +374,25 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
             data = [None if x is None else b"".join([pieces.value[i] for i in x]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(data, pa.binary())], names=["doc_id", "data"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, data binary")
+    return mapped(encoded.select("doc_id", "ids"), run, "doc_id long, data binary")
 
 
 def round_trip_digest(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids."""
 
-    def emit(doc_ids: list, ids: list[np.ndarray], table: RankTable) -> pa.RecordBatch:
+    def emit(doc_ids: list, ids: list[np.ndarray], pieces: list[bytes]) -> pa.RecordBatch:
         columns = [
             pa.array(doc_ids, pa.int64()),
             pa.array([len(x) for x in ids], pa.int64()),
             pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in ids], pa.string()),
-            pa.array([hashlib.sha256(decode(x, table.pieces)).hexdigest() for x in ids], pa.string()),
+            pa.array([hashlib.sha256(decode(x, pieces)).hexdigest() for x in ids], pa.string()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    pieces = docs.sparkSession.sparkContext.broadcast(load_ranks(path))
-    return _rows(docs).mapInArrow(_per_block(pieces, block_chars, emit), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _encoded(docs, path, block_chars, emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-# --- the same fold as a column expression -------------------------------------------------------------------------------
+# --- the fold as a column expression -------------------------------------------------------------------------------
 
 
 def _literal(numbers: list[int], kind: str) -> Column:

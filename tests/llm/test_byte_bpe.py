@@ -42,18 +42,15 @@ def test_splitting(plain):
     assert at == len(words)
 
 
-def test_ids_of_words(plain, pieces):
-    rng = random.Random(2)
-    words = [rng.choice(pieces) + rng.choice(pieces) for _ in range(4000)] + [bytes(rng.choices(range(256), k=rng.randint(1, 90))) for _ in range(500)] + [b"ab" * 400, b"\xff" * 300]
-    flat, count = byte_bpe.encode_words(words, byte_bpe.RankTable(pieces))
-    at = 0
-    for word, n in zip(words, count, strict=True):
-        assert flat[at : at + n].tolist() == plain._encode_single_piece(word)
-        at += n
+def test_ids_of_long_words(plain, pieces):
+    rng, table = random.Random(2), byte_bpe.RankTable(pieces)
+    words = [bytes(rng.choices(range(256), k=rng.randint(65, 90))) for _ in range(200)] + [b"ab" * 400, b"\xff" * 300]
+    for word in words:
+        assert byte_bpe._merge_long(word, table).tolist() == plain._encode_single_piece(word)
 
 
-@pytest.mark.parametrize("block", [50, 8_000_000])
-def test_round_trip_of_documents(spark, data, plain, block):
+@pytest.mark.parametrize(("block", "salted"), [(20_000, 3), (8_000_000, 100_000)])
+def test_round_trip_of_documents(spark, data, plain, monkeypatch, block, salted):
     table = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").unionByName(docs(spark).select("doc_id", "text"))
     table = table.unionByName(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string"))
     want = []
@@ -61,6 +58,7 @@ def test_round_trip_of_documents(spark, data, plain, block):
         ids = plain.encode_ordinary(row.text or "")
         want.append((row.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((row.text or "").encode()).hexdigest()))
     path = vocabulary("byte_bpe_50k.tiktoken")
+    monkeypatch.setattr(byte_bpe, "SALTED", salted)
     got = [tuple(r) for r in byte_bpe.round_trip_digest(table, path, block).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
 
@@ -79,3 +77,12 @@ def test_fold_as_a_column(spark, pieces, plain):
     table = spark.createDataFrame([(bytearray(w),) for w in words], "w binary")
     for row in table.select("w", F.transform(F.array("w"), encode)[0].alias("ids")).collect():
         assert row.ids == plain._encode_single_piece(bytes(row.w))
+
+
+def test_documents_are_encoded_by_the_fold(spark, monkeypatch):
+    """Without the fold there are no ids; each distinct word is folded once."""
+    plan = byte_bpe.encode_documents(docs(spark), vocabulary("byte_bpe_50k.tiktoken"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(sequence(" in plan and plan.count("lambdafunction") > 0
+    monkeypatch.setattr(byte_bpe, "merge_fold", lambda table: lambda word: F.array(F.lit(-1)))
+    out = byte_bpe.encode_documents(docs(spark, AWKWARD[:1]), vocabulary("byte_bpe_50k.tiktoken")).first()
+    assert set(out.ids) == {-1}
