@@ -7,6 +7,21 @@ from pyspark.sql import functions as F
 
 from tallyband.llm.common import work_table
 
+#: Keys with more rows are joined by a broadcast: at most MOST_HUBS keys, so that the bound grows with the table if need be.
+HUB = 500
+MOST_HUBS = 100_000
+
+
+def spread_join(df: DataFrame, found: DataFrame, key: str, rows: int) -> DataFrame:
+    """df joined to found, which has a row a key and in column n how many rows of df have it; n is dropped. rows: a bound of df's rows.
+
+    Keys with so many rows that there can be no more than MOST_HUBS of them are broadcast, so no task gets all rows of one.
+    """
+    hub = F.col("n") > max(HUB, rows // MOST_HUBS)
+    hubs, others = F.broadcast(found.filter(hub).drop("n")), found.filter(~hub).drop("n")
+    keys = F.broadcast(found.filter(hub).select(key))
+    return df.join(hubs, key).unionByName(df.join(keys, key, "left_anti").join(others, key))
+
 
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -22,11 +37,14 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = work_table(edges, "edges")
     state = _state(edges)
     for _ in range(most_rounds):
+        if not state[0]:
+            break
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.when(F.col("b") > F.col("a"), 1)).alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = spread_join(both.filter("b > a"), least, "a", state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b").distinct()
+        large = work_table(large, "edges-large", 2 * state[0])
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = spread_join(large, low, "a", 2 * state[0]).filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         after = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         after = work_table(after, "edges", 2 * state[0])  # in practice no more than before
         now = _state(after)

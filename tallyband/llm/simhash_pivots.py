@@ -24,28 +24,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import BROADCAST_TAGS, drop_rows, stored_tag, tagged, text_or_empty, work_table
-from tallyband.llm.graph import connected_components
+from tallyband.llm.common import drop_rows, mapped, stored_tag, tagged, text_or_empty, work_table
+from tallyband.llm.graph import connected_components, spread_join
 
 SHINGLE = 3
 RADIUS = 3
 REFERENCES = 16
-#: Blocks of bits, and how many of them two fingerprints have in common where they meet: links of up to 3 bits are found
-#: by two of five blocks, the wide candidates by three of nine.
+#: Blocks of bits, and how many of them two fingerprints have in common where they meet.
 CLOSE = (5, 2)
-WIDE = (9, 3)
-WIDE_RADIUS = 11
-#: For wide candidates: words of a shingle and Jaccard similarity of the shingle sets that make two texts similar.
-WORDS = 5
-SIMILARITY = 0.8
 #: Fingerprints under one key beyond which the key is hot. Fingerprints of hot keys meet under FINE keys, so that links of
 #: up to 3 bits share nine of twelve blocks; what is hot even then is dealt to cells.
 HOT = 50_000
 FINE = (12, 9)
 NO_ID = 2**63 - 1
-#: Candidates that a fingerprint has verified under a key in the first round after the forest's, and the growth from round to round.
-FIRST_CANDIDATES = 4
-MORE_CANDIDATES = 4
 #: Links held before they are folded into the forest; a bound on memory, not on links.
 FOLD = 2_000_000
 
@@ -81,15 +72,20 @@ def _fingerprints(size: int):
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """tag, doc_id, fp (the fingerprint as a signed long) of every row."""
     rows = docs.select(stored_tag(docs), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    return rows.mapInArrow(_fingerprints(size), "tag long, doc_id long, fp long")
+    return mapped(rows, _fingerprints(size), "tag long, doc_id long, fp long")
 
 
-def references(count: int = REFERENCES) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, count, dtype=np.uint64)
+def references(words: int = 1, count: int = REFERENCES) -> np.ndarray:
+    """Reference fingerprints of `words` times 64 bits, a row each."""
+    return np.random.Generator(np.random.PCG64(20240229)).integers(0, 2**64, (count, words), dtype=np.uint64)
 
 
-def _keyed(prints: DataFrame, blocks: tuple[int, int], *carried: str) -> DataFrame:
-    """table, part, fp and the carried columns: each fingerprint under its keys, one for each choice of blocks."""
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int16)
+
+
+def _keyed(prints: DataFrame, blocks: tuple[int, int]) -> DataFrame:
+    """table, part, fp: each fingerprint under its keys, one for each choice of blocks."""
     count, common = blocks
     cuts = [64 * k // count for k in range(count + 1)]
     masks = []
@@ -97,7 +93,7 @@ def _keyed(prints: DataFrame, blocks: tuple[int, int], *carried: str) -> DataFra
         bits = sum(((1 << cuts[k + 1]) - 1) ^ ((1 << cuts[k]) - 1) for k in chosen)
         masks.append(bits - (1 << 64) if bits >> 63 else bits)
     keys = F.array(*(F.struct(F.lit(k).cast("short").alias("table"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for k, m in enumerate(masks)))
-    return prints.select("fp", *carried, F.explode(keys).alias("key")).select("key.table", "key.part", "fp", *carried)
+    return prints.select("fp", F.explode(keys).alias("key")).select("key.table", "key.part", "fp")
 
 
 class _Forest:
@@ -151,12 +147,12 @@ class _Forest:
         return tuple(np.concatenate(x) for x in zip(*self.kept, strict=True))
 
 
-def _close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Places i, j and the distance of all pairs of a group within the radius, in parts. group: numbers that rise; prints: uint64."""
-    table = np.bitwise_count(prints[:, None] ^ refs[None, :]).astype(np.int16)
+def close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places i, j and the distance of all pairs of a group within the radius, in parts. group: numbers that rise; prints: rows of uint64."""
+    table = _distance(prints[:, None, :], refs[None, :, :])
     order = np.lexsort((table[:, 0], group))
     ordered, table = prints[order], table[order]
-    place = group[order].astype(np.int64) * 256 + table[:, 0]
+    place = group[order].astype(np.int64) * 1024 + table[:, 0]
     stop = np.searchsorted(place, place + radius, side="right")  # beyond it the first distance rules a pair out
     i = np.flatnonzero(stop > np.arange(len(prints)) + 1)
     step = 1
@@ -164,7 +160,7 @@ def _close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.nd
         j = i + step
         near = np.abs(table[i] - table[j]).max(axis=1) <= radius
         a, b = i[near], j[near]
-        bits = np.bitwise_count(ordered[a] ^ ordered[b])
+        bits = _distance(ordered[a], ordered[b])
         same = bits <= radius
         if same.any():
             yield order[a[same]], order[b[same]], bits[same]
@@ -172,45 +168,16 @@ def _close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.nd
         i = i[stop[i] > i + step]
 
 
-def links_under_keys(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as fingerprints) that connect all linked ones in each group. group: numbers that rise; prints: uint64."""
+def links_under_keys(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (pairs of nodes) that connect all linked ones in each group. group: numbers that rise; prints: rows of uint64."""
     forest = _Forest(len(prints))
-    for i, j, bits in _close_pairs(group, prints, radius, refs):
+    for i, j, bits in close_pairs(group, prints, radius, refs):
         forest.add(i, j, bits)
     a, b = forest.links()
-    return prints[a], prints[b]
-
-
-def candidates_under_keys(group: np.ndarray, prints: np.ndarray, root: np.ndarray, radius: int, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (as fingerprints) within the radius and with different roots, the `most` shortest of each fingerprint and group; and the fingerprints that have more."""
-    held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint8))]
-    more = np.zeros(len(prints), bool)
-    limit, count = FOLD, 0
-
-    def shortest() -> None:
-        own, other, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((prints[other], bits, own))
-        own, other, bits = own[order], other[order], bits[order]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        more[own[rank >= most]] = True
-        keep = rank < most
-        held[:] = [(own[keep], other[keep], bits[keep])]
-
-    for i, j, bits in _close_pairs(group, prints, radius, refs):
-        apart = root[i] != root[j]
-        i, j, bits = i[apart], j[apart], bits[apart]
-        held += [(i, j, bits), (j, i, bits)]
-        count += 2 * len(i)
-        if count > limit:
-            shortest()
-            count = len(held[0][0])
-            limit = FOLD + 2 * count
-    shortest()
-    own, other, _ = held[0]
-    return prints[own], prints[other], prints[more]
-
-
-def _by_key(names: list[str], columns: int, done):
+    return nodes[a], nodes[b]
+
+
+def by_key(names: list[str], columns: int, done):
     """mapInArrow over rows sorted by their first columns, the key: done gets whole keys, as a number that rises and the other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,20 +207,9 @@ def _links(radius: int):
     refs = references()
 
     def done(group: np.ndarray, prints: np.ndarray) -> list[pa.Array]:
-        return [pa.array(x.view(np.int64)) for x in links_under_keys(group, prints.view(np.uint64), radius, refs)]
-
-    return _by_key(["a", "b"], 3, done)
-
-
-def _candidates(radius: int, most: int):
-    refs = references()
-
-    def done(group: np.ndarray, prints: np.ndarray, root: np.ndarray) -> list[pa.Array]:
-        a, b, more = (x.view(np.int64) for x in candidates_under_keys(group, prints.view(np.uint64), root, radius, refs, most))
-        none = pa.nulls(len(more), pa.int64())
-        return [pa.array(np.concatenate((np.minimum(a, b), more))), pa.concat_arrays([pa.array(np.maximum(a, b)), none])]
+        return [pa.array(x) for x in links_under_keys(group, prints, prints.view(np.uint64)[:, None], radius, refs)]
 
-    return _by_key(["a", "b"], 3, done)
+    return by_key(["a", "b"], 3, done)
 
 
 def _dealt(keyed: DataFrame, hot: int) -> DataFrame:
@@ -274,37 +230,37 @@ def _dealt(keyed: DataFrame, hot: int) -> DataFrame:
     return out.select("table", "part", "cell", *rest).repartition("table", "part", "cell").sortWithinPartitions("table", "part", "cell")
 
 
-def _links_and_hot(prints: DataFrame, radius: int, blocks: tuple[int, int], hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """Links as of links(), but among the fingerprints of hot keys only those that share FINE keys; and these fingerprints."""
-    keyed = _keyed(prints, blocks)
+def links(prints: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """a, b: links between different fingerprints of prints(fp) within the radius; enough of them to connect all that are linked.
+
+    Fingerprints of hot keys are linked where they share FINE keys, which for a radius of up to 3 loses none.
+    """
+    if radius > min(CLOSE[0] - CLOSE[1], FINE[0] - FINE[1]):
+        raise ValueError("two of five blocks, or nine of twelve, find all links up to three bits only")
+    keyed = _keyed(prints, CLOSE)
     large = work_table(keyed.groupBy("table", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).drop("n"), "hot-keys")
     run, schema = _links(radius), "a long, b long"
+    cell = F.lit(0).cast("long")
     if large.isEmpty():
-        cells = keyed.withColumn("cell", F.lit(0).cast("long")).select("table", "part", "cell", "fp")
-        return cells.repartition("table", "part").sortWithinPartitions("table", "part").mapInArrow(run, schema), None
-    cold = keyed.join(F.broadcast(large), ["table", "part"], "left_anti")
-    cold = cold.withColumn("cell", F.lit(0).cast("long")).select("table", "part", "cell", "fp").repartition("table", "part").sortWithinPartitions("table", "part")
+        cells = keyed.withColumn("cell", cell).select("table", "part", "cell", "fp")
+        return mapped(cells.repartition("table", "part").sortWithinPartitions("table", "part"), run, schema)
+    cold = keyed.join(F.broadcast(large), ["table", "part"], "left_anti")  # broadcast: each hot key has `hot` rows of the keyed table
+    cold = cold.withColumn("cell", cell).select("table", "part", "cell", "fp").repartition("table", "part").sortWithinPartitions("table", "part")
     of_hot = work_table(keyed.join(F.broadcast(large), ["table", "part"], "left_semi").select("fp").distinct(), "hot-fingerprints")
     fine = _dealt(_keyed(of_hot, FINE), hot)
-    return cold.mapInArrow(run, schema).unionByName(fine.mapInArrow(run, schema)), of_hot
+    return mapped(cold, run, schema).unionByName(mapped(fine, run, schema))
 
 
-def links(prints: DataFrame, radius: int = RADIUS, blocks: tuple[int, int] = CLOSE, hot: int = HOT) -> DataFrame:
-    """a, b: links between different fingerprints of prints(fp) that agree on enough blocks; enough of them to connect all that are linked.
-
-    With radius <= blocks[0] - blocks[1], and no more than 3, every two fingerprints within the radius agree on enough blocks.
-    Fingerprints of hot keys are linked where they share FINE keys, which for a radius of up to 3 loses none.
-    """
-    if radius > FINE[0] - FINE[1]:
-        raise ValueError("nine of twelve blocks find all links up to three bits only")
-    return _links_and_hot(prints, radius, blocks, hot)[0]
+def best_of_component(found: DataFrame, nodes: DataFrame, rows: int) -> DataFrame:
+    """node, best: the smallest best of the component of each linked node. found: node, root; nodes: node, best, `rows` of them."""
+    linked = work_table(found.join(nodes, "node").select("node", "root", "best"), "component-rows", rows)
+    roots = work_table(linked.groupBy("root").agg(F.min("best").alias("of_all"), F.count(F.lit(1)).alias("n")), "component-roots", rows)
+    return spread_join(linked.drop("best"), roots, "root", rows).select("node", F.col("of_all").alias("best"))
 
 
 def _labelled(rows: DataFrame, prints: DataFrame, found: DataFrame, many: int) -> DataFrame:
     """The rows with the best row of their component. found: node and root of linked fingerprints."""
-    linked = found.join(prints, found["node"] == prints["fp"]).select("fp", "root", "best")
-    roots = linked.groupBy("root").agg(F.min("best").alias("of_all"))
-    linked = linked.join(roots, "root").select("fp", "of_all")
+    linked = best_of_component(found, prints.withColumnRenamed("fp", "node"), many).select(F.col("node").alias("fp"), F.col("best").alias("of_all"))
     labels = work_table(prints.join(linked, "fp", "left").select("fp", F.coalesce("of_all", "best").alias("best")), "fingerprint-labels", many)
     component = F.when(F.col("best.id") != NO_ID, F.col("best.id"))
     return rows.join(labels, "fp").select(
@@ -321,8 +277,6 @@ def _prints(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame, int]:
 
 def marked_rows(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """tag, doc_id, fingerprint, component_id, kept of every row; the row with the component's id is kept."""
-    if radius > CLOSE[0] - CLOSE[1]:
-        raise ValueError("two of five blocks find all links up to three bits only")
     rows, prints, many = _prints(docs, size)
     return _labelled(rows, prints, connected_components(links(prints.select("fp"), radius)), many)
 
@@ -336,90 +290,3 @@ def without_near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int =
     """The rows of docs that stay when one of each component does; all columns as they were."""
     docs = tagged(docs)
     return drop_rows(docs, marked_rows(docs, size, radius).filter(~F.col("kept")).select("tag"))
-
-
-# --- wide candidates, verified by their texts -------------------------------------------------------------------------------
-
-
-def _shingle_sets(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
-        for batch in batches:
-            sets = []
-            for data in batch.column("data"):
-                own = data.as_buffer().to_pybytes().lower().split()
-                hashes = {digest(b" ".join(own[k : k + words])) for k in range(max(1, len(own) - words + 1))} if own else set()
-                sets.append(np.sort(np.fromiter(hashes, np.uint64, len(hashes))).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.binary())], names=["fp", "shingles"])
-
-    return run
-
-
-def _similar(least: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for one, two in zip(batch.column("one"), batch.column("two"), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (one, two))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= least * (len(x) + len(y) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, radius: int = WIDE_RADIUS, hot: int = HOT) -> DataFrame:
-    """As marked_rows, for texts whose sets of `words`-word shingles have a Jaccard similarity of at least `similarity`.
-
-    Candidates are fingerprints of up to `radius` differing bits that agree on three of nine blocks.
-    First the shortest candidate links that connect the others under each key are verified by the shingles of one text each.
-    A link that fails may have stood for a true one, so rounds follow: of the candidates between components still apart the
-    shortest of each fingerprint are verified, more of them each round, until no candidate between two components is left.
-    Texts of one fingerprint are taken for similar.
-    """
-    docs = tagged(docs)
-    rows, prints, many = _prints(docs, SHINGLE)
-    found, of_hot = _links_and_hot(prints.select("fp"), radius, WIDE, hot)
-    pairs = work_table(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "wide-links")
-    n_pairs = pairs.count()
-    nodes = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp")))
-    nodes = (nodes if of_hot is None else nodes.union(of_hot)).distinct()
-    nodes = work_table(nodes.join(prints, "fp").select("fp", F.col("best.t").alias("own")), "wide-nodes", None if of_hot is not None else 2 * n_pairs)
-    few = nodes.count() <= BROADCAST_TAGS  # beyond it a shuffle
-    texts = docs.select(stored_tag(docs), text_or_empty().cast("binary").alias("data"))
-    texts = texts.join(F.broadcast(nodes) if few else nodes, F.col("tag") == F.col("own")).select("fp", "data")
-    sets = work_table(texts.mapInArrow(_shingle_sets(words), "fp long, shingles binary"), "wide-shingles")
-
-    def verified(pairs: DataFrame, n_pairs: int) -> DataFrame:
-        both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("fp").alias("b"), F.col("shingles").alias("two")), "b")
-        return work_table(both.select("a", "b", "one", "two").mapInArrow(_similar(similarity), "a long, b long"), "verified-links", n_pairs)
-
-    tried, found = pairs, verified(pairs, n_pairs)
-    apart = of_hot is not None or found.count() < n_pairs
-    found = connected_components(found)
-    open_nodes, most = nodes.select("fp"), FIRST_CANDIDATES
-    while apart:
-        # Two fingerprints whose candidate link is not yet verified both had more candidates than were taken.
-        named = open_nodes.join(found, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
-        keyed = _keyed(named, WIDE, "root")
-        mixed = keyed.groupBy("table", "part").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("table", "part")
-        keyed = _dealt(work_table(keyed.join(mixed, ["table", "part"]), "open-keys"), hot)
-        taken = work_table(keyed.mapInArrow(_candidates(radius, most), "a long, b long").distinct(), "wide-candidates")
-        pairs = work_table(taken.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "wide-links")
-        n_pairs = pairs.count()
-        if n_pairs:
-            new = verified(pairs, n_pairs)
-            tried = tried.unionByName(pairs)
-            if not new.isEmpty():
-                # components so far as links from each node to its root
-                found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-        open_nodes = taken.filter("b IS NULL").select(F.col("a").alias("fp"))
-        most *= MORE_CANDIDATES
-        apart = not open_nodes.isEmpty()
-    return _labelled(rows, prints, found, many)
-
-
-def without_similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that stay when one of each component of similar_rows() does; all columns as they were."""
-    docs = tagged(docs)
-    return drop_rows(docs, similar_rows(docs, words, similarity).filter(~F.col("kept")).select("tag"))

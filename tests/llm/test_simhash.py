@@ -126,66 +126,3 @@ def test_one_of_each_component_stays(spark, tmp_path):
     out = simhash_pivots.without_near_duplicates(stored)
     assert out.columns == stored.columns
     assert len(out.collect()) == len({plain_print(r[1]) for r in AWKWARD})
-
-
-def test_similar_texts_by_five_word_shingles(spark, tmp_path):
-    """Texts with a few words changed fall together, unrelated ones stay; caught pairs are counted against all pairs."""
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choices(["ba", "ke", "lo", "mi", "su", "ta"], k=rng.randint(1, 4)))
-    texts = [[word() for _ in range(rng.randint(120, 400))] for _ in range(150)]
-    for base in texts[:60]:
-        for _ in range(2):
-            copy = list(base)
-            for _ in range(max(1, len(base) // 80)):
-                copy[rng.randrange(len(copy))] = word()
-            texts.append(copy)
-    rows = [(k, " ".join(t), "en", "s", 0, None, None, None, None) for k, t in enumerate(texts)]
-    docs(spark, rows).write.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r.component_id for r in simhash_pivots.similar_rows(spark.read.parquet(str(tmp_path / "d"))).collect()}
-    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
-    close = [(a, b) for b in range(len(texts)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
-    caught = sum(got[a] == got[b] for a, b in close)
-    assert len(close) > 100 and caught / len(close) > 0.85
-    linked = {x for pair in close for x in pair}
-    assert all(got[k] == k for k in range(len(texts)) if k not in linked)
-
-
-def test_similar_rows_on_awkward_tables(spark, tmp_path):
-    for name, rows in (("all", AWKWARD), ("none", [])):
-        docs(spark, rows).write.parquet(str(tmp_path / name))
-        stored = spark.read.parquet(str(tmp_path / name))
-        assert simhash_pivots.without_similar(stored).columns == stored.columns
-        assert simhash_pivots.similar_rows(stored).count() == len(rows)
-
-
-def test_dense_groups_of_similar_texts(spark, tmp_path):
-    """Hundreds of copies around one base, most of them not similar to each other: all true candidate links count, whatever fails before them."""
-    rng = random.Random(3)
-    word = lambda: "".join(rng.choices(["ba", "ke", "lo", "mi", "su", "ta", "ri", "no"], k=3))
-    base = [word() for _ in range(200)]
-    texts = [base]
-    for _ in range(300):
-        copy = list(base)
-        for place in rng.sample(range(200), 3):
-            copy[place] = word()
-        texts.append(copy)
-    rows = [(k, " ".join(t), "en", "s", 0, None, None, None, None) for k, t in enumerate(texts)]
-    docs(spark, rows).write.parquet(str(tmp_path / "d"))
-    got = {r.doc_id: r.component_id for r in simhash_pivots.similar_rows(spark.read.parquet(str(tmp_path / "d"))).collect()}
-    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
-    prints = [plain_print(" ".join(t)) for t in texts]
-    cuts = [64 * k // 9 for k in range(10)]
-    blocks = [[p >> cuts[k] & (1 << cuts[k + 1] - cuts[k]) - 1 for k in range(9)] for p in prints]
-    root = list(range(len(texts)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for b in range(len(texts)):
-        for a in range(b):
-            if (prints[a] ^ prints[b]).bit_count() <= 11 and sum(x == y for x, y in zip(blocks[a], blocks[b])) >= 3 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                low, high = sorted((find(a), find(b)))
-                root[high] = low
-    assert got == {k: find(k) for k in range(len(texts))}
