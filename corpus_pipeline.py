@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyband.llm import byte_bpe, lsm_dedup, mixture, rule_ensemble, simhash_pivots
+from tallyband.llm import byte_bpe, lsm_dedup, mixture, rule_ensemble, similar_texts
 from tallyband.llm.common import table, vocabulary, work_table
 
 #: The corpus after cleaning, as it is to be mixed: every leaf keeps what its weight allows, short ones repeat up to twice.
@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are similar by five-word shingles, 0.8 or more, the row with the smallest id stays."""
-    return simhash_pivots.without_similar(docs)
+    """Of texts that are similar by five-word shingles, 0.8 or more, the row with the smallest id stays; candidates by SimHash and pivot distances."""
+    return similar_texts.without_similar(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
