@@ -1,15 +1,16 @@
 """Byte-level BPE encoding and decoding by folding ranked merges over the distinct words of a corpus.
 
 A task takes whole documents until they hold about BLOCK_CHARS characters, splits them by the fixed pattern and numbers the
-block's distinct words; a document becomes the numbers of its words. The words of all blocks meet in one shuffle, where
-merge_fold() encodes each distinct word once: its bytes become ids, and a fold of higher-order functions applies, again and
-again, the merge of lowest rank among the neighbours, read from a literal rank map. The ids go back to the word's blocks, which
-put them in the order of their texts; decoding concatenates the ids' byte pieces.
+block's distinct words; a document becomes the numbers of its words. Words are dealt to parts by a hash. A part gets its words of
+all blocks, packed, and makes them distinct; merge_fold() encodes each distinct word once: its bytes become ids, and a
+fold of higher-order functions applies, again and again, the merge of lowest rank among the neighbours, read from a literal
+rank map. The ids go back to the blocks, packed, which put them in the order of their texts; decoding concatenates
+the ids' byte pieces.
 
 The rank map holds pairs of ids and their merged id. Every way to cut a known piece into two known pieces is a pair. A
 pair stands in one of two slots given by its hashes, so a lookup is two reads of a flat array.
 
-A word in very many blocks is folded once for each SALTED blocks, so that no group grows with the corpus. Words of more
+A word is once in the part's rows for each block that has it, however often documents repeat it, so no part is hot. Words of more
 than LONG bytes, which would cost the fold the square of their length, are merged with a heap where they are found.
 
 Defined results: a null text is the empty text and has no ids; repeated rows give repeated results; null ids stay null;
@@ -38,10 +39,10 @@ BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 500_000
 #: Bytes of a word beyond which it is merged with a heap.
 LONG = 64
-#: Blocks that share one fold of a word.
-SALTED = 100_000
-#: The number of a row that is a document, in a table of numbered words.
-DOCUMENT = 2**31 - 1
+#: Bytes of text for each part of the words.
+PART_BYTES = 1_000_000_000
+#: In place of a part: a row with the parts of a block's words in the order of their numbers, and a row that is a document.
+PARTS, DOCUMENT = 2**31 - 2, 2**31 - 1
 
 #: The white space of the splitting pattern, and the endings it takes as words of their own.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -240,40 +241,50 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 # --- blocks of documents ----------------------------------------------------------------------------------------------------
 
-_NUMBERED = "block long, number int, doc_id long, codes binary, word binary, ids array<int>"
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    return zlib.compress(b"".join(x.tobytes() for x in arrays), 1)
 
-def _blocks(pieces: Broadcast, block_chars: int):
-    """Rows of _NUMBERED: a document with the numbers of its words (packed), or a word with its number (long ones with their ids)."""
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int32())]
-    names = [c.split()[0] for c in _NUMBERED.split(", ")]
 
-    def rows(block: int, columns: list[list]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[block] * len(columns[0]), *columns], types, strict=True)], names=names)
+def _unpack(data: pa.Scalar) -> bytes:
+    return zlib.decompress(data.as_buffer())
+
+
+def _table_of(names: list[str], types: list[pa.DataType], *columns: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+_BLOCK = "block long, part int, doc_id long, data binary"
+_BLOCK_NAMES, _BLOCK_TYPES = ["block", "part", "doc_id", "data"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+
+
+def _blocks(parts: int, block_chars: int):
+    """Rows of _BLOCK: a document's numbers of words, a block's words of a part (lengths, then bytes), and the parts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
-        numbers, chars = _Numbers(), 0
+        numbers, chars, held = _Numbers(), 0, 0
         ids: list = []
         texts: list[str] = []
 
         def numbered() -> pa.RecordBatch:
             words, each = split_words(texts)
             codes = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
-            packed = [zlib.compress(x.tobytes(), 1) for x in np.split(codes, np.cumsum(each)[:-1])]
-            none = [None] * len(ids)
-            return rows(block, [[DOCUMENT] * len(ids), ids, packed, none, none])
+            packed = [_pack(x) for x in np.split(codes, np.cumsum(each)[:-1])]
+            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * len(ids), [DOCUMENT] * len(ids), ids, packed)
 
-        def words_of_block() -> Iterator[pa.RecordBatch]:
+        def words_of_block() -> pa.RecordBatch:
             words = list(numbers)
-            for first in range(0, len(words), 50_000):
-                own = words[first : first + 50_000]
-                none = [None] * len(own)
-                table = _table(pieces) if any(len(w) > LONG for w in own) else None
-                long_ids = [_merge_long(w, table) if len(w) > LONG else None for w in own]
-                yield rows(block, [list(range(first, first + len(own))), none, none, [None if len(w) > LONG else w for w in own], long_ids])
+            part = np.fromiter((zlib.crc32(w) % parts for w in words), "<u4", len(words))
+            order = np.argsort(part, kind="stable")
+            used, first = np.unique(part[order], return_index=True)
+            packed = []
+            for own in np.split(order, first[1:]):
+                mine = [words[k] for k in own.tolist()]
+                packed.append(_pack(np.array([len(mine)], "<u4"), np.fromiter(map(len, mine), "<u4", len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
+            n = len(used) + 1
+            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * n, [*used.tolist(), PARTS], [None] * n, [*packed, _pack(part)])
 
-        held = 0
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
                 ids.append(doc_id)
@@ -284,73 +295,142 @@ def _blocks(pieces: Broadcast, block_chars: int):
                     yield numbered()
                     ids, texts, held = [], [], 0
                     if chars >= block_chars:
-                        yield from words_of_block()
+                        if numbers:
+                            yield words_of_block()
                         block, numbers, chars = block + 1, _Numbers(), 0
         if ids:
             yield numbered()
-        yield from words_of_block()
+        if numbers:
+            yield words_of_block()
+
+    return run
+
+
+_WORDS = "block long, part int, word binary, ids array<int>, data binary"
+_WORDS_NAMES, _WORDS_TYPES = ["block", "part", "word", "ids", "data"], [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+
+
+def _distinct(pieces: Broadcast):
+    """From rows of whole parts: the part's distinct words (long ones with their ids), then for each block which of them it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, numbers, blocks, packed = -1, _Numbers(), [], []
+
+        def part() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for first in range(0, len(words), 20_000):
+                own = words[first : first + 20_000]
+                table = _table(pieces) if any(len(w) > LONG for w in own) else None
+                ids = [_merge_long(w, table) if len(w) > LONG else None for w in own]
+                yield _table_of(_WORDS_NAMES, _WORDS_TYPES, [None] * len(own), [at] * len(own), own, ids, [None] * len(own))
+            n = len(blocks)
+            yield _table_of(_WORDS_NAMES, _WORDS_TYPES, blocks, [at] * n, [None] * n, [None] * n, packed)
+
+        for batch in batches:
+            for block, mine, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                if mine != at:
+                    if blocks:
+                        yield from part()
+                    at, numbers, blocks, packed = mine, _Numbers(), [], []
+                raw = _unpack(data)
+                n = int(np.frombuffer(raw, "<u4", 1)[0])
+                ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4))).tolist()
+                words = [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)]
+                blocks.append(block)
+                packed.append(_pack(np.fromiter(map(numbers.__getitem__, words), "<u4", n)))
+        if blocks:
+            yield from part()
 
     return run
 
 
+def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From the rows of _distinct() with all ids: rows of _BLOCK with the ids of a block's words of a part (how many words, ids a word, ids)."""
+    at, flats, sizes = -1, [], []
+    flat = count = start = np.empty(0, np.int64)
+    for batch in batches:
+        parts, is_word = batch.column("part").to_numpy(), batch.column("word").is_valid().to_numpy(zero_copy_only=False)
+        edges = np.flatnonzero((parts[1:] != parts[:-1]) | (is_word[1:] != is_word[:-1])) + 1
+        for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
+            if low == high:
+                continue
+            if is_word[low]:
+                if parts[low] != at:
+                    at, flats, sizes = parts[low], [], []
+                ids = batch.column("ids").slice(low, high - low)
+                flats.append(ids.flatten().to_numpy())
+                sizes.append(ids.value_lengths().to_numpy())
+                continue
+            if flats:
+                flat, count = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+                start, flats, sizes = np.cumsum(count) - count, [], []
+            packed = []
+            for data in batch.column("data").slice(low, high - low):
+                mine = np.frombuffer(_unpack(data), "<u4")
+                packed.append(_pack(np.array([len(mine)], "<u4"), count[mine].astype("<u4"), flat[_places(start, count, mine)].astype("<u2")))
+            n = high - low
+            yield _table_of(_BLOCK_NAMES, _BLOCK_TYPES, batch.column("block").slice(low, n).to_pylist(), [int(parts[low])] * n, [None] * n, packed)
+
+
+def _places(start: np.ndarray, count: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Places of the ids of some words, in order, where a word's ids start and how many there are."""
+    many = count[mine]
+    ends = np.cumsum(many)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[mine] - (ends - many), many)
+
+
 def _assembled(pieces: Broadcast, emit: Callable[[list, list[np.ndarray], list[bytes]], pa.RecordBatch]):
-    """From rows of whole blocks, words in the order of their numbers before documents: emit(doc_ids, ids of each text, pieces)."""
+    """From rows of whole blocks, sorted by part: emit(doc_ids, ids of each text, pieces)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, flats, sizes = -1, [], []
         flat = count = start = np.empty(0, np.int64)
+        doc_ids: list = []
+        out: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            blocks, numbers = batch.column("block").to_numpy(), batch.column("number").to_numpy()
-            is_doc = numbers == DOCUMENT
-            edges = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_doc[1:] != is_doc[:-1])) + 1
-            for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
-                if low == high:
-                    continue
-                if blocks[low] != block:
-                    block, flats, sizes = blocks[low], [], []
+            for own, part, doc_id, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
+                if own != block:
+                    block, flats, sizes = own, [], []
                     flat = count = start = np.empty(0, np.int64)
-                if not is_doc[low]:
-                    ids = batch.column("ids").slice(low, high - low)
-                    flats.append(ids.flatten().to_numpy())
-                    sizes.append(ids.value_lengths().to_numpy())
-                    continue
-                if flats:
-                    flat, count = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
-                    start, flats, sizes = np.cumsum(count) - count, [], []
-                doc_ids, out, held = [], [], 0
-                for doc_id, codes in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), batch.column("codes").slice(low, high - low), strict=True):
-                    mine = np.frombuffer(zlib.decompress(codes.as_buffer()), "<u4")
-                    many = count[mine]
-                    ends = np.cumsum(many)
-                    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[mine] - (ends - many), many)
+                raw = _unpack(data)
+                if part < PARTS:
+                    n = int(np.frombuffer(raw, "<u4", 1)[0])
+                    sizes.append(np.frombuffer(raw, "<u4", n, 4))
+                    flats.append(np.frombuffer(raw, "<u2", -1, 4 + 4 * n))
+                elif part == PARTS:
+                    order = np.argsort(np.frombuffer(raw, "<u4"), kind="stable")
+                    flat, each = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
+                    count, start = np.empty_like(each), np.empty_like(each)
+                    count[order], start[order] = each, np.cumsum(each) - each
+                    flats, sizes = [], []
+                else:
+                    places = _places(start, count, np.frombuffer(raw, "<u4"))
                     doc_ids.append(doc_id)
                     out.append(flat[places].astype("<u4"))
-                    held += len(places)
+                    held += len(places) + 10
                     if held > 2_000_000:
                         yield emit(doc_ids, out, pieces.value)
                         doc_ids, out, held = [], [], 0
-                if doc_ids:
-                    yield emit(doc_ids, out, pieces.value)
+        if doc_ids:
+            yield emit(doc_ids, out, pieces.value)
 
     return run
 
 
-def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schema: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schema: str, part_bytes: int = PART_BYTES) -> DataFrame:
     spark = docs.sparkSession
     ranks = load_ranks(path)
     pieces = spark.sparkContext.broadcast(ranks)
-    numbered = work_table(mapped(_rows(docs), _blocks(pieces, block_chars), _NUMBERED), "bpe-blocks", compression="zstd")
-    is_doc = F.col("number") == DOCUMENT
-    n_words, n_blocks = numbered.agg(F.count(F.when(~is_doc, 1)), F.count_distinct("block")).first()
-    # set by hand, since few bytes are much work here
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_words // 200_000))
-    words = numbered.filter(F.col("word").isNotNull()).select("word", F.pmod("block", F.lit(1 + n_blocks // SALTED)).alias("salt"), "block", "number")
-    places = words.repartition(tasks, "word", "salt").groupBy("word", "salt").agg(F.collect_list(F.struct("block", "number")).alias("places"))
-    folded = places.select(merge_fold(RankTable(ranks))(F.col("word")).alias("ids"), "places").select("ids", F.explode("places").alias("at"))
-    none = {c: F.lit(None).cast(kind) for c, kind in (("doc_id", "long"), ("codes", "binary"))}
-    folded = folded.select("at.block", "at.number", none["doc_id"].alias("doc_id"), none["codes"].alias("codes"), "ids")
-    others = numbered.filter(F.col("word").isNull()).select("block", "number", "doc_id", "codes", "ids")
-    whole = folded.unionByName(others).repartition(max(tasks, n_blocks), "block").sortWithinPartitions("block", "number")
+    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    blocks = work_table(mapped(_rows(docs), _blocks(parts, block_chars), _BLOCK), "bpe-blocks", compression="uncompressed")
+    # numbers of tasks are set by hand, since few bytes are much work here
+    words = blocks.filter(F.col("part") < PARTS).select("block", "part", "data").repartition(parts, "part").sortWithinPartitions("part")
+    words = mapped(words, _distinct(pieces), _WORDS)
+    ids = F.when(F.col("word").isNotNull(), F.coalesce("ids", merge_fold(RankTable(ranks))(F.col("word"))))
+    back = mapped(words.select("block", "part", "word", ids.alias("ids"), "data"), _back, _BLOCK)
+    whole = back.unionByName(blocks.filter(F.col("part") >= PARTS)).repartition(parts, "block").sortWithinPartitions("block", "part")
     return mapped(whole, _assembled(pieces, emit), schema)
 
 
