@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyband.sources.casts import cast_datetime
-
-DAY = 86_400
+from tallyband.sources.casts import DAY, cast_datetime, cast_interval, cast_time
 
 
 def stodt(s: Column) -> Column:
@@ -24,12 +22,7 @@ def stod(s: Column) -> Column:
 
 def tstod(s: Column) -> Column:
     """Seconds of the day of a string that is a time alone: h:m[:s][p], or six or four digits."""
-    digits = F.when(s.rlike(r"^[0-9]{6}p?$"), F.regexp_replace(s, r"^(..)(..)(..)", "$1:$2:$3")).when(s.rlike(r"^[0-9]{4}p?$"), F.regexp_replace(s, r"^(..)(..)", "$1:$2:00")).otherwise(s)
-    part = [F.regexp_extract(digits, r"^([0-9]{1,2}):([0-9]{1,2})(?::([0-9]{1,2}))?(p?)$", k) for k in (1, 2, 3, 4)]
-    hour, minute = part[0].try_cast("int"), part[1].try_cast("int")
-    second = F.when(part[2] == "", 0).otherwise(part[2].try_cast("int"))
-    hour = F.when((part[3] == "p") & (hour < 12), hour + 12).otherwise(hour)
-    return F.when((hour < 24) & (minute < 60) & (second < 61), hour * 3600 + minute * 60 + second)
+    return cast_time(s)
 
 
 def now() -> Column:
@@ -120,16 +113,7 @@ def interval(years=0, months=0, days=0, hours=0, minutes=0, seconds=0) -> Column
 
 def parse_interval(s: Column) -> Column:
     """From words such as '1 year 2 mons -3 days 04:05:06'; NULL where there is none."""
-
-    def part(words: str) -> Column:
-        return F.coalesce(F.regexp_extract(s, rf"(?i)(-?[0-9]+)\s*(?:{words})\b", 1).try_cast("long"), F.lit(0))
-
-    clock = [F.regexp_extract(s, r"(-?)([0-9]{1,2}):([0-9]{2})(?::([0-9]{2}))?", k) for k in (1, 2, 3, 4)]
-    seconds = sum((F.coalesce(c.try_cast("long"), F.lit(0)) * f for c, f in zip(clock[1:], (3600, 60, 1), strict=True)), F.lit(0))
-    seconds = F.when(clock[0] == "-", -seconds).otherwise(seconds)
-    hms = part("hours?") * 3600 + part("minutes?|mins?") * 60 + part("seconds?|secs?")
-    found = interval(part("years?"), part("months?|mons?"), part("weeks?") * 7 + part("days?"), 0, 0, hms + seconds)
-    return F.when(s.rlike(r"(?i)[0-9]\s*(years?|months?|mons?|weeks?|days?|hours?|minutes?|mins?|seconds?|secs?)\b|[0-9]:[0-9]{2}"), found)
+    return cast_interval(s)
 
 
 def add_interval(d: Column, i: Column) -> Column:
@@ -165,3 +149,50 @@ def difference(a: Column, b: Column) -> Column:
 def compare_dates(a: Column, b: Column) -> tuple[Column, Column]:
     """Both as dates, for comparing a date with a date and time: what both have."""
     return F.to_date(a), F.to_date(b)
+
+
+# --- values whose kind is known with the row only: see casts.cast_moment -----------------------------------------------------
+
+
+def _with(m: Column, **fields: Column) -> Column:
+    return F.struct(*((fields[n] if n in fields else m[n]).alias(n) for n in ("kind", "stamp", "months", "days", "seconds")))
+
+
+def plus_number(m: Column, n: Column) -> Column:
+    """A moment and a number: days for a date; seconds for a date with a time, a time (around midnight) and an interval. Fractions are cut off."""
+    n = n.cast("long")
+    on = m["stamp"] + F.make_dt_interval(days=F.when(m["kind"] == "date", n).otherwise(0).cast("int"), secs=F.when(m["kind"] == "date", 0).otherwise(n).cast("decimal(18,6)"))
+    seconds = F.when(m["kind"] == "time", F.pmod(m["seconds"] + n, F.lit(DAY))).otherwise(m["seconds"] + n)
+    return F.when(m["kind"].isNotNull() & n.isNotNull(), _with(m, stamp=on, seconds=seconds))
+
+
+def minus_number(m: Column, n: Column) -> Column:
+    return plus_number(m, -n.cast("long"))
+
+
+def inc(m: Column) -> Column:
+    return plus_number(m, F.lit(1))
+
+
+def dec(m: Column) -> Column:
+    return plus_number(m, F.lit(-1))
+
+
+def plus_interval(m: Column, i: Column) -> Column:
+    """A moment and an interval (a struct of months, days, seconds). A date becomes a date with a time if the interval has seconds; two intervals add up."""
+    kind = F.when((m["kind"] == "date") & (i["seconds"] != 0), "datetime").otherwise(m["kind"])
+    of_day = F.pmod(m["seconds"] + i["seconds"], F.lit(DAY))
+    seconds = F.when(m["kind"] == "time", of_day).otherwise(m["seconds"] + i["seconds"])
+    out = _with(m, kind=kind, stamp=add_interval(m["stamp"], i), months=m["months"] + i["months"], days=m["days"] + i["days"], seconds=seconds)
+    return F.when(m["kind"].isNotNull() & i.isNotNull(), out)
+
+
+def minus_moment(a: Column, b: Column) -> Column:
+    """a - b: less an interval, or the interval between two dates or two times; NULL for other kinds."""
+    i = F.struct(*((-b[f]).alias(f) for f in ("months", "days", "seconds")))
+    gap = difference(a["stamp"], b["stamp"])
+    none = F.lit(None).cast("timestamp_ntz")
+    between = _with(a, kind=F.lit("interval"), stamp=none, months=gap["months"], days=gap["days"], seconds=gap["seconds"])
+    zero = F.lit(0).cast("long")
+    times = _with(a, kind=F.lit("interval"), stamp=none, months=zero, days=zero, seconds=a["seconds"] - b["seconds"])
+    return F.when(b["kind"] == "interval", plus_interval(a, i)).when((a["kind"] == "time") & (b["kind"] == "time"), times).when(gap["days"].isNotNull(), between)

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tallyband.functions import formatting
 from tallyband.jobs.common import Catalog, doubles, money, table
 from tallyband.operators.breaks import break_islands, break_row_numbers, matched
-from tallyband.operators.fold import iterate, running_fold, string_fold
+from tallyband.operators.fold import affine, iterate, running_fold, string_fold, user_aggregate
 from tallyband.operators.prefix import previous, row_numbers
-from tallyband.operators.sections import in_output_order, sectioned
-from tallyband.operators.variables import Variable, at_last_row, grand_totals, group_totals, in_rounds, nested_totals, running_variables
+from tallyband.operators.sections import in_output_order, numbered, sectioned
+from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_variables
 
 CATALOG = Catalog()
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
@@ -32,7 +32,7 @@ def detail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by supplier with running, group and report totals."""
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     rows = running_variables(lines, LINE_ORDER, {"running_price": Variable("sum", money("l_extendedprice")), "running_count": Variable("countall")}, ["l_suppkey"])
-    rows = break_row_numbers(rows, LINE_ORDER, ["l_suppkey"])
+    rows = rows.withColumn("brrownum", F.col("running_count").cast("int"))  # a row's number in its break is how many there were
     rows = group_totals(rows, ["l_suppkey"], {"average_quantity": Variable("average", money("l_quantity"))})
     total = lines.agg(Variable("sum", money("l_extendedprice")).aggregate().alias("total_price"))
     rows = rows.join(F.broadcast(total))  # one row
@@ -207,9 +207,9 @@ r AS (SELECT event_id, user_id, k, (7 * 31 + v) % 1000 AS fold FROM e WHERE k =
 SELECT event_id, user_id, fold FROM r
 """)
 def iterative_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold that no window expresses: 31 times the last value plus this one, modulo 1000."""
+    """A fold that no window expresses: 31 times the last value plus this one, modulo 1000. Its steps compose, so users are split."""
     events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", F.round("value").cast("long").alias("v"))
-    out = running_fold(events, _mixed, 7, "v", ["ts", "event_id"], ["user_id"], "fold", "bigint")
+    out = running_fold(events, _mixed, 7, "v", ["ts", "event_id"], ["user_id"], "fold", "bigint", affine(31, 1000))
     return out.select("event_id", "user_id", "fold")
 
 
@@ -235,7 +235,7 @@ def sectioned_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "c_custkey", "c_name", "c_acctbal")
     made = {"customers": Variable("countall"), "balance": Variable("sum", money("c_acctbal"))}
     report = sectioned(rows, ["c_custkey"], ["r_name", "n_name"], {"customer": F.col("c_name")}, made, no_data="nodata")
-    return doubles(in_output_order(report, 1), "balance").select("section", "break_name", "r_name", "n_name", "customer", "customers", "balance")
+    return doubles(in_output_order(report), "balance").select("section", "break_name", "r_name", "n_name", "customer", "customers", "balance")
 
 
 @CATALOG.add("""
@@ -251,7 +251,7 @@ def suppress_blank_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     segment = F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_mktsegment"))
     rows = table(spark, sf_dir, "customer").select(segment.alias("segment"), "c_custkey")
     report = sectioned(rows, ["c_custkey"], ["segment"], {"customer": F.col("c_custkey")}, {"customers": Variable("countall")}, suppress_blank=True)
-    return in_output_order(report, 1).select("section", "segment", "customer", "customers")
+    return in_output_order(report).select("section", "segment", "customer", "customers")
 
 
 @CATALOG.add("""
@@ -271,3 +271,106 @@ def grand_total_on_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     nations = grand_totals(table(spark, sf_dir, "nation").select("n_name"), {"nations": Variable("countall")})
     regions = table(spark, sf_dir, "region").agg(Variable("countall").aggregate().alias("regions"))
     return nations.join(F.broadcast(regions))  # one row
+
+
+@CATALOG.add("""
+WITH o AS (SELECT (year(o_orderdate) - 1995)::INT AS y, date_trunc('month', o_orderdate)::DATE AS d, o_orderkey, o_totalprice::DECIMAL(18,2) AS p FROM orders),
+s AS (
+SELECT 'reportheader' AS section, NULL AS break_name, NULL::INT AS y, NULL::DATE AS d, arg_min(o_orderkey, o_orderkey) AS order_key, sum(p)::DOUBLE AS total, 0 AS r0, NULL::INT AS k0, 0 AS r1, NULL::DATE AS k1, 0 AS r2 FROM o
+UNION ALL SELECT 'reportfooter', NULL, NULL, NULL, max(o_orderkey), sum(p)::DOUBLE, 2, NULL, 0, NULL, 0 FROM o
+UNION ALL SELECT 'break_header', 'y', y, NULL, min(o_orderkey), sum(p)::DOUBLE, 1, y, 0, NULL, 0 FROM o GROUP BY y
+UNION ALL SELECT 'break_footer', 'y', y, NULL, max(o_orderkey), sum(p)::DOUBLE, 1, y, 2, NULL, 0 FROM o GROUP BY y
+UNION ALL SELECT 'break_header', 'd', y, d, min(o_orderkey), sum(p)::DOUBLE, 1, y, 1, d, 0 FROM o GROUP BY y, d
+UNION ALL SELECT 'break_footer', 'd', y, d, max(o_orderkey), sum(p)::DOUBLE, 1, y, 1, d, 2 FROM o GROUP BY y, d
+UNION ALL SELECT 'fielddetails', NULL, y, d, o_orderkey, NULL, 1, y, 1, d, 1 FROM o)
+SELECT section, break_name, y, d, order_key, total,
+  row_number() OVER (ORDER BY r0, k0 NULLS FIRST, r1, k1 NULLS FIRST, r2, CASE WHEN section = 'fielddetails' THEN order_key END NULLS FIRST) AS line FROM s
+""")
+def numbered_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders by year (a number, also below zero) and month (a date); each row with its place in the output."""
+    day = F.col("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select((F.year(day) - 1995).alias("y"), F.trunc(day, "month").alias("d"), "o_orderkey", "o_totalprice")
+    report = sectioned(rows, ["o_orderkey"], ["y", "d"], {"order_key": F.col("o_orderkey")}, {"total": Variable("sum", money("o_totalprice"))})
+    return doubles(numbered(report), "total")
+
+
+@CATALOG.add("""
+WITH p AS (SELECT ts, event_id, event_type, lag(event_type) OVER (ORDER BY ts, event_id) AS pt FROM events),
+e AS (SELECT *, sum((pt IS NULL OR pt <> event_type)::INT) OVER (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM p),
+s AS (
+SELECT 'reportheader' AS section, NULL AS event_type, arg_min(event_id, (ts, event_id)) AS event, count(*) AS events, 0 AS r0, NULL AS run, 0 AS r1, NULL::TIMESTAMP AS ts FROM e
+UNION ALL SELECT 'reportfooter', NULL, arg_max(event_id, (ts, event_id)), count(*), 2, NULL, 0, NULL FROM e
+UNION ALL SELECT 'break_header', any_value(event_type), arg_min(event_id, (ts, event_id)), count(*), 1, run, 0, NULL FROM e GROUP BY run
+UNION ALL SELECT 'break_footer', any_value(event_type), arg_max(event_id, (ts, event_id)), count(*), 1, run, 2, NULL FROM e GROUP BY run
+UNION ALL SELECT 'fielddetails', event_type, event_id, NULL, 1, run, 1, ts FROM e)
+SELECT section, event_type, event, events, row_number() OVER (ORDER BY r0, run NULLS FIRST, r1, ts NULLS FIRST, CASE WHEN section = 'fielddetails' THEN event END) AS line FROM s
+""")
+def sections_over_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in time order, which isn't that of their types: each run of equal types has a header and a footer."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type")
+    report = sectioned(events, ["ts", "event_id"], ["event_type"], {"event": F.col("event_id")}, {"events": Variable("countall")}, islands=True)
+    return numbered(report).drop("break_name")
+
+
+@CATALOG.add("SELECT 'nodata' AS section, NULL::VARCHAR AS segment, NULL::BIGINT AS customer WHERE (SELECT count(*) FROM customer WHERE c_acctbal > 1e12) = 0")
+def no_data_section(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of a query without rows."""
+    rows = table(spark, sf_dir, "customer").filter("c_acctbal > 1e12").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
+    report = sectioned(rows, ["c_custkey"], ["segment"], {"customer": F.col("c_custkey")}, {"customers": Variable("countall")}, no_data="nodata")
+    return in_output_order(report).select("section", "segment", "customer")
+
+
+@CATALOG.add("""
+WITH e AS (SELECT event_id, ts, user_id, event_type, value::DECIMAL(18,2) AS v, CASE WHEN event_type <> 'error' THEN value::DECIMAL(18,2) END AS b FROM events)
+SELECT event_id, user_id, (coalesce(sum(b) OVER w, 0))::DOUBLE / nullif(count(b) OVER w, 0) AS average, min(event_type) OVER w AS first_type, max(ts) OVER w AS latest,
+  (10 + coalesce(sum(v) OVER w, 0))::DOUBLE AS from_ten, sum(running) OVER w AS of_sums
+FROM (SELECT *, (sum(round(v)::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS running FROM e)
+WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)
+""")
+def custom_variable_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables that are spelled out: a number made of two intermediary values, a string, a datetime, a start value, and a running sum of a running sum."""
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "user_id", "event_type", "value")
+    average = CustomVariable(money("value"), ("sum", lambda b: F.coalesce(b, F.lit(0))), ("count", lambda b, s: b), lambda b, s, n: F.try_divide(s.cast("double"), n), ignore=F.col("event_type") == "error")
+    made = {
+        "average": average,
+        "first_type": CustomVariable(F.col("event_type"), ("min", lambda b: b)),
+        "latest": CustomVariable(F.col("ts"), ("max", lambda b: b)),
+        "from_ten": CustomVariable(money("value"), ("sum", lambda b: b), initial=10),
+        "of_sums": CustomVariable(F.round("value").cast("long"), ("sum", lambda b: b), ("sum", lambda b, s: s), lambda b, s, t: t),
+    }
+    out = custom_variables(events, ["ts", "event_id"], made, ["user_id"])
+    return doubles(out, "from_ten").drop("ts", "event_type", "value")
+
+
+@CATALOG.add("""
+SELECT l_suppkey, sum(l_extendedprice::DECIMAL(18,2) * l_quantity::BIGINT)::DOUBLE / sum(l_quantity::BIGINT) AS weighted, min(l_shipdate) AS first_ship FROM lineitem GROUP BY l_suppkey
+""")
+def custom_variable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as aggregates of groups: a weighted average and a datetime."""
+    lines = table(spark, sf_dir, "lineitem")
+    quantity = F.col("l_quantity").cast("long")
+    weighted = CustomVariable(money("l_extendedprice"), ("sum", lambda b: b * quantity.cast("decimal(18,0)")), ("sum", lambda b, s: quantity), lambda b, s, n: s.cast("double") / n)
+    return custom_totals(lines, ["l_suppkey"], {"weighted": weighted, "first_ship": CustomVariable(F.col("l_shipdate"), ("min", lambda b: b))})
+
+
+@CATALOG.add("SELECT user_id, bit_xor(event_id::BIGINT) AS xored FROM events GROUP BY user_id")
+def user_aggregate_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate that Spark is not asked for: a user's own in Python, with states that merge."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return user_aggregate(events, ["user_id"], "event_id", _no_bits, _with_bits, _both_bits, _bits, "xored", "bigint", "array<bigint>")
+
+
+def _no_bits() -> list:
+    return [0]
+
+
+def _with_bits(state: list, value: int) -> list:
+    return [state[0] ^ int(value)]
+
+
+def _both_bits(a: list, b: list) -> list:
+    return [int(a[0]) ^ int(b[0])]
+
+
+def _bits(state: list) -> int:
+    return int(state[0])

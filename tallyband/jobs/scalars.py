@@ -11,7 +11,8 @@ from tallyband.functions import logic as L
 from tallyband.functions import numeric as N
 from tallyband.functions import text as S
 from tallyband.jobs.common import Catalog, table
-from tallyband.sources.casts import cast_datetime, cast_number
+from tallyband.functions.registry import Functions
+from tallyband.sources.casts import cast_columns, cast_datetime, cast_moment, cast_number
 from tallyband.sources.readers import from_rows
 
 CATALOG = Catalog()
@@ -185,3 +186,111 @@ def vector_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         *_KEY, L.vector("<", [F.col("l_quantity"), F.col("l_discount")], [F.lit(25), F.lit(0.05)]).alias("both_less"), L.vector("=", flags, wanted).alias("same"), L.vector("!=", flags, wanted).alias("all_differ")
     )
+
+
+_KINDS = """CASE event_id % 7 WHEN 0 THEN 'date' WHEN 1 THEN 'datetime' WHEN 2 THEN 'time' WHEN 3 THEN 'interval' WHEN 4 THEN 'datetime' WHEN 5 THEN 'time' END"""
+_SECONDS = "(hour(ts) * 3600 + minute(ts) * 60 + second(ts))::BIGINT"
+
+
+def _moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, ts and m: dates, datetimes (with a zone, too), times, intervals and what is none of these, from texts."""
+    k, ts = F.col("event_id") % 7, F.col("ts")
+    text = (
+        F.when(k == 0, F.date_format(ts, "d/M/yyyy")).when(k == 1, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).when(k == 2, F.date_format(ts, "HH:mm:ss"))
+        .when(k == 3, F.concat(F.month(ts).cast("string"), F.lit(" months "), F.dayofmonth(ts).cast("string"), F.lit(" days 3 hours")))
+        .when(k == 4, F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+01:30"))).when(k == 5, F.date_format(ts, "HHmmss")).otherwise("25:61")
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", "ts", text.alias("m"))
+    return cast_columns(rows, {"m": "moment"})
+
+
+@CATALOG.add(f"""
+SELECT event_id, {_KINDS} AS kind,
+  CASE event_id % 7 WHEN 0 THEN ts::DATE::TIMESTAMP WHEN 1 THEN date_trunc('second', ts) WHEN 4 THEN date_trunc('second', ts) - INTERVAL 5400 SECOND END AS stamp,
+  CASE WHEN event_id % 7 = 3 THEN month(ts)::BIGINT END AS months, CASE WHEN event_id % 7 = 3 THEN day(ts)::BIGINT END AS days,
+  CASE WHEN event_id % 7 IN (2, 5) THEN {_SECONDS} WHEN event_id % 7 = 3 THEN 10800 END AS seconds
+FROM events
+""")
+def datetime_load_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A datetime column takes a date, a datetime, a time or an interval; all else is an error, NULL here."""
+    return _moments(spark, sf_dir).select("event_id", "m.*")
+
+
+@CATALOG.add(f"""
+WITH e AS (SELECT *, {_KINDS} AS kind, {_SECONDS} AS s, event_id % 7 AS k FROM events)
+SELECT event_id,
+  CASE k WHEN 0 THEN (ts::DATE + INTERVAL 1 DAY)::TIMESTAMP WHEN 1 THEN date_trunc('second', ts) + INTERVAL 1 SECOND WHEN 4 THEN date_trunc('second', ts) - INTERVAL 5399 SECOND END AS stamp_up,
+  CASE WHEN k IN (2, 5) THEN (s + 86399) % 86400 WHEN k = 3 THEN 10799 END AS seconds_down,
+  CASE WHEN k IN (2, 5) THEN (s + 90) % 86400 WHEN k = 3 THEN 10890 END AS seconds_plus,
+  CASE k WHEN 0 THEN 'datetime' ELSE kind END AS kind_with_interval,
+  CASE k WHEN 0 THEN ts::DATE + INTERVAL 1 MONTH + INTERVAL 3600 SECOND WHEN 1 THEN date_trunc('second', ts) + INTERVAL 1 MONTH + INTERVAL 3600 SECOND
+    WHEN 4 THEN (date_trunc('second', ts) - INTERVAL 5400 SECOND) + INTERVAL 1 MONTH + INTERVAL 3600 SECOND END AS stamp_with_interval,
+  CASE WHEN k IN (2, 5) THEN s - 3600 END AS since_one
+FROM e
+""")
+def moment_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One plus for all kinds: up and down by one, by a number, by an interval, and a difference."""
+    m = F.col("m")
+    rows = _moments(spark, sf_dir)
+    made = rows.select(
+        "event_id", D.inc(m).alias("up"), D.dec(m).alias("down"), D.plus_number(m, F.lit(90.9)).alias("plus"), D.plus_interval(m, D.interval(months=1, hours=1)).alias("with_interval"),
+        D.minus_moment(m, cast_moment(F.lit("01:00"))).alias("less"),
+    )
+    return made.select(
+        "event_id", F.col("up.stamp").alias("stamp_up"), F.col("down.seconds").alias("seconds_down"), F.col("plus.seconds").alias("seconds_plus"), F.col("with_interval.kind").alias("kind_with_interval"),
+        F.col("with_interval.stamp").alias("stamp_with_interval"), F.col("less.seconds").alias("since_one"),
+    )
+
+
+@CATALOG.add("""
+SELECT o_orderkey, (14 + o_orderkey % 5)::BIGINT AS months, (-3 - o_orderkey % 4)::BIGINT AS days, (14706 - 60)::BIGINT AS seconds, (o_orderdate::DATE > DATE '1996-02-29')::INT AS after_leap_day, (o_orderdate::DATE = DATE '1996-02-29')::INT AS on_leap_day
+FROM orders
+""")
+def interval_sums_and_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Intervals field by field, read from words; a date and a datetime are compared as dates."""
+    key = F.col("o_orderkey")
+    total = D.sum_intervals(D.parse_interval(F.lit("1 year 2 mons -3 days 04:05:06")), D.negated(D.interval(months=-(key % 5), days=key % 4, minutes=1)))
+    a, b = D.compare_dates(F.col("o_orderdate"), F.to_timestamp_ntz(F.lit("1996-02-29 12:00:00")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", total.alias("i"), L.gt(a, b).alias("after_leap_day"), L.eq(a, b).alias("on_leap_day")).select("o_orderkey", "i.*", "after_leap_day", "on_leap_day")
+
+
+@CATALOG.add("""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber = 1 THEN 'doboz' ELSE 'dobozok' END AS boxes,
+  CASE WHEN l_returnflag = 'A' THEN '-' ELSE '' END || '$' || printf('%,.2f', l_extendedprice) AS price
+FROM lineitem
+""")
+def plural_labels_and_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts by number through a small catalog, and amounts of money, some below zero."""
+    lines = table(spark, sf_dir, "lineitem").withColumns({"one": F.lit("box"), "many": F.lit("boxes")})
+    catalog = from_rows(spark, [("msgid", "form", "msgstr"), ("box", 0, "doboz"), ("box", 1, "dobozok")], {"form": "number"})
+    signed = F.when(F.col("l_returnflag") == "A", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))
+    return S.translate2(lines, "one", "many", "l_linenumber", catalog, "boxes").select(*_KEY, "boxes", M.money(signed).alias("price"))
+
+
+@CATALOG.add("""
+SELECT event_id, (event_id % 3 = 0)::INT AS nan, 1 AS number_kind, 0 AS text_is_number, 1 AS text_kind, 1 AS date_kind, NULL::DOUBLE AS no_number, NULL::VARCHAR AS no_text, NULL::TIMESTAMP AS no_time FROM events
+""")
+def kinds_and_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    x = F.when(F.col("event_id") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return events.select(
+        "event_id", L.isnan(x).alias("nan"), L.is_kind(events, "value", "number").alias("number_kind"), L.is_kind(events, "event_type", "number").alias("text_is_number"), L.is_kind(events, "event_type", "string").alias("text_kind"),
+        L.is_kind(events, "ts", "datetime").alias("date_kind"), L.null("number").alias("no_number"), L.null("string").alias("no_text"), L.null("datetime").alias("no_time"),
+    )
+
+
+@CATALOG.add("SELECT count(*) AS n, count(*) AS in_range, count(*) AS dated, count(DISTINCT event_id) > 100 AS varied FROM events")
+def random_and_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What has no fixed value: random numbers lie in [0, 1) and differ, today is the day of now."""
+    x = N.random(7)
+    rows = table(spark, sf_dir, "events").select(x.alias("x"), (D.date() == F.to_date(D.now())).alias("today"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("x") >= 0) & (F.col("x") < 1)).alias("in_range"), F.count_if("today").alias("dated"), (F.count_distinct("x") > 100).alias("varied"))
+
+
+@CATALOG.add("SELECT p_partkey, upper(left(p_name, 3)) || '!' AS shout, p_size * 2 AS twice FROM part")
+def user_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions by name: one that replaces a built-in one, one that is new, and a built-in one."""
+    functions = Functions()
+    functions.add("upper", lambda s: F.concat(F.upper(s), F.lit("!")))
+    functions.add("twice", lambda x: x * 2)
+    return table(spark, sf_dir, "part").select("p_partkey", functions["upper"](functions["left"](F.col("p_name"), 3)).alias("shout"), functions["twice"](F.col("p_size")).alias("twice"))

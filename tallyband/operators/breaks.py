@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, previous, running
@@ -33,13 +33,13 @@ def break_islands(df: DataFrame, order: Sequence[str], levels: Levels, rows_per_
     return running(flagged, order, numbers).drop(BUCKET)
 
 
-def break_row_numbers(df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str = "brrownum") -> DataFrame:
-    """Add the row's number in its break, for input where the keys are the break."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+def break_row_numbers(df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str = "brrownum", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add the row's number in its break, for input where the keys are the break. A break may hold any share of the rows."""
+    return running(df, order, {name: ("count", F.lit(1))}, keys, rows_per_bucket).withColumn(name, F.col(name).cast("int"))
 
 
 def matched(df: DataFrame, order: Sequence[str], key: str, name: str = "matched") -> DataFrame:
-    """Add 1 where the key was in an earlier row, else 0. NULL keys never match; they are dealt out by the order instead."""
-    spread = F.when(F.col(key).isNull(), F.xxhash64(*order))
-    place = F.row_number().over(Window.partitionBy(F.col(key), spread).orderBy(*order))
-    return df.withColumn(name, (F.col(key).isNotNull() & (place > 1)).cast("int"))
+    """Add 1 where the key was in an earlier row, else 0. NULL keys never match. First rows are found by an aggregate, not by gathering a key."""
+    firsts = df.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("__key")).agg(F.min(F.struct(*order)).alias("__first"))
+    later = F.col("__first").isNotNull() & (F.struct(*order) > F.col("__first"))
+    return df.join(firsts, F.col(f"`{key}`") == F.col("__key"), "left").withColumn(name, later.cast("int")).drop("__key", "__first")

@@ -1,38 +1,120 @@
-"""Folds that must go row by row inside a group: custom variables and expressions of their own last value."""
+"""Folds: values that are made from their own last ones, row by row."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, join_same, running
+from tallyband.shipping import ship
+
+
+def _with(fields: Sequence[T.StructField], name: str, kind: str) -> T.StructType:
+    return T.StructType([*fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
 def string_fold(df: DataFrame, piece: Column, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
-    """Add the pieces of the group's rows so far, joined. NULL pieces add nothing."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.array_join(F.collect_list(piece).over(so_far), ""))
+    """Add the pieces of the group's rows so far, joined. NULL pieces add nothing. The group's last row holds all of them, so they must fit one string."""
+    rows = df.withColumn("__piece", F.coalesce(piece, F.lit("")))
+    whole = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "__piece"))).alias("__all"))
+    whole = whole.withColumn("__all", F.array_join(F.transform("__all", lambda x: x["__piece"]), ""))
+    rows = running(rows, order, {"__length": ("sum", F.length("__piece"))}, by)
+    return join_same(rows, whole, by, ["__all"]).withColumn(name, F.left("__all", F.col("__length").cast("int"))).drop("__piece", "__length", "__all")
+
+
+@dataclass(frozen=True)
+class Maps:
+    """What makes a fold divisible: each value is a map of the last result, and maps compose.
+
+    of(value): its map, as a list; then(a, b): first a, then b; apply(x, map): the result after it. kind: the SQL type of a map.
+    """
 
+    of: Callable[[object], list]
+    then: Callable[[list, list], list]
+    apply: Callable[[object, list], object]
+    kind: str
 
-def running_fold(df: DataFrame, step: Callable[[object, object], object], first: object, value: str, order: Sequence[str], by: Sequence[str], name: str, kind: str) -> DataFrame:
-    """Add step(step(first, value 1), value 2).. for each row of its group. by must be given: a fold can't be split."""
-    if not by:
-        raise ValueError("a fold needs groups: without them all rows would go to one task")
-    schema = f"{df.schema.simpleString()[7:-1]}, `{name}` {kind}"
+
+def affine(times: int, modulus: int) -> Maps:
+    """Of x -> (x * times + value) modulo modulus."""
+    return Maps(
+        lambda v: [times % modulus, v % modulus],
+        lambda a, b: [a[0] * b[0] % modulus, (a[1] * b[0] + b[1]) % modulus],
+        lambda x, m: (x * m[0] + m[1]) % modulus,
+        "array<bigint>",
+    )
+
+
+def running_fold(
+    df: DataFrame, step: Callable[[object, object], object], first: object, value: str, order: Sequence[str], by: Sequence[str], name: str, kind: str, maps: Maps | None = None, rows_per_bucket: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Add step(step(first, value 1), value 2).. for each row of its group.
+
+    With maps a group is split over buckets, so it may hold any share of the rows, and by may be empty. Without them a group
+    must fit one worker, and by must be given.
+    """
+    ship(df.sparkSession)
     at = list(order)
+    schema = _with(df.schema.fields, name, kind)
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(at, kind="stable")
-        values: Iterator = accumulate(group[value], step, initial=first)
+    def folded(group: pd.DataFrame, start: object) -> pd.DataFrame:
+        values: Iterator = accumulate(group[value], step, initial=start)
         next(values)
         return group.assign(**{name: list(values)})
 
-    return df.groupBy(*by).applyInPandas(run, schema.replace(":", " "))
+    if maps is None:
+        if not by:
+            raise ValueError("a fold that can't be split needs groups: without them all rows would go to one task")
+        return df.groupBy(*by).applyInPandas(lambda group: folded(group.sort_values(at, kind="stable"), first), schema)
+
+    rows = bucketed(df, order, rows_per_bucket)
+    keys = [*by, BUCKET]
+
+    def composed(group: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(maps.then, map(maps.of, group.sort_values(at, kind="stable")[value]))
+        return group[keys].head(1).assign(__map=[whole])
+
+    small = rows.groupBy(*keys).applyInPandas(composed, _with([rows.schema[k] for k in keys], "__map", maps.kind))
+    earlier = Window.partitionBy(*by).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)  # a row a bucket
+    small = small.withColumn("__maps", F.collect_list("__map").over(earlier)).drop("__map")
+
+    def continued(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(at, kind="stable")
+        start = reduce(lambda x, m: maps.apply(x, list(m)), group["__maps"].iloc[0], first)
+        return folded(group.drop(columns=["__maps", BUCKET]), start)
+
+    small = small if by else F.broadcast(small)  # a row a bucket
+    return join_same(rows, small, keys, ["__maps"]).groupBy(*keys).applyInPandas(continued, schema)
 
 
 def iterate(df: DataFrame, initial: Column, growth: Column, order: Sequence[str], by: Sequence[str], name: str) -> DataFrame:
     """Add initial * growth(1) * growth(2) .. of the group, growth over zero: a fold by multiplication is a running sum of logarithms."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, initial * F.exp(F.sum(F.ln(growth)).over(so_far)))
+    return running(df.withColumn("__ln", F.ln(growth)), order, {"__sum": ("sum", F.col("__ln"))}, by).withColumn(name, initial * F.exp("__sum")).drop("__ln", "__sum")
+
+
+def user_aggregate(df: DataFrame, keys: Sequence[str], value: str, start: Callable[[], list], step: Callable[[list, object], list], merge: Callable[[list, list], list], finish: Callable[[list], object], name: str, kind: str, state: str, parts: int = 32) -> DataFrame:
+    """An aggregate of the user's own: keys and name, a row a group.
+
+    start() makes a state (a list, of SQL type `state`), step(state, value) takes a value in, merge joins two states, finish gives the
+    result. Each group is taken in `parts` parts, so a group that holds most rows is spread; only states meet.
+    """
+    ship(df.sparkSession)
+    part = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(parts)).cast("int")
+    rows = df.withColumn("__part", part).select(*dict.fromkeys([*keys, value, "__part"]))
+    own = [df.schema[k] for k in keys]
+
+    def partial(group: pd.DataFrame) -> pd.DataFrame:
+        return group[list(keys)].head(1).assign(__state=[reduce(step, group[value], start())])
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        return group[list(keys)].head(1).assign(**{name: [finish(reduce(merge, map(list, group["__state"])))]})
+
+    states = rows.groupBy(*keys, "__part").applyInPandas(partial, _with(own, "__state", state))
+    return states.groupBy(*keys).applyInPandas(joined, _with(own, name, kind))

@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
-KEYS_PER_BUCKET = 40
+#: Below ROWS_PER_BUCKET there are as many buckets as shuffle partitions, but none is planned for fewer rows than this.
+LEAST_PER_BUCKET = 2_000
+KEYS_PER_BUCKET = 20
 MOST_BUCKETS = 4096
 
 
@@ -31,19 +33,29 @@ def _below(keys: Column, bounds: list[Column], low: int, high: int) -> Column:
 
 
 def bucketed(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """df with BUCKET, a number that rises with the order."""
+    """df with BUCKET, a number that rises with the order, in tasks of whole buckets."""
     keys = df.select(*order)
     total = keys.count()
-    buckets = min(MOST_BUCKETS, math.ceil(total / rows_per_bucket))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = min(MOST_BUCKETS, max(math.ceil(total / rows_per_bucket), min(tasks, total // LEAST_PER_BUCKET)))
     if buckets < 2:
         return df.withColumn(BUCKET, F.lit(0))
     share = min(1.0, 2 * buckets * KEYS_PER_BUCKET / total)
     sample = keys.filter(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).limit(4 * buckets * KEYS_PER_BUCKET)
-    rows = sample.orderBy(*order).collect()  # at most 4 * MOST_BUCKETS * KEYS_PER_BUCKET short rows
+    rows = sample.orderBy(*order).collect()  # at most 4 * KEYS_PER_BUCKET short rows a bucket
     bounds = sorted({tuple(rows[len(rows) * k // buckets]) for k in range(1, buckets)}, key=lambda r: [(v is not None, v) for v in r]) if rows else []
     bounds = [b for b in bounds if all(v is not None for v in b)]
     typed = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True))) for b in bounds]
-    return df.withColumn(BUCKET, _below(F.struct(*order), typed, 0, len(typed)))
+    # dealt by number, so that few bytes are not put together in one task again
+    return df.withColumn(BUCKET, _below(F.struct(*order), typed, 0, len(typed))).repartition(max(buckets, tasks), BUCKET)
+
+
+def join_same(df: DataFrame, small: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """df with the columns of small, which has a row for each combination of its keys, NULLs included."""
+    if not keys:
+        return df.join(F.broadcast(small.select(*columns)))  # one row
+    same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys]
+    return df.alias("l").join(small.alias("r"), same).select("l.*", *(F.col(f"r.`{c}`") for c in columns))
 
 
 def _carry(df: DataFrame, totals: Mapping[str, Column], before: Mapping[str, Column], by: Sequence[str]) -> DataFrame:
@@ -52,9 +64,7 @@ def _carry(df: DataFrame, totals: Mapping[str, Column], before: Mapping[str, Col
     small = small.select(*by, BUCKET, *(c.alias(n) for n, c in before.items()))
     if not by:
         return df.join(F.broadcast(small), BUCKET)  # at most MOST_BUCKETS rows
-    same = [F.col(f"l.`{c}`").eqNullSafe(F.col(f"r.`{c}`")) for c in (*by, BUCKET)]
-    joined = df.alias("l").join(small.alias("r"), same)
-    return joined.select("l.*", *(F.col(f"r.`{n}`") for n in before))
+    return join_same(df, small, [*by, BUCKET], list(before))
 
 
 def earlier(by: Sequence[str] = ()) -> Window:

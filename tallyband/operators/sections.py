@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyband.operators.breaks import break_islands
+from tallyband.operators.prefix import ROWS_PER_BUCKET, row_numbers
 from tallyband.operators.variables import Variable
 
-POSITION = "position"
+POSITION = "__at_"
+ORDER = "__order_"
 
 
 def _not_blank(keys: Sequence[str]) -> Column:
@@ -27,54 +30,70 @@ def sectioned(
     variables: Mapping[str, Variable],
     suppress_blank: bool = False,
     no_data: str | None = None,
+    islands: bool = False,
 ) -> DataFrame:
-    """section, break_name, the breaks, details, variables and POSITION, an array that sorts rows into output order.
+    """section, break_name, the breaks, details, variables and the columns that sort rows into output order (names from POSITION and ORDER).
 
     df is meant to be ordered by (breaks, order). Headers stand before a group's details, outer ones first, footers after
     them, inner ones first; both have the group's variables, headers the details of its first row, footers those of
-    its last. suppress_blank: no header and footer for a group whose break field is NULL or empty. no_data: a section for
-    an empty table.
+    its last. Groups come in the order of their typed keys, NULL first. suppress_blank: no header and footer for a group whose break
+    field is NULL or empty. no_data: a section for an empty table. islands: df is ordered by `order` alone, and a group is a run of
+    rows with equal fields; NULL fields start a group each.
     """
     depth = len(breaks)
-    if depth > 9:
-        raise ValueError("at most nine breaks")
-    # Sort keys are texts, so that all sections have one type; NULL comes first.
-    texts = [F.coalesce(F.concat(F.lit("1"), F.col(b).cast("string")), F.lit("0")) for b in breaks]
+    keys = list(breaks)
+    if islands:
+        df = break_islands(df, order, {b: [b] for b in breaks})
+        keys = [f"{b}_no" for b in breaks]
     row = F.struct(*order)
-    values = F.struct(*(c.alias(n) for n, c in details.items()))
+    values = F.struct(*(c.alias(n) for n, c in details.items()), *(F.col(b).alias(f"__b_{b}") for b in breaks))
 
-    def place(level: int, rank: int) -> Column:
-        """After the keys of `level` breaks comes what sorts before (rank 0) or after (rank 2) all below them."""
-        return F.concat(F.array(*(c for t in texts[:level] for c in (F.lit("1"), t))), F.array(F.lit(str(rank))))
+    def place(level: int, rank: int) -> list[Column]:
+        """For each break the rank (1: below it) and the key; where `level` breaks are fixed, rank 0 stands before and 2 after all below them."""
+        out = []
+        for k in range(depth):
+            out += [F.lit(1 if k < level else rank if k == level else 0).alias(f"{POSITION}{2 * k}")]
+            out += [(F.col(keys[k]) if k < level else F.lit(None).cast(df.schema[keys[k]].dataType)).alias(f"{POSITION}{2 * k + 1}")]
+        return [*out, F.lit(rank if level == depth else 0).alias(f"{POSITION}{2 * depth}")]
 
-    def head(section: str, name: str | None, level: int, rank: int) -> list[Column]:
-        kept = [F.col(b) if k < level else F.lit(None).cast(df.schema[b].dataType).alias(b) for k, b in enumerate(breaks)]
-        return [F.lit(section).alias("section"), F.lit(name).cast("string").alias("break_name"), *kept, place(level, rank).alias(POSITION)]
+    def head(section: str, name: str | None, level: int, rank: int, shown: Callable[[str], Column]) -> list[Column]:
+        kept = [(shown(b) if k < level else F.lit(None).cast(df.schema[b].dataType)).alias(b) for k, b in enumerate(breaks)]
+        return [F.lit(section).alias("section"), F.lit(name).cast("string").alias("break_name"), *kept, *place(level, rank)]
 
     parts = []
     for level in range(depth + 1):
-        keys = list(breaks[:level])
         name = breaks[level - 1] if level else None
-        made = df.groupBy(*keys).agg(F.min_by(values, row).alias("__first"), F.max_by(values, row).alias("__last"), F.count(F.lit(1)).alias("__n"), *(v.aggregate().alias(n) for n, v in variables.items()))
+        made = df.groupBy(*keys[:level]).agg(F.min_by(values, row).alias("__first"), F.max_by(values, row).alias("__last"), F.count(F.lit(1)).alias("__n"), *(v.aggregate().alias(n) for n, v in variables.items()))
         made = made.filter("__n > 0")
         if suppress_blank and level:
-            made = made.filter(_not_blank(keys[-1:]))
+            made = made.withColumn("__blank", F.col(f"__first.`__b_{name}`")).filter(_not_blank(["__blank"]))
         for section, rank, side in (("header", 0, "__first"), ("footer", 2, "__last")):
             tag = f"break_{section}" if level else f"report{section}"
-            parts.append(made.select(*head(tag, name, level, rank), *(F.col(f"{side}.`{n}`").alias(n) for n in details), *variables, F.lit(None).cast("string").alias("__order")))
+            own = head(tag, name, level, rank, lambda b, side=side: F.col(f"{side}.`__b_{b}`"))
+            parts.append(made.select(*own, *(F.col(f"{side}.`{n}`").alias(n) for n in details), *variables))
         if not level and no_data is not None:
             empty = df.agg(F.count(F.lit(1)).alias("__n")).filter("__n = 0")
-            parts.append(empty.select(F.lit(no_data).alias("section"), F.array(F.lit("0")).alias(POSITION)))
-    own = df.select(*head("fielddetails", None, depth, 1), *(c.alias(n) for n, c in details.items()), *(F.col(c).alias(f"__o_{k}") for k, c in enumerate(order)))
+            parts.append(empty.select(*head(no_data, None, 0, 0, F.col)))
+    own = df.select(*head("fielddetails", None, depth, 1, F.col), *(c.alias(n) for n, c in details.items()), *(F.col(c).alias(f"{ORDER}{k}") for k, c in enumerate(order)))
     parts.append(own)
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
-    return out.drop("__order")
+    return out
 
 
-def in_output_order(report: DataFrame, orders: int, partitions: int | None = None) -> DataFrame:
+def _sort_keys(report: DataFrame) -> list[str]:
+    return [c for prefix in (POSITION, ORDER) for c in report.columns if c.startswith(prefix)]
+
+
+def in_output_order(report: DataFrame, partitions: int | None = None) -> DataFrame:
     """Rows as they are to be written: ranges of the output, each sorted; no single task takes all. Drops the sort keys."""
-    keys = [POSITION, *(f"__o_{k}" for k in range(orders))]
+    keys = _sort_keys(report)
     dealt = report.repartitionByRange(partitions, *keys) if partitions else report.repartitionByRange(*keys)
     return dealt.sortWithinPartitions(*keys).drop(*keys)
+
+
+def numbered(report: DataFrame, name: str = "line", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add each row's place in the output, from 1, instead of the sort keys."""
+    keys = _sort_keys(report)
+    return row_numbers(report, keys, name, rows_per_bucket).drop(*keys)

@@ -6,13 +6,13 @@ ignored ones too), lowest, highest. Rows whose `ignore` is true don't count.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.operators.prefix import ROWS_PER_BUCKET, running
+from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, running
 
 KINDS = ("count", "countall", "sum", "average", "averageall", "lowest", "highest")
 
@@ -99,6 +99,48 @@ def nested_totals(df: DataFrame, levels: Sequence[str], variables: Mapping[str,
     return found.withColumn(depth, F.lit(len(levels)) - F.bit_count("__id")).drop("__id")
 
 
-def custom_sum(initial: float, step: Column, order: Sequence[str], by: Sequence[str]) -> Column:
-    """A running fold that adds `step`: initial + step(1) + ... in each break."""
-    return F.lit(initial) + F.sum(step).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+@dataclass(frozen=True)
+class CustomVariable:
+    """A variable that the user spells out.
+
+    base: an expression of the row (a number, string or datetime; min and max take all three). intermed: how it runs (sum, count, min or
+    max) and a function of base; intermed2: the same, a function of base and intermed's result. result: a function of base,
+    intermed and intermed2. ignore: rows where it is true have a NULL base. initial: added to running sums.
+    """
+
+    base: Column
+    intermed: tuple[str, Callable[[Column], Column]]
+    intermed2: tuple[str, Callable[[Column, Column], Column]] | None = None
+    result: Callable[[Column, Column, Column], Column] = lambda base, intermed, intermed2: intermed
+    ignore: Column | None = None
+    initial: float | None = None
+
+    def kept(self) -> Column:
+        return self.base if self.ignore is None else F.when(~F.coalesce(self.ignore, F.lit(False)), self.base)
+
+    def started(self, kind: str, x: Column) -> Column:
+        return x if self.initial is None or kind != "sum" else F.lit(self.initial) + F.coalesce(x, F.lit(0))
+
+
+def custom_variables(df: DataFrame, order: Sequence[str], variables: Mapping[str, CustomVariable], by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Add the variables as they stand after each row. Two scans at most: intermed of all, then intermed2 of all."""
+    out = bucketed(df.withColumns({f"__base_{n}": v.kept() for n, v in variables.items()}), order, rows_per_bucket)
+    out = running(out, order, {f"__one_{n}": (v.intermed[0], v.intermed[1](F.col(f"__base_{n}"))) for n, v in variables.items()}, by)
+    out = out.withColumns({f"__one_{n}": v.started(v.intermed[0], F.col(f"__one_{n}")) for n, v in variables.items()})
+    second = {f"__two_{n}": (v.intermed2[0], v.intermed2[1](F.col(f"__base_{n}"), F.col(f"__one_{n}"))) for n, v in variables.items() if v.intermed2}
+    if second:
+        out = running(out, order, second, by)
+    for n, v in variables.items():
+        two = F.col(f"__two_{n}") if v.intermed2 else F.lit(None)
+        out = out.withColumn(n, v.result(F.col(f"__base_{n}"), F.col(f"__one_{n}"), two))
+    return out.drop(BUCKET, *(f"__{part}_{n}" for part in ("base", "one", "two") for n in variables))
+
+
+def custom_totals(df: DataFrame, keys: Sequence[str], variables: Mapping[str, CustomVariable]) -> DataFrame:
+    """keys and the variables over each whole group, as aggregates; intermed2 may use base alone there (its second argument is NULL), result not base."""
+    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+    parts = {f"__one_{n}": kinds[v.intermed[0]](v.intermed[1](v.kept())) for n, v in variables.items()}
+    parts |= {f"__two_{n}": kinds[v.intermed2[0]](v.intermed2[1](v.kept(), F.lit(None))) for n, v in variables.items() if v.intermed2}
+    out = df.groupBy(*keys).agg(*(x.alias(n) for n, x in parts.items()))
+    made = {n: v.result(F.lit(None), v.started(v.intermed[0], F.col(f"__one_{n}")), F.col(f"__two_{n}") if v.intermed2 else F.lit(None)) for n, v in variables.items()}
+    return out.select(*keys, *(x.alias(n) for n, x in made.items()))

@@ -12,16 +12,20 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tallyband.sources.casts import cast_columns
 
 
-def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, encoding: str = "UTF-8", sep: str = ",", columns: Sequence[str] | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, types: Mapping[str, str] | None = None, encoding: str = "UTF-8", sep: str = ",", columns: Sequence[str] | None = None, quotes: bool = True, line_ends: bool = False) -> DataFrame:
     """Header in the first line. Empty and missing cells are NULL, cells beyond the header are dropped.
 
+    quotes: cells may be quoted, with quotes in them doubled; without it all characters stand for themselves. line_ends: quoted cells
+    may hold line ends; files are then read whole, each by one task.
+
     columns: the header's names, if known; else the first line of the files is read for them. encoding: one that Spark reads;
     with spark.sql.legacy.javaCharsets any of Java's.
     """
+    options = {"header": True, "encoding": encoding, "sep": sep, "quote": '"' if quotes else "", "escape": '"' if quotes else "", "multiLine": line_ends}
     if columns is None:
-        columns = spark.read.csv(path, header=True, encoding=encoding, sep=sep).columns
+        columns = spark.read.csv(path, **options).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    table = spark.read.csv(path, header=True, schema=schema, encoding=encoding, sep=sep, mode="PERMISSIVE", nullValue="", enforceSchema=True)
+    table = spark.read.csv(path, schema=schema, mode="PERMISSIVE", nullValue="", enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
     return cast_columns(table, types or {})
 
 

@@ -112,7 +112,9 @@ def test_reading_values(one):
     assert one(*(cast_number(F.lit(x)) for x in ("yes", "F", "5e-1", " 7 ", "x", ""))) == (1, 0, 0.5, 7, None, None)
     T = datetime.datetime
     got = one(*(cast_datetime(F.lit(x)) for x in ("5/5/1980", "19800505061015", "1980-05-05 06:10:15.99", "1980-05-05T06:10p", "1/2/70", "1/2/68", "19800505", "1980-13-01", "noon", "5/5/1980 x")))
-    assert got == (T(1980, 5, 5), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 18, 10), T(1970, 2, 1), T(2068, 2, 1), T(1980, 5, 5), None, None, None)
+    assert got == (T(1980, 5, 5), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 18, 10), T(1970, 2, 1), T(2068, 2, 1), None, None, None, None)
+    got = one(*(cast_datetime(F.lit(x)) for x in ("2001-02-03 04:05 +01", "2001-02-03 04:05-0130", "2001-02-03 13:00p", "2001-02-03 24:00", None)))
+    assert got == (T(2001, 2, 3, 3, 5), T(2001, 2, 3, 5, 35), None, None, None)
     assert one(*(D.tstod(F.lit(x)) for x in ("061015p", "0610", "06:10p", "25:00", "6:1:2"))) == (65415, 22200, 65400, None, 21662)
 
 

@@ -5,14 +5,15 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tallyband.operators import breaks, fold, followers, prefix, projection, sections
-from tallyband.operators.variables import Variable, custom_sum, grand_totals, group_totals, in_rounds, running_variables
+from tallyband.operators.variables import CustomVariable, Variable, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, running_variables
 
-PEOPLE = [(1, "Fred", 31.0, 1), (2, "Barney", 29.0, 1), (3, "Bamm-Bamm", 2.0, 1), (4, "Wilma", 28.0, 0), (5, "Betty", 27.0, 0), (6, "Pebbles", 0.5, 0)]
+#: Boats: id, name, length, under sail.
+BOATS = [(1, "Heron", 40.0, 1), (2, "Otter", 22.5, 1), (3, "Wren", 3.0, 1), (4, "Badger", 35.0, 0), (5, "Lynx", 19.0, 0), (6, "Mole", 1.5, 0)]
 
 
 @pytest.fixture
-def people(spark):
-    return spark.createDataFrame(PEOPLE, "id int, name string, age double, male int")
+def boats(spark):
+    return spark.createDataFrame(BOATS, "id int, name string, length double, sail int")
 
 
 @pytest.mark.parametrize(("per_bucket", "partitions"), [(3, 1), (7, 32), (1000, 4)])
@@ -46,10 +47,39 @@ def test_one_key_with_most_rows(spark):
     assert out.filter("k <> 0").agg(F.max("n")).first()[0] == 1
 
 
-def test_nested_breaks(people):
-    out = breaks.break_islands(people.withColumn("adult", F.col("age") > 18), ["id"], {"male": ["male"], "adult": ["adult"]}, rows_per_bucket=2).orderBy("id").collect()
-    assert [(r.male_starts, r.adult_starts) for r in out] == [(True, True), (False, False), (False, True), (True, True), (False, False), (False, True)]
-    assert [(r.male_no, r.adult_no) for r in out] == [(1, 1), (1, 1), (1, 2), (2, 3), (2, 3), (2, 4)]
+def test_buckets_are_spread_over_tasks(spark):
+    """Above a few thousand rows no scan runs in one task, nor does one break of nine tenths of the rows."""
+    table = spark.range(9000).select(F.col("id"), F.when(F.col("id") % 10 < 9, 0).otherwise(F.col("id")).alias("k"), (F.col("id") % 7 + 1).alias("v"))
+    made = {
+        "rows": prefix.row_numbers(table, ["id"]),
+        "breaks": breaks.break_row_numbers(table, ["id"], ["k"]),
+        "growth": fold.iterate(table, F.lit(1.0), 1 + F.col("v") / 1000, ["id"], ["k"], "g"),
+        "fold": fold.running_fold(table, lambda x, v: (x * 3 + v) % 101, 5, "v", ["id"], ["k"], "f", "bigint", fold.affine(3, 101)),
+        "whole fold": fold.running_fold(table, lambda x, v: (x * 3 + v) % 101, 5, "v", ["id"], [], "f", "bigint", fold.affine(3, 101)),
+    }
+    for name, df in made.items():
+        sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        # a join of few bytes may be put together in one task at the end; the buckets may not
+        assert sum(sizes) == 9000 and (max(sizes) < 9000 or name == "fold"), name
+    rows = made["whole fold"].orderBy("id").collect()
+    x = 5
+    for r in rows:
+        x = (x * 3 + r.v) % 101
+        assert r.f == x
+    last = made["fold"].filter("k = 0").orderBy(F.desc("id")).first()
+    x = 5
+    for i in range(9000):
+        if i % 10 < 9:
+            x = (x * 3 + i % 7 + 1) % 101
+    assert last.f == x
+    assert breaks.break_row_numbers(table, ["id"], ["k"]).filter("k = 0").agg(F.max("brrownum")).first()[0] == 8100
+    assert breaks.matched(table, ["id"], "k").agg(F.sum("matched")).first()[0] == 8099
+
+
+def test_nested_breaks(boats):
+    out = breaks.break_islands(boats.withColumn("long", F.col("length") > 10), ["id"], {"sail": ["sail"], "long": ["long"]}, rows_per_bucket=2).orderBy("id").collect()
+    assert [(r.sail_starts, r.long_starts) for r in out] == [(True, True), (False, False), (False, True), (True, True), (False, False), (False, True)]
+    assert [(r.sail_no, r.long_no) for r in out] == [(1, 1), (1, 1), (1, 2), (2, 3), (2, 3), (2, 4)]
 
 
 def test_null_break_fields_always_differ(spark):
@@ -57,13 +87,13 @@ def test_null_break_fields_always_differ(spark):
     assert [r.f_starts for r in breaks.break_flags(table, ["id"], {"f": ["f"]}).orderBy("id").collect()] == [True, True, True, False]
 
 
-def test_averages_before_and_without_outliers(spark, people):
-    assert grand_totals(people, {"a": Variable("average", F.col("age"))}).first().a == pytest.approx(19.583333, abs=1e-6)
-    ages = spark.createDataFrame([(k, a) for k, a in enumerate([31.0, 28.0, 0.5, 27.0, 29.0, 53.0, 33.0, 37.0, 1200.0])], "id int, age double")
-    ignore = F.col("age") > 0.9 * F.col("top")
-    rows = in_rounds(ages, [([], {"top": Variable("highest", F.col("age")), "mean": Variable("average", F.col("age"))}), ([], {"fair": Variable("average", F.col("age"), ignore)})])
+def test_averages_before_and_without_outliers(spark, boats):
+    assert grand_totals(boats, {"a": Variable("average", F.col("length"))}).first().a == pytest.approx(121 / 6)
+    lengths = spark.createDataFrame([(k, x) for k, x in enumerate([10.0, 20.0, 30.0, 40.0, 900.0])], "id int, length double")
+    ignore = F.col("length") > 0.9 * F.col("top")
+    rows = in_rounds(lengths, [([], {"top": Variable("highest", F.col("length")), "mean": Variable("average", F.col("length"))}), ([], {"fair": Variable("average", F.col("length"), ignore)})])
     got = rows.first()
-    assert (got.top, got.mean, got.fair) == (1200, pytest.approx(159.833333, abs=1e-6), pytest.approx(29.8125))
+    assert (got.top, got.mean, got.fair) == (900, 200, 25)
 
 
 def test_variables_of_nothing_and_ignored_rows(spark):
@@ -77,26 +107,27 @@ def test_variables_of_nothing_and_ignored_rows(spark):
 
 
 def test_matched_never_matches_null(spark):
-    table = spark.createDataFrame([(1, "F"), (2, "R"), (3, "R"), (4, "F"), (5, None), (6, None)], "id int, surname string")
-    assert [r.matched for r in breaks.matched(table, ["id"], "surname").orderBy("id").collect()] == [0, 0, 1, 1, 0, 0]
+    table = spark.createDataFrame([(1, "p"), (2, "q"), (3, "q"), (4, "p"), (5, None), (6, None)], "id int, port string")
+    assert [r.matched for r in breaks.matched(table, ["id"], "port").orderBy("id").collect()] == [0, 0, 1, 1, 0, 0]
 
 
-BOSSES = [("1", "Snow White"), ("2", "Batman"), ("3", "Cinderella"), ("4", "Hansel"), ("5", "Little Red Riding Hood"), ("6", "Robin Hood")]
-SIDEKICKS = [("1", "1", "Doc"), ("2", "1", "Dopey"), ("3", "1", "Sneezy"), ("4", "1", "Happy"), ("5", "1", "Bashful"), ("6", "1", "Sleepy"), ("7", "1", "Grumpy"), ("8", "2", "Robin"), ("9", "3", "Fairy Godmother"), ("10", "3", "Mice"), ("11", "3", "Pidgeons"), ("12", "4", "Gretel"), ("13", "6", "Little John")]
-THEIRS = [("3", "Coughy"), ("3", "Crippley"), ("9", "Prince Charming"), ("9", "Shrek"), ("13", "Will Scarlet"), ("13", "Brother Tuck")]
+#: Ports, their quays (none at the fourth) and the quays' cranes (at some only).
+PORTS = [("1", "Ness"), ("2", "Holm"), ("3", "Vik"), ("4", "Sund")]
+QUAYS = [("10", "1", "north"), ("11", "1", "east"), ("12", "1", "west"), ("13", "2", "old"), ("14", "3", "fish"), ("15", "3", "coal")]
+CRANES = [("11", "red"), ("11", "blue"), ("13", "grey"), ("15", "green"), ("15", "black")]
 
 
 def test_chains_and_first_matches(spark):
-    boss = spark.createDataFrame(BOSSES, "id string, name string")
-    kick = spark.createDataFrame(SIDEKICKS, "kid string, boss_id string, kick string").withColumn("ord", F.col("kid").cast("int"))
-    their = spark.createDataFrame(THEIRS, "sk_id string, theirs string")
-    rows = followers.chain(boss, (kick, F.col("id") == F.col("boss_id")), (their, F.col("kid") == F.col("sk_id"))).collect()
-    assert len(rows) == 17 and [tuple(r)[2:] for r in rows if r.id == "5"] == [(None,) * 6]
-    assert sorted(r.theirs for r in rows if r.id == "1" and r.theirs) == ["Coughy", "Crippley"]
-    first = followers.first_match(boss, kick, {"id": "boss_id"}, ["ord"]).orderBy("id").collect()
-    assert [r.kick for r in first] == ["Doc", "Robin", "Fairy Godmother", "Gretel", None, "Little John"]
-    same = followers.first_match_where(boss, ["id"], kick, F.col("id") == F.col("boss_id"), ["ord"]).orderBy("id").collect()
-    assert [r.kick for r in same] == [r.kick for r in first]
+    port = spark.createDataFrame(PORTS, "id string, name string")
+    quay = spark.createDataFrame(QUAYS, "quay string, port_id string, side string").withColumn("ord", -F.col("quay").cast("int"))
+    crane = spark.createDataFrame(CRANES, "at string, crane string")
+    rows = followers.chain(port, (quay, F.col("id") == F.col("port_id")), (crane, F.col("quay") == F.col("at"))).collect()
+    assert len(rows) == 9 and [tuple(r)[2:] for r in rows if r.id == "4"] == [(None,) * 6]
+    assert sorted(r.crane for r in rows if r.id == "1" and r.crane) == ["blue", "red"]
+    first = followers.first_match(port, quay, {"id": "port_id"}, ["ord"]).orderBy("id").collect()
+    assert [r.side for r in first] == ["west", "old", "coal", None]
+    same = followers.first_match_where(port, ["id"], quay, F.col("id") == F.col("port_id"), ["ord"]).orderBy("id").collect()
+    assert [r.side for r in same] == [r.side for r in first]
 
 
 def test_zip(spark):
@@ -123,44 +154,86 @@ def test_links():
             followers.check_links(bad)
 
 
-def test_projection(spark, people):
-    described = spark.createDataFrame([(2, "double_age", "age * 2"), (1, "who", "upper(name)")], "k int, label string, value string")
-    assert projection.generated_columns(people, described, "label", "value", ["k"]).columns == ["who", "double_age"]
-    assert projection.with_first_row(people, described.filter("k > 5"), ["k"]).filter("label IS NOT NULL").count() == 0
-    assert projection.with_first_row(people, described.select("label", "k"), ["k"]).select("label").distinct().collect() == [Row(label="who")]
-    assert projection.suppress_lines(people, F.col("age") > 28).count() == 4
-    assert people.select(projection.parameter({}, "x").alias("x")).first().x is None
+def test_projection(spark, boats):
+    described = spark.createDataFrame([(2, "twice", "length * 2"), (1, "who", "upper(name)")], "k int, label string, value string")
+    assert projection.generated_columns(boats, described, "label", "value", ["k"]).columns == ["who", "twice"]
+    assert projection.with_first_row(boats, described.filter("k > 5"), ["k"]).filter("label IS NOT NULL").count() == 0
+    assert projection.with_first_row(boats, described.select("label", "k"), ["k"]).select("label").distinct().collect() == [Row(label="who")]
+    assert projection.suppress_lines(boats, F.col("length") > 22).count() == 3
+    assert boats.select(projection.parameter({}, "x").alias("x")).first().x is None
 
 
-def test_folds(spark, people):
-    words = spark.createDataFrame([(1, "bad"), (2, "old"), (3, None), (4, "ladies")], "id int, t string").withColumn("g", F.lit(1))
+def test_folds(spark, boats):
+    words = spark.createDataFrame([(1, "tide"), (2, "under"), (3, None), (4, "gull")], "id int, t string").withColumn("g", F.lit(1))
     got = fold.string_fold(words, F.upper(F.left("t", F.lit(1))), ["id"], ["g"], "letters").orderBy("id").collect()
-    assert [r.letters for r in got] == ["B", "BO", "BO", "BOL"]
-    out = fold.running_fold(people, max, 0.0, "age", ["id"], ["male"], "top", "double").orderBy("id").collect()
-    assert [r.top for r in out] == [31, 31, 31, 28, 28, 28]
-    assert [r.c for r in people.withColumn("c", custom_sum(1, F.col("male"), ["id"], ["male"])).orderBy("id").collect()] == [2, 3, 4, 1, 1, 1]
+    assert [r.letters for r in got] == ["T", "TU", "TU", "TUG"]
+    out = fold.running_fold(boats, max, 0.0, "length", ["id"], ["sail"], "top", "double").orderBy("id").collect()
+    assert [r.top for r in out] == [40, 40, 40, 35, 35, 35]
     with pytest.raises(ValueError):
-        fold.running_fold(people, max, 0.0, "age", ["id"], [], "top", "double")
+        fold.running_fold(boats, max, 0.0, "length", ["id"], [], "top", "double")
+
+
+@pytest.mark.parametrize("per_bucket", [2, 1000])
+def test_custom_variables(boats, per_bucket):
+    made = {
+        "average": CustomVariable(F.col("length"), ("sum", lambda b: b), ("count", lambda b, s: b), lambda b, s, n: s / n, ignore=F.col("name") == "Otter"),
+        "from_one": CustomVariable(F.col("sail"), ("sum", lambda b: b), initial=1),
+        "first_name": CustomVariable(F.col("name"), ("min", lambda b: b)),
+    }
+    out = custom_variables(boats, ["id"], made, ["sail"], per_bucket).orderBy("id").collect()
+    assert [r.average for r in out] == [40, 40, 21.5, 35, 27, 18.5]
+    assert [r.from_one for r in out] == [2, 3, 4, 1, 1, 1]
+    assert [r.first_name for r in out] == ["Heron", "Heron", "Heron", "Badger", "Badger", "Badger"]
+    totals = {r.sail: r for r in custom_totals(boats, ["sail"], made).collect()}
+    assert (totals[1].average, totals[0].average, totals[1].from_one, totals[0].first_name) == (21.5, 18.5, 4, "Badger")
+
+
+def test_user_aggregate(spark):
+    """A group of most rows is taken in parts; NULL keys are a group."""
+    table = spark.createDataFrame([(None if k % 50 == 0 else "big" if k % 10 else "small", k) for k in range(1000)], "g string, v long")
+    out = fold.user_aggregate(table, ["g"], "v", lambda: [0, 0], lambda s, v: [s[0] + int(v), s[1] + 1], lambda a, b: [int(a[0] + b[0]), int(a[1] + b[1])], lambda s: s[0] / s[1], "mean", "double", "array<bigint>", parts=7)
+    want = {}
+    for g, v in [(r.g, r.v) for r in table.collect()]:
+        want.setdefault(g, []).append(v)
+    assert {r.g: r["mean"] for r in out.collect()} == {g: sum(v) / len(v) for g, v in want.items()}
 
 
 def test_sections_in_order(spark):
-    rows = [(1, "Germany", "Berlin", 3), (2, "Germany", "Bonn", 1), (3, "Monaco", None, 2), (4, "Monaco", "x", 5), (5, None, "Rome", 4)]
-    table = spark.createDataFrame(rows, "id int, country string, city string, population int")
-    report = sections.sectioned(table, ["id"], ["country", "city"], {"n": F.col("id")}, {"people": Variable("sum", F.col("population"))}, suppress_blank=True)
-    got = [(r.section, r.break_name, r.country, r.city, r.n, r.people) for r in sections.in_output_order(report, 1, 3).collect()]
+    rows = [(1, "north", "Ness", 3), (2, "north", "Orme", 1), (3, "south", None, 2), (4, "south", "x", 5), (5, None, "Holm", 4)]
+    table = spark.createDataFrame(rows, "id int, coast string, port string, boats int")
+    report = sections.sectioned(table, ["id"], ["coast", "port"], {"n": F.col("id")}, {"all_boats": Variable("sum", F.col("boats"))}, suppress_blank=True)
+    got = [(r.section, r.break_name, r.coast, r.port, r.n, r.all_boats) for r in sections.in_output_order(report, 3).collect()]
     details = lambda i, a, b: ("fielddetails", None, a, b, i, None)
     assert got == [
         ("reportheader", None, None, None, 1, 15),
-        ("break_header", "city", None, "Rome", 5, 4), details(5, None, "Rome"), ("break_footer", "city", None, "Rome", 5, 4),
-        ("break_header", "country", "Germany", None, 1, 4),
-        ("break_header", "city", "Germany", "Berlin", 1, 3), details(1, "Germany", "Berlin"), ("break_footer", "city", "Germany", "Berlin", 1, 3),
-        ("break_header", "city", "Germany", "Bonn", 2, 1), details(2, "Germany", "Bonn"), ("break_footer", "city", "Germany", "Bonn", 2, 1),
-        ("break_footer", "country", "Germany", None, 2, 4),
-        ("break_header", "country", "Monaco", None, 3, 7),
-        details(3, "Monaco", None),
-        ("break_header", "city", "Monaco", "x", 4, 5), details(4, "Monaco", "x"), ("break_footer", "city", "Monaco", "x", 4, 5),
-        ("break_footer", "country", "Monaco", None, 4, 7),
+        ("break_header", "port", None, "Holm", 5, 4), details(5, None, "Holm"), ("break_footer", "port", None, "Holm", 5, 4),
+        ("break_header", "coast", "north", None, 1, 4),
+        ("break_header", "port", "north", "Ness", 1, 3), details(1, "north", "Ness"), ("break_footer", "port", "north", "Ness", 1, 3),
+        ("break_header", "port", "north", "Orme", 2, 1), details(2, "north", "Orme"), ("break_footer", "port", "north", "Orme", 2, 1),
+        ("break_footer", "coast", "north", None, 2, 4),
+        ("break_header", "coast", "south", None, 3, 7),
+        details(3, "south", None),
+        ("break_header", "port", "south", "x", 4, 5), details(4, "south", "x"), ("break_footer", "port", "south", "x", 4, 5),
+        ("break_footer", "coast", "south", None, 4, 7),
         ("reportfooter", None, None, None, 5, 15),
     ]
-    none = sections.sectioned(table.limit(0), ["id"], ["country"], {"n": F.col("id")}, {}, no_data="nodata")
+    numbered = sections.numbered(report, rows_per_bucket=4).orderBy("line").collect()
+    assert [(r.section, r.break_name, r.coast, r.port, r.n, r.all_boats) for r in numbered] == got
+    none = sections.sectioned(table.limit(0), ["id"], ["coast"], {"n": F.col("id")}, {}, no_data="nodata")
     assert [r.section for r in none.collect()] == ["nodata"]
+
+
+def test_numeric_breaks_sort_as_numbers(spark):
+    table = spark.createDataFrame([(k, v) for k, v in enumerate([9, 10, -1, 100])], "id int, v int")
+    report = sections.in_output_order(sections.sectioned(table, ["id"], ["v"], {"n": F.col("id")}, {}), 2)
+    assert [r.v for r in report.collect() if r.section == "fielddetails"] == [-1, 9, 10, 100]
+
+
+def test_sections_over_islands(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, None)], "id int, g string")
+    report = sections.sectioned(table, ["id"], ["g"], {"n": F.col("id")}, {"rows": Variable("countall")}, islands=True, suppress_blank=True)
+    got = [(r.section[-6:], r.g, r.n, r.rows) for r in sections.in_output_order(report, 2).collect()]
+    assert got == [
+        ("header", None, 1, 6), ("header", "a", 1, 2), ("etails", "a", 1, None), ("etails", "a", 2, None), ("footer", "a", 2, 2), ("header", "b", 3, 1), ("etails", "b", 3, None), ("footer", "b", 3, 1),
+        ("header", "a", 4, 1), ("etails", "a", 4, None), ("footer", "a", 4, 1), ("etails", None, 5, None), ("etails", None, 6, None), ("footer", None, 6, 6),
+    ]
