@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import remainder, text_or_empty
+from tallyband.llm.common import mapped, remainder, text_or_empty
 
 SAMPLE_DOCS = 3_000
 WINDOWS_EACH = 2
@@ -283,7 +283,7 @@ def predict(docs: DataFrame, net: Network | None) -> DataFrame:
     rows = _rows(docs)
     if net is None:
         return rows.select("doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    return rows.mapInArrow(_label(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, lang_pred string, score double")
+    return mapped(rows, _label(docs.sparkSession.sparkContext.broadcast(net)), "doc_id long, lang_pred string, score double")
 
 
 def labelled_runs(docs: DataFrame, net: Network) -> DataFrame:
@@ -306,7 +306,7 @@ def labelled_runs(docs: DataFrame, net: Network) -> DataFrame:
                 columns = [pa.array([doc_id] * len(cuts), pa.int64()), pa.array(cuts), pa.array(stops), pa.array([shared.value.languages[label[c]] for c in cuts], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "stop", "lang"])
 
-    return _rows(docs).mapInArrow(run, "doc_id long, start long, stop long, lang string")
+    return mapped(_rows(docs), run, "doc_id long, start long, stop long, lang string")
 
 
 def identified(docs: DataFrame) -> DataFrame:

@@ -7,9 +7,10 @@ max(d - outer, inner - d) from all in an annulus, which bounds their inner produ
 the sample that the pivots were fitted on, visits its most promising annuli, which raises that score, and then expands
 all others whose bound reaches it; the rest can't hold a result. Inside an annulus the same bound cuts its sorted rows.
 
-The pivots are fitted on at most SAMPLE vectors, chosen by a hash of their ids; every vector is indexed. Annuli are a fixed
-number; their rows are stored in chunks, so an annulus of any size is spread over tasks. Only pivots, annuli and the
-sample, all of fixed size, are sent to tasks whole.
+The pivots are fitted on at most SAMPLE vectors, chosen by a hash of their ids; every vector is indexed. Pivots grow with the
+cube root of the rows, up to an eighth of the sample. An annulus is dealt to slices of some SLICE chunks, each a key of its own
+in the join, so one of any size is spread over tasks. Only pivots, annuli and the sample, all of bounded size, are sent to tasks
+whole. Vectors are stored with a number for each row before anything else, so that all steps mean the same row by it.
 
 Defined results: vectors that are null, hold null or non-finite components, or have a null id take no part; shorter ones are
 padded with zeros; a repeated row is a candidate for its twin; ties go to the smaller vec_id; an empty table gives an
@@ -27,12 +28,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import BROADCAST_TAGS, row_tag, work_table
+from tallyband.llm.common import BROADCAST_TAGS, mapped, row_tag, work_table
 
 SAMPLE = 4096
 PIVOTS = 32
 RINGS = 8
 CHUNK = 2048
+#: Chunks of a slice.
+SLICE = 8
 #: Annuli that each query visits before the others are bounded.
 FIRST = 2
 #: Queries taken together.
@@ -59,6 +62,7 @@ class Index:
     bounds: np.ndarray | None = None
     inner: np.ndarray | None = None
     outer: np.ndarray | None = None
+    slices: np.ndarray | None = None
 
     def lifted(self, x: np.ndarray) -> np.ndarray:
         return np.concatenate([x, np.sqrt(np.maximum(0, self.norm2 - (x * x).sum(axis=1)))[:, None]], axis=1)
@@ -117,7 +121,7 @@ def _fit(rows: DataFrame) -> Index | None:
     order = np.argsort(picked.column("tag").to_numpy()) if picked.num_rows else np.empty(0, np.int64)
     found = Index(dim, norm2, np.zeros((1, dim + 1)), sample[order], picked.column("tag").to_numpy()[order] if picked.num_rows else order)
     if len(sample):
-        found = Index(dim, norm2, fit_pivots(found.lifted(found.sample), PIVOTS), found.sample, found.sample_tags)
+        found = Index(dim, norm2, fit_pivots(found.lifted(found.sample), min(SAMPLE // 8, max(PIVOTS, round(n ** (1 / 3))))), found.sample, found.sample_tags)
     return found
 
 
@@ -139,19 +143,19 @@ def _assign(shared: Broadcast):
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one annulus together, sorted by distance, up to CHUNK in a chunk."""
+    """Rows of one slice of an annulus together, sorted by distance, up to CHUNK in a chunk."""
     held: list[tuple] = []
 
     def chunk() -> pa.RecordBatch:
-        key = held[0][:2]
-        packed = [np.array([h[k] for h in held], t).tobytes() for k, t in ((2, np.float64), (3, np.int64), (4, np.int64))]
-        values = [*key, *packed, b"".join(h[5] for h in held)]
-        kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pivot", "ring", "dists", "ids", "tags", "data"])
+        key = held[0][:3]
+        packed = [np.array([h[k] for h in held], t).tobytes() for k, t in ((3, np.float64), (4, np.int64), (5, np.int64))]
+        values = [*key, *packed, b"".join(h[6] for h in held)]
+        kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=["pivot", "ring", "slice", "dists", "ids", "tags", "data"])
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "ring", "dist", "vec_id", "tag", "v")), strict=True):
-            if held and (held[0][:2] != row[:2] or len(held) == CHUNK):
+        for row in zip(*(batch.column(c).to_pylist() for c in ("pivot", "ring", "slice", "dist", "vec_id", "tag", "v")), strict=True):
+            if held and (held[0][:3] != row[:3] or len(held) == CHUNK):
                 yield chunk()
                 held = []
             held.append(row)
@@ -162,7 +166,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build(rows: DataFrame, index: Index) -> tuple[DataFrame, DataFrame, Index]:
     """The packed vectors, the chunks of all annuli, and the index with its annuli's bounds."""
     sc = rows.sparkSession.sparkContext
-    packed = work_table(rows.mapInArrow(_assign(sc.broadcast(index)), "tag long, vec_id long, pivot int, dist double, v binary"), "pivot-vectors")
+    packed = work_table(mapped(rows, _assign(sc.broadcast(index)), "tag long, vec_id long, pivot int, dist double, v binary"), "pivot-vectors")
     cuts = [k / RINGS for k in range(1, RINGS)]
     bounds = np.full((len(index.pivots), RINGS - 1), np.inf)
     for pivot, at in packed.groupBy("pivot").agg(F.percentile_approx("dist", cuts, 1000)).collect():  # a row a pivot
@@ -171,16 +175,20 @@ def build(rows: DataFrame, index: Index) -> tuple[DataFrame, DataFrame, Index]:
     ring = F.size(F.filter(F.get(table, F.col("pivot")), lambda b: F.col("dist") > b))
     keyed = packed.withColumn("ring", ring)
     inner, outer = np.full(len(index.pivots) * RINGS, np.inf), np.full(len(index.pivots) * RINGS, -np.inf)
-    for pivot, k, low, high in keyed.groupBy("pivot", "ring").agg(F.min("dist"), F.max("dist")).collect():  # a row an annulus
-        inner[pivot * RINGS + k], outer[pivot * RINGS + k] = low, high
-    order = ["pivot", "ring", "dist", "vec_id", "tag"]
+    slices = np.zeros(len(inner), np.int64)
+    for pivot, k, low, high, n in keyed.groupBy("pivot", "ring").agg(F.min("dist"), F.max("dist"), F.count(F.lit(1))).collect():  # a row an annulus
+        at = pivot * RINGS + k
+        inner[at], outer[at], slices[at] = low, high, -(-n // (SLICE * CHUNK))
+    of_annulus = F.get(F.array(*map(F.lit, slices.tolist())), F.col("pivot") * RINGS + F.col("ring"))
+    keyed = keyed.withColumn("slice", F.pmod(F.xxhash64("tag"), of_annulus).cast("int"))
+    order = ["pivot", "ring", "slice", "dist", "vec_id", "tag"]
     sorted_rows = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
-    chunks = work_table(sorted_rows.mapInArrow(_chunks, "pivot int, ring int, dists binary, ids binary, tags binary, data binary"), "pivot-chunks")
-    return packed, chunks, Index(index.dim, index.norm2, index.pivots, index.sample, index.sample_tags, bounds, inner, outer)
+    chunks = work_table(mapped(sorted_rows, _chunks, "pivot int, ring int, slice int, dists binary, ids binary, tags binary, data binary"), "pivot-chunks")
+    return packed, chunks, Index(index.dim, index.norm2, index.pivots, index.sample, index.sample_tags, bounds, inner, outer, slices)
 
 
 def _visits(shared: Broadcast, k: int, first: bool):
-    """Rows (pivot, ring, queries that visit it with their least score)."""
+    """Rows (pivot, ring, slice, queries that visit it with their least score)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
@@ -205,16 +213,17 @@ def _visits(shared: Broadcast, k: int, first: bool):
                 out = []
                 for a in np.flatnonzero(visit.any(axis=0)).tolist():
                     own = visit[:, a]
-                    out.append((a // RINGS, a % RINGS, tags[own].tobytes(), ids[own].tobytes(), least[own].tobytes(), q[own].tobytes()))
+                    packed = [x[own].tobytes() for x in (tags, ids, least, q)]
+                    out += [(a // RINGS, a % RINGS, k, *packed) for k in range(int(index.slices[a]))]
                 if out:
-                    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 4]
-                    names = ["pivot", "ring", "q_tags", "q_ids", "q_least", "q_data"]
+                    kinds = [*[pa.int32()] * 3, *[pa.binary()] * 4]
+                    names = ["pivot", "ring", "slice", "q_tags", "q_ids", "q_least", "q_data"]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     return run
 
 
-VISIT = "pivot int, ring int, q_tags binary, q_ids binary, q_least binary, q_data binary"
+VISIT = "pivot int, ring int, slice int, q_tags binary, q_ids binary, q_least binary, q_data binary"
 HIT = "q_tag long, query_id long, vec_id long, score long"
 
 
@@ -227,7 +236,7 @@ def _expand(shared: Broadcast, k: int):
             given = {c: batch.column(c) for c in batch.schema.names}
             for k_row in range(batch.num_rows):
                 # read in place: a batch holds many matrices
-                row = {c: x[k_row].as_buffer() for c, x in given.items() if c not in ("pivot", "ring")}
+                row = {c: x[k_row].as_buffer() for c, x in given.items() if c not in ("pivot", "ring", "slice")}
                 tags, ids, least = (np.frombuffer(row[c], np.int64) for c in ("q_tags", "q_ids", "q_least"))
                 q = np.frombuffer(row["q_data"], np.float64).reshape(-1, index.dim)
                 dists = np.frombuffer(row["dists"], np.float64)
@@ -256,7 +265,7 @@ def _expand(shared: Broadcast, k: int):
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with all other rows. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
-    rows = quantised(vectors, scale)
+    rows = work_table(quantised(vectors, scale), "pivot-rows")
     index = _fit(rows)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -268,8 +277,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256) -> DataFra
     place = F.row_number().over(Window.partitionBy("q_tag").orderBy(F.desc("score"), "vec_id"))
 
     def search(asked: DataFrame, first: bool) -> DataFrame:
-        visits = asked.mapInArrow(_visits(shared, k, first), VISIT)
-        hits = visits.join(chunks, ["pivot", "ring"]).mapInArrow(_expand(shared, k), HIT)
+        visits = mapped(asked, _visits(shared, k, first), VISIT)
+        hits = mapped(visits.join(chunks, ["pivot", "ring", "slice"]), _expand(shared, k), HIT)
         return hits.withColumn("rank", place).filter(F.col("rank") <= k)
 
     early = work_table(search(queries, True), "pivot-early")

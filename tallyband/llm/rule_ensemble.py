@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import drop_rows, remainder, stored_tag, tagged, text_or_empty
+from tallyband.llm.common import drop_rows, mapped, remainder, stored_tag, tagged, text_or_empty
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 4_000
@@ -109,7 +109,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def statistics(docs: DataFrame) -> DataFrame:
     """doc_id and STATISTICS of every row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("data"))
-    return rows.mapInArrow(_measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return mapped(rows, _measure, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 # --- fitting ------------------------------------------------------------------------------------------------------------

@@ -1,8 +1,9 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes into one of `n_slots` slots, which never change. Bytes are summed per slot (at most n_slots
-rows, so that table may go to the driver), and a small versioned map says which shard holds which slot. Adding
-shards or evening out sizes edits the map: whole slots move, records are never hashed anew.
+Every record hashes into one of `n_slots` slots, which never change. A small versioned map says which shard holds which
+slot; its first version deals slots out evenly, before any record is seen. Bytes are summed per slot (at most n_slots rows,
+so that table may go to the driver). Adding shards or evening out sizes edits the map into its next version: whole
+slots move, most stay, records are never hashed anew.
 
 Defined results: a null text counts as 0 bytes; a null id hashes by the text alone; repeated rows share a slot;
 an empty table gives an empty result; only the id and text columns are read, so other columns cannot clash.
@@ -20,6 +21,8 @@ from tallyband.llm.common import text_or_empty, work_path
 
 N_SLOTS = 4096
 ROW_OVERHEAD = 16
+#: What a shard may hold over the mean before slots leave it.
+SLACK = 0.0005
 
 
 @dataclass
@@ -73,30 +76,25 @@ def slot_totals(slotted: DataFrame) -> DataFrame:
     return slotted.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("size").alias("n_bytes"))
 
 
-def first_map(n_bytes: dict[int, int], shards: int, n_slots: int = N_SLOTS) -> SlotMap:
-    """Largest slots first, each to the shard with the fewest bytes so far."""
-    heap = [(0, 0, shard) for shard in range(shards)]
-    shard_of = [0] * n_slots
-    for slot in sorted(range(n_slots), key=lambda s: (-n_bytes.get(s, 0), s)):
-        size, slots, shard = heapq.heappop(heap)
-        shard_of[slot] = shard
-        heapq.heappush(heap, (size + n_bytes.get(slot, 0), slots + 1, shard))
-    return SlotMap(1, shards, shard_of)
+def first_map(shards: int, n_slots: int = N_SLOTS) -> SlotMap:
+    """Slots in turn: what is known before any record is."""
+    return SlotMap(1, shards, [slot % shards for slot in range(n_slots)])
 
 
-def rebalanced(old: SlotMap, n_bytes: dict[int, int], shards: int, slack: float = 0.02) -> SlotMap:
-    """The next version: slots leave shards that are gone or hold over (1 + slack) of the mean; others stay."""
+def rebalanced(old: SlotMap, n_bytes: dict[int, int], shards: int, slack: float = SLACK) -> SlotMap:
+    """The next version: slots leave shards that are gone or would hold over (1 + slack) of the mean, small ones first; others stay."""
     mean = sum(n_bytes.values()) / shards
     held = [0] * shards
     stay: list[int | None] = [None] * len(old.shard_of)
-    for slot in sorted(range(len(stay)), key=lambda s: (-n_bytes.get(s, 0), s)):
+    order = sorted(range(len(stay)), key=lambda s: (-n_bytes.get(s, 0), s))
+    for slot in order:
         shard, size = old.shard_of[slot], n_bytes.get(slot, 0)
         if shard < shards and (held[shard] + size <= mean * (1 + slack) or not size):
             stay[slot] = shard
             held[shard] += size
     heap = [(size, shard) for shard, size in enumerate(held)]
     heapq.heapify(heap)
-    for slot in sorted((s for s in range(len(stay)) if stay[s] is None), key=lambda s: (-n_bytes.get(s, 0), s)):
+    for slot in (s for s in order if stay[s] is None):
         size, shard = heapq.heappop(heap)
         stay[slot] = shard
         heapq.heappush(heap, (size + n_bytes.get(slot, 0), shard))
@@ -132,13 +130,16 @@ def place(slotted: DataFrame, slot_map: DataFrame, totals: DataFrame) -> DataFra
 def shard_documents(docs: DataFrame, shards: int = 40, n_slots: int = N_SLOTS, map_path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, virtual_slot, map_version of each document.
 
-    Sizes of the shards are near equal (law `bytes`). The map is stored as a table at map_path.
+    Sizes of the shards are near equal (law `bytes`). The map is stored as a table at map_path: the newest version there, or the
+    first one if there is none, is edited into the next.
     """
     spark = docs.sparkSession
     slotted = hash_into_slots(docs, n_slots)
     totals = slot_totals(slotted).collect()  # at most n_slots rows
-    made = first_map({r["virtual_slot"]: r["n_bytes"] for r in totals}, shards, n_slots)
-    map_path = map_path or work_path(spark, "slot-map")
+    if map_path is None:
+        map_path = work_path(spark, "slot-map")
+        first_map(shards, n_slots).save(spark, map_path)
+    made = rebalanced(SlotMap.load(spark, map_path), {r["virtual_slot"]: r["n_bytes"] for r in totals}, shards)
     made.save(spark, map_path)
     counted = spark.createDataFrame([(r["virtual_slot"], r["n_rows"]) for r in totals], "virtual_slot int, n_rows long")
     placed = place(slotted, SlotMap.frame(spark, map_path, made.version), counted)

@@ -57,3 +57,32 @@ def test_bounds_stop_most_annuli(spark):
     least = np.sort(q @ x.T, axis=1)[:, -6]
     visited = (index.best_possible(q) >= least[:, None]).mean()
     assert visited < 0.35
+
+
+def test_rows_are_the_same_however_scans_split_the_files(spark, tmp_path):
+    """As where cores join or leave between two scans: a query must still know its own row in the sample."""
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(c) for c in rng.normal(size=6)], "t", "v") for i in range(400)]
+    spark.createDataFrame(rows, SCHEMA).repartition(16).write.parquet(str(tmp_path / "v"))
+    real, costs = pivot_index._fit, iter(["0", "4194304"])
+
+    def fit(table):
+        found = real(table)
+        spark.conf.set("spark.sql.files.openCostInBytes", next(costs))
+        return found
+
+    try:
+        pivot_index._fit = fit
+        got = pivot_index.top_k(spark.read.parquet(str(tmp_path / "v")), F.col("vec_id") % 50 == 0)
+        assert sorted(map(tuple, got.collect())) == plain(rows)
+    finally:
+        pivot_index._fit = real
+        spark.conf.set("spark.sql.files.openCostInBytes", "4194304")
+
+
+def test_an_annulus_is_dealt_to_slices(spark, monkeypatch):
+    monkeypatch.setattr(pivot_index, "SLICE", 1)
+    monkeypatch.setattr(pivot_index, "CHUNK", 40)
+    monkeypatch.setattr(pivot_index, "PIVOTS", 1)
+    rng = np.random.default_rng(3)
+    check(spark, [(i, [float(c) for c in rng.normal(size=4)], "t", "v") for i in range(1200)])
