@@ -487,8 +487,17 @@ def _let(value: Column, body) -> Column:
 
 def merge_fold(table: RankTable):
     """A function from a binary column of words to their array of ids."""
-    slots, own = _literal(table.table, "bigint"), _literal(table.bytes, "bigint")
-    mask = F.lit(table.mask)
+
+    def encode(word: Column) -> Column:
+        # each literal stands once in the plan, whose text is kept for every query
+        return _let(_literal(table.table, "bigint"), lambda slots: _let(_literal(table.bytes, "bigint"), lambda own: _fold(word, slots, own, table.mask)))
+
+    return encode
+
+
+def _fold(word: Column, slots: Column, own: Column, size: int) -> Column:
+    mask = F.lit(size)
+    nothing = F.array(F.lit(None).cast("bigint"))
 
     def rank(a: Column, b: Column) -> Column:
         """Merged id of two neighbours; NO_MERGE or more where there is none.
@@ -518,18 +527,12 @@ def merge_fold(table: RankTable):
 
         return _let(F.array_min(ranks), apply)
 
-    def encode(word: Column) -> Column:
-        text = F.hex(word)
-        size = F.octet_length(word)
-        ids = F.transform(F.sequence(F.lit(0), size - 1), lambda i: own[F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int")])
-
-        def fold(ids: Column) -> Column:
-            # a null before the first and after the last id: ranks has a NO_MERGE at either end, so that it lines up
-            ranks = F.zip_with(F.concat(F.array(F.lit(None).cast("bigint")), ids), F.concat(ids, F.array(F.lit(None).cast("bigint"))), rank)
-            padded = F.concat(F.array(F.lit(None).cast("bigint")), ids)
-            start = F.struct(padded.alias("ids"), ranks.alias("ranks"))
-            return F.aggregate(F.sequence(F.lit(1), size), start, merged, lambda s: F.transform(F.slice(s["ids"], F.lit(2), F.size(s["ids"])), lambda i: i.cast("int")))
+    def fold(ids: Column) -> Column:
+        # a null before the first and after the last id: ranks has a NO_MERGE at either end, so that it lines up
+        ranks = F.zip_with(F.concat(nothing, ids), F.concat(ids, nothing), rank)
+        start = F.struct(F.concat(nothing, ids).alias("ids"), ranks.alias("ranks"))
+        return F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, merged, lambda s: F.transform(F.slice(s["ids"], F.lit(2), F.size(s["ids"])), lambda i: i.cast("int")))
 
-        return _let(ids, fold)
-
-    return encode
+    text = F.hex(word)
+    places = F.sequence(F.lit(0), F.octet_length(word) - 1)
+    return _let(F.transform(places, lambda i: own[F.conv(F.substring(text, 2 * i + 1, F.lit(2)), 16, 10).cast("int")]), fold)
