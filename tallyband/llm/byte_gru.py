@@ -5,7 +5,7 @@ every byte of every text: texts are cut into windows of WINDOW bytes, each read
 and every position gets a probability for each language. A document's probabilities are the means over all its positions.
 Windows of many documents go through the network together, so a very long text is just more windows.
 
-The sample has about SAMPLE_DOCS labelled documents, chosen by a hash of their ids, and WINDOWS_EACH windows of each, at
+The sample has about SAMPLE_DOCS labelled documents (of rare languages more than their share), chosen by a hash of their ids, and WINDOWS_EACH windows of each, at
 places spread over the text.
 
 Defined results: a text that is null or has no letter gets `und` and score 0, as all do without labelled documents;
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from tallyband.llm.common import mapped, remainder, text_or_empty
 
 SAMPLE_DOCS = 3_000
+MOST_LANGUAGES, LEAST_EACH = 1_000, 50
 WINDOWS_EACH = 2
 WINDOW = 128
 HIDDEN = 8
@@ -142,15 +143,21 @@ def train(windows: np.ndarray, labels: np.ndarray, languages: tuple[str, ...], s
 
 
 def training_windows(docs: DataFrame, most: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """(lang, window) of about `most` labelled documents outside the held-out part: a bounded number of short rows."""
+    """(lang, window) of about `most` labelled documents outside the held-out part: a bounded number of short rows.
+
+    Of each of the MOST_LANGUAGES most frequent languages about LEAST_EACH documents at least, if it has as many.
+    """
     known = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (remainder(4) != 2))
-    n = known.select("doc_id").count()
-    share = min(1.0, most / max(n, 1))
-    picked = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.lit(round(share * 1_000_000)))
+    each = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in each.collect()}
+    share = most / max(sum(counts.values()), 1)
+    shares = [(lang, round(min(1.0, max(share, LEAST_EACH / n)) * 1_000_000)) for lang, n in counts.items()]
+    shares = docs.sparkSession.createDataFrame(shares, "lang string, share long")
+    picked = known.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < F.col("share"))
     data = F.col("text").cast("binary")
     room = F.greatest(F.octet_length(data) - WINDOW, F.lit(0)) + 1
     places = [F.pmod(F.xxhash64("doc_id", F.lit(13 + k)), room).cast("int") + 1 for k in range(WINDOWS_EACH)]
-    rows = picked.select("lang", *(F.substring(data, place, F.lit(WINDOW)).alias(f"w{k}") for k, place in enumerate(places))).limit(2 * most).collect()
+    rows = picked.select("lang", *(F.substring(data, place, F.lit(WINDOW)).alias(f"w{k}") for k, place in enumerate(places))).limit(2 * (most + LEAST_EACH * len(counts))).collect()
     return sorted((r["lang"], bytes(r[k + 1])) for r in rows for k in range(WINDOWS_EACH) if len(r[k + 1]) >= 8)
 
 

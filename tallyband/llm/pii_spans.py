@@ -118,12 +118,14 @@ def spans_of(kind: str, text: Column) -> Column:
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + pair["gap"]
         stop = start + F.length(pair["match"])
-        return F.struct(stop.alias("at"), F.concat(state["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), pair["match"].alias("match")))).alias("spans"))
+        # only what is confirmed is taken in: a text may hold very many numbers
+        more = F.concat(state["spans"], F.array(F.struct(start.alias("start"), stop.alias("stop"), pair["match"].alias("match"))))
+        return F.struct(stop.alias("at"), F.when(_valid(kind, pair["match"]), more).otherwise(state["spans"]).alias("spans"))
 
     none = F.array().cast("array<struct<start:int,stop:int,match:string>>")
     pairs = F.filter(F.arrays_zip(between.alias("gap"), found.alias("match")), lambda p: p["match"].isNotNull())
-    all_spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
-    return F.when(_has(kind, text), F.filter(all_spans, lambda s: _valid(kind, s["match"]))).otherwise(none)
+    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), step)["spans"]
+    return F.when(_has(kind, text), spans).otherwise(none)
 
 
 def _scored(kind: str, text: Column, spans: Column) -> Column:

@@ -60,3 +60,9 @@ def test_awkward_rows(spark):
     net = byte_gru.fit(docs(spark))
     runs = byte_gru.labelled_runs(docs(spark), net).filter("doc_id = 7").orderBy("start").collect()
     assert runs[0].start == 0 and runs[-1].stop == 50_000
+
+
+def test_rare_languages_are_in_the_sample(spark):
+    rows = [(k, f"some words of number {k}", "en" if k % 400 else "eo", "s", 1, None, None, None, None) for k in range(1, 8001)]
+    found = byte_gru.training_windows(docs(spark, rows), most=100)
+    assert sum(lang == "eo" for lang, _ in found) >= 10 and len(found) < 2 * 400
