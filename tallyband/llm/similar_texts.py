@@ -33,8 +33,8 @@ from tallyband.llm.simhash_pivots import FOLD, NO_ID, best_of_component, by_key,
 WORDS = 5
 SIMILARITY = 0.8
 PAIR = 2
-RADIUS = 24
-KEYS, BITS = 96, 24
+RADIUS = 28
+KEYS, BITS = 128, 22
 HOT = 20_000
 #: Of the texts, the part by which hot keys are found.
 SAMPLED = 16
