@@ -41,8 +41,8 @@ CHUNK_CHARS = 500_000
 LONG = 64
 #: Bytes of text for each part of the words.
 PART_BYTES = 1_000_000_000
-#: In place of a part: a row with the parts of a block's words in the order of their numbers, and a row that is a document.
-PARTS, DOCUMENT = 2**31 - 2, 2**31 - 1
+#: In place of a part: a row with the parts of a block's words in the order of their numbers, and a row of documents.
+PARTS, DOCUMENTS = 2**31 - 2, 2**31 - 1
 
 #: The white space of the splitting pattern, and the endings it takes as words of their own.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -243,23 +243,40 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    return zlib.compress(b"".join(x.tobytes() for x in arrays), 1)
+    """Numbers go byte by byte, all first bytes before all second ones, which shrinks small numbers well."""
+    return zlib.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays), 6)
 
 
-def _unpack(data: pa.Scalar) -> bytes:
-    return zlib.decompress(data.as_buffer())
+class _Packed:
+    """Arrays of _pack(), one after the other."""
+
+    def __init__(self, data: pa.Scalar):
+        self.raw, self.at = zlib.decompress(data.as_buffer()), 0
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(self.raw, np.uint8, width * n, self.at).reshape(width, n)
+        self.at += width * n
+        return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+    def number(self) -> int:
+        return int(self.take("<u4", 1)[0])
+
+
+def _count(n: int) -> np.ndarray:
+    return np.array([n], "<u4")
 
 
 def _table_of(names: list[str], types: list[pa.DataType], *columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_BLOCK = "block long, part int, doc_id long, data binary"
-_BLOCK_NAMES, _BLOCK_TYPES = ["block", "part", "doc_id", "data"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()]
+_BLOCK = "block long, part int, data binary"
+_BLOCK_NAMES, _BLOCK_TYPES = ["block", "part", "data"], [pa.int64(), pa.int32(), pa.binary()]
 
 
 def _blocks(parts: int, block_chars: int):
-    """Rows of _BLOCK: a document's numbers of words, a block's words of a part (lengths, then bytes), and the parts of its words."""
+    """Rows of _BLOCK: some documents with the numbers of their words, a block's words of a part, and the parts of its words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -270,8 +287,9 @@ def _blocks(parts: int, block_chars: int):
         def numbered() -> pa.RecordBatch:
             words, each = split_words(texts)
             codes = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
-            packed = [_pack(x) for x in np.split(codes, np.cumsum(each)[:-1])]
-            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * len(ids), [DOCUMENT] * len(ids), ids, packed)
+            known = np.array([i is not None for i in ids], np.uint8)
+            packed = _pack(_count(len(ids)), known, np.array([i or 0 for i in ids], "<i8"), each.astype("<u4"), _count(len(codes)), codes)
+            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block], [DOCUMENTS], [packed])
 
         def words_of_block() -> pa.RecordBatch:
             words = list(numbers)
@@ -281,9 +299,8 @@ def _blocks(parts: int, block_chars: int):
             packed = []
             for own in np.split(order, first[1:]):
                 mine = [words[k] for k in own.tolist()]
-                packed.append(_pack(np.array([len(mine)], "<u4"), np.fromiter(map(len, mine), "<u4", len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
-            n = len(used) + 1
-            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * n, [*used.tolist(), PARTS], [None] * n, [*packed, _pack(part)])
+                packed.append(_pack(_count(len(mine)), np.fromiter(map(len, mine), "<u4", len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
+            return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * (len(used) + 1), [*used.tolist(), PARTS], [*packed, _pack(_count(len(part)), part)])
 
         for batch in batches:
             for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
@@ -332,12 +349,13 @@ def _distinct(pieces: Broadcast):
                     if blocks:
                         yield from part()
                     at, numbers, blocks, packed = mine, _Numbers(), [], []
-                raw = _unpack(data)
-                n = int(np.frombuffer(raw, "<u4", 1)[0])
-                ends = (4 + 4 * n + np.cumsum(np.frombuffer(raw, "<u4", n, 4))).tolist()
-                words = [raw[a:b] for a, b in zip([4 + 4 * n, *ends[:-1]], ends, strict=True)]
+                given = _Packed(data)
+                n = given.number()
+                ends = np.cumsum(given.take("<u4", n)).tolist()
+                raw = given.raw[given.at :]
                 blocks.append(block)
-                packed.append(_pack(np.fromiter(map(numbers.__getitem__, words), "<u4", n)))
+                codes = np.fromiter((numbers[raw[a:b]] for a, b in zip([0, *ends[:-1]], ends, strict=True)), "<u4", n)
+                packed.append(_pack(_count(n), codes))
         if blocks:
             yield from part()
 
@@ -366,10 +384,12 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 start, flats, sizes = np.cumsum(count) - count, [], []
             packed = []
             for data in batch.column("data").slice(low, high - low):
-                mine = np.frombuffer(_unpack(data), "<u4")
-                packed.append(_pack(np.array([len(mine)], "<u4"), count[mine].astype("<u4"), flat[_places(start, count, mine)].astype("<u2")))
+                given = _Packed(data)
+                mine = given.take("<u4", given.number())
+                ids = flat[_places(start, count, mine)].astype("<u2")
+                packed.append(_pack(_count(len(mine)), count[mine].astype("<u4"), _count(len(ids)), ids))
             n = high - low
-            yield _table_of(_BLOCK_NAMES, _BLOCK_TYPES, batch.column("block").slice(low, n).to_pylist(), [int(parts[low])] * n, [None] * n, packed)
+            yield _table_of(_BLOCK_NAMES, _BLOCK_TYPES, batch.column("block").slice(low, n).to_pylist(), [int(parts[low])] * n, packed)
 
 
 def _places(start: np.ndarray, count: np.ndarray, mine: np.ndarray) -> np.ndarray:
@@ -385,35 +405,30 @@ def _assembled(pieces: Broadcast, emit: Callable[[list, list[np.ndarray], list[b
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, flats, sizes = -1, [], []
         flat = count = start = np.empty(0, np.int64)
-        doc_ids: list = []
-        out: list[np.ndarray] = []
-        held = 0
         for batch in batches:
-            for own, part, doc_id, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("data"), strict=True):
+            for own, part, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
                 if own != block:
                     block, flats, sizes = own, [], []
                     flat = count = start = np.empty(0, np.int64)
-                raw = _unpack(data)
+                given = _Packed(data)
+                n = given.number()
                 if part < PARTS:
-                    n = int(np.frombuffer(raw, "<u4", 1)[0])
-                    sizes.append(np.frombuffer(raw, "<u4", n, 4))
-                    flats.append(np.frombuffer(raw, "<u2", -1, 4 + 4 * n))
+                    sizes.append(given.take("<u4", n))
+                    flats.append(given.take("<u2", given.number()))
                 elif part == PARTS:
-                    order = np.argsort(np.frombuffer(raw, "<u4"), kind="stable")
+                    order = np.argsort(given.take("<u4", n), kind="stable")
                     flat, each = np.concatenate(flats), np.concatenate(sizes).astype(np.int64)
                     count, start = np.empty_like(each), np.empty_like(each)
                     count[order], start[order] = each, np.cumsum(each) - each
                     flats, sizes = [], []
                 else:
-                    places = _places(start, count, np.frombuffer(raw, "<u4"))
-                    doc_ids.append(doc_id)
-                    out.append(flat[places].astype("<u4"))
-                    held += len(places) + 10
-                    if held > 2_000_000:
-                        yield emit(doc_ids, out, pieces.value)
-                        doc_ids, out, held = [], [], 0
-        if doc_ids:
-            yield emit(doc_ids, out, pieces.value)
+                    known, ids, each = given.take("u1", n), given.take("<i8", n), given.take("<u4", n)
+                    codes = given.take("<u4", given.number())
+                    found = flat[_places(start, count, codes)].astype("<u4") if len(codes) else np.empty(0, "<u4")
+                    none = np.zeros(1, np.int64)
+                    edges = np.concatenate((none, np.cumsum(count[codes]))) if len(codes) else none
+                    stops = edges[np.concatenate((none, np.cumsum(each.astype(np.int64))))]
+                    yield emit([int(i) if k else None for i, k in zip(ids, known, strict=True)], [found[a:b] for a, b in zip(stops[:-1], stops[1:], strict=True)], pieces.value)
 
     return run
 

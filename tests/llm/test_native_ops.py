@@ -175,9 +175,14 @@ def test_mixture_fills_the_budget_by_weights(spark):
 
 
 def test_mixture_on_awkward_rows(spark):
-    out = mixture.mixed(docs(spark), mixture.Mixture(share=100, max_epochs=1))
-    assert out.columns == docs(spark).columns
-    assert out.count() <= len(AWKWARD)
+    """All of the words and one epoch: every document with words once; columns of working names stay as they are."""
+    table = docs(spark).withColumns({"copies": F.lit("clash"), "tokens": F.lit(7), "budget": F.lit("clash"), "domain": F.lit(2.5), "epochs": F.lit("clash")})
+    out = mixture.mixed(table, mixture.Mixture(share=100, max_epochs=1))
+    assert out.columns == table.columns
+    rows = out.collect()
+    words = lambda text: len(re.findall(r"[^\x20\x09-\x0D]+", text or ""))
+    assert sorted(str((r.doc_id, r.text)) for r in rows if words(r.text)) == sorted(str((r[0], r[1])) for r in AWKWARD if words(r[1]))
+    assert {(r.copies, r.tokens, r.budget, r.domain, r.epochs) for r in rows} == {("clash", 7, "clash", 2.5, "clash")}
 
 
 def test_dropped_rows_are_the_same_however_scans_split_the_files(spark, tmp_path):
