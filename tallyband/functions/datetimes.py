@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyband.sources.casts import DAY, cast_datetime, cast_interval, cast_time
+from tallyband.sources.casts import DAY, cast_datetime, cast_interval, cast_time, let
 
 
 def stodt(s: Column) -> Column:
@@ -161,9 +161,13 @@ def _with(m: Column, **fields: Column) -> Column:
 def plus_number(m: Column, n: Column) -> Column:
     """A moment and a number: days for a date; seconds for a date with a time, a time (around midnight) and an interval. Fractions are cut off."""
     n = n.cast("long")
-    on = m["stamp"] + F.make_dt_interval(days=F.when(m["kind"] == "date", n).otherwise(0).cast("int"), secs=F.when(m["kind"] == "date", 0).otherwise(n).cast("decimal(18,6)"))
-    seconds = F.when(m["kind"] == "time", F.pmod(m["seconds"] + n, F.lit(DAY))).otherwise(m["seconds"] + n)
-    return F.when(m["kind"].isNotNull() & n.isNotNull(), _with(m, stamp=on, seconds=seconds))
+
+    def plus(m: Column) -> Column:
+        on = m["stamp"] + F.make_dt_interval(days=F.when(m["kind"] == "date", n).otherwise(0).cast("int"), secs=F.when(m["kind"] == "date", 0).otherwise(n).cast("decimal(18,6)"))
+        seconds = F.when(m["kind"] == "time", F.pmod(m["seconds"] + n, F.lit(DAY))).otherwise(m["seconds"] + n)
+        return F.when(m["kind"].isNotNull() & n.isNotNull(), _with(m, stamp=on, seconds=seconds))
+
+    return let(m, plus)
 
 
 def minus_number(m: Column, n: Column) -> Column:
@@ -180,19 +184,27 @@ def dec(m: Column) -> Column:
 
 def plus_interval(m: Column, i: Column) -> Column:
     """A moment and an interval (a struct of months, days, seconds). A date becomes a date with a time if the interval has seconds; two intervals add up."""
-    kind = F.when((m["kind"] == "date") & (i["seconds"] != 0), "datetime").otherwise(m["kind"])
-    of_day = F.pmod(m["seconds"] + i["seconds"], F.lit(DAY))
-    seconds = F.when(m["kind"] == "time", of_day).otherwise(m["seconds"] + i["seconds"])
-    out = _with(m, kind=kind, stamp=add_interval(m["stamp"], i), months=m["months"] + i["months"], days=m["days"] + i["days"], seconds=seconds)
-    return F.when(m["kind"].isNotNull() & i.isNotNull(), out)
+
+    def plus(m: Column) -> Column:
+        kind = F.when((m["kind"] == "date") & (i["seconds"] != 0), "datetime").otherwise(m["kind"])
+        of_day = F.pmod(m["seconds"] + i["seconds"], F.lit(DAY))
+        seconds = F.when(m["kind"] == "time", of_day).otherwise(m["seconds"] + i["seconds"])
+        out = _with(m, kind=kind, stamp=add_interval(m["stamp"], i), months=m["months"] + i["months"], days=m["days"] + i["days"], seconds=seconds)
+        return F.when(m["kind"].isNotNull() & i.isNotNull(), out)
+
+    return let(m, plus)
 
 
 def minus_moment(a: Column, b: Column) -> Column:
     """a - b: less an interval, or the interval between two dates or two times; NULL for other kinds."""
-    i = F.struct(*((-b[f]).alias(f) for f in ("months", "days", "seconds")))
-    gap = difference(a["stamp"], b["stamp"])
-    none = F.lit(None).cast("timestamp_ntz")
-    between = _with(a, kind=F.lit("interval"), stamp=none, months=gap["months"], days=gap["days"], seconds=gap["seconds"])
-    zero = F.lit(0).cast("long")
-    times = _with(a, kind=F.lit("interval"), stamp=none, months=zero, days=zero, seconds=a["seconds"] - b["seconds"])
-    return F.when(b["kind"] == "interval", plus_interval(a, i)).when((a["kind"] == "time") & (b["kind"] == "time"), times).when(gap["days"].isNotNull(), between)
+    none, zero = F.lit(None).cast("timestamp_ntz"), F.lit(0).cast("long")
+
+    def minus(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        gap = difference(a["stamp"], b["stamp"])
+        between = _with(a, kind=F.lit("interval"), stamp=none, months=gap["months"], days=gap["days"], seconds=gap["seconds"])
+        times = _with(a, kind=F.lit("interval"), stamp=none, months=zero, days=zero, seconds=a["seconds"] - b["seconds"])
+        less = plus_interval(a, F.struct(*((-b[f]).alias(f) for f in ("months", "days", "seconds"))))
+        return F.when(b["kind"] == "interval", less).when((a["kind"] == "time") & (b["kind"] == "time"), times).when(gap["days"].isNotNull(), between)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), minus)

@@ -29,7 +29,7 @@ _TIME = (
 DAY = 86_400
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -76,12 +76,12 @@ def cast_datetime(s: Column) -> Column:
 
     A `p` right after a time before 12 is for the afternoon; a zone (+hh, +hhmm, +hh:mm) is taken off, so that the result is in UTC.
     """
-    return _let(_parts(F.trim(s), _SHAPES), _moment)
+    return let(_parts(F.trim(s), _SHAPES), _moment)
 
 
 def cast_time(s: Column) -> Column:
     """Seconds of the day (INT) of a time alone."""
-    return _let(_parts(F.trim(s), _TIME), lambda p: _time_of(p, 0))
+    return let(_parts(F.trim(s), _TIME), lambda p: _time_of(p, 0))
 
 
 #: Units of an interval, by field: all words for it, and what one is worth.
@@ -129,7 +129,7 @@ def cast_moment(s: Column) -> Column:
 
     time, interval = cast_time(text), cast_interval(text)
     other = F.when(time.isNotNull(), made("time", seconds=time)).when(interval.isNotNull(), made("interval", i=interval))
-    return F.coalesce(_let(_parts(text, _SHAPES), dated), other)
+    return F.coalesce(let(_parts(text, _SHAPES), dated), other)
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
