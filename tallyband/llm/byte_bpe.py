@@ -159,7 +159,7 @@ class RankTable:
                 if a is not None and b is not None:
                     pairs[a << 16 | b] = rank
         self.bytes = [ids[bytes([b])] for b in range(256)]
-        bits = max(4, (3 * len(pairs)).bit_length())
+        bits = max(4, (2 * len(pairs)).bit_length())
         while True:
             self.mask = (1 << bits) - 1
             table = self._placed(pairs)

@@ -39,7 +39,7 @@ HOT = 20_000
 #: Of the texts, the part by which hot keys are found.
 SAMPLED = 16
 #: Candidates of a text that are verified in the first round, and the growth from round to round.
-FIRST_CANDIDATES = 4
+FIRST_CANDIDATES = 16
 MORE_CANDIDATES = 4
 
 
