@@ -2,10 +2,10 @@
 
 A task takes whole documents until they hold about BLOCK_CHARS characters, splits them by the fixed pattern and numbers the
 block's distinct words; a document becomes the numbers of its words. Words are dealt to parts by a hash. A part gets its words of
-all blocks, packed, and makes them distinct; merge_fold() encodes each distinct word once: its bytes become ids, and a
-fold of higher-order functions applies, again and again, the merge of lowest rank among the neighbours, read from a literal
-rank map. The ids go back to the blocks, packed, which put them in the order of their texts; decoding concatenates
-the ids' byte pieces.
+all all blocks, packed, and makes them distinct; merge_fold() encodes each distinct word once: its bytes become ids, and a
+fold of higher-order functions applies, again and again, the merge of lowest rank among the neighbours, read from a rank
+map. The map is a constant beside each WORDS_EACH words; as a literal of the plan it takes the driver some 300 MB. The ids go
+back to the blocks, packed, which put them in the order of their texts; decoding concatenates the ids' byte pieces.
 
 The rank map holds pairs of ids and their merged id. Every way to cut a known piece into two known pieces is a pair. A
 pair stands in one of two slots given by its hashes, so a lookup is two reads of a flat array.
@@ -41,6 +41,8 @@ CHUNK_CHARS = 500_000
 LONG = 64
 #: Bytes of text for each part of the words.
 PART_BYTES = 1_000_000_000
+#: Distinct words that are folded in one row, with the rank map beside them.
+WORDS_EACH = 20_000
 #: In place of a part: a row with the parts of a block's words in the order of their numbers, and a row of documents.
 PARTS, DOCUMENTS = 2**31 - 2, 2**31 - 1
 
@@ -323,25 +325,27 @@ def _blocks(parts: int, block_chars: int):
     return run
 
 
-_WORDS = "block long, part int, word binary, ids array<int>, data binary"
-_WORDS_NAMES, _WORDS_TYPES = ["block", "part", "word", "ids", "data"], [pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.binary()]
+_WORDS = "block long, part int, words array<binary>, long_ids array<array<int>>, slots array<bigint>, own array<bigint>, data binary"
+_WORDS_NAMES = ["block", "part", "words", "long_ids", "slots", "own", "data"]
+_WORDS_TYPES = [pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
 
 
 def _distinct(pieces: Broadcast):
-    """From rows of whole parts: the part's distinct words (long ones with their ids), then for each block which of them it has."""
+    """From rows of whole parts: the part's distinct words (long ones with their ids) and the rank map, then for each block which words it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, numbers, blocks, packed = -1, _Numbers(), [], []
+        table = _table(pieces)
+        slots, bytes_ = np.array(table.table, np.int64), np.array(table.bytes, np.int64)
 
         def part() -> Iterator[pa.RecordBatch]:
             words = list(numbers)
-            for first in range(0, len(words), 20_000):
-                own = words[first : first + 20_000]
-                table = _table(pieces) if any(len(w) > LONG for w in own) else None
+            for first in range(0, len(words), WORDS_EACH):
+                own = words[first : first + WORDS_EACH]
                 ids = [_merge_long(w, table) if len(w) > LONG else None for w in own]
-                yield _table_of(_WORDS_NAMES, _WORDS_TYPES, [None] * len(own), [at] * len(own), own, ids, [None] * len(own))
+                yield _table_of(_WORDS_NAMES, _WORDS_TYPES, [None], [at], [own], [ids], [slots], [bytes_], [None])
             n = len(blocks)
-            yield _table_of(_WORDS_NAMES, _WORDS_TYPES, blocks, [at] * n, [None] * n, [None] * n, packed)
+            yield _table_of(_WORDS_NAMES, _WORDS_TYPES, blocks, [at] * n, *[[None] * n] * 4, packed)
 
         for batch in batches:
             for block, mine, data in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), batch.column("data"), strict=True):
@@ -367,7 +371,7 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at, flats, sizes = -1, [], []
     flat = count = start = np.empty(0, np.int64)
     for batch in batches:
-        parts, is_word = batch.column("part").to_numpy(), batch.column("word").is_valid().to_numpy(zero_copy_only=False)
+        parts, is_word = batch.column("part").to_numpy(), batch.column("ids").is_valid().to_numpy(zero_copy_only=False)
         edges = np.flatnonzero((parts[1:] != parts[:-1]) | (is_word[1:] != is_word[:-1])) + 1
         for low, high in zip([0, *edges.tolist()], [*edges.tolist(), batch.num_rows], strict=True):
             if low == high:
@@ -375,7 +379,7 @@ def _back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if is_word[low]:
                 if parts[low] != at:
                     at, flats, sizes = parts[low], [], []
-                ids = batch.column("ids").slice(low, high - low)
+                ids = batch.column("ids").slice(low, high - low).flatten()  # a list a word
                 flats.append(ids.flatten().to_numpy())
                 sizes.append(ids.value_lengths().to_numpy())
                 continue
@@ -443,8 +447,8 @@ def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schem
     # numbers of tasks are set by hand, since few bytes are much work here
     words = blocks.filter(F.col("part") < PARTS).select("block", "part", "data").repartition(parts, "part").sortWithinPartitions("part")
     words = mapped(words, _distinct(pieces), _WORDS)
-    ids = F.when(F.col("word").isNotNull(), F.coalesce("ids", merge_fold(RankTable(ranks))(F.col("word"))))
-    back = mapped(words.select("block", "part", "word", ids.alias("ids"), "data"), _back, _BLOCK)
+    ids = F.transform("words", lambda word, k: F.coalesce(F.get("long_ids", k), merge_fold(word, F.col("slots"), F.col("own"))))
+    back = mapped(words.select("block", "part", ids.alias("ids"), "data"), _back, _BLOCK)
     whole = back.unionByName(blocks.filter(F.col("part") >= PARTS)).repartition(parts, "block").sortWithinPartitions("block", "part")
     return mapped(whole, _assembled(pieces, emit), schema)
 
@@ -490,28 +494,18 @@ def round_trip_digest(docs: DataFrame, path: str, block_chars: int = BLOCK_CHARS
 # --- the fold as a column expression -------------------------------------------------------------------------------
 
 
-def _literal(numbers: list[int], kind: str) -> Column:
-    """An array literal: from_json of a constant is folded into one when the plan is made."""
-    return F.from_json(F.lit("[" + ",".join(map(str, numbers)) + "]"), f"array<{kind}>")
-
-
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def merge_fold(table: RankTable):
-    """A function from a binary column of words to their array of ids."""
-
-    def encode(word: Column) -> Column:
-        # each literal stands once in the plan, whose text is kept for every query
-        return _let(_literal(table.table, "bigint"), lambda slots: _let(_literal(table.bytes, "bigint"), lambda own: _fold(word, slots, own, table.mask)))
-
-    return encode
+def merge_fold(word: Column, slots: Column, own: Column) -> Column:
+    """The ids of a word (binary, not empty). slots, own: the arrays table and bytes of a RankTable."""
+    return _let(slots, lambda slots: _let(own, lambda own: _fold(word, slots, own)))
 
 
-def _fold(word: Column, slots: Column, own: Column, size: int) -> Column:
-    mask = F.lit(size)
+def _fold(word: Column, slots: Column, own: Column) -> Column:
+    mask = (F.size(slots) - 1).cast("bigint")
     nothing = F.array(F.lit(None).cast("bigint"))
 
     def rank(a: Column, b: Column) -> Column:
