@@ -20,6 +20,7 @@ an empty table gives an empty result; only doc_id and text are read; bytes that
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import heapq
 import unicodedata
@@ -244,16 +245,17 @@ def _rows(docs: DataFrame) -> DataFrame:
 # --- blocks of documents ----------------------------------------------------------------------------------------------------
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, words: bool = False) -> bytes:
     """Numbers go byte by byte, all first bytes before all second ones, which shrinks small numbers well."""
-    return zlib.compress(b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays), 6)
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes() for x in arrays)
+    return bz2.compress(raw) if words else zlib.compress(raw, 6)
 
 
 class _Packed:
     """Arrays of _pack(), one after the other."""
 
-    def __init__(self, data: pa.Scalar):
-        self.raw, self.at = zlib.decompress(data.as_buffer()), 0
+    def __init__(self, data: pa.Scalar, words: bool = False):
+        self.raw, self.at = (bz2 if words else zlib).decompress(data.as_buffer()), 0
 
     def take(self, kind: str, n: int) -> np.ndarray:
         width = np.dtype(kind).itemsize
@@ -288,9 +290,13 @@ def _blocks(parts: int, block_chars: int):
 
         def numbered() -> pa.RecordBatch:
             words, each = split_words(texts)
-            codes = np.fromiter(map(numbers.__getitem__, words), "<u4", len(words))
+            seen = len(numbers)
+            codes = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
+            # a word that is new in its block has the next number, so 0 will do for it
+            new = codes > np.maximum.accumulate(np.concatenate(([seen - 1], codes)))[:-1]
+            codes = np.where(new, 0, codes + 1).astype("<u4")
             known = np.array([i is not None for i in ids], np.uint8)
-            packed = _pack(_count(len(ids)), known, np.array([i or 0 for i in ids], "<i8"), each.astype("<u4"), _count(len(codes)), codes)
+            packed = _pack(_count(len(ids)), known, np.array([i or 0 for i in ids], "<i8"), each.astype("<u4"), _count(seen), _count(len(codes)), codes)
             return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block], [DOCUMENTS], [packed])
 
         def words_of_block() -> pa.RecordBatch:
@@ -301,7 +307,7 @@ def _blocks(parts: int, block_chars: int):
             packed = []
             for own in np.split(order, first[1:]):
                 mine = [words[k] for k in own.tolist()]
-                packed.append(_pack(_count(len(mine)), np.fromiter(map(len, mine), "<u4", len(mine)), np.frombuffer(b"".join(mine), np.uint8)))
+                packed.append(_pack(_count(len(mine)), np.fromiter(map(len, mine), "<u4", len(mine)), np.frombuffer(b"".join(mine), np.uint8), words=True))
             return _table_of(_BLOCK_NAMES, _BLOCK_TYPES, [block] * (len(used) + 1), [*used.tolist(), PARTS], [*packed, _pack(_count(len(part)), part)])
 
         for batch in batches:
@@ -353,7 +359,7 @@ def _distinct(pieces: Broadcast):
                     if blocks:
                         yield from part()
                     at, numbers, blocks, packed = mine, _Numbers(), [], []
-                given = _Packed(data)
+                given = _Packed(data, words=True)
                 n = given.number()
                 ends = np.cumsum(given.take("<u4", n)).tolist()
                 raw = given.raw[given.at :]
@@ -427,7 +433,10 @@ def _assembled(pieces: Broadcast, emit: Callable[[list, list[np.ndarray], list[b
                     flats, sizes = [], []
                 else:
                     known, ids, each = given.take("u1", n), given.take("<i8", n), given.take("<u4", n)
-                    codes = given.take("<u4", given.number())
+                    seen = given.number()
+                    codes = given.take("<u4", given.number()).astype(np.int64) - 1
+                    new = codes < 0
+                    codes[new] = seen + np.arange(np.count_nonzero(new))
                     found = flat[_places(start, count, codes)].astype("<u4") if len(codes) else np.empty(0, "<u4")
                     none = np.zeros(1, np.int64)
                     edges = np.concatenate((none, np.cumsum(count[codes]))) if len(codes) else none
