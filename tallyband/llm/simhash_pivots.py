@@ -96,7 +96,7 @@ def _keyed(prints: DataFrame, blocks: tuple[int, int]) -> DataFrame:
     return prints.select("fp", F.explode(keys).alias("key")).select("key.table", "key.part", "fp")
 
 
-class _Forest:
+class Forest:
     """Links that connect all that are linked, shorter ones first."""
 
     def __init__(self, n: int):
@@ -170,7 +170,7 @@ def close_pairs(group: np.ndarray, prints: np.ndarray, radius: int, refs: np.nda
 
 def links_under_keys(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray, radius: int, refs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links (pairs of nodes) that connect all linked ones in each group. group: numbers that rise; prints: rows of uint64."""
-    forest = _Forest(len(prints))
+    forest = Forest(len(prints))
     for i, j, bits in close_pairs(group, prints, radius, refs):
         forest.add(i, j, bits)
     a, b = forest.links()

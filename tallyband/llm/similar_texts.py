@@ -3,14 +3,13 @@
 A signature is a SimHash of 128 bits over a text's distinct shingles of PAIR words; a few changed words change few of
 them. Each of KEYS keys is BITS of its bits, drawn once; similar texts agree on all bits of some key with a probability that README
 gives, whatever the size of the corpus. Under a key, pairs whose distances to the reference signatures differ by more than
-`radius` anywhere are discarded, then those whose own distance is over it; all that survive are candidates. First the shortest
-candidate links that connect the others are verified by the sets of `words`-word shingles. A link that fails may have stood
-for a true one, so rounds follow: of the candidates between components still apart the shortest of each text are
-verified, more of them each round, until no unverified candidate is left between two components.
+`radius` anywhere are discarded, then those whose own distance is over it; the shortest candidate links that connect the others
+are kept and verified by the sets of `words`-word shingles. A link that fails may have stood for a true one. So texts that candidate
+links connect are a family, and families of several components are searched once more: their texts meet in cells of two
+chunks, where all pairs within the radius are verified by one product of the cell's shingle matrix. Only links that
+connect leave a cell, so no pairs of a family are ever rows.
 
-A key of more than `hot` texts is hot. In the first step its texts meet in chunks, dealt anew for each key, so that a family
-under many keys still grows together. In the rounds the texts of a hot key's largest component meet all others under it, but
-not each other, which no longer matters.
+A key of more than `hot` texts is hot. Its texts meet in chunks, dealt anew for each key, and are one family.
 
 Texts of equal words are one node and need no check. Defined results are those of simhash_pivots; texts without words are
 similar to each other alone, and a text of fewer words than a shingle is one shingle.
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tallyband.llm.common import BROADCAST_TAGS, drop_rows, mapped, stored_tag, tagged, text_or_empty, work_table
 from tallyband.llm.graph import connected_components
-from tallyband.llm.simhash_pivots import FOLD, NO_ID, best_of_component, by_key, close_pairs, links_under_keys, references
+from tallyband.llm.simhash_pivots import NO_ID, Forest, best_of_component, by_key, close_pairs, links_under_keys, references
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -38,9 +37,9 @@ KEYS, BITS = 128, 22
 HOT = 20_000
 #: Of the texts, the part by which hot keys are found.
 SAMPLED = 16
-#: Candidates of a text that are verified in the first round, and the growth from round to round.
-FIRST_CANDIDATES = 16
-MORE_CANDIDATES = 4
+#: Texts of a chunk of a family; a cell holds two chunks. Shingles that are columns of a cell's matrix at a time.
+CHUNK = 1_000
+COLUMNS = 8_192
 
 
 def signature(words: list[bytes]) -> tuple[int, int]:
@@ -97,42 +96,43 @@ def _links(radius: int):
     return by_key(["a", "b"], 2, done)
 
 
-def candidates_under_keys(group: np.ndarray, nodes: np.ndarray, prints: np.ndarray, root: np.ndarray, radius: int, refs: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs (of nodes) within the radius and with different roots, the `most` shortest of each node and group; and the nodes that have more."""
-    held = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int16))]
-    more = np.zeros(len(prints), bool)
-    limit, count = FOLD, 0
-
-    def shortest() -> None:
-        own, other, bits = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((nodes[other], bits, own))
-        own, other, bits = own[order], other[order], bits[order]
-        rank = np.arange(len(own)) - np.searchsorted(own, own)
-        more[own[rank >= most]] = True
-        keep = rank < most
-        held[:] = [(own[keep], other[keep], bits[keep])]
-
-    for i, j, bits in close_pairs(group, prints, radius, refs):
-        apart = root[i] != root[j]
-        i, j, bits = i[apart], j[apart], bits[apart]
-        held += [(i, j, bits), (j, i, bits)]
-        count += 2 * len(i)
-        if count > limit:
-            shortest()
-            count = len(held[0][0])
-            limit = FOLD + 2 * count
-    shortest()
-    own, other, _ = held[0]
-    return nodes[own], nodes[other], nodes[more]
-
-
-def _candidates(radius: int, most: int):
+def similar_pairs(sets: list[np.ndarray], least: float) -> np.ndarray:
+    """For every two sets (sorted, no repeats) whether their Jaccard similarity is at least `least`."""
+    n, size = len(sets), np.array([len(x) for x in sets], np.float64)
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1  # only what two sets have counts
+    kept = times[column] > 1
+    row, column = np.repeat(np.arange(n), size.astype(np.int64))[kept], shared[column[kept]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((n, n), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        low, high = np.searchsorted(column, (first, first + COLUMNS))
+        matrix = np.zeros((n, COLUMNS), np.float32)
+        matrix[row[low:high], column[low:high] - first] = 1
+        common += matrix @ matrix.T
+    common = common.astype(np.float64)
+    return common >= least * (size[:, None] + size[None, :] - common)
+
+
+def _family_links(radius: int, least: float):
     refs = references(2)
 
-    def done(group: np.ndarray, node: np.ndarray, f0: np.ndarray, f1: np.ndarray, root: np.ndarray) -> list[pa.Array]:
-        a, b, more = candidates_under_keys(group, node, _prints(f0, f1), root, radius, refs, most)
-        none = pa.nulls(len(more), pa.int64())
-        return [pa.array(np.concatenate((np.minimum(a, b), more))), pa.concat_arrays([pa.array(np.maximum(a, b)), none])]
+    def done(group: np.ndarray, node: np.ndarray, f0: np.ndarray, f1: np.ndarray, root: np.ndarray, data: np.ndarray) -> list[pa.Array]:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+        cuts = np.searchsorted(group, np.arange(group[-1] + 2)).tolist()
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            own, roots = node[low:high], root[low:high]
+            if (roots == roots[0]).all():
+                continue
+            similar = similar_pairs([np.frombuffer(x, np.uint64) for x in data[low:high]], least)
+            forest = Forest(high - low)
+            for i, j, bits in close_pairs(np.zeros(high - low, np.int64), _prints(f0[low:high], f1[low:high]), radius, refs):
+                good = similar[i, j] & (roots[i] != roots[j])
+                forest.add(i[good], j[good], bits[good])
+            i, j = forest.links()
+            found.append((np.minimum(own[i], own[j]), np.maximum(own[i], own[j])))
+        return [pa.array(np.concatenate(x)) for x in zip(*found, strict=True)]
 
     return by_key(["a", "b"], 2, done)
 
@@ -161,25 +161,14 @@ def _first_cells(nodes: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | Non
     return keyed.join(_few(large), "key", "left").withColumn("cell", F.coalesce(chunk, none)).drop("n"), large.drop("n")
 
 
-def _open_cells(keyed: DataFrame, hot: int) -> DataFrame:
-    """keyed (with root, stored) in cells in which every two texts of a key and of different roots meet."""
-    none = F.lit(0).cast("long")
-    large = work_table(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("key"), "hot-keys")
-    if large.isEmpty():
-        return keyed.withColumn("cell", none)
-    large = _few(large)
-    by_root = keyed.join(large, "key", "left_semi").groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    big = by_root.groupBy("key").agg(F.max(F.struct("n", "root")).alias("big"), F.sum("n").alias("n"))
-    chunks = [F.ceil(2 * x / hot).cast("long") for x in (F.col("big.n"), F.col("n") - F.col("big.n"))]
-    big = work_table(big.select("key", F.col("big.root").alias("big"), chunks[0].alias("of_big"), chunks[1].alias("others")), "hot-key-chunks")
-    own = F.xxhash64("node")
-    of_big, others, big_count = F.pmod(own, F.col("of_big")), F.pmod(own, F.col("others")), F.col("of_big") * F.col("others")
-    each_other = F.sequence(none, F.col("others") - 1)
-    in_big = F.transform(each_other, lambda k: of_big * F.col("others") + k)
-    with_big = F.transform(F.sequence(none, F.col("of_big") - 1), lambda k: k * F.col("others") + others)
-    with_others = F.transform(each_other, lambda k: big_count + F.least(k, others) * F.col("others") + F.greatest(k, others))
-    cells = F.when(F.col("big").isNull(), F.array(none)).when(F.col("root") == F.col("big"), in_big).otherwise(F.concat(with_big, with_others))
-    return keyed.join(_few(big), "key", "left").withColumn("cell", F.explode(cells)).drop("big", "of_big", "others")
+def _family_cells(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """members (family, node, root, stored) of families of several roots in cells: every two texts of a family meet in one."""
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    chunks = F.ceil(F.col("n") / chunk).cast("long")
+    sizes = sizes.select("family", chunks.alias("chunks"))
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, own) * F.col("chunks") + F.greatest(k, own))
+    return members.join(sizes, "family").withColumn("cell", F.explode(cells)).drop("chunks")
 
 
 def _shingle_sets(words: int):
@@ -234,28 +223,22 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("one")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("two")), "b")
         return work_table(mapped(both.select("a", "b", "one", "two"), _similar(similarity), "a long, b long"), "verified-links", n_pairs)
 
-    tried, found = pairs, verified(pairs, n_pairs)
-    apart = large is not None or found.count() < n_pairs
+    found = verified(pairs, n_pairs)
+    if large is not None or found.count() < n_pairs:
+        same_family = pairs
+        if large is not None:
+            hot_rows = _keyed(nodes).join(_few(large), "key", "left_semi").select("key", "node")
+            first = hot_rows.groupBy("key").agg(F.min("node").alias("b"))
+            same_family = pairs.unionByName(hot_rows.join(first, "key").select(F.col("node").alias("a"), "b"))
+        families = connected_components(same_family).withColumnRenamed("root", "family")
+        components = connected_components(found)
+        members = families.join(components, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root"))
+        cells = _family_cells(work_table(members, "family-members"))
+        cells = cells.join(nodes, "node").join(sets, "node").select("family", "cell", "node", "f0", "f1", "root", "shingles")
+        cells = cells.repartition("family", "cell").sortWithinPartitions("family", "cell")
+        more = work_table(mapped(cells, _family_links(radius, similarity), "a long, b long"), "family-links")
+        found = found.unionByName(more)
     found = connected_components(found)
-    open_nodes, most = met, FIRST_CANDIDATES
-    while apart:
-        # Two texts whose candidate link is not yet verified both had more candidates than were taken.
-        named = nodes.join(_few(open_nodes), "node", "left_semi").join(found, "node", "left").select("node", "f0", "f1", F.coalesce("root", "node").alias("root"))
-        keyed = _keyed(named, "root")
-        mixed = keyed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-        keyed = work_table(keyed.join(mixed, "key"), "open-keys")
-        taken = work_table(mapped(_grouped(_open_cells(keyed, hot), "root"), _candidates(radius, most), "a long, b long").distinct(), "wide-candidates")
-        pairs = work_table(taken.filter("b IS NOT NULL").join(tried, ["a", "b"], "left_anti"), "wide-links")
-        n_pairs = pairs.count()
-        if n_pairs:
-            new = verified(pairs, n_pairs)
-            tried = tried.unionByName(pairs)
-            if not new.isEmpty():
-                # components so far as links from each node to its root
-                found = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-        open_nodes = work_table(taken.filter("b IS NULL").select(F.col("a").alias("node")), "wide-nodes")
-        most *= MORE_CANDIDATES
-        apart = not open_nodes.isEmpty()
     linked = best_of_component(found, texts.select("node", "best"), many).withColumnRenamed("best", "of_all")
     labels = texts.join(linked, "node", "left").select("same", F.coalesce("of_all", "best").alias("best"))
     labels = work_table(labels, "signature-labels", many)

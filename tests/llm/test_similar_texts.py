@@ -41,9 +41,7 @@ def prints(texts):
 
 
 def candidate(prints, a, b):
-    masks = np.array(similar_texts.key_masks(), np.int64).view(np.uint64)
-    gap = prints[a] ^ prints[b]
-    return np.bitwise_count(gap).sum() <= similar_texts.RADIUS and bool((((gap[None, :] & masks) == 0).all(axis=1)).any())
+    return np.bitwise_count(prints[a] ^ prints[b]).sum() <= similar_texts.RADIUS
 
 
 def test_similar_texts_by_five_word_shingles(spark, tmp_path):
@@ -110,15 +108,23 @@ def test_texts_of_one_signature_are_verified(spark, tmp_path, monkeypatch):
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
 
 
-def test_cells_of_hot_keys(spark):
-    """Every two texts of a key and different roots meet in a cell; no cell is much larger than a hot key."""
-    rows = [(7, k, k, k, 0 if k < 300 else k) for k in range(400)] + [(8, k, k, k, k) for k in range(10)]
-    keyed = spark.createDataFrame(rows, "key long, node long, f0 long, f1 long, root long")
-    cells = similar_texts._open_cells(keyed, 50).collect()
+def test_cells_of_families(spark):
+    """Every two texts of a family with several components meet in a cell; no cell is larger than two chunks or so."""
+    rows = [(7, k, 0 if k < 300 else k) for k in range(400)] + [(8, k, k) for k in range(1000, 1010)] + [(9, k, 2000) for k in range(2000, 2050)]
+    cells = similar_texts._family_cells(spark.createDataFrame(rows, "family long, node long, root long"), 50).collect()
     held = {}
     for r in cells:
-        held.setdefault((r.key, r.cell), []).append(r)
-    assert max(map(len, held.values())) < 120
-    met = {(k, min(a.node, b.node), max(a.node, b.node)) for (k, _), own in held.items() for a in own for b in own if a.root != b.root}
-    assert met == {(k, a, b) for k, n in ((7, 400), (8, 10)) for b in range(n) for a in range(b) if k == 8 or b >= 300}
-    assert len(cells) < 5000
+        held.setdefault((r.family, r.cell), []).append(r.node)
+    assert max(map(len, held.values())) < 150 and {f for f, _ in held} == {7, 8}
+    met = {(f, a, b) for (f, _), own in held.items() for a in own for b in own if a < b}
+    assert met == {(7, a, b) for b in range(400) for a in range(b)} | {(8, a, b) for b in range(1000, 1010) for a in range(1000, b)}
+
+
+def test_similarities_of_sets_by_a_product(monkeypatch):
+    monkeypatch.setattr(similar_texts, "COLUMNS", 7)
+    rng = random.Random(2)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 50))), np.uint64) for _ in range(40)] + [np.empty(0, np.uint64)]
+    sets += [sets[3], sets[3][:-1]]
+    got = similar_texts.similar_pairs(sets, 0.8)
+    plain = [set(x.tolist()) for x in sets]
+    assert all(got[i, j] == (len(a & b) >= 0.8 * len(a | b)) for i, a in enumerate(plain) for j, b in enumerate(plain))
