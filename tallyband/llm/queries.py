@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyband.llm import byte_bpe, byte_gru, lattice_lm, lsm_dedup, mixture, pii_spans, pivot_index, rule_ensemble, simhash_pivots, virtual_slots
+from tallyband.llm import byte_bpe, byte_gru, lattice_lm, lsm_dedup, mean_sorted_clusters, mixture, pii_spans, pivot_index, prefix_trie, rule_ensemble, simhash_pivots, token_files, virtual_slots
 from tallyband.llm.common import table, vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,18 @@ def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pivots.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_file_digests(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_mean_sorted_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mean_sorted_clusters.clustered(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -72,6 +84,9 @@ QUERIES: dict[str, Query] = {
     "op8_hierarchical_mixture": op8_hierarchical_mixture,
     "op9_lsm_dedup": op9_lsm_dedup,
     "op10_simhash_pivots": op10_simhash_pivots,
+    "op11_token_files": op11_token_files,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_mean_sorted_clusters": op13_mean_sorted_clusters,
     "pipeline": pipeline,
 }
 
@@ -134,3 +149,53 @@ FROM placed
 
 
 ORACLE_SQL["op8_hierarchical_mixture"] = _mixture_sql(mixture.PRODUCTION)
+
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda d: ascii(d)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 1, 2, 3, 4, 5, 6, 7]), lambda r, i: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384::BIGINT) ELSE r >> 1 END))"""
+
+ORACLE_SQL["op12_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+    FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % {prefix_trie.BLOCK} AS base, xor({_CRC.format(x="conv_id::VARCHAR")}, 4294967295::BIGINT) % {prefix_trie.MOST_SHARED} AS h
+    FROM (SELECT DISTINCT conv_id FROM t)),
+both_parts AS (SELECT c.conv_id, 0 AS part, k, role, text FROM c JOIN t ON t.conv_id = c.base AND k <= h
+    UNION ALL SELECT c.conv_id, 1, k, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND k > h),
+r AS (SELECT conv_id, text, row_number() OVER w AS depth, md5(string_agg(length(role) || ':' || length(text) || ':' || role || text, '') OVER w) AS path
+    FROM both_parts WINDOW w AS (PARTITION BY conv_id ORDER BY part, k ROWS UNBOUNDED PRECEDING)
+    UNION ALL SELECT conv_id, '', 0, '' FROM c),
+n AS (SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * strlen(any_value(text)) AS saved FROM r GROUP BY depth, path),
+m AS (SELECT r.conv_id AS member, n.* FROM r JOIN n USING (depth, path)),
+e AS (SELECT DISTINCT m.depth, m.conv_id, p.conv_id AS parent_conv_id FROM m LEFT JOIN m p ON p.member = m.member AND p.depth = m.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent_conv_id AS conv_id, count(*) AS n_children FROM e WHERE depth > 0 GROUP BY ALL),
+below AS (SELECT DISTINCT a.depth, a.conv_id, d.depth AS d_depth, d.conv_id AS d_conv_id, d.saved FROM m a JOIN m d ON a.member = d.member AND d.depth >= a.depth),
+sums AS (SELECT b.depth, b.conv_id, sum(b.saved)::BIGINT AS saved_tokens, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves
+    FROM below b LEFT JOIN kids k ON k.depth = b.d_depth AND k.conv_id = b.d_conv_id GROUP BY ALL),
+last AS (SELECT member, max(depth) AS depth FROM m GROUP BY member),
+ends AS (SELECT m.depth, m.conv_id, string_agg(m.member::VARCHAR, ',' ORDER BY m.member) AS ids FROM m JOIN last USING (member, depth) GROUP BY ALL)
+SELECT n.conv_id, n.depth, e.parent_conv_id, n.n_convs, coalesce(k.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(x.ids, '')) AS ends_sha256
+FROM n JOIN e USING (depth, conv_id) JOIN sums s USING (depth, conv_id) LEFT JOIN kids k USING (depth, conv_id) LEFT JOIN ends x USING (depth, conv_id)
+"""
+
+
+def _clusters_sql(clusters: int, rounds: int, components: int, scale: int, seed: int) -> str:
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS (SELECT id, arg_min(c, (d, c)) AS c, min(d) AS d FROM (SELECT p.id, c.c, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM p, c{k} c) GROUP BY id)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (SELECT c, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT a.c, unnest(p.x) AS v, generate_subscripts(p.x, 1) AS i FROM a{k} a JOIN p USING (id)) GROUP BY c, i),
+m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY c),
+c{k + 1} AS (SELECT c, coalesce(m.x, o.x) AS x FROM c{k} o LEFT JOIN m{k} m USING (c))""")
+    end = f"""SELECT p.vec_id, a.c AS cluster, a.d AS distance, (sum(a.d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia,
+    sha256(array_to_string(list_transform(c.x, lambda v: v::VARCHAR), ',')) AS centroid_sha256 FROM a{rounds} a JOIN p USING (id) JOIN c{rounds} c USING (c)"""
+    return f"""
+WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE len(embedding) = {components}
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS x FROM v),
+c0 AS (SELECT (row_number() OVER (ORDER BY key, x) - 1)::INT AS c, x FROM (SELECT x, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS key FROM p ORDER BY key, x LIMIT {clusters})),
+{", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) if x.startswith("a") else x for x in steps)}
+{end}
+"""
+
+
+_c = mean_sorted_clusters
+ORACLE_SQL["op13_mean_sorted_clusters"] = _clusters_sql(_c.CLUSTERS, _c.ROUNDS, _c.COMPONENTS, _c.SCALE, _c.SEED)
