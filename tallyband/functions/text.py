@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,75 @@ def translate(df: DataFrame, name: str, catalog: DataFrame, out: str) -> DataFra
     return df.join(found, df[name] == F.col("__id"), "left").withColumn(out, F.coalesce("__str", name)).drop("__id", "__str")
 
 
-def translate2(df: DataFrame, singular: str, plural: str, n: str, catalog: DataFrame, out: str) -> DataFrame:
-    """As translate, by number: catalog has msgid, form (0 for one, else 1), msgstr."""
+def translate2(df: DataFrame, singular: str, plural: str, n: str, catalog: DataFrame, out: str, rule: str | None = None) -> DataFrame:
+    """As translate, by number: catalog has msgid, form, msgstr. rule: the catalog's plural rule (see plural_form), which gives the form; else 0 for one and 1 for other numbers.
+
+    A text that the catalog lacks is the singular for one, else the plural.
+    """
     found = catalog.select(F.col("msgid").alias("__id"), F.col("form").alias("__form"), F.col("msgstr").alias("__str"))
-    form = F.when(df[n] == 1, 0).otherwise(1)
-    own = F.when(form == 0, df[singular]).otherwise(df[plural])
+    form = F.when(df[n] == 1, 0).otherwise(1) if rule is None else plural_form(rule, df[n])
+    own = F.when(df[n] == 1, df[singular]).otherwise(df[plural])
     return df.join(found, (df[singular] == F.col("__id")) & (form == F.col("__form")), "left").withColumn(out, F.coalesce("__str", own)).drop("__id", "__form", "__str")
+
+
+#: Operators of a plural rule by how loosely they bind, loosest first; comparisons and logic give 1 or 0.
+_OPERATORS = (
+    {"||": lambda a, b: _flag((a != 0) | (b != 0))},
+    {"&&": lambda a, b: _flag((a != 0) & (b != 0))},
+    {"==": lambda a, b: _flag(a == b), "!=": lambda a, b: _flag(a != b)},
+    {"<=": lambda a, b: _flag(a <= b), ">=": lambda a, b: _flag(a >= b), "<": lambda a, b: _flag(a < b), ">": lambda a, b: _flag(a > b)},
+    {"+": lambda a, b: a + b, "-": lambda a, b: a - b},
+    {"*": lambda a, b: a * b, "/": lambda a, b: F.floor(a / b), "%": lambda a, b: a % b},
+)
+
+
+def _flag(test: Column) -> Column:
+    return F.when(test, 1).otherwise(0)
+
+
+def plural_form(rule: str, n: Column) -> Column:
+    """The number of the form for n by a rule such as 'nplurals=3; plural=n==1 ? 0 : n==2 ? 1 : 2;': arithmetic, comparisons and choices over n."""
+    text = re.sub(r"\s+", "", re.sub(r"^.*\bplural\s*=(?!=)", "", rule).split(";")[0])
+    tokens = re.findall(r"[0-9]+|n|\|\||&&|[=!<>]=|[-+*/%<>?:()!]", text)
+    if text != "".join(tokens):
+        raise ValueError(f"not a plural rule: {rule}")
+    n = n.cast("long")
+
+    def take(expected: str | None = None) -> str:
+        if not tokens or (expected and tokens[0] != expected):
+            raise ValueError(f"not a plural rule: {rule}")
+        return tokens.pop(0)
+
+    def choice() -> Column:
+        test = binary(0)
+        if tokens[:1] != ["?"]:
+            return test
+        take()
+        yes = choice()
+        take(":")
+        return F.when(test != 0, yes).otherwise(choice())
+
+    def binary(level: int) -> Column:
+        if level == len(_OPERATORS):
+            return single()
+        left = binary(level + 1)
+        while tokens and tokens[0] in _OPERATORS[level]:
+            left = _OPERATORS[level][take()](left, binary(level + 1))
+        return left
+
+    def single() -> Column:
+        token = take()
+        if token == "!":
+            return _flag(single() == 0)
+        if token == "(":
+            inner = choice()
+            take(")")
+            return inner
+        if token != "n" and not token.isdigit():
+            raise ValueError(f"not a plural rule: {rule}")
+        return n if token == "n" else F.lit(int(token)).cast("long")
+
+    form = choice()
+    if tokens:
+        raise ValueError(f"not a plural rule: {rule}")
+    return form.cast("int")

@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyband.functions import formatting
+from tallyband.functions.exact import exact_text
 from tallyband.jobs.common import Catalog, doubles, money, table
 from tallyband.operators.breaks import break_islands, break_row_numbers, matched
-from tallyband.operators.fold import affine, iterate, running_fold, string_fold, user_aggregate
+from tallyband.operators.fold import affine, clamped, iterate, machine, running_fold, string_fold, user_aggregate
 from tallyband.operators.prefix import previous, row_numbers
 from tallyband.operators.sections import in_output_order, numbered, sectioned
 from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_variables
+from tallyband.sources.casts import cast_columns
 
 CATALOG = Catalog()
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
@@ -353,6 +355,84 @@ def custom_variable_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return custom_totals(lines, ["l_suppkey"], {"weighted": weighted, "first_ship": CustomVariable(F.col("l_shipdate"), ("min", lambda b: b))})
 
 
+#: Amounts as text, two for each line: ten millionths, and such numbers beside hundreds of billions, some of them below zero.
+_AMOUNTS = """(SELECT *, CASE WHEN kind = 'small' THEN '' WHEN l_orderkey % 10 = 3 THEN '-100000000000000' ELSE '100000000000000' END ||
+  CASE WHEN kind = 'small' THEN '0.000000' ELSE '.000000' END || (l_linenumber % 9 + 1) AS amount FROM lineitem, (VALUES ('large'), ('small')) v(kind))"""
+
+
+def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem").withColumn("kind", F.explode(F.array(F.lit("large"), F.lit("small"))))
+    small = F.col("kind") == "small"
+    large = F.when(small, "").when(F.col("l_orderkey") % 10 == 3, "-100000000000000").otherwise("100000000000000")
+    text = F.concat(large, F.when(small, "0.000000").otherwise(".000000"), (F.col("l_linenumber") % 9 + 1).cast("string"))
+    return cast_columns(lines.withColumn("amount", text).select(*LINE_ORDER, "l_returnflag", "kind", "amount"), {"amount": "exact"})
+
+
+def _plain(text: str) -> str:
+    return f"regexp_replace(regexp_replace(({text})::VARCHAR, '0+$', ''), '\\.$', '')"
+
+
+@CATALOG.add(f"""
+SELECT l_returnflag, kind, count(*) AS n, {_plain("sum(amount::DECIMAL(38,7))")} AS total, {_plain("min(amount::DECIMAL(38,7))")} AS lowest,
+  ((sum((amount::DECIMAL(38,7) * 10000000)::HUGEINT) * 100000) // count(*))::VARCHAR AS average_scaled
+FROM {_AMOUNTS} GROUP BY l_returnflag, kind
+""")
+def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums and averages of numbers that a double can't hold, by group; the average as a whole number of billionths of thousandths."""
+    amount = F.col("amount")
+    made = {"n": Variable("countall"), "total": Variable("sum", amount, exact=True), "lowest": Variable("lowest", amount), "average": Variable("average", amount, exact=True)}
+    rows = _amounts(spark, sf_dir).groupBy("l_returnflag", "kind").agg(*(v.aggregate().alias(n) for n, v in made.items()))
+    scaled = F.regexp_replace(F.concat(exact_text(F.col("average"), 0), F.rpad(F.regexp_extract(exact_text(F.col("average"), 12), r"\.([0-9]+)", 1), 12, "0")), r"^(-?)0+(?=[0-9])", "$1")
+    return rows.select("l_returnflag", "kind", "n", exact_text(F.col("total")).alias("total"), exact_text(F.col("lowest")).alias("lowest"), scaled.alias("average_scaled"))
+
+
+@CATALOG.add(f"""
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, kind, {_plain("sum(amount::DECIMAL(38,7)) OVER w")} AS running, {_plain("sum(amount::DECIMAL(38,7)) OVER (PARTITION BY l_returnflag ORDER BY " + _LINE_ORDER + ", kind ROWS UNBOUNDED PRECEDING)")} AS running_in_flag
+FROM {_AMOUNTS} WINDOW w AS (ORDER BY {_LINE_ORDER}, kind ROWS UNBOUNDED PRECEDING)
+""")
+def exact_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running sums of both magnitudes at once, over the report and over each flag, which three values share."""
+    order = [*LINE_ORDER, "kind"]
+    total = Variable("sum", F.col("amount"), exact=True)
+    rows = running_variables(_amounts(spark, sf_dir), order, {"running": total})
+    rows = running_variables(rows, order, {"running_in_flag": total}, ["l_returnflag"])
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", *(exact_text(F.col(n)).alias(n) for n in ("running", "running_in_flag")))
+
+
+_HELD = "greatest(-500, least(500, r.balance + e.v))"
+
+
+@CATALOG.add(f"""
+WITH RECURSIVE e AS (SELECT event_id, round(value)::BIGINT * (CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END) AS v, event_type, CASE WHEN user_id % 10 = 0 THEN user_id ELSE -1 END AS who,
+  row_number() OVER (PARTITION BY CASE WHEN user_id % 10 = 0 THEN user_id ELSE -1 END ORDER BY ts, event_id) AS k FROM events),
+r AS (SELECT event_id, who, k, greatest(-500, least(500, v)) AS balance, greatest(0, v) AS highest, (CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS alarm FROM e WHERE k = 1
+  UNION ALL SELECT e.event_id, e.who, e.k, {_HELD}, greatest(r.highest, e.v), (CASE WHEN e.event_type = 'error' THEN least(r.alarm + 1, 3) WHEN r.alarm = 3 THEN 3 ELSE 0 END) FROM r JOIN e ON e.who = r.who AND e.k = r.k + 1)
+SELECT event_id, who, balance::BIGINT AS balance, highest::BIGINT AS highest, alarm::BIGINT AS alarm FROM r
+""")
+def folds_of_a_hot_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine tenths of the events are one group: a balance held between bounds, the highest value, and an alarm that three errors in a row set off for good."""
+    sign = F.when(F.col("event_id") % 2 == 0, 1).otherwise(-1)
+    who = F.when(F.col("user_id") % 10 == 0, F.col("user_id")).otherwise(-1)
+    events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", who.alias("who"), (F.round("value").cast("long") * sign).alias("v"))
+    order = ["ts", "event_id"]
+    rows = running_fold(events, _held, 0, "v", order, ["who"], "balance", "bigint", clamped(-500, 500))
+    rows = running_fold(rows, _higher, 0, "v", order, ["who"], "highest", "bigint")
+    rows = running_fold(rows, _alarm, 0, "event_type", order, ["who"], "alarm", "bigint", machine([0, 1, 2, 3], _alarm))
+    return rows.select("event_id", "who", "balance", "highest", "alarm")
+
+
+def _held(x: int, v: int) -> int:
+    return max(-500, min(500, x + v))
+
+
+def _higher(x: int, v: int) -> int:
+    return max(x, v)
+
+
+def _alarm(state: int, event_type: str) -> int:
+    return min(state + 1, 3) if event_type == "error" else 3 if state == 3 else 0
+
+
 @CATALOG.add("SELECT user_id, bit_xor(event_id::BIGINT) AS xored FROM events GROUP BY user_id")
 def user_aggregate_xor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An aggregate that Spark is not asked for: a user's own in Python, with states that merge."""

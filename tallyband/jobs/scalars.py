@@ -147,14 +147,14 @@ def format_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @CATALOG.add("""
-SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 1.0 WHEN event_id % 5 = 1 THEN 0.0 WHEN event_id % 5 = 2 THEN json_extract_string(props, '$.k')::DOUBLE WHEN event_id % 5 = 3 THEN event_id::DOUBLE * 1000 END AS parsed,
-  CASE WHEN event_id % 2 = 0 THEN ts::DATE::TIMESTAMP ELSE date_trunc('second', ts) END AS stamp, (event_id % 5 = 4)::INT AS wrong
+SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 1.0 WHEN event_id % 5 = 1 THEN 0.0 WHEN event_id % 5 = 2 THEN json_extract_string(props, '$.k')::DOUBLE WHEN event_id % 5 = 3 THEN event_id::DOUBLE * 1000 END AS parsed,
+  CASE WHEN event_id % 2 = 0 THEN ts::DATE::TIMESTAMP ELSE date_trunc('second', ts) END AS stamp, (event_id % 5 = 4 OR event_id % 10 = 5)::INT AS wrong
 FROM events
 """)
 def parse_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words and numbers of several shapes, dates of two."""
-    k = F.col("event_id") % 5
-    text = F.when(k == 0, "Yes").when(k == 1, "f").when(k == 2, F.get_json_object("props", "$.k")).when(k == 3, F.concat(F.col("event_id").cast("string"), F.lit("e3"))).otherwise("n/a")
+    """Words (in their own case only) and numbers of several shapes, what only looks like a number, dates of two shapes."""
+    k, odd = F.col("event_id") % 5, F.col("event_id") % 2 == 1
+    text = F.when(k == 0, F.when(odd, "Yes").otherwise("yes")).when(k == 1, "f").when(k == 2, F.get_json_object("props", "$.k")).when(k == 3, F.concat(F.col("event_id").cast("string"), F.lit("e3"))).when(odd, "12d").otherwise("n/a")
     day = F.when(F.col("event_id") % 2 == 0, F.date_format("ts", "d/M/yyyy")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     rows = table(spark, sf_dir, "events").select("event_id", text.alias("t"), day.alias("d"))
     return rows.select("event_id", cast_number(F.col("t")).alias("parsed"), cast_datetime(F.col("d")).alias("stamp"), L.iserror(F.col("t"), "number").alias("wrong"))
@@ -267,6 +267,20 @@ def plural_labels_and_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.translate2(lines, "one", "many", "l_linenumber", catalog, "boxes").select(*_KEY, "boxes", M.money(signed).alias("price"))
 
 
+_SLAVIC = "nplurals=3; plural=(n%10==1 && n%100!=11 ? 0 : n%10>=2 && n%10<=4 && (n%100<10 || n%100>=20) ? 1 : 2);"
+
+
+@CATALOG.add("""
+SELECT o_orderkey, CASE WHEN k % 10 = 1 AND k % 100 <> 11 THEN 'zamek' WHEN k % 10 BETWEEN 2 AND 4 AND NOT k % 100 BETWEEN 10 AND 19 THEN 'zamki' ELSE CASE WHEN k = 1 THEN 'lock' ELSE 'locks' END END AS locks
+FROM (SELECT o_orderkey, o_orderkey % 230 AS k FROM orders)
+""")
+def plural_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A language of three forms by its catalog's rule; the catalog lacks the third."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 230).alias("k"), F.lit("lock").alias("one"), F.lit("locks").alias("many"))
+    catalog = from_rows(spark, [("msgid", "form", "msgstr"), ("lock", 0, "zamek"), ("lock", 1, "zamki")], {"form": "number"})
+    return S.translate2(orders, "one", "many", "k", catalog, "locks", _SLAVIC).select("o_orderkey", "locks")
+
+
 @CATALOG.add("""
 SELECT event_id, (event_id % 3 = 0)::INT AS nan, 1 AS number_kind, 0 AS text_is_number, 1 AS text_kind, 1 AS date_kind, NULL::DOUBLE AS no_number, NULL::VARCHAR AS no_text, NULL::TIMESTAMP AS no_time FROM events
 """)

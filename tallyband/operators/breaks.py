@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, previous, running
+from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, earlier, previous, running
 
 Levels = Mapping[str, Sequence[str]]
 """Break name to its fields, outermost first."""
@@ -26,11 +26,36 @@ def break_flags(df: DataFrame, order: Sequence[str], levels: Levels, rows_per_bu
 
 
 def break_islands(df: DataFrame, order: Sequence[str], levels: Levels, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """Add flags and the number <break>_no of each run of rows: for input that isn't sorted by the breaks."""
+    """Add flags and the number <break>_no of each run of rows: for input that isn't sorted by the breaks.
+
+    One row a bucket is carried over: its first and last fields and how many runs start inside it. So the input is read twice.
+    """
     rows = bucketed(df, order, rows_per_bucket)
-    flagged = break_flags(rows, order, levels)
-    numbers = {f"{name}_no": ("sum", F.col(f"{name}_starts").cast("long")) for name in levels}
-    return running(flagged, order, numbers).drop(BUCKET)
+    fields = list(dict.fromkeys(f for own in levels.values() for f in own))
+    inside = Window.partitionBy(BUCKET).orderBy(*order)
+    rows = rows.withColumn("__first", F.row_number().over(inside) == 1).withColumns({f"__p_{f}": F.lag(F.col(f"`{f}`")).over(inside) for f in fields})
+    starts, outer = {}, []
+    for name, own in levels.items():
+        outer += [~F.coalesce(F.col(f"`{f}`") == F.col(f"`__p_{f}`"), F.lit(False)) for f in own]
+        starts[name] = ~F.col("__first") & reduce(lambda a, b: a | b, outer)
+    rows = rows.withColumns({f"__s_{name}": x for name, x in starts.items()}).drop(*(f"__p_{f}" for f in fields))
+
+    values, place = F.struct(*(F.col(f"`{f}`").alias(f"f{k}") for k, f in enumerate(fields))), F.struct(*order)
+    small = rows.groupBy(BUCKET).agg(F.min_by(values, place).alias("__a"), F.max_by(values, place).alias("__z"), *(F.sum(F.col(f"__s_{n}").cast("long")).alias(f"__n_{n}") for n in levels))
+    small = small.withColumn("__before", F.lag("__z").over(Window.orderBy(BUCKET)))  # at most MOST_BUCKETS rows
+    number, outer, opens = {f: k for k, f in enumerate(fields)}, [], {}
+    for name, own in levels.items():
+        outer += [~F.coalesce(F.col(f"__a.f{number[f]}") == F.col(f"__before.f{number[f]}"), F.lit(False)) for f in own]
+        opens[f"__o_{name}"] = reduce(lambda a, b: a | b, outer)
+    small = small.withColumns(opens)
+    earlier_runs = {f"__n_{n}": F.coalesce(F.sum(F.col(f"__n_{n}") + F.col(f"__o_{n}").cast("long")).over(earlier()), F.lit(0)) for n in levels}
+    small = small.select(BUCKET, *opens, *(x.alias(n) for n, x in earlier_runs.items()))
+
+    out = rows.join(F.broadcast(small), BUCKET)  # a row a bucket
+    out = out.withColumns({f"{n}_starts": F.when(F.col("__first"), F.col(f"__o_{n}")).otherwise(F.col(f"__s_{n}")) for n in levels})
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"{n}_no": F.col(f"__n_{n}") + F.sum(F.col(f"{n}_starts").cast("long")).over(upto) for n in levels})
+    return out.select(*df.columns, *(f"{n}_starts" for n in levels), *(f"{n}_no" for n in levels))
 
 
 def break_row_numbers(df: DataFrame, order: Sequence[str], keys: Sequence[str], name: str = "brrownum", rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

@@ -39,12 +39,11 @@ def bucketed(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PE
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = min(MOST_BUCKETS, max(math.ceil(total / rows_per_bucket), min(tasks, total // LEAST_PER_BUCKET)))
     if buckets < 2:
-        return df.withColumn(BUCKET, F.lit(0))
+        return df.withColumn(BUCKET, F.lit(0)).repartition(1)  # few rows
     share = min(1.0, 2 * buckets * KEYS_PER_BUCKET / total)
     sample = keys.filter(F.pmod(F.xxhash64(*order), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000))).limit(4 * buckets * KEYS_PER_BUCKET)
     rows = sample.orderBy(*order).collect()  # at most 4 * KEYS_PER_BUCKET short rows a bucket
     bounds = sorted({tuple(rows[len(rows) * k // buckets]) for k in range(1, buckets)}, key=lambda r: [(v is not None, v) for v in r]) if rows else []
-    bounds = [b for b in bounds if all(v is not None for v in b)]
     typed = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True))) for b in bounds]
     # dealt by number, so that few bytes are not put together in one task again
     return df.withColumn(BUCKET, _below(F.struct(*order), typed, 0, len(typed))).repartition(max(buckets, tasks), BUCKET)

@@ -1,7 +1,8 @@
 """Report variables: aggregates that run with the rows or are known beforehand, over the report or a break.
 
 kinds: count (rows with a value), countall, sum (of nothing 0), average (of nothing NULL), averageall (sum by all rows,
-ignored ones too), lowest, highest. Rows whose `ignore` is true don't count.
+ignored ones too), lowest, highest. Rows whose `ignore` is true don't count. Values that are exact numbers (functions.exact) have exact
+sums and averages.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyband.functions.exact import LIMBS, divided, summed
 from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, running
 
 KINDS = ("count", "countall", "sum", "average", "averageall", "lowest", "highest")
@@ -22,6 +24,8 @@ class Variable:
     kind: str
     value: Column | None = None
     ignore: Column | None = None
+    exact: bool = False
+    """Whether value is an exact number, so that sums and averages are, too."""
 
     def __post_init__(self):
         if self.kind not in KINDS:
@@ -33,6 +37,9 @@ class Variable:
     def parts(self) -> dict[str, tuple[str, Column]]:
         """The running aggregates it is made of."""
         value = None if self.value is None else self._kept(self.value)
+        if self.exact and self.kind in ("sum", "average", "averageall"):
+            limbs = {n: ("sum", value[n]) for n in LIMBS}
+            return limbs | ({} if self.kind == "sum" else {"n": ("count", value if self.kind == "average" else F.lit(1))})
         return {
             "count": {"n": ("count", value)},
             "countall": {"n": ("count", self._kept(F.lit(1)))},
@@ -46,6 +53,9 @@ class Variable:
     def of(self, part: Mapping[str, Column]) -> Column:
         if self.kind in ("count", "countall"):
             return F.coalesce(part["n"], F.lit(0))
+        if self.exact and self.kind in ("sum", "average", "averageall"):
+            limbs = {n: F.coalesce(part[n], F.lit(0)) for n in LIMBS}
+            return summed(limbs) if self.kind == "sum" else divided(limbs, part["n"])
         if self.kind == "sum":
             return F.coalesce(part["s"], F.lit(0))
         if self.kind in ("average", "averageall"):

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words that are numbers, in any case.
+from tallyband.functions.exact import exact
+
+#: Words that are numbers, in this case only.
 TRUE_WORDS = ("yes", "true", "t")
 FALSE_WORDS = ("no", "false", "f")
 
@@ -66,9 +69,10 @@ def _moment(p: Column) -> Column:
 
 
 def cast_number(s: Column) -> Column:
-    """yes, true and t are 1, no, false and f 0; else a number in base ten, also with an exponent."""
-    word = F.lower(F.trim(s))
-    return F.when(word.isin(*TRUE_WORDS), 1.0).when(word.isin(*FALSE_WORDS), 0.0).otherwise(F.trim(s).try_cast("double"))
+    """yes, true and t are 1, no, false and f 0; else the whole string as a number in base ten, also with an exponent; NULL for all else."""
+    # digits before the cast: it would take suffixes of number literals, too
+    number = F.when(s.rlike(r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$|(?i)^\s*(?:nan|[+-]?inf(?:inity)?)\s*$"), F.trim(s).try_cast("double"))
+    return F.when(s.isin(*TRUE_WORDS), 1.0).when(s.isin(*FALSE_WORDS), 0.0).otherwise(number)
 
 
 def cast_datetime(s: Column) -> Column:
@@ -95,19 +99,22 @@ _CLOCK_AT_END = r"(?:-?[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)?"
 
 
 def cast_interval(s: Column) -> Column:
-    """Struct (months, days, seconds) of numbers with units, such as '1 year 2 mons -3 days 04:05:06'; NULL for all else."""
+    """Struct (months, days, seconds) of numbers with units, such as '1 year 2 mons -3 days 04:05:06'. A unit given twice counts as it was given last; NULL for all else, and where all numbers are zero."""
+    sizes = {}
+    for words, _ in (unit for units in _UNITS.values() for unit in units):
+        # all that can stand before is taken first, so the last number of the unit is found
+        found = F.regexp_extract(s, rf"(?is)^(?:.*[^0-9+-])?([+-]?[0-9]+)\s*(?:{words})(?![a-z])", 1)
+        sizes[words] = F.coalesce(found.try_cast("long"), F.lit(0))
 
     def field(name: str) -> Column:
-        total = F.lit(0).cast("long")
-        for words, worth in _UNITS[name]:
-            total += F.coalesce(F.regexp_extract(s, rf"(?i)([+-]?[0-9]+)\s*(?:{words})(?![a-z])", 1).try_cast("long"), F.lit(0)) * worth
-        return total
+        return reduce(lambda a, b: a + b, (sizes[words] * worth for words, worth in _UNITS[name]))
 
     clock = F.split(F.regexp_extract(s, r"(-?[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\s*$", 1), ":")
     size = F.abs(clock[0].try_cast("long")) * 3600 + clock[1].try_cast("long") * 60 + F.coalesce(F.get(clock, F.lit(2)).try_cast("long"), F.lit(0))
     size = F.when(F.size(clock) > 1, F.when(clock[0].startswith("-"), -size).otherwise(size)).otherwise(0)
     found = F.struct(field("months").alias("months"), field("days").alias("days"), (field("seconds") + size).alias("seconds"))
-    return F.when(s.rlike(rf"(?i)^\s*(?:[+-]?[0-9]+\s*(?:{_ANY_UNIT})(?![a-z])\s*)+{_CLOCK_AT_END}\s*$"), found)
+    some = reduce(lambda a, b: a | b, (x != 0 for x in (*sizes.values(), size)))
+    return F.when(s.rlike(rf"(?i)^\s*(?:[+-]?[0-9]+\s*(?:{_ANY_UNIT})(?![a-z])\s*)+{_CLOCK_AT_END}\s*$") & some, found)
 
 
 def cast_moment(s: Column) -> Column:
@@ -133,6 +140,10 @@ def cast_moment(s: Column) -> Column:
 
 
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
-    """types: column to string, number, datetime (TIMESTAMP_NTZ), time (seconds of the day), interval or moment (any of these three); others stay as they are."""
-    casts = {"string": lambda c: c.cast("string"), "number": cast_number, "datetime": cast_datetime, "time": cast_time, "interval": cast_interval, "moment": cast_moment}
-    return df.select(*(casts[types[c]](F.col(f"`{c}`")).alias(c) if c in types else F.col(f"`{c}`") for c in df.columns))
+    """types: column to string, number, exact (see functions.exact), datetime (TIMESTAMP_NTZ), time (seconds of the day), interval or moment (any of these three); others stay as they are."""
+    casts = {"string": lambda c: c.cast("string"), "number": cast_number, "exact": exact, "datetime": cast_datetime, "time": cast_time, "interval": cast_interval, "moment": cast_moment}
+    out = df.select(*(casts[types[c]](F.col(f"`{c}`")).alias(c) if c in types and types[c] != "moment" else F.col(f"`{c}`") for c in df.columns))
+    for c in (c for c in df.columns if types.get(c) == "moment"):
+        # a moment is parsed once, whatever is made of it: an explode isn't merged with the projections above it
+        out = out.select(*(F.explode(F.array(cast_moment(F.col(f"`{c}`")))).alias(c) if x == c else F.col(f"`{x}`") for x in df.columns))
+    return out

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", quotes: str = "all", mode: str = "error") -> None:
-    """quotes: all cells, strings only, or none. Each file that has rows has the header. Quotes in quoted cells are doubled; NULL is an empty cell.
+    """quotes: all cells, strings only, or none. Each file that has rows has the header, and where there are no rows a file has it alone. Quotes in quoted cells are doubled; NULL is an empty cell.
 
     Without quotes cells are written as they are, so cells with separators, line ends or outer quotes can't be read back.
     """
@@ -25,7 +25,10 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", quotes: str = "all", mod
     names = ['"' + c.replace('"', '""') + '"' if quotes != "none" else c for c in df.columns]
     line = F.concat_ws(sep, *map(cell, df.columns))
     first = F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)) == 0  # of the task, which writes a file
-    df.select(F.explode(F.when(first, F.array(F.lit(sep.join(names)), line)).otherwise(F.array(line))).alias("value")).write.mode(mode).text(path)
+    header = F.lit(sep.join(names))
+    lines = df.select(F.explode(F.when(first, F.array(header, line)).otherwise(F.array(line))).alias("value"))
+    alone = df.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(header.alias("value"))
+    lines.unionByName(alone).write.mode(mode).text(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "error") -> None:

@@ -67,18 +67,18 @@ def test_strings(one):
 
 
 def test_translation(spark):
-    rows = spark.createDataFrame([("apple", "apples", 1), ("apple", "apples", 5), ("pear", "pears", 2)], "one string, many string, n int")
-    catalog = spark.createDataFrame([("apple", 0, "alma"), ("apple", 1, "almák")], "msgid string, form int, msgstr string")
-    assert [r.t for r in S.translate2(rows, "one", "many", "n", catalog, "t").orderBy("one", "n").collect()] == ["alma", "almák", "pears"]
-    assert {r.t for r in S.translate(rows, "one", catalog.filter("form = 0"), "t").collect()} == {"alma", "pear"}
+    rows = spark.createDataFrame([("oar", "oars", 1), ("oar", "oars", 5), ("reef", "reefs", 2)], "one string, many string, n int")
+    catalog = spark.createDataFrame([("oar", 0, "evező"), ("oar", 1, "evezők")], "msgid string, form int, msgstr string")
+    assert [r.t for r in S.translate2(rows, "one", "many", "n", catalog, "t").orderBy("one", "n").collect()] == ["evező", "evezők", "reefs"]
+    assert {r.t for r in S.translate(rows, "one", catalog.filter("form = 0"), "t").collect()} == {"evező", "reef"}
 
 
 @pytest.mark.parametrize(
     ("x", "fmt", "want"),
     [
-        (12345.56789, "%d", "12346"), (-12345.56789, "%d", "-12346"), (12345.56789, "%6.3d", " 12345.568"), (-12345.56789, "%6.3d", "-12345.568"),
-        (12345.56789, "%16.3d", " " * 11 + "12345.568"), (-12345.56789, "%16.3d", " " * 10 + "-12345.568"), (12345.56789, "%-16.3d", "12345.568" + " " * 11),
-        (6.0, "You have % 10d oranges", "You have          6 oranges"), (12345.56789, "!#%16.3d", " " * 11 + "12345.568"), (12345.56789, "!#{%16.3d}", " " * 11 + "12345.568"), (6.0, "You have !#{% 10d} oranges", "You have          6 oranges"),
+        (907.1256, "%d", "907"), (-907.6256, "%d", "-908"), (907.1256, "%5.2d", "  907.13"), (-907.1256, "%5.2d", " -907.13"),
+        (907.1256, "%12.2d", " " * 9 + "907.13"), (-907.1256, "%12.2d", " " * 8 + "-907.13"), (907.1256, "%-12.2d", "907.13" + " " * 9),
+        (3.0, "tide of % 6d feet", "tide of      3 feet"), (907.1256, "!#%12.2d", " " * 9 + "907.13"), (907.1256, "!#{%12.2d}", " " * 9 + "907.13"), (3.0, "tide of !#{% 6d} feet", "tide of      3 feet"),
     ],
 )
 def test_number_formats(one, x, fmt, want):
@@ -88,8 +88,8 @@ def test_number_formats(one, x, fmt, want):
 @pytest.mark.parametrize(
     ("x", "fmt", "want"),
     [
-        ("apples and oranges", "", "apples and oranges"), ("apples and oranges", None, "apples and oranges"), ("apples and oranges", "You have some %s and pears", "You have some apples and oranges and pears"),
-        ("apples and oranges", "% 10s", "apples and"), ("apples and oranges", "You have some !&% 10s pears", "You have some apples and pears"), ("apples", "% 10s", "    apples"),
+        ("spring tide", "", "spring tide"), ("spring tide", None, "spring tide"), ("spring tide", "next %s at noon", "next spring tide at noon"),
+        ("spring tide", "% 8s", "spring t"), ("spring tide", "next !&% 8s at noon", "next spring t at noon"), ("neap", "% 8s", "    neap"),
         (WORDS, "%9s", "árvíztűrő"), (WORDS, "%9.9s", "árvíztűrő"), ("hülye", "% 9s", "    hülye"),
     ],
 )
@@ -98,18 +98,38 @@ def test_string_formats(one, x, fmt, want):
 
 
 def test_printf_and_dates(one):
-    d = stamp("2022-05-08 06:07:09")
-    assert one(M.dtosf(d, ""), M.dtosf(d, "%Y-%m-%d"), M.format_(d, None, "datetime"), M.dtos(d)) == ("05/08/22", "2022-05-08", "05/08/22", "05/08/22")
-    text = "You had %d %s on !@{%Y-%m-%d} and %d %s on !@{%Y-%m-%d} in your pocket."
-    values = [F.lit(6), F.lit("apples"), stamp("2022-05-01 00:00:00"), F.lit(2), F.lit("oranges"), stamp("2022-05-02 00:00:00")]
-    assert one(M.printf(text, *values)) == "You had 6 apples on 2022-05-01 and 2 oranges on 2022-05-02 in your pocket."
+    d = stamp("2019-11-03 16:07:09")
+    assert one(M.dtosf(d, ""), M.dtosf(d, "%Y-%m-%d"), M.format_(d, None, "datetime"), M.dtos(d)) == ("11/03/19", "2019-11-03", "11/03/19", "11/03/19")
+    text = "%d %s from !@{%Y-%m-%d}, %d %s from !@{%Y-%m-%d}"
+    values = [F.lit(4), F.lit("crates"), stamp("2019-11-01 00:00:00"), F.lit(9), F.lit("ropes"), stamp("2019-11-02 00:00:00")]
+    assert one(M.printf(text, *values)) == "4 crates from 2019-11-01, 9 ropes from 2019-11-02"
     nulls = [F.lit(None).cast(t) for t in ("int", "string", "timestamp_ntz") * 2]
-    assert one(M.printf(text, *nulls)) == "You had   on  and   on  in your pocket."
+    assert one(M.printf(text, *nulls)) == "  from ,   from "
     assert one(M.money(F.lit(-1234.5)), M.printf("!${%.0n}", F.lit(99.4))) == ("-$1,234.50", "$99")
 
 
+@pytest.mark.parametrize(
+    ("rule", "forms"),
+    [
+        ("nplurals=2; plural=n != 1;", {0: 1, 1: 0, 2: 1}),
+        ("plural = (n==1 ? 0 : n>1 && n<5 ? 1 : 2)", {0: 2, 1: 0, 4: 1, 5: 2}),
+        ("nplurals=3; plural=n%10==1 && n%100!=11 ? 0 : n%10>=2 && n%10<=4 && (n%100<10 || n%100>=20) ? 1 : 2;", {1: 0, 11: 2, 21: 0, 22: 1, 12: 2, 25: 2, 111: 2}),
+        ("n == 0 || !(n - 7) ? 3 : n / 2 * 2 == n ? 1 : 0", {0: 3, 7: 3, 8: 1, 9: 0}),
+        ("0", {1: 0, 9: 0}),
+    ],
+)
+def test_plural_rules(one, rule, forms):
+    assert {n: one(S.plural_form(rule, F.lit(n))) for n in forms} == forms
+
+
+@pytest.mark.parametrize("rule", ["plural=n +", "plural=m", "plural=n ? 1", "plural=(n", "plural=n n", "import os"])
+def test_not_a_plural_rule(spark, rule):
+    with pytest.raises(ValueError):
+        S.plural_form(rule, F.lit(1))
+
+
 def test_reading_values(one):
-    assert one(*(cast_number(F.lit(x)) for x in ("yes", "F", "5e-1", " 7 ", "x", ""))) == (1, 0, 0.5, 7, None, None)
+    assert one(*(cast_number(F.lit(x)) for x in ("yes", "f", "5e-1", " 7 ", "x", "", "12d", "5f", "0x1", "1_0", "Yes", "F", "-.5", "7.", "."))) == (1, 0, 0.5, 7, *[None] * 8, -0.5, 7, None)
     T = datetime.datetime
     got = one(*(cast_datetime(F.lit(x)) for x in ("5/5/1980", "19800505061015", "1980-05-05 06:10:15.99", "1980-05-05T06:10p", "1/2/70", "1/2/68", "19800505", "1980-13-01", "noon", "5/5/1980 x")))
     assert got == (T(1980, 5, 5), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 6, 10, 15), T(1980, 5, 5, 18, 10), T(1970, 2, 1), T(2068, 2, 1), None, None, None, None)
@@ -138,7 +158,8 @@ def test_date_arithmetic(one):
     assert tuple(one(D.difference(stamp("1980-01-15 00:00:00"), a))) == (-2, -16, 0)
     assert tuple(one(D.sum_intervals(D.interval(1, 2, 3), D.negated(D.interval(0, 1, 4))))) == (13, -1, 0)
     assert tuple(one(D.parse_interval(F.lit("1 year 2 mons -3 days 04:05:06")))) == (14, -3, 14706)
-    assert one(D.parse_interval(F.lit("nothing"))) is None
+    assert [one(D.parse_interval(F.lit(x))) for x in ("nothing", "0 days", "0 years 0 secs", "5 days 0 days")] == [None] * 4
+    assert [tuple(one(D.parse_interval(F.lit(x)))) for x in ("1 years 2 years", "3 mins 4 hours 5 mins", "1 years -12 mons", "7d 8h")] == [(24, 0, 0), (0, 0, 14700), (0, 0, 0), (0, 7, 28800)]
     assert one(D.chgtimeof(jan, b), D.chgdateof(b, jan)) == (T(1980, 1, 31, 12), T(1980, 1, 31, 12))
     assert one(D.compare_dates(b, day("1980-01-15"))[0] == D.compare_dates(b, day("1980-01-15"))[1]) is True
 

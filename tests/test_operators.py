@@ -1,9 +1,11 @@
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from tallyband.functions.exact import exact, exact_decimal, exact_text
 from tallyband.operators import breaks, fold, followers, prefix, projection, sections
 from tallyband.operators.variables import CustomVariable, Variable, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, running_variables
 
@@ -19,7 +21,7 @@ def boats(spark):
 @pytest.mark.parametrize(("per_bucket", "partitions"), [(3, 1), (7, 32), (1000, 4)])
 def test_scans_do_not_depend_on_buckets(spark, per_bucket, partitions):
     rng = random.Random(3)
-    rows = [(None if k % 17 == 0 else k // 3, k, rng.choice([None, *range(9)]), rng.choice("aab")) for k in range(120)]
+    rows = [(None if k % 3 == 0 else k // 3, k, rng.choice([None, *range(9)]), rng.choice("aab")) for k in range(120)]
     table = spark.createDataFrame(rows, "a int, b int, v int, g string").repartition(partitions)
     spark.conf.set("spark.sql.shuffle.partitions", partitions)
     try:
@@ -139,12 +141,37 @@ def test_zip(spark):
     assert followers.zip_follower(right, ["b"], left, ["a"]).count() == 3
 
 
-def test_range_join_against_all_pairs(spark):
+@pytest.mark.parametrize("hot", [3, 20_000])
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e14])
+def test_range_joins_against_all_pairs(spark, scale, hot):
+    """Narrow, wide, empty, nested, repeated and unknown ranges; values that are far out, repeated or unknown; hot nodes."""
     rng = random.Random(8)
-    xs, bands = [(k, rng.uniform(-5, 20)) for k in range(60)], [(k, lo := rng.uniform(-5, 20), lo + rng.uniform(-1, 6)) for k in range(30)]
-    got = followers.range_join(spark.createDataFrame(xs, "x int, v double"), "v", spark.createDataFrame(bands, "b int, lo double, hi double"), "lo", "hi", 2.5).collect()
-    want = [(x, b) for x, v in xs for b in ([b for b, lo, hi in bands if lo <= v <= hi] or [None])]
-    assert sorted(((r.x, r.b) for r in got), key=str) == sorted(want, key=str)
+    inf, nan = float("inf"), float("nan")
+    xs = [*enumerate([*(scale * rng.uniform(-5, 20) for _ in range(80)), *[scale * 3.25] * 20, 0.0, -0.0, None, 1e300, -1e300, inf, -inf])]
+    bands = [(lo := scale * rng.uniform(-5, 20), lo + scale * rng.uniform(-1, 6) * 10 ** rng.uniform(-6, 0)) for _ in range(40)]
+    bands += [(-inf, inf), (-1e9 * scale, 1e9 * scale), (scale * 3.25, scale * 3.25), (None, scale), (0.0, None), (scale * 5, inf), (-inf, 0.0)] + [(scale * 2, scale * 4)] * 15
+    bands = [(k, *b) for k, b in enumerate(bands)]
+    left = spark.createDataFrame(xs, "x int, v double").repartition(3)
+    right = spark.createDataFrame(bands, "b int, v2 double, hi double").withColumnRenamed("v2", "lo").repartition(3)
+    hits = {x: [b for b, lo, hi in bands if None not in (v, lo, hi) and lo <= v <= hi] or [None] for x, v in xs}
+    got = followers.range_join(left, "v", right, "lo", "hi", hot)
+    assert got.columns == ["x", "v", "b", "lo", "hi"]
+    assert sorted(((r.x, r.b) for r in got.collect()), key=str) == sorted(((x, b) for x, bs in hits.items() for b in bs), key=str)
+    first = followers.first_match_in_range(left, "v", right, "lo", "hi", ["b"], hot).collect()
+    assert {r.x: r.b for r in first} == {x: bs[0] for x, bs in hits.items()} and len(first) == len(xs)
+    assert nan not in hits
+
+
+def test_a_wide_range_is_a_row_or_two(spark):
+    """An interval over the whole domain is no longer copied to the bins that it spans."""
+    left = spark.range(2000).select(F.col("id").alias("v"))
+    right = spark.createDataFrame([(1, 0, 10**9), (2, 5, 5), (3, 10, 9)], "b int, lo long, hi long")
+    out = followers.range_join(left, "v", right, "lo", "hi")
+    assert out.count() == 2001 and out.filter("b = 3").count() == 0
+    dates = spark.sql("SELECT DATE'2024-01-01' + CAST(id AS INT) AS d FROM range(50)")
+    spans = spark.sql("SELECT 1 AS b, DATE'2024-01-10' AS lo, DATE'2024-01-12' AS hi")
+    assert followers.range_join(dates, "d", spans, "lo", "hi").filter("b = 1").count() == 3
+    assert followers.range_join(dates, "d", spans.limit(0), "lo", "hi").count() == 50
 
 
 def test_links():
@@ -169,8 +196,42 @@ def test_folds(spark, boats):
     assert [r.letters for r in got] == ["T", "TU", "TU", "TUG"]
     out = fold.running_fold(boats, max, 0.0, "length", ["id"], ["sail"], "top", "double").orderBy("id").collect()
     assert [r.top for r in out] == [40, 40, 40, 35, 35, 35]
-    with pytest.raises(ValueError):
-        fold.running_fold(boats, max, 0.0, "length", ["id"], [], "top", "double")
+    none = fold.running_fold(boats.limit(0), max, 0.0, "length", ["id"], ["sail"], "top", "double")
+    assert none.collect() == [] and none.columns == [*boats.columns, "top"]
+
+
+def _held(x, v):
+    return max(-20, min(30, x + (v or 0)))
+
+
+def _next(x, v):
+    """A lock: opens by 1, 2, 3 in a row."""
+    return x if x == "open" else {("none", 1): "one", ("one", 2): "two", ("two", 3): "open"}.get((x, v), "one" if v == 1 else "none")
+
+
+@pytest.mark.parametrize("per_bucket", [150, 100_000])
+@pytest.mark.parametrize("keys", ["hot", "none", "null"])
+def test_folds_over_one_hot_group(spark, keys, per_bucket):
+    """With composing maps, and handed on from bucket to bucket: the same as row by row."""
+    rng = random.Random(4)
+    rows = [("big" if rng.random() < 0.9 else None if rng.random() < 0.3 else f"g{k % 40}", k, rng.choice([None, 1, 2, 3, -7, 9])) for k in range(1800)]
+    if keys == "null":
+        rows = [(None if g == "big" else g, k, v) for g, k, v in rows]
+    table = spark.createDataFrame(rows, "g string, k long, v long").repartition(7)
+    by = [] if keys == "none" else ["g"]
+    folds = {
+        "clamped": (_held, 5, "bigint", fold.clamped(-20, 30)),
+        "machine": (_next, "none", "string", fold.machine(["none", "one", "two", "open"], _next)),
+        "highest": (lambda x, v: max(x, v or 0), 0, "bigint", None),
+    }
+    for name, (step, first, kind, maps) in folds.items():
+        want, at = {}, {}
+        for g, k, v in sorted(rows, key=lambda r: r[1]):
+            own = g if by else 0
+            at[own] = want[k] = step(at.get(own, first), v)
+        for how in {maps, None}:
+            out = fold.running_fold(table, step, first, "v", ["k"], by, "x", kind, how, per_bucket)
+            assert {r.k: r.x for r in out.select("k", "x").collect()} == want, (name, how)
 
 
 @pytest.mark.parametrize("per_bucket", [2, 1000])
@@ -188,14 +249,19 @@ def test_custom_variables(boats, per_bucket):
     assert (totals[1].average, totals[0].average, totals[1].from_one, totals[0].first_name) == (21.5, 18.5, 4, "Badger")
 
 
-def test_user_aggregate(spark):
-    """A group of most rows is taken in parts; NULL keys are a group."""
-    table = spark.createDataFrame([(None if k % 50 == 0 else "big" if k % 10 else "small", k) for k in range(1000)], "g string, v long")
-    out = fold.user_aggregate(table, ["g"], "v", lambda: [0, 0], lambda s, v: [s[0] + int(v), s[1] + 1], lambda a, b: [int(a[0] + b[0]), int(a[1] + b[1])], lambda s: s[0] / s[1], "mean", "double", "array<bigint>", parts=7)
-    want = {}
-    for g, v in [(r.g, r.v) for r in table.collect()]:
-        want.setdefault(g, []).append(v)
-    assert {r.g: r["mean"] for r in out.collect()} == {g: sum(v) / len(v) for g, v in want.items()}
+@pytest.mark.parametrize("most", [3, 100_000])
+def test_user_aggregate(spark, most):
+    """A group of most rows, many small ones; NULL and NaN keys are groups; tables of states that fill up."""
+    nan = float("nan")
+    table = spark.createDataFrame([(None if k % 50 == 0 else "big" if k % 10 else f"small{k}", rng, k if k % 7 else None) for k in range(1000) for rng in (nan if k % 3 else None if k % 2 else -0.0 if k % 4 else 0.0,)], "g string, f double, v long")
+    how = (lambda: [0, 0], lambda s, v: [s[0] + (v or 0), s[1] + 1], lambda a, b: [a[0] + b[0], a[1] + b[1]], lambda s: s[0] / s[1], "mean", "double", "array<bigint>")
+    for keys in (["g"], ["g", "f"], []):
+        want = {}
+        for r in table.collect():
+            want.setdefault(tuple("nan" if r[k] != r[k] else r[k] for k in keys), []).append(r.v or 0)
+        got = [(tuple("nan" if r[k] != r[k] else r[k] for k in keys), r["mean"]) for r in fold.user_aggregate(table.repartition(5), keys, "v", *how, most_states=most).collect()]
+        assert len(got) == len(want) and dict(got) == {k: sum(v) / len(v) for k, v in want.items()}
+    assert fold.user_aggregate(table.limit(0), ["g"], "v", *how).collect() == []
 
 
 def test_sections_in_order(spark):
@@ -237,3 +303,36 @@ def test_sections_over_islands(spark):
         ("header", None, 1, 6), ("header", "a", 1, 2), ("etails", "a", 1, None), ("etails", "a", 2, None), ("footer", "a", 2, 2), ("header", "b", 3, 1), ("etails", "b", 3, None), ("footer", "b", 3, 1),
         ("header", "a", 4, 1), ("etails", "a", 4, None), ("footer", "a", 4, 1), ("etails", None, 5, None), ("etails", None, 6, None), ("footer", None, 6, 6),
     ]
+
+
+def test_exact_numbers(spark):
+    texts = ["100000000000000.0000001", "-100000000000000.0000001", "0", "-0", "1e3", "-1.5E-3", "  12.50 ", ".5", "7.", "abc", "", None, "12d", "1e400", "0e400", "9" * 36, "9" * 37, "-0." + "0" * 35 + "1", "1e-40", "1.2.3", "123456789012345678901234567890.123456789012345678901234567890"]
+    want = ["100000000000000.0000001", "-100000000000000.0000001", "0", "0", "1000", "-0.0015", "12.5", "0.5", "7", None, None, None, None, None, "0", "9" * 36, None, "-0." + "0" * 35 + "1", "0", None, "123456789012345678901234567890.12345678901234567890123456789"]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(3)
+    rows = table.select("k", exact(F.col("t")).alias("x")).orderBy("k").select(exact_text(F.col("x")).alias("x"), exact_decimal(F.col("x"), 7).alias("d")).collect()
+    assert [r.x for r in rows] == want
+    assert [str(rows[k].d) for k in (0, 5, 6)] == ["100000000000000.0000001", "-0.0015000", "12.5000000"]
+
+
+@pytest.mark.parametrize("per_bucket", [7, 1000])
+def test_exact_sums(spark, per_bucket):
+    """Against rational arithmetic; order and partitions don't matter."""
+    rng = random.Random(9)
+    texts = [rng.choice(["100000000000000.0000001", "0.0000001", "-99999999999999999999.5", f"{rng.randrange(-10**17, 10**17)}e{rng.randrange(-12, 8)}", None]) for _ in range(300)]
+    rows = [(k, k % 3, t) for k, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "k int, g int, t string").repartition(5).withColumn("x", exact(F.col("t")))
+    made = {"s": Variable("sum", F.col("x"), exact=True), "a": Variable("average", F.col("x"), exact=True), "z": Variable("averageall", F.col("x"), exact=True), "low": Variable("lowest", F.col("x")), "top": Variable("highest", F.col("x"))}
+    values = {k: Fraction(t) for k, t in enumerate(texts) if t}
+
+    def cut(x):
+        whole = abs(x) * 10**36 // 1
+        return Fraction(whole if x >= 0 else -whole, 10**36)
+
+    got = running_variables(table, ["k"], made, ["g"], per_bucket).select("k", "g", *(exact_text(F.col(n)).alias(n) for n in made)).collect()
+    for r in got:
+        own = [values[k] for k in range(r.g, r.k + 1, 3) if k in values]
+        assert Fraction(r.s) == sum(own) and Fraction(r.z) == cut(sum(own) / len(range(r.g, r.k + 1, 3)))
+        assert (r.a, r.low, r.top) == (None, None, None) if not own else [Fraction(x) for x in (r.a, r.low, r.top)] == [cut(sum(own) / len(own)), min(own), max(own)]
+    total = table.agg(made["s"].aggregate().alias("s")).select(exact_text(F.col("s")).alias("s")).first().s
+    assert Fraction(total) == sum(values.values())
+    assert table.limit(0).agg(made["s"].aggregate().alias("s"), made["a"].aggregate().alias("a")).select(exact_text(F.col("s")).alias("s"), "a").first()[:] == ("0", None)

@@ -1,8 +1,10 @@
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from tallyband.sources import readers, writers
+from tallyband.sources import readers, splits, writers
 from tallyband.sources.casts import cast_columns
 
 TYPES = {"id": "number", "length": "number", "sail": "number"}
@@ -48,6 +50,62 @@ def test_jdbc_in_parts(spark, tmp_path):
     assert parts.rdd.getNumPartitions() == 4 and parts.agg(F.count("*"), F.sum("V")).first() == (100, 14850)
 
 
+def test_jdbc_parts_by_the_data(spark, tmp_path):
+    """Bounds from histograms: outliers, a value with half of the rows, NULLs, an empty table."""
+    url = f"jdbc:derby:{tmp_path}/db2;create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    key = F.when(F.col("id") % 2 == 0, 7).when(F.col("id") % 11 == 1, None).when(F.col("id") == 999, 10**9).otherwise(F.col("id"))
+    spark.range(1000).select(F.col("id").alias("ID"), key.cast("long").alias("K")).coalesce(1).write.jdbc(url, "T", properties=driver)
+    parts = readers.read_jdbc_parts(spark, url, "SELECT ID, K FROM T", "K", 5, **driver)
+    assert sorted(r.ID for r in parts.collect()) == list(range(1000)) and parts.schema["K"].nullable
+    sizes = [r["count"] for r in parts.filter("K IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) >= 4 and max(sizes) < 560  # the value with half of the rows and what is beside it
+    rest = sorted(r["count"] for r in parts.filter("K <> 7").groupBy(F.spark_partition_id()).count().collect())
+    assert rest[-1] < 220
+    assert readers.read_jdbc_parts(spark, url, "SELECT ID, K FROM T WHERE ID < 0", "K", 5, **driver).count() == 0
+
+
+@pytest.fixture
+def small_blocks(spark):
+    """Files are cut every few bytes."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "97b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0b")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+CELLS = ["plain", 'q"uote', '"', '""', "a\nb", "\n", "\n\n\"x\n", "one\r\ntwo", "se,p", "", " blank ", "long " * 60 + "\n" + "more\"" * 30, "é\n日本", "back\\slash", "end\\"]
+
+
+def test_csv_cut_anywhere(spark, tmp_path, small_blocks):
+    rng = random.Random(3)
+    for name in ("a.csv", "b.csv"):
+        rows = [(f"{name}{k}", rng.choice(CELLS), rng.choice(CELLS)) for k in range(60)]
+        quoted = lambda x: '"' + x.replace('"', '""') + '"'
+        (tmp_path / name).write_bytes(("id,one,two\n" + "".join(f"{i},{quoted(a)},{quoted(b)}\n" for i, a, b in rows)).encode())
+        got = {r.id: (r.one, r.two) for r in readers.read_csv(spark, str(tmp_path / name), line_ends=True).collect()}
+        assert got == {i: (a or None, b or None) for i, a, b in rows}
+        pieces = splits.pieces(spark, str(tmp_path / name), "\n")
+        assert pieces.select("__block").distinct().count() > 20
+    assert readers.read_csv(spark, str(tmp_path), columns=["id", "one", "two"], line_ends=True).count() == 120
+    (tmp_path / "none.csv").write_text("id,one\n")
+    assert readers.read_csv(spark, str(tmp_path / "none.csv"), line_ends=True).collect() == []
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_cut_anywhere(spark, tmp_path, small_blocks, indent):
+    rng = random.Random(4)
+    rows = [{"id": k, "text": rng.choice([*CELLS, "}", "{", "]},{", '"rows": [', "\\", '\\"}', None]), "x}y": rng.choice([1.5, True, None, "5e-1"])} for k in range(80)]
+    for k, whole in enumerate(({"columns": ["id", "text", "x}y"], "coltypes": ["number", "string", "string"], "rows": rows}, {"rows": rows, "columns": ["id", "text", "x}y"]}, {"columns": ["id", "text", "x}y"], "rows": []})):
+        path = tmp_path / f"{k}.json"
+        path.write_text(json.dumps(whole, indent=indent))
+        got = sorted((int(float(r[0])), r[1], r[2]) for r in readers.read_json_rows(spark, str(path)).collect())
+        as_text = {True: "true", None: None, 1.5: "1.5", "5e-1": "5e-1"}
+        assert got == [(r["id"], r["text"], as_text[r["x}y"]]) for r in whole["rows"]]
+
+
 def test_memory_and_own_formats(spark):
     table = readers.from_rows(spark, [("id", "when"), (1, "7/9/2011"), (None, None)], {"id": "number", "when": "datetime"})
     assert [tuple(map(str, r)) for r in table.orderBy("id").collect()] == [("None", "None"), ("1.0", "2011-09-07 00:00:00")]
@@ -68,6 +126,8 @@ def test_csv_quotes(spark, tmp_path):
     assert '"1","say ""hi"", now"' in _lines(tmp_path / "all")
     assert _lines(tmp_path / "none") == ["1,say \"hi\", now", "2,", "n,s"]
     writers.write_csv(table, str(tmp_path / "tabs"), sep="\t", quotes="none")
+    writers.write_csv(table.limit(0), str(tmp_path / "empty"))
+    assert _lines(tmp_path / "empty") == ['"n","s"'] and readers.read_csv(spark, str(tmp_path / "empty")).columns == ["n", "s"]
     assert "2\t" in _lines(tmp_path / "tabs")
 
 
