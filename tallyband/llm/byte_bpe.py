@@ -2,7 +2,7 @@
 
 A task takes whole documents until they hold about BLOCK_CHARS characters, splits them by the fixed pattern and numbers the
 block's distinct words; a document becomes the numbers of its words. Words are dealt to parts by a hash. A part gets its words of
-all all blocks, packed, and makes them distinct; merge_fold() encodes each distinct word once: its bytes become ids, and a
+all blocks, packed, and makes them distinct; merge_fold() encodes each distinct word once: its bytes become ids, and a
 fold of higher-order functions applies, again and again, the merge of lowest rank among the neighbours, read from a rank
 map. The map is a constant beside each WORDS_EACH words; as a literal of the plan it takes the driver some 300 MB. The ids go
 back to the blocks, packed, which put them in the order of their texts; decoding concatenates the ids' byte pieces.
@@ -23,6 +23,7 @@ import base64
 import bz2
 import hashlib
 import heapq
+import math
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -40,8 +41,12 @@ BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 500_000
 #: Bytes of a word beyond which it is merged with a heap.
 LONG = 64
-#: Bytes of text for each part of the words.
-PART_BYTES = 1_000_000_000
+#: Distinct words of a part, about. Words grow slower than texts, and parts with them.
+PART_WORDS = 2_000_000
+#: Of the texts, the part that is looked at twice over to tell how many distinct words there are.
+SAMPLED = 64
+#: Parts for which a block is long enough; with more of them blocks grow, up to MOST_CHARS.
+BLOCK_PARTS, MOST_CHARS = 300, 64_000_000
 #: Distinct words that are folded in one row, with the rank map beside them.
 WORDS_EACH = 20_000
 #: In place of a part: a row with the parts of a block's words in the order of their numbers, and a row of documents.
@@ -446,12 +451,22 @@ def _assembled(pieces: Broadcast, emit: Callable[[list, list[np.ndarray], list[b
     return run
 
 
-def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schema: str, part_bytes: int = PART_BYTES) -> DataFrame:
+def distinct_words(docs: DataFrame) -> int:
+    """About how many distinct words there are, carried on from a part of the texts and twice that part; it decides how the work is dealt, not the result."""
+    place = F.pmod(F.xxhash64(text_or_empty()), F.lit(SAMPLED))
+    some = docs.select(place.alias("place"), text_or_empty().alias("text")).filter("place < 2")
+    words = some.select("place", F.explode(F.split("text", r"\s+")).alias("word"))
+    one, two = words.agg(F.approx_count_distinct(F.when(F.col("place") == 0, F.col("word"))), F.approx_count_distinct("word")).first()
+    growth = min(1.0, max(0.0, math.log2(two / one))) if one and two else 1.0
+    return math.ceil(max(two, 1) * (SAMPLED / 2) ** growth)
+
+
+def _encoded(docs: DataFrame, path: str, block_chars: int, emit: Callable, schema: str, part_words: int = PART_WORDS) -> DataFrame:
     spark = docs.sparkSession
     ranks = load_ranks(path)
     pieces = spark.sparkContext.broadcast(ranks)
-    size = docs.agg(F.sum(F.octet_length(text_or_empty()))).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // part_bytes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-distinct_words(docs) // part_words))
+    block_chars = min(max(block_chars, MOST_CHARS), block_chars * max(1, parts // BLOCK_PARTS))  # else a block has few words for each part
     blocks = work_table(mapped(_rows(docs), _blocks(parts, block_chars), _BLOCK), "bpe-blocks", compression="uncompressed")
     # numbers of tasks are set by hand, since few bytes are much work here
     words = blocks.filter(F.col("part") < PARTS).select("block", "part", "data").repartition(parts, "part").sortWithinPartitions("part")

@@ -9,7 +9,8 @@ links connect are a family, and families of several components are searched once
 chunks, where all pairs within the radius are verified by one product of the cell's shingle matrix. Only links that
 connect leave a cell, so no pairs of a family are ever rows.
 
-A key of more than `hot` texts is hot. Its texts meet in chunks, dealt anew for each key, and are one family.
+A key of more than `hot` texts is hot: its texts meet in cells of two chunks, each two of them in one, so candidate links connect
+the same texts whatever `hot` is.
 
 Texts of equal words are one node and need no check. Defined results are those of simhash_pivots; texts without words are
 similar to each other alone, and a text of fewer words than a shingle is one shingle.
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyband.llm.common import BROADCAST_TAGS, drop_rows, mapped, stored_tag, tagged, text_or_empty, work_table
@@ -147,8 +148,13 @@ def _grouped(cells: DataFrame, *carried: str) -> DataFrame:
     return cells.select("key", "cell", "node", "f0", "f1", *carried).repartition("key", "cell").sortWithinPartitions("key", "cell")
 
 
-def _first_cells(nodes: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | None]:
-    """The texts under their keys, hot keys in chunks; and the hot keys. Which are hot is read off a part of the texts and decides the work, not the result."""
+def _cells_of(own: Column, chunks: Column) -> Column:
+    """The cells of a text in chunk `own`: one with each chunk, so that every two texts meet in one."""
+    return F.transform(F.sequence(F.lit(0).cast("long"), chunks - 1), lambda k: F.least(k, own) * chunks + F.greatest(k, own))
+
+
+def _first_cells(nodes: DataFrame, hot: int) -> DataFrame:
+    """The texts under their keys; those of hot keys in cells of two chunks. Which keys are hot is read off a part of the texts: it decides how the work is dealt, not which pairs meet."""
     keyed = _keyed(nodes)
     some = _keyed(nodes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0)) if hot > SAMPLED else keyed
     scale = SAMPLED if hot > SAMPLED else 1
@@ -156,9 +162,10 @@ def _first_cells(nodes: DataFrame, hot: int) -> tuple[DataFrame, DataFrame | Non
     large = work_table(large, "hot-keys")
     none = F.lit(0).cast("long")
     if large.isEmpty():
-        return keyed.withColumn("cell", none), None
-    chunk = F.pmod(F.xxhash64("node", "key"), F.ceil(2 * F.col("n") / hot).cast("long"))
-    return keyed.join(_few(large), "key", "left").withColumn("cell", F.coalesce(chunk, none)).drop("n"), large.drop("n")
+        return keyed.withColumn("cell", none)
+    chunks = F.ceil(2 * F.col("n") / hot).cast("long")
+    cells = _cells_of(F.pmod(F.xxhash64("node", "key"), chunks), chunks)
+    return keyed.join(_few(large), "key", "left").withColumn("cell", F.explode(F.coalesce(cells, F.array(none)))).drop("n")
 
 
 def _family_cells(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -167,8 +174,7 @@ def _family_cells(members: DataFrame, chunk: int = CHUNK) -> DataFrame:
     chunks = F.ceil(F.col("n") / chunk).cast("long")
     sizes = sizes.select("family", chunks.alias("chunks"))
     own = F.pmod(F.xxhash64("node"), F.col("chunks"))
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda k: F.least(k, own) * F.col("chunks") + F.greatest(k, own))
-    return members.join(sizes, "family").withColumn("cell", F.explode(cells)).drop("chunks")
+    return members.join(sizes, "family").withColumn("cell", F.explode(_cells_of(own, F.col("chunks")))).drop("chunks")
 
 
 def _shingle_sets(words: int):
@@ -209,12 +215,9 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     texts = work_table(texts.select(F.col("best.t").alias("node"), "best", "f0", "f1", "same"), "distinct-texts", many)
     nodes = texts.select("node", "f0", "f1")
 
-    cells, large = _first_cells(nodes, hot)
-    pairs = work_table(mapped(_grouped(cells), _links(radius), "a long, b long").distinct(), "wide-links")
+    pairs = work_table(mapped(_grouped(_first_cells(nodes, hot)), _links(radius), "a long, b long").distinct(), "wide-links")
     n_pairs = pairs.count()
     met = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
-    if large is not None:
-        met = met.union(_keyed(nodes).join(_few(large), "key", "left_semi").select("node"))
     met = work_table(met.distinct(), "wide-nodes")
     own = data.join(_few(met), F.col("tag") == F.col("node"))
     sets = work_table(mapped(own.select("node", "data"), _shingle_sets(words), "node long, shingles binary"), "wide-shingles")
@@ -224,13 +227,8 @@ def similar_rows(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
         return work_table(mapped(both.select("a", "b", "one", "two"), _similar(similarity), "a long, b long"), "verified-links", n_pairs)
 
     found = verified(pairs, n_pairs)
-    if large is not None or found.count() < n_pairs:
-        same_family = pairs
-        if large is not None:
-            hot_rows = _keyed(nodes).join(_few(large), "key", "left_semi").select("key", "node")
-            first = hot_rows.groupBy("key").agg(F.min("node").alias("b"))
-            same_family = pairs.unionByName(hot_rows.join(first, "key").select(F.col("node").alias("a"), "b"))
-        families = connected_components(same_family).withColumnRenamed("root", "family")
+    if found.count() < n_pairs:
+        families = connected_components(pairs).withColumnRenamed("root", "family")
         components = connected_components(found)
         members = families.join(components, "node", "left").select("family", "node", F.coalesce("root", "node").alias("root"))
         cells = _family_cells(work_table(members, "family-members"))
