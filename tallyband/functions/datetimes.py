@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyband.functions.exact import let
 from tallyband.sources.casts import DAY, cast_datetime, cast_interval, cast_time
 
 
@@ -190,8 +191,12 @@ def plus_interval(m: Column, i: Column) -> Column:
 def minus_moment(a: Column, b: Column) -> Column:
     """a - b: less an interval, or the interval between two dates or two times; NULL for other kinds."""
     none, zero = F.lit(None).cast("timestamp_ntz"), F.lit(0).cast("long")
-    gap = difference(a["stamp"], b["stamp"])
-    between = _with(a, kind=F.lit("interval"), stamp=none, months=gap["months"], days=gap["days"], seconds=gap["seconds"])
-    times = _with(a, kind=F.lit("interval"), stamp=none, months=zero, days=zero, seconds=a["seconds"] - b["seconds"])
-    less = plus_interval(a, F.struct(*((-b[f]).alias(f) for f in ("months", "days", "seconds"))))
-    return F.when(b["kind"] == "interval", less).when((a["kind"] == "time") & (b["kind"] == "time"), times).when(gap["days"].isNotNull(), between)
+
+    def minus(b: Column) -> Column:
+        gap = difference(a["stamp"], b["stamp"])
+        between = _with(a, kind=F.lit("interval"), stamp=none, months=gap["months"], days=gap["days"], seconds=gap["seconds"])
+        times = _with(a, kind=F.lit("interval"), stamp=none, months=zero, days=zero, seconds=a["seconds"] - b["seconds"])
+        less = plus_interval(a, F.struct(*((-b[f]).alias(f) for f in ("months", "days", "seconds"))))
+        return F.when(b["kind"] == "interval", less).when((a["kind"] == "time") & (b["kind"] == "time"), times).when(gap["days"].isNotNull(), between)
+
+    return let(b, minus)

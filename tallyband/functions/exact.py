@@ -6,7 +6,7 @@ in the end, so they merge in any order, and no double is passed through. Structs
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,23 +20,34 @@ _LIMB = f"decimal({DIGITS},0)"
 _NUMBER = r"^\s*([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,9}))?\s*$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def exact(x: Column) -> Column:
     """From text or a number: base ten, also with an exponent. NULL for all else and for numbers of more than 36 digits before the point; digits after the 36th behind it are cut off."""
     text = x.cast("string")
-    part = lambda k: F.coalesce(F.regexp_extract(text, _NUMBER, k), F.lit(""))
-    digits = F.concat(part(2), part(3))
-    point = F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))
-    size = F.length(digits)
-    # zeros that fill up are never more than a side and the digits themselves
-    whole = F.when(point <= 0, "").when(point >= size, F.concat(digits, F.repeat(F.lit("0"), F.least(point - size, F.lit(SIDE))))).otherwise(F.left(digits, point))
-    below = F.when(point >= size, "").when(point < 0, F.concat(F.repeat(F.lit("0"), F.least(-point, F.lit(SIDE))), digits)).otherwise(F.substr(digits, point + 1))
-    # a number that is zero has no digits before the point, whatever its exponent
-    whole = F.regexp_replace(whole, "^0+", "")
-    sound = text.rlike(_NUMBER) & (size > 0) & (F.length(whole) <= SIDE) & ((point - size <= SIDE) | (F.length(whole) == 0))
-    all_digits = F.concat(F.lpad(whole, SIDE, "0"), F.rpad(F.left(below, F.lit(SIDE)), SIDE, "0"))
-    sign = F.when(part(1) == "-", -1).otherwise(1)
-    limbs = [(F.substring(all_digits, 1 + DIGITS * k, DIGITS).cast(_LIMB) * sign).cast(_LIMB).alias(n) for k, n in enumerate(LIMBS)]
-    return F.when(sound, F.struct(*limbs))
+    parts = F.split(F.when(text.rlike(_NUMBER), F.regexp_replace(text, F.lit(_NUMBER), F.lit("$1|$2|$3|$4"))), r"\|")
+
+    def number(p: Column) -> Column:
+        digits, size = F.concat(p[1], p[2]), F.length(p[1]) + F.length(p[2])
+        point = F.length(p[1]) + F.when(p[3] == "", 0).otherwise(p[3].cast("int"))
+        # zeros that fill up are never more than a side and the digits themselves
+        whole = F.when(point <= 0, "").when(point >= size, F.concat(digits, F.repeat(F.lit("0"), F.least(point - size, F.lit(SIDE))))).otherwise(F.left(digits, point))
+        below = F.when(point >= size, "").when(point < 0, F.concat(F.repeat(F.lit("0"), F.least(-point, F.lit(SIDE))), digits)).otherwise(F.substr(digits, point + 1))
+        # a number that is zero has no digits before the point, whatever its exponent
+        filled = F.struct(F.ltrim(whole, F.lit("0")).alias("whole"), F.rpad(F.left(below, F.lit(SIDE)), SIDE, "0").alias("below"), size.alias("size"), (point - size).alias("over"))
+
+        def limbs(d: Column) -> Column:
+            sound = (d["size"] > 0) & (F.length(d["whole"]) <= SIDE) & ((d["over"] <= SIDE) | (F.length(d["whole"]) == 0))
+            padded = F.lpad(d["whole"], SIDE, "0")
+            texts = [F.substring(padded, 1, DIGITS), F.substring(padded, 1 + DIGITS, DIGITS), F.substring(d["below"], 1, DIGITS), F.substring(d["below"], 1 + DIGITS, DIGITS)]
+            return F.when(sound, F.struct(*(F.when(p[0] == "-", -t.cast("long")).otherwise(t.cast("long")).cast(_LIMB).alias(n) for n, t in zip(LIMBS, texts, strict=True))))
+
+        return let(filled, limbs)
+
+    return let(parts, lambda p: F.when(p.isNotNull(), number(p)))
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -47,25 +58,26 @@ def _whole(x: Column) -> Column:
     return x.cast("decimal(38,0)")
 
 
-def _settled(limbs: Mapping[str, Column]) -> dict[str, Column]:
+def _settled(limbs: Column) -> Column:
     """Carried up, so that all but the first limb are from zero to BASE - 1."""
-    base, carry, out = _whole(F.lit(BASE)), None, {}
-    for n in reversed(LIMBS):
-        x = _whole(limbs[n]) if carry is None else _whole(limbs[n]) + carry
-        if n == LIMBS[0]:
-            out[n] = x
-            break
-        out[n] = F.pmod(x, base)
-        carry = _whole(_div(x - out[n], base))
-    return out
+    base = _whole(F.lit(BASE))
 
+    def carried(places: Sequence[str], x: Column, done: dict[str, Column]) -> Column:
+        name, *others = places
+        if not others:
+            return F.struct(*((done | {name: x})[n].alias(n) for n in LIMBS))
+        return let(x, lambda x: let(F.pmod(x, base), lambda r: carried(others, _whole(limbs[others[0]] + _whole(_div(x - r, base))), done | {name: r})))
 
-def _signed(limbs: Mapping[str, Column]) -> tuple[Column, dict[str, Column]]:
-    """Whether the number is below zero, and the limbs of its size."""
-    plain = _settled(limbs)
-    minus = plain[LIMBS[0]] < 0
-    turned = _settled({n: -_whole(limbs[n]) for n in LIMBS})
-    return minus, {n: F.when(minus, turned[n]).otherwise(plain[n]) for n in LIMBS}
+    return carried(LIMBS[::-1], limbs[LIMBS[-1]], {})
+
+
+def _signed(limbs: Mapping[str, Column], body: Callable[[Column, Column], Column]) -> Column:
+    """body(whether the number is below zero, the limbs of its size)."""
+    start = F.struct(*(_whole(limbs[n]).alias(n) for n in LIMBS))
+    turned = lambda s: _settled(F.struct(*((-s[n]).alias(n) for n in LIMBS)))
+    first = LIMBS[0]
+    # what is turned once is settled again, from zero to BASE - 1
+    return let(let(start, _settled), lambda s: let(F.when(s[first] < 0, turned(s)).otherwise(s), lambda size: body(s[first] < 0, size)))
 
 
 def _number(minus: Column, limbs: Mapping[str, Column]) -> Column:
@@ -74,29 +86,33 @@ def _number(minus: Column, limbs: Mapping[str, Column]) -> Column:
 
 def summed(limbs: Mapping[str, Column]) -> Column:
     """The number of limbs that have been added up."""
-    return _number(*_signed(limbs))
+    return _signed(limbs, lambda minus, size: _number(minus, {n: size[n] for n in LIMBS}))
 
 
 def divided(limbs: Mapping[str, Column], n: Column) -> Column:
     """The number of added limbs by n, a whole number over zero and under 10^18; cut off after 36 digits. NULL for n zero."""
-    minus, size = _signed(limbs)
-    n = _whole(n)
-    out, rest = {}, None
-    for name in LIMBS:
-        x = size[name] if rest is None else (rest * _whole(F.lit(BASE)) + size[name]).cast("decimal(38,0)")
-        out[name] = _whole(_div(x, n))
-        rest = x % n
-    return F.when(n > 0, _number(minus, out))
+    base = _whole(F.lit(BASE))
+
+    def long_division(minus: Column, size: Column, n: Column, names: Sequence[str], rest: Column | None, out: dict) -> Column:
+        if not names:
+            return _number(minus, out)
+        x = size[names[0]] if rest is None else _whole(rest * base + size[names[0]])
+        return let(x, lambda x: long_division(minus, size, n, names[1:], x % n, out | {names[0]: _whole(_div(x, n))}))
+
+    return F.when(n > 0, let(_whole(n), lambda n: _signed(limbs, lambda minus, size: long_division(minus, size, n, LIMBS, None, {}))))
 
 
 def exact_text(x: Column, places: int = SIDE) -> Column:
     """Digits without an exponent, cut after `places` behind the point, without zeros at the end."""
-    minus = F.least(*(x[n] for n in LIMBS)) < 0
-    size = [F.lpad(F.abs(x[n]).cast("string"), DIGITS, "0") for n in LIMBS]
-    whole = F.regexp_replace(F.concat(*size[:2]), "^0+(?=[0-9])", "")
-    below = F.regexp_replace(F.left(F.concat(*size[2:]), F.lit(places)), "0+$", "")
-    text = F.concat(whole, F.when(below != "", F.concat(F.lit("."), below)).otherwise(""))
-    return F.when(minus & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text)
+
+    def shown(x: Column) -> Column:
+        minus = F.least(*(x[n] for n in LIMBS)) < 0
+        size = [F.lpad(F.abs(x[n]).cast("string"), DIGITS, "0") for n in LIMBS]
+        whole, below = F.ltrim(F.concat(*size[:2]), F.lit("0")), F.rtrim(F.left(F.concat(*size[2:]), F.lit(places)), F.lit("0"))
+        text = F.concat(F.when(whole == "", "0").otherwise(whole), F.when(below != "", F.concat(F.lit("."), below)).otherwise(""))
+        return F.when(minus & (text != "0"), F.concat(F.lit("-"), text)).otherwise(text)
+
+    return let(x, lambda x: F.when(x.isNotNull(), shown(x)))
 
 
 def exact_decimal(x: Column, places: int = 10) -> Column:

@@ -14,6 +14,7 @@ from tallyband.operators.prefix import previous, row_numbers
 from tallyband.operators.sections import in_output_order, numbered, sectioned
 from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_variables
 from tallyband.sources.casts import cast_columns
+from tallyband.storage import stored
 
 CATALOG = Catalog()
 LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate"]
@@ -365,7 +366,9 @@ def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     small = F.col("kind") == "small"
     large = F.when(small, "").when(F.col("l_orderkey") % 10 == 3, "-100000000000000").otherwise("100000000000000")
     text = F.concat(large, F.when(small, "0.000000").otherwise(".000000"), (F.col("l_linenumber") % 9 + 1).cast("string"))
-    return cast_columns(lines.withColumn("amount", text).select(*LINE_ORDER, "l_returnflag", "kind", "amount"), {"amount": "exact"})
+    # a small file is one task, and reading numbers is work
+    lines = lines.withColumn("amount", text).select(*LINE_ORDER, "l_returnflag", "kind", "amount").repartition("l_orderkey", "l_linenumber")
+    return stored(cast_columns(lines, {"amount": "exact"}), "amounts")
 
 
 def _plain(text: str) -> str:

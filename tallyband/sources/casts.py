@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.functions.exact import exact
+from tallyband.functions.exact import exact, let
 
 #: Words that are numbers, in this case only.
 TRUE_WORDS = ("yes", "true", "t")
@@ -32,11 +32,6 @@ _TIME = (
 DAY = 86_400
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _parts(text: Column, shapes: Sequence[tuple[str, str]]) -> Column:
     """Array of the parts of the first shape that fits; NULL if none does."""
     found = F.lit(None).cast("string")
@@ -46,7 +41,8 @@ def _parts(text: Column, shapes: Sequence[tuple[str, str]]) -> Column:
 
 
 def _number(part: Column) -> Column:
-    return part.try_cast("int")
+    """A part is a few digits or empty. A try_cast of the empty string would throw inside Spark for each, which takes far longer than the rest."""
+    return F.when(part != "", part.cast("int"))
 
 
 def _time_of(p: Column, k: int) -> Column:
@@ -104,13 +100,13 @@ def cast_interval(s: Column) -> Column:
     for words, _ in (unit for units in _UNITS.values() for unit in units):
         # all that can stand before is taken first, so the last number of the unit is found
         found = F.regexp_extract(s, rf"(?is)^(?:.*[^0-9+-])?([+-]?[0-9]+)\s*(?:{words})(?![a-z])", 1)
-        sizes[words] = F.coalesce(found.try_cast("long"), F.lit(0))
+        sizes[words] = F.when((found != "") & (F.length(found) < 19), found.cast("long")).otherwise(0)
 
     def field(name: str) -> Column:
         return reduce(lambda a, b: a + b, (sizes[words] * worth for words, worth in _UNITS[name]))
 
     clock = F.split(F.regexp_extract(s, r"(-?[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)\s*$", 1), ":")
-    size = F.abs(clock[0].try_cast("long")) * 3600 + clock[1].try_cast("long") * 60 + F.coalesce(F.get(clock, F.lit(2)).try_cast("long"), F.lit(0))
+    size = F.abs(clock[0].cast("long")) * 3600 + F.get(clock, F.lit(1)).cast("long") * 60 + F.coalesce(F.get(clock, F.lit(2)).cast("long"), F.lit(0))
     size = F.when(F.size(clock) > 1, F.when(clock[0].startswith("-"), -size).otherwise(size)).otherwise(0)
     found = F.struct(field("months").alias("months"), field("days").alias("days"), (field("seconds") + size).alias("seconds"))
     some = reduce(lambda a, b: a | b, (x != 0 for x in (*sizes.values(), size)))
@@ -142,8 +138,8 @@ def cast_moment(s: Column) -> Column:
 def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """types: column to string, number, exact (see functions.exact), datetime (TIMESTAMP_NTZ), time (seconds of the day), interval or moment (any of these three); others stay as they are."""
     casts = {"string": lambda c: c.cast("string"), "number": cast_number, "exact": exact, "datetime": cast_datetime, "time": cast_time, "interval": cast_interval, "moment": cast_moment}
-    out = df.select(*(casts[types[c]](F.col(f"`{c}`")).alias(c) if c in types and types[c] != "moment" else F.col(f"`{c}`") for c in df.columns))
-    for c in (c for c in df.columns if types.get(c) == "moment"):
-        # a moment is parsed once, whatever is made of it: an explode isn't merged with the projections above it
-        out = out.select(*(F.explode(F.array(cast_moment(F.col(f"`{c}`")))).alias(c) if x == c else F.col(f"`{x}`") for x in df.columns))
+    out = df.select(*(casts[types[c]](F.col(f"`{c}`")).alias(c) if types.get(c, "moment") not in ("moment", "exact") else F.col(f"`{c}`") for c in df.columns))
+    for c in (c for c in df.columns if types.get(c) in ("moment", "exact")):
+        # what has several fields is parsed once, whatever is made of it: an explode isn't merged with the projections above it
+        out = out.select(*(F.explode(F.array(casts[types[c]](F.col(f"`{c}`")))).alias(c) if x == c else F.col(f"`{x}`") for x in df.columns))
     return out
