@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyband.llm.common import drop_rows, mapped, stored_tag, tagged, text_or_empty, work_table
+from tallyband.llm.graph import spread_join
 
 MEMTABLE_ROWS = 100_000
 #: Rows for each range of digests; a range's distinct digests are held by a task.
@@ -194,12 +195,12 @@ def compact(segments: DataFrame, digest_bytes: int, ranges: int) -> DataFrame:
     return mapped(met, _indexed(digest_bytes), "digest binary, best_tag long, best_id long, group_size long")
 
 
-def _only(docs: DataFrame, digests: DataFrame, many: bool, digest_bytes: int) -> DataFrame:
-    """doc_id, text, text_sha256 and digest of the rows with one of the digests."""
+def _only(docs: DataFrame, digests: DataFrame, broadcast: bool, digest_bytes: int, rows: int) -> DataFrame:
+    """doc_id, text, text_sha256 and digest of the rows with one of the digests (each with n, its rows). No task gets all texts of a digest that many rows have."""
     sha = F.sha2(F.col("text").cast("binary"), 256)
     texts = docs.select(stored_tag(docs), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("text_sha256", sha)
     texts = texts.withColumn("digest", _digest(digest_bytes))
-    return texts.join(digests if many else F.broadcast(digests), "digest", "left_semi")
+    return texts.join(F.broadcast(digests), "digest", "left_semi") if broadcast else spread_join(texts, digests, "digest", rows)
 
 
 def marked_rows(docs: DataFrame, keep: str = "max", digest_bytes: int = 32) -> DataFrame:
@@ -209,26 +210,25 @@ def marked_rows(docs: DataFrame, keep: str = "max", digest_bytes: int = 32) -> D
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many // RANGE_ROWS))
     index = work_table(compact(flush(rows, keep, ranges), max(1, digest_bytes), ranges), "lsm-compacted", many)
 
-    hits = index.filter(F.col("group_size") > 1).select("digest")
+    hits = index.filter(F.col("group_size") > 1).select("digest", F.col("group_size").alias("n"))
     rows_of_hits = hits.count()
-    many = rows_of_hits > BROADCAST_DIGESTS
-    texts = _only(docs, hits, many, digest_bytes).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
-    clashes = work_table(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest"), "lsm-clashes", rows_of_hits)
+    texts = _only(docs, hits, rows_of_hits <= BROADCAST_DIGESTS, digest_bytes, many).groupBy("digest", "text").agg(F.count(F.lit(1)).alias("n"))
+    clashes = work_table(texts.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest").join(hits, "digest"), "lsm-clashes", rows_of_hits)
 
     sign = 1 if keep == "max" else -1
     keep_id = F.when(F.col("best_id") != NO_ID, F.col("best_id") * sign)
-    result = rows.join(index, "digest").select(
+    result = spread_join(rows, index.withColumn("n", F.col("group_size")), "digest", many).select(
         "tag", "doc_id", keep_id.alias("keep_id"), "group_size", (F.col("tag") == F.col("best_tag")).alias("kept"), "text_sha256", "digest"
     )
     if not clashes.isEmpty():
         # Texts that differ under one digest: their rows are grouped by the text itself.
-        apart = _only(docs, clashes, True, digest_bytes)
+        apart = _only(docs, clashes, False, digest_bytes, many)
         group = Window.partitionBy("digest", "text")
         first = F.row_number().over(group.orderBy(F.desc_nulls_last("doc_id") if keep == "max" else F.asc_nulls_last("doc_id")))
         apart = apart.select(
             "tag", "doc_id", (F.max if keep == "max" else F.min)("doc_id").over(group).alias("keep_id"), F.count(F.lit(1)).over(group).alias("group_size"), (first == 1).alias("kept"), "text_sha256", "digest"
         )
-        result = result.join(clashes, "digest", "left_anti").unionByName(apart)
+        result = result.join(clashes.select("digest"), "digest", "left_anti").unionByName(apart)
     return result.drop("digest")
 
 

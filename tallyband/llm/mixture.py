@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyband.llm.common import text_or_empty, work_table
+from tallyband.llm.common import BROADCAST_TAGS, text_or_empty, work_table
 
 #: Hash ranges of a leaf: three hexadecimal digits.
 PREFIX_DIGITS = 3
@@ -135,19 +135,25 @@ def plan_mixture(counted: DataFrame, spec: Mixture = PRODUCTION) -> DataFrame:
     return work_table(plan.join(cut, list(LEVELS)).drop("part"), "mix-plan", many)
 
 
+def _beside(plan: DataFrame) -> DataFrame:
+    """A stored plan as it is joined to rows: broadcast up to a checked number of leaves, so that rows aren't shuffled by leaf."""
+    plan = plan.drop("tokens", "budget")
+    return F.broadcast(plan) if plan.count() <= BROADCAST_TAGS else plan
+
+
 def copies_in_mixture(docs: DataFrame, plan: DataFrame, spec: Mixture = PRODUCTION) -> DataFrame:
     """doc_id, domain, lang, source, epochs, copies of every row of docs; a leaf without a plan gives 0 copies."""
-    rows = docs.select("doc_id", *tree_columns()).join(plan.drop("tokens", "budget"), list(LEVELS), "left")
+    rows = docs.select("doc_id", *tree_columns()).join(_beside(plan), list(LEVELS), "left")
     more = F.when(_order(spec) <= F.col("cutoff"), 1).otherwise(0)
     copies = F.coalesce(F.col("epochs") + more, F.lit(0)).cast("int")
     return rows.select("doc_id", *LEVELS, F.coalesce("epochs", F.lit(0)).cast("int").alias("epochs"), copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, spec: Mixture = PRODUCTION) -> DataFrame:
-    """docs as the mixture has them: each row as often as its copies say; all columns as they were. Texts aren't shuffled."""
+    """docs as the mixture has them: each row as often as its copies say; all columns as they were. Texts aren't shuffled, up to BROADCAST_TAGS leaves."""
     plan = plan_mixture(token_counts(docs), spec)
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    rows = docs.select("doc_id", *tree_columns(), own).join(plan.drop("tokens", "budget"), list(LEVELS))
+    rows = docs.select("doc_id", *tree_columns(), own).join(_beside(plan), list(LEVELS))
     more = F.when(_order(spec) <= F.col("cutoff"), 1).otherwise(0)
     rows = rows.withColumn("copies", (F.col("epochs") + more).cast("int")).filter("copies > 0")
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -85,3 +85,18 @@ def test_documents_are_encoded_by_the_fold(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "merge_fold", lambda word, slots, own: F.array(F.lit(7)))
     out = byte_bpe.encode_documents(docs(spark, AWKWARD[:1]), vocabulary("byte_bpe_50k.tiktoken")).first()
     assert set(out.ids) == {7}
+
+
+def test_rows_between_blocks_and_parts_grow_with_the_corpus(spark):
+    """Twice the texts make twice the rows at most, and parts come from the distinct words, which grow slower."""
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 5))) for _ in range(4000)]
+
+    def corpus(n):
+        return spark.createDataFrame([(k, " ".join(rng.choices(words, k=100))) for k in range(n)], "doc_id long, text string").coalesce(2)
+
+    few, many = corpus(600), corpus(1200)
+    rows = [df.mapInArrow(byte_bpe._blocks(8, 20_000), byte_bpe._BLOCK).count() for df in map(byte_bpe._rows, (few, many))]
+    assert rows[1] <= 2.1 * rows[0]
+    found = [byte_bpe.distinct_words(df) for df in (few, many, few.limit(0))]
+    assert 1000 < found[0] < 30_000 and found[1] < 1.9 * max(found[0], 4000) and found[2] == 1 * byte_bpe.SAMPLED // 2

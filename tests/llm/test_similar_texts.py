@@ -88,6 +88,33 @@ def test_dense_groups(spark, tmp_path, hot):
     assert got == roots(len(texts), [(a, b) for a, b in close_pairs(shingles(texts)) if candidate(made, a, b)])
 
 
+def test_hot_keys_do_not_decide(spark, tmp_path):
+    """Families with failed links, in a corpus where their keys are hot and in one where they aren't: the same components."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices(["ba", "ke", "lo", "mi", "su", "ta", "ri", "no"], k=3))
+    texts = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.randrange(60, 160))]
+        for _ in range(12):
+            copy, start, size = list(base), rng.randrange(50), rng.randrange(2, 14)
+            copy[start : start + size] = [word() for _ in range(size)]
+            texts.append(copy)
+    table = stored(spark, tmp_path / "d", texts)
+    plain, hot = ({r.doc_id: r.component_id for r in similar_texts.similar_rows(table, hot=hot).collect()} for hot in (20_000, 6))
+    assert plain == hot and 12 < len(set(plain.values())) < len(texts)
+
+
+def test_every_two_texts_of_a_hot_key_meet(spark):
+    nodes = spark.createDataFrame([(k, 5, 9) for k in range(90)], "node long, f0 long, f1 long")
+    held = {}
+    for r in similar_texts._first_cells(nodes, 10).collect():
+        held.setdefault((r.key, r.cell), []).append(r.node)
+    met = {}
+    for (key, _), own in held.items():
+        met.setdefault(key, set()).update((a, b) for a in own for b in own if a < b)
+    assert len(met) == len(similar_texts.key_masks()) and all(len(x) == 90 * 89 // 2 for x in met.values())
+
+
 def test_signature_by_hand():
     import xxhash
 
