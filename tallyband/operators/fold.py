@@ -179,7 +179,7 @@ def _starts_by_maps(rows: DataFrame, maps: Maps, first: object, value: str, orde
     names = ["bucket", *(f"first_{k}" for k in range(len(by))), *(f"last_{k}" for k in range(len(by))), "whole"]
     fields = [rows.schema[k] for k in by] * 2
     schema = T.StructType([T.StructField("bucket", T.IntegerType()), *(T.StructField(n, f.dataType) for n, f in zip(names[1:-1], fields, strict=True)), *T.StructType.fromDDL(f"whole {maps.kind}").fields])
-    edges = rows.sortWithinPartitions(BUCKET, *by, *order).mapInArrow(run, schema).orderBy("bucket").collect()  # a row a bucket
+    edges = sorted(rows.sortWithinPartitions(BUCKET, *by, *order).mapInArrow(run, schema).collect(), key=lambda r: r["bucket"])  # a row a bucket
     starts, last, reached = {}, None, first
     for row in edges:
         sides = [NAN if x != x else x for x in row[1:-1]]
@@ -196,7 +196,8 @@ def _starts_by_maps(rows: DataFrame, maps: Maps, first: object, value: str, orde
 def _starts_in_rounds(rows: DataFrame, folded: Callable, first: object, name: str, kind: str, order: Sequence[str], by: Sequence[str]) -> dict:
     """The same for steps that don't compose. The rows of groups that cross buckets are stored by bucket; each round reads those whose start is known."""
     key = F.struct(*by) if by else F.lit(1)
-    sizes = rows.groupBy(BUCKET).agg(F.min(key).alias("opened"), F.max(key).alias("closed")).orderBy(BUCKET).collect()  # a row a bucket
+    sizes = rows.groupBy(BUCKET).agg(F.min(key).alias("opened"), F.max(key).alias("closed")).collect()  # a row a bucket
+    sizes.sort(key=lambda r: r[BUCKET])
     same = lambda a, b: [NAN if x != x else x for x in (a if by else [a])] == [NAN if x != x else x for x in (b if by else [b])]
     goes_on = {b[BUCKET]: same(a["closed"], b["opened"]) for a, b in zip(sizes[:-1], sizes[1:], strict=True)}
     if not any(goes_on.values()):
