@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from tallyband.llm.common import mapped, text_or_empty, work_table
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 32_000_000
 CHUNK_CHARS = 500_000
 #: Bytes of a word beyond which it is merged with a heap.
 LONG = 64
