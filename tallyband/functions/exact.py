@@ -17,6 +17,7 @@ DIGITS = 18
 BASE = 10**DIGITS
 SIDE = 2 * DIGITS
 _LIMB = f"decimal({DIGITS},0)"
+_PLAIN = rf"^-?[0-9]{{1,{SIDE}}}(?:\.[0-9]*)?\z"
 _NUMBER = r"^\s*([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,9}))?\s*$"
 
 
@@ -47,7 +48,11 @@ def exact(x: Column) -> Column:
 
         return let(filled, limbs)
 
-    return let(parts, lambda p: F.when(p.isNotNull(), number(p)))
+    # most numbers have no exponent: their digits stand where they belong
+    body, sign = F.ltrim(text, F.lit("-")), F.when(text.startswith("-"), -1).otherwise(1)
+    both = F.concat(F.lpad(F.split_part(body, F.lit("."), F.lit(1)), SIDE, "0"), F.rpad(F.split_part(body, F.lit("."), F.lit(2)), SIDE, "0"))
+    plain = F.struct(*((F.substring(both, 1 + DIGITS * k, DIGITS).cast("long") * sign).cast(_LIMB).alias(n) for k, n in enumerate(LIMBS)))
+    return F.when(text.rlike(_PLAIN), plain).otherwise(let(parts, lambda p: F.when(p.isNotNull(), number(p))))
 
 
 def _div(a: Column, b: Column) -> Column:
