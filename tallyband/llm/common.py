@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyband.shipping import ship
 from tallyband.storage import work_path
@@ -32,15 +33,15 @@ def work_table(df: DataFrame, name: str, most_rows: int | None = None, **options
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _give_back() -> None:
-    """Hand memory that is free in this Python worker back to the machine: Spark keeps workers for later tasks, beside the next ones' needs."""
+def give_back() -> None:
+    """Hand memory that is free in this Python process back to the machine: Spark keeps workers for later tasks, and the driver lives as long as the job."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, with this package on the executors."""
     ship(df.sparkSession)
 
@@ -48,7 +49,7 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         try:
             yield from run(batches)
         finally:
-            _give_back()
+            give_back()
 
     return df.mapInArrow(task, schema)
 

@@ -23,8 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyband.llm.common import drop_rows, mapped, remainder, stored_tag, tagged, text_or_empty
+from tallyband.llm.common import give_back, mapped, remainder, text_or_empty
 
 #: Bound of the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 4_000
@@ -99,6 +100,21 @@ def statistics_of(data: bytes) -> list[float]:
     ]
 
 
+#: Rows that go back to Spark in one batch with their texts.
+ROWS_BACK = 1_000
+
+
+def _rows_measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Whole rows, as a struct, beside their statistics."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_BACK):
+            part = batch.slice(start, ROWS_BACK)
+            data = (x.as_buffer().to_pybytes() if x.is_valid else b"" for x in part.column("text"))
+            values = np.array([statistics_of(x) for x in data]).reshape(-1, len(STATISTICS))
+            row = pa.StructArray.from_arrays(part.columns, fields=list(part.schema))
+            yield pa.RecordBatch.from_arrays([row, *(pa.array(values[:, k]) for k in range(len(STATISTICS)))], names=["row", *STATISTICS])
+
+
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = np.array([statistics_of(x.as_buffer().to_pybytes()) for x in batch.column("data")]).reshape(-1, len(STATISTICS))
@@ -254,7 +270,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_ROWS) -> RuleMode
     y = table.column("doc_id").to_numpy().astype(np.float64)
     x = np.stack([table.column(s).to_numpy() for s in STATISTICS], axis=1) if len(y) else np.empty((0, len(STATISTICS)))
     order = np.lexsort((*x.T, y))  # the same model whichever order the rows came in
-    return fit_rules(x[order], y[order])
+    model = fit_rules(x[order], y[order])
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: RuleModel, keep_from: float = KEEP_FROM) -> DataFrame:
@@ -269,9 +287,9 @@ def rated(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return out.select("doc_id", (remainder(4) == 2).alias("held_out"), "score", "predicted")
 
 
-def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier doesn't reject; all columns as they were."""
+def accepted(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows of docs that the classifier doesn't reject; all columns as they were, text a string. One pass: rows carry their statistics to the filter, so nothing is stored, shuffled or joined."""
     model = fit(docs, labels)
-    docs = tagged(docs)
-    rows = docs.select(stored_tag(docs), "text").withColumnRenamed("tag", "doc_id")
-    return drop_rows(docs, score(rows, model).filter("predicted = 0").select(F.col("doc_id").alias("tag")))
+    schema = StructType([StructField("row", docs.schema), *(StructField(s, DoubleType()) for s in STATISTICS)])
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-model.logit()))
+    return mapped(docs, _rows_measured, schema).filter(score >= keep_from).select("row.*")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyband.llm import rule_ensemble
 from tests.llm.helpers import AWKWARD, docs
@@ -40,5 +41,19 @@ def test_awkward_rows(spark, tmp_path):
         labels = spark.createDataFrame(rows, LABELS)
         got = rule_ensemble.rated(stored, labels).collect()
         assert len(got) == len(AWKWARD) and all(0 <= r.score <= 1 for r in got)
-        assert rule_ensemble.accepted(stored, labels).columns == stored.columns
+        assert rule_ensemble.accepted(stored, labels).dtypes == stored.dtypes
         assert rule_ensemble.rated(docs(spark, []), labels).count() == 0
+
+
+def test_accepted_rows_are_those_predicted(spark, data):
+    """Whole rows stay or go by their own scores, with extra columns named like statistics."""
+    table = spark.read.parquet(f"{data}/documents.parquet").withColumn("upper", F.lit("u")).withColumn("row", F.array("doc_id")).withColumn("letters", F.struct("lang", "source"))
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    good = {r.doc_id for r in rule_ensemble.rated(table, labels).filter("predicted = 1").collect()}
+    got = rule_ensemble.accepted(table, labels)
+    assert got.dtypes == table.dtypes
+    key = lambda r: r.doc_id
+    want = [r for r in table.collect() if r.doc_id in good]
+    assert sorted(got.collect(), key=key) == sorted(want, key=key) and 0 < len(want) < table.count()
+    for some in (docs(spark), docs(spark, [])):
+        assert rule_ensemble.accepted(some, labels).count() == rule_ensemble.rated(some, labels).filter("predicted = 1").count()
