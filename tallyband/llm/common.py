@@ -33,6 +33,18 @@ def work_table(df: DataFrame, name: str, most_rows: int | None = None, **options
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to a Python worker in one batch, about; Spark's own bound is 64 MB, which the JVM and the worker both hold for each task.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+_SPARKS_OWN = f"{64 << 20}b"
+
+
+def _bound_batches(spark: SparkSession) -> None:
+    """BATCH_BYTES for this session, unless it was given a bound of its own. Batches have no meaning in this subpackage, so results are the same."""
+    if spark.conf.get(_BATCH_SETTING, _SPARKS_OWN) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
+
+
 def give_back() -> None:
     """Hand memory that is free in this Python process back to the machine: Spark keeps workers for later tasks, and the driver lives as long as the job."""
     gc.collect()
@@ -44,6 +56,7 @@ def give_back() -> None:
 def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """mapInArrow, with this package on the executors."""
     ship(df.sparkSession)
+    _bound_batches(df.sparkSession)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
