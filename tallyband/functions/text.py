@@ -34,12 +34,33 @@ def mid(s: Column, start: Column | int, n: Column | int) -> Column:
     return F.substr(s, first.cast("int"), _count(n))
 
 
-lower, upper, strlen = F.lower, F.upper, F.length
+strlen = F.length
+
+#: Letters that Spark's upper() makes several of; those that have one capital letter, and these capitals.
+_SEVERAL = "".join(c for c in map(chr, range(0x80, 0xFB18)) if not 0xD800 <= ord(c) < 0xE000 and len(c.upper()) > 1)
+_SMALL = "ß" + "".join(c for c in _SEVERAL if c.title() != c and len(c.title()) == 1)
+_CAPITAL = "ẞ" + "".join(c.title() for c in _SMALL[1:])
+
+
+def lower(s: Column) -> Column:
+    """Character by character, each gives one: unlike in Spark, a sigma is the same at the end of a word, and a dotted I is an i."""
+    return F.lower(F.translate(s, "Σİ", "σi"))
+
+
+def _capital(c: Column) -> Column:
+    """Of one character."""
+    return F.when(F.length(F.upper(c)) > 1, F.translate(c, _SMALL, _CAPITAL)).otherwise(F.upper(c))
+
+
+def upper(s: Column) -> Column:
+    """Character by character, each gives one: letters without a capital of their own stay, where Spark writes several."""
+    each = F.array_join(F.transform(F.split(s, ""), _capital), "")
+    return F.when(s.rlike(f"[{_SEVERAL}]"), each).otherwise(F.upper(s))
 
 
 def proper(s: Column) -> Column:
     """First character in upper case, all others in lower case."""
-    return F.concat(F.upper(F.substr(s, F.lit(1), F.lit(1))), F.lower(F.substr(s, F.lit(2))))
+    return F.concat(_capital(F.substr(s, F.lit(1), F.lit(1))), lower(F.substr(s, F.lit(2))))
 
 
 def str_(x: Column, width: int, places: int) -> Column:

@@ -1,6 +1,7 @@
 import datetime
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,18 @@ def test_strings(one):
     assert one(S.concat(F.lit("a"), F.lit(None).cast("string"))) is None
 
 
+def test_case_goes_by_character(spark):
+    """As DuckDB's (and utf8proc's) upper() and lower(): each character gives one, wherever it stands."""
+    texts = [chr(c) for c in range(1, 0x2000)] + ["ΟΔΟΣ ΣΑΣ", "straße ﬁn", "ßeta ΛΟΓΟΣ", "İzmir İ", "ǆ", "\U0001d538ß\U00010428", "", "ŉ ΰ ᾳ ΣΣ"]
+    con = duckdb.connect()
+    found = {t: con.execute("SELECT upper($1), lower($1), upper(left($1, 1)) || lower(substr($1, 2))", [t]).fetchone() for t in texts}
+    unknown = set("\u019b\u0264\u1c89\u1c8a")  # pairs that are newer than DuckDB's tables
+    s = F.col("t")
+    for row in spark.createDataFrame([(t,) for t in texts], "t string").select(s, S.upper(s).alias("u"), S.lower(s).alias("l"), S.proper(s).alias("p")).collect():
+        if row.t not in unknown:
+            assert (row.u, row.l, row.p) == found[row.t], ascii(row)
+
+
 def test_translation(spark):
     rows = spark.createDataFrame([("oar", "oars", 1), ("oar", "oars", 5), ("reef", "reefs", 2)], "one string, many string, n int")
     catalog = spark.createDataFrame([("oar", 0, "evező"), ("oar", 1, "evezők")], "msgid string, form int, msgstr string")
