@@ -174,6 +174,42 @@ def test_a_wide_range_is_a_row_or_two(spark):
     assert followers.range_join(dates, "d", spans.limit(0), "lo", "hi").count() == 50
 
 
+def shuffled_rows(spark, run):
+    """Rows that the stages of run() write to shuffles."""
+    store, array = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+
+    def total():
+        stages = store.stageList(None, False, False, array, spark._jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(k) for k in range(stages.size()))}
+
+    before = total()
+    run()
+    return sum(n for k, n in total().items() if k not in before)
+
+
+@pytest.mark.parametrize("name", ["first_match_in_range", "range_join"])
+def test_pairs_of_ranges_are_not_shuffled(spark, name):
+    """Of 20,000 values, 300 different ranges hold nearly all: six million pairs, which no exchange takes."""
+    left = spark.range(20_000).select((F.col("id") * 0.5).alias("v"))
+    right = spark.range(300).select(F.col("id").alias("b"), (F.col("id") * 0.25 - 1).alias("lo"), (F.lit(10_000.0) - F.col("id") * 0.125).alias("hi"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = []
+        if name == "range_join":
+            run = lambda: found.append(followers.range_join(left, "v", right, "lo", "hi").agg(F.count("b"), F.sum("b")).first())
+            held = [(b, sum(b * 0.25 - 1 <= k * 0.5 <= 10_000 - b * 0.125 for k in range(20_000))) for b in range(300)]
+            expected = [(sum(n for _, n in held), sum(b * n for b, n in held))]
+        else:
+            run = lambda: found.append(followers.first_match_in_range(left, "v", right.withColumn("back", -F.col("b")), "lo", "hi", ["back"]).agg(F.count("b"), F.sum("b")).first())
+            best = [max((b for b in range(300) if b * 0.25 - 1 <= k * 0.5 <= 10_000 - b * 0.125), default=None) for k in range(20_000)]
+            expected = [(sum(b is not None for b in best), sum(b or 0 for b in best))]
+        assert shuffled_rows(spark, run) < 200_000
+        assert [tuple(r) for r in found] == expected
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
 def test_links():
     assert followers.check_links([("a", "b"), ("b", "c"), ("a", "d")]) == ["a", "b", "c", "d"]
     for bad in ([("a", "a")], [("a", "b"), ("b", "a")], [("a", "c"), ("b", "c")]):
