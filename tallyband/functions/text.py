@@ -68,20 +68,20 @@ def str_(x: Column, width: int, places: int) -> Column:
 
 
 def translate(df: DataFrame, name: str, catalog: DataFrame, out: str) -> DataFrame:
-    """Add the catalog's msgstr for the text, or the text itself. catalog: msgid (unique), msgstr."""
+    """Add the catalog's msgstr for the text, or the text itself. catalog: msgid (unique), msgstr; a table of messages, which every task gets whole, since one text may be in all rows."""
     found = catalog.select(F.col("msgid").alias("__id"), F.col("msgstr").alias("__str"))
-    return df.join(found, df[name] == F.col("__id"), "left").withColumn(out, F.coalesce("__str", name)).drop("__id", "__str")
+    return df.join(F.broadcast(found), df[name] == F.col("__id"), "left").withColumn(out, F.coalesce("__str", name)).drop("__id", "__str")
 
 
 def translate2(df: DataFrame, singular: str, plural: str, n: str, catalog: DataFrame, out: str, rule: str | None = None) -> DataFrame:
-    """As translate, by number: catalog has msgid, form, msgstr. rule: the catalog's plural rule (see plural_form), which gives the form; else 0 for one and 1 for other numbers.
+    """As translate, by number, the catalog broadcast as well: it has msgid, form, msgstr. rule: the catalog's plural rule (see plural_form), which gives the form; else 0 for one and 1 for other numbers.
 
     A text that the catalog lacks is the singular for one, else the plural.
     """
     found = catalog.select(F.col("msgid").alias("__id"), F.col("form").alias("__form"), F.col("msgstr").alias("__str"))
     form = F.when(df[n] == 1, 0).otherwise(1) if rule is None else plural_form(rule, df[n])
     own = F.when(df[n] == 1, df[singular]).otherwise(df[plural])
-    return df.join(found, (df[singular] == F.col("__id")) & (form == F.col("__form")), "left").withColumn(out, F.coalesce("__str", own)).drop("__id", "__form", "__str")
+    return df.join(F.broadcast(found), (df[singular] == F.col("__id")) & (form == F.col("__form")), "left").withColumn(out, F.coalesce("__str", own)).drop("__id", "__form", "__str")
 
 
 #: Operators of a plural rule by how loosely they bind, loosest first; comparisons and logic give 1 or 0.

@@ -12,6 +12,7 @@ from tallyband.functions import numeric as N
 from tallyband.functions import text as S
 from tallyband.functions.registry import Functions
 from tallyband.sources.casts import cast_datetime, cast_number
+from tallyband.sources.readers import from_rows
 
 WORDS = "árvíztűrő tükörfúrógép"
 
@@ -186,3 +187,13 @@ def test_registry(spark, one):
     assert spark.sql("SELECT twice(5L)").first()[0] == 10
     with pytest.raises(KeyError):
         functions["no_such"]
+
+
+@pytest.mark.parametrize("numbered", [False, True])
+def test_a_catalog_moves_no_rows(spark, numbered):
+    """One text in all rows is no key of a shuffle."""
+    rows = spark.range(10).select(F.lit("box").alias("one"), F.lit("boxes").alias("many"), F.col("id").alias("n"))
+    catalog = from_rows(spark, [("msgid", "form", "msgstr"), ("box", 0, "doboz"), ("box", 1, "dobozok")], {"form": "number"})
+    out = S.translate2(rows, "one", "many", "n", catalog, "out") if numbered else S.translate(rows, "one", catalog.filter("form = 0").drop("form"), "out")
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.out for r in out.collect()) == (["doboz"] + ["dobozok"] * 9 if numbered else ["doboz"] * 10)
