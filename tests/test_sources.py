@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallyband.jobs import files
 from tallyband.sources import readers, splits, writers
 from tallyband.sources.casts import cast_columns
 
@@ -144,3 +145,11 @@ def test_sections_to_files(spark, tmp_path):
 def test_casts_leave_other_columns(spark):
     table = spark.createDataFrame([("1", "x y")], "`a.b` string, c string")
     assert cast_columns(table, {"a.b": "number"}).first() == (1.0, "x y")
+
+
+def test_documents_are_written_by_many_tasks(spark, tmp_path):
+    """One task wrote all rows into one file before; now each file is a document of its own, an empty one too."""
+    spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit('a"}],{"'), F.col("id")).alias("text"), F.lit(None).cast("string").alias("lang")).repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    found = files.json_document_in_parts(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.text, r.lang) for r in found.collect()) == [(float(k), f'a"}}],{{"{k}', None) for k in range(40)]
+    assert len(found.inputFiles()) > 1
