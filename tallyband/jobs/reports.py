@@ -9,7 +9,7 @@ from tallyband.functions import formatting
 from tallyband.functions.exact import exact_text
 from tallyband.jobs.common import Catalog, doubles, money, table
 from tallyband.operators.breaks import break_islands, break_row_numbers, matched
-from tallyband.operators.fold import affine, clamped, iterate, machine, running_fold, string_fold, user_aggregate
+from tallyband.operators.fold import affine, best, clamped, iterate, machine, running_fold, string_fold, user_aggregate
 from tallyband.operators.prefix import previous, row_numbers
 from tallyband.operators.sections import in_output_order, numbered, sectioned
 from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_variables
@@ -419,7 +419,7 @@ def folds_of_a_hot_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("ts", "event_id", "event_type", who.alias("who"), (F.round("value").cast("long") * sign).alias("v"))
     order = ["ts", "event_id"]
     rows = running_fold(events, _held, 0, "v", order, ["who"], "balance", "bigint", clamped(-500, 500))
-    rows = running_fold(rows, _higher, 0, "v", order, ["who"], "highest", "bigint")
+    rows = running_fold(rows, _higher, 0, "v", order, ["who"], "highest", "bigint", best(max, "bigint"))
     rows = running_fold(rows, _alarm, 0, "event_type", order, ["who"], "alarm", "bigint", machine([0, 1, 2, 3], _alarm))
     return rows.select("event_id", "who", "balance", "highest", "alarm")
 
