@@ -187,6 +187,26 @@ def shuffled_rows(spark, run):
     return sum(n for k, n in total().items() if k not in before)
 
 
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_scans_shuffle_rows_once(spark, by):
+    """Also with as many groups as a tenth of the rows; what is carried is sums. One group has half of the rows."""
+    table = spark.range(0, 40_000, 1, 4).select("id", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("id") % 4001).alias("g"), (F.col("id") % 10).alias("v"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = []
+        run = lambda: found.append(prefix.running(table, ["id"], {"s": ("sum", F.col("v"))}, by).agg(F.sum("s"), F.max("s")).first())
+        assert shuffled_rows(spark, run) < 40_000 * 1.8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    sums, all_, most = {}, 0, 0
+    for k in range(40_000):
+        g = (-1 if k % 2 == 0 else k % 4001) if by else None
+        sums[g] = sums.get(g, 0) + k % 10
+        all_, most = all_ + sums[g], max(most, sums[g])
+    assert [tuple(r) for r in found] == [(all_, most)]
+
+
 @pytest.mark.parametrize("name", ["first_match_in_range", "range_join"])
 def test_pairs_of_ranges_are_not_shuffled(spark, name):
     """Of 20,000 values, 300 different ranges hold nearly all: six million pairs, which no exchange takes."""
@@ -210,6 +230,17 @@ def test_pairs_of_ranges_are_not_shuffled(spark, name):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
 
 
+def test_wide_ranges_have_few_copies(spark):
+    """3,000 ranges of 512 values each, at blocks of 64: two copies a range or so, not nine, and values are shuffled twice, not three times."""
+    left = spark.range(6000).select("id", F.col("id").cast("double").alias("v"))
+    right = spark.range(3000).select(F.col("id").alias("b"), F.col("id").cast("double").alias("lo"), (F.col("id") + 511.0).alias("hi"))
+    found = []
+    assert shuffled_rows(spark, lambda: found.append(followers.range_join(left, "v", right, "lo", "hi", block=64).agg(F.count("b"), F.sum("b"), F.sum("id"), F.count("*")).first())) < 50_000
+    pairs = [(b, v) for b in range(3000) for v in range(b, b + 512)]
+    alone = [v for v in range(6000) if v > 2999 + 511]
+    assert found == [(len(pairs), sum(b for b, _ in pairs), sum(v for _, v in pairs) + sum(alone), len(pairs) + len(alone))]
+
+
 def test_links():
     assert followers.check_links([("a", "b"), ("b", "c"), ("a", "d")]) == ["a", "b", "c", "d"]
     for bad in ([("a", "a")], [("a", "b"), ("b", "a")], [("a", "c"), ("b", "c")]):
