@@ -36,7 +36,7 @@ def detail_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select(*LINE_ORDER)
     rows = running_variables(lines, LINE_ORDER, {"running_price": Variable("sum", money("l_extendedprice")), "running_count": Variable("countall")}, ["l_suppkey"])
     rows = rows.withColumn("brrownum", F.col("running_count").cast("int"))  # a row's number in its break is how many there were
-    rows = group_totals(rows, ["l_suppkey"], {"average_quantity": Variable("average", money("l_quantity"))})
+    rows = group_totals(rows, ["l_suppkey"], {"average_quantity": Variable("average", money("l_quantity"))}, lines)
     total = lines.agg(Variable("sum", money("l_extendedprice")).aggregate().alias("total_price"))
     rows = rows.join(F.broadcast(total))  # one row
     rows = doubles(rows, "running_price", "total_price").withColumn("price_text", formatting.number(F.col("l_extendedprice"), "%.2d"))

@@ -187,6 +187,23 @@ def shuffled_rows(spark, run):
     return sum(n for k, n in total().items() if k not in before)
 
 
+def test_group_totals_of_a_source(spark):
+    """Totals are read from the table that a scan's rows come from; the scan isn't run twice."""
+    table = spark.range(0, 40_000, 1, 4).select("id", (F.col("id") % 7).alias("g"), (F.col("id") % 10).alias("v"))
+    found = []
+
+    def run():
+        rows = prefix.running(table, ["id"], {"s": ("sum", F.col("v"))}, ["g"])
+        found.append(group_totals(rows, ["g"], {"t": Variable("sum", F.col("v"))}, table).agg(F.sum("s"), F.sum("t"), F.count("*")).first())
+
+    assert shuffled_rows(spark, run) < 40_000 * 1.8
+    sums, running = [0] * 7, 0
+    for k in range(40_000):
+        sums[k % 7] += k % 10
+        running += sums[k % 7]
+    assert [tuple(r) for r in found] == [(running, sum(sums[k % 7] for k in range(40_000)), 40_000)]
+
+
 @pytest.mark.parametrize("by", [[], ["g"]])
 def test_scans_shuffle_rows_once(spark, by):
     """Also with as many groups as a tenth of the rows; what is carried is sums. One group has half of the rows."""
