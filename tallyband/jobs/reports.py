@@ -12,7 +12,7 @@ from tallyband.operators.breaks import break_islands, break_row_numbers, matched
 from tallyband.operators.fold import affine, best, clamped, iterate, machine, running_fold, string_fold, user_aggregate
 from tallyband.operators.prefix import previous, row_numbers
 from tallyband.operators.sections import in_output_order, numbered, sectioned
-from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_variables
+from tallyband.operators.variables import CustomVariable, Variable, at_last_row, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, nested_totals, running_of_breaks, running_variables
 from tallyband.sources.casts import cast_columns
 from tallyband.storage import stored
 
@@ -361,14 +361,15 @@ _AMOUNTS = """(SELECT *, CASE WHEN kind = 'small' THEN '' WHEN l_orderkey % 10 =
   CASE WHEN kind = 'small' THEN '0.000000' ELSE '.000000' END || (l_linenumber % 9 + 1) AS amount FROM lineitem, (VALUES ('large'), ('small')) v(kind))"""
 
 
-def _amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumn("kind", F.explode(F.array(F.lit("large"), F.lit("small"))))
+def _amounts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """These columns of the lines, kind and amount."""
+    # a small file is one task, and reading numbers is work
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *columns).repartition("l_orderkey", "l_linenumber")
+    lines = lines.withColumn("kind", F.explode(F.array(F.lit("large"), F.lit("small"))))
     small = F.col("kind") == "small"
     large = F.when(small, "").when(F.col("l_orderkey") % 10 == 3, "-100000000000000").otherwise("100000000000000")
     text = F.concat(large, F.when(small, "0.000000").otherwise(".000000"), (F.col("l_linenumber") % 9 + 1).cast("string"))
-    # a small file is one task, and reading numbers is work
-    lines = lines.withColumn("amount", text).select(*LINE_ORDER, "l_returnflag", "kind", "amount").repartition("l_orderkey", "l_linenumber")
-    return stored(cast_columns(lines, {"amount": "exact"}), "amounts")
+    return cast_columns(lines.withColumn("amount", text), {"amount": "exact"})
 
 
 def _plain(text: str) -> str:
@@ -384,7 +385,7 @@ def exact_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums and averages of numbers that a double can't hold, by group; the average as a whole number of billionths of thousandths."""
     amount = F.col("amount")
     made = {"n": Variable("countall"), "total": Variable("sum", amount, exact=True), "lowest": Variable("lowest", amount), "average": Variable("average", amount, exact=True)}
-    rows = _amounts(spark, sf_dir).groupBy("l_returnflag", "kind").agg(*(v.aggregate().alias(n) for n, v in made.items()))
+    rows = _amounts(spark, sf_dir, "l_returnflag").groupBy("l_returnflag", "kind").agg(*(v.aggregate().alias(n) for n, v in made.items()))
     scaled = F.regexp_replace(F.concat(exact_text(F.col("average"), 0), F.rpad(F.regexp_extract(exact_text(F.col("average"), 12), r"\.([0-9]+)", 1), 12, "0")), r"^(-?)0+(?=[0-9])", "$1")
     return rows.select("l_returnflag", "kind", "n", exact_text(F.col("total")).alias("total"), exact_text(F.col("lowest")).alias("lowest"), scaled.alias("average_scaled"))
 
@@ -397,8 +398,8 @@ def exact_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running sums of both magnitudes at once, over the report and over each flag, which three values share."""
     order = [*LINE_ORDER, "kind"]
     total = Variable("sum", F.col("amount"), exact=True)
-    rows = running_variables(_amounts(spark, sf_dir), order, {"running": total})
-    rows = running_variables(rows, order, {"running_in_flag": total}, ["l_returnflag"])
+    rows = stored(_amounts(spark, sf_dir, *LINE_ORDER[2:], "l_returnflag"), "amounts")
+    rows = running_of_breaks(rows, order, [([], {"running": total}), (["l_returnflag"], {"running_in_flag": total})])
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "kind", *(exact_text(F.col(n)).alias(n) for n in ("running", "running_in_flag")))
 
 

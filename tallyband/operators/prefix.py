@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "__bucket"
 ROWS_PER_BUCKET = 1_000_000
@@ -24,12 +25,18 @@ KEYS_PER_BUCKET = 20
 MOST_BUCKETS = 4096
 
 
-def _below(keys: Column, bounds: list[Column], low: int, high: int) -> Column:
-    """Number of bounds at or below the keys, by halving."""
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    return F.when(keys < bounds[mid], _below(keys, bounds, low, mid)).otherwise(_below(keys, bounds, mid + 1, high))
+def _placed(df: DataFrame, order: Sequence[str], bounds: list[Column]) -> DataFrame:
+    """df with BUCKET: the number of bounds at or below the keys, by halving. A column for each step, so that code stays short for any number of bounds."""
+    # of one type, or each comparison would cast a bound
+    keys = T.StructType([T.StructField(c, df.schema[c].dataType) for c in order])
+    out = df.withColumns({"__keys": F.struct(*order).cast(keys), "__bounds": F.array(*bounds).cast(T.ArrayType(keys)), BUCKET: F.lit(0)})
+    step = 1 << max(len(bounds).bit_length() - 1, 0)
+    while step:
+        on = F.col(BUCKET) + step
+        # NULL past the last bound
+        out = out.withColumn(BUCKET, F.when(F.col("__keys") >= F.get("__bounds", on - 1), on).otherwise(F.col(BUCKET)))
+        step //= 2
+    return out.drop("__keys", "__bounds")
 
 
 def _dealt(df: DataFrame, order: Sequence[str], rows_per_bucket: int) -> tuple[DataFrame, int]:
@@ -45,7 +52,7 @@ def _dealt(df: DataFrame, order: Sequence[str], rows_per_bucket: int) -> tuple[D
     rows = sample.orderBy(*order).collect()  # at most 4 * KEYS_PER_BUCKET short rows a bucket
     bounds = sorted({tuple(rows[len(rows) * k // buckets]) for k in range(1, buckets)}, key=lambda r: [(v is not None, v) for v in r]) if rows else []
     typed = [F.struct(*(F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(order, b, strict=True))) for b in bounds]
-    return df.withColumn(BUCKET, _below(F.struct(*order), typed, 0, len(typed))), max(buckets, tasks)
+    return _placed(df, order, typed) if typed else df.withColumn(BUCKET, F.lit(0)), max(buckets, tasks)
 
 
 def _gathered(dealt: DataFrame, tasks: int) -> DataFrame:
@@ -86,31 +93,55 @@ def running(df: DataFrame, order: Sequence[str], columns: Mapping[str, tuple[str
     Groups are split over buckets as well, so one group may hold any share of the rows. Rows are dealt by group and order, so a bucket goes on with
     one group as a rule, and what is carried is a row a bucket; rows that have a BUCKET by the order alone are left in it.
     """
-    kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
-    upto = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    totals = {f"__{n}": kinds[kind](x) for n, (kind, x) in columns.items()}
-    before = {f"__{n}": (F.sum if kind == "count" else kinds[kind])(f"__{n}").over(earlier(by)) for n, (kind, _) in columns.items()}
     if BUCKET in df.columns:
-        out = _carry(df, totals, before, by)
-    else:
-        # groups stand in the order of their hash, so their keys may have any type
-        dealt, tasks = _dealt(df.withColumn("__group", F.xxhash64(*by)), ["__group", *order], rows_per_bucket) if by else _dealt(df, order, rows_per_bucket)
-        dealt = dealt.drop("__group")
-        # totals are taken where the rows are, so that only sums are shuffled for them
-        small = dealt.groupBy(*by, BUCKET).agg(*(c.alias(n) for n, c in totals.items()))
-        small = small.select(*by, BUCKET, *(c.alias(n) for n, c in before.items()), F.count(F.lit(1)).over(earlier(by)).alias("__parts")).filter("__parts > 0")
-        same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in [*by, BUCKET]]
-        out = _gathered(dealt, tasks).alias("l").join(F.broadcast(small.alias("r")), same, "left")  # a row a bucket, but for groups of equal hash
-        out = out.select("l.*", *(F.col(f"r.`{n}`") for n in before))
-    for n, (kind, x) in columns.items():
-        own, old = kinds[kind](x).over(upto), F.col(f"__{n}")
+        before = _before(df, columns, by)
+        return _scanned(df, before if by else F.broadcast(before), order, columns, by)  # without groups at most MOST_BUCKETS rows
+    # groups stand in the order of their hash, so their keys may have any type
+    dealt, tasks = _dealt(df.withColumn("__group", F.xxhash64(*by)), ["__group", *order], rows_per_bucket) if by else _dealt(df, order, rows_per_bucket)
+    dealt = dealt.drop("__group")
+    # totals are taken where the rows are, so that only sums are shuffled for them; a row a bucket, but for groups of equal hash
+    return _scanned(_gathered(dealt, tasks), F.broadcast(_before(dealt, columns, by)), order, columns, by).drop(BUCKET)
+
+
+def dealt_once(df: DataFrame, order: Sequence[str], rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """df with BUCKET where its rows are, and the same in tasks of whole buckets: for several scan()s in one order, with one shuffle."""
+    dealt, tasks = _dealt(df, order, rows_per_bucket)
+    return dealt, _gathered(dealt, tasks)
+
+
+def scan(rows: DataFrame, dealt: DataFrame, order: Sequence[str], columns: Mapping[str, tuple[str, Column]], by: Sequence[str] = ()) -> DataFrame:
+    """running() for rows that dealt_once() has gathered.
+
+    A row for each bucket and group in it is broadcast, so groups should be few, whatever their sizes; for many take running().
+    """
+    return _scanned(rows, F.broadcast(_before(dealt, columns, by)), order, columns, by)
+
+
+_KINDS = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+
+
+def _before(rows: DataFrame, columns: Mapping[str, tuple[str, Column]], by: Sequence[str]) -> DataFrame:
+    """What the earlier buckets add up to, for each bucket and group that has some."""
+    small = rows.groupBy(*by, BUCKET).agg(*(_KINDS[kind](x).alias(f"__{n}") for n, (kind, x) in columns.items()))
+    before = [(F.sum if kind == "count" else _KINDS[kind])(f"__{n}").over(earlier(by)).alias(f"__{n}") for n, (kind, _) in columns.items()]
+    return small.select(*by, BUCKET, *before, F.count(F.lit(1)).over(earlier(by)).alias("__parts")).filter("__parts > 0").drop("__parts")
+
+
+def _scanned(rows: DataFrame, before: DataFrame, order: Sequence[str], columns: Mapping[str, tuple[str, Column]], by: Sequence[str]) -> DataFrame:
+    """Running aggregates in each bucket, and then what comes from those before: so it isn't sorted with the rows."""
+    upto = Window.partitionBy(*by, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumns({f"__own_{n}": _KINDS[kind](x).over(upto) for n, (kind, x) in columns.items()})
+    same = [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in [*by, BUCKET]]
+    out = out.alias("l").join(before.alias("r"), same, "left").select("l.*", *(F.col(f"r.`__{n}`") for n in columns))
+    made = {}
+    for n, (kind, _) in columns.items():
+        own, old = F.col(f"`__own_{n}`"), F.col(f"`__{n}`")
         if kind in ("sum", "count"):
             # NULL only where nothing has been added yet
-            own = F.when(own.isNotNull() | old.isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0)))
+            made[n] = F.when(own.isNotNull() | old.isNotNull(), F.coalesce(own, F.lit(0)) + F.coalesce(old, F.lit(0)))
         else:
-            own = (F.least if kind == "min" else F.greatest)(own, old)  # these pass over NULL
-        out = out.withColumn(n, own)
-    return out.drop(*before, *([] if BUCKET in df.columns else [BUCKET]))
+            made[n] = (F.least if kind == "min" else F.greatest)(own, old)  # these pass over NULL
+    return out.withColumns(made).drop(*(f"__own_{n}" for n in columns), *(f"__{n}" for n in columns))
 
 
 def previous(df: DataFrame, order: Sequence[str], columns: Mapping[str, Column], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:

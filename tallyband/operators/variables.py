@@ -13,8 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.functions.exact import LIMBS, divided, summed
-from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, running
+from tallyband.functions.exact import HALVES, divided, halves, summed, summed_columns
+from tallyband.operators.prefix import BUCKET, ROWS_PER_BUCKET, bucketed, dealt_once, running, scan
 
 KINDS = ("count", "countall", "sum", "average", "averageall", "lowest", "highest")
 
@@ -38,8 +38,8 @@ class Variable:
         """The running aggregates it is made of."""
         value = None if self.value is None else self._kept(self.value)
         if self.exact and self.kind in ("sum", "average", "averageall"):
-            limbs = {n: ("sum", value[n]) for n in LIMBS}
-            return limbs | ({} if self.kind == "sum" else {"n": ("count", value if self.kind == "average" else F.lit(1))})
+            added = {n: ("sum", x) for n, x in halves(value).items()}
+            return added | ({} if self.kind == "sum" else {"n": ("count", value if self.kind == "average" else F.lit(1))})
         return {
             "count": {"n": ("count", value)},
             "countall": {"n": ("count", self._kept(F.lit(1)))},
@@ -54,8 +54,8 @@ class Variable:
         if self.kind in ("count", "countall"):
             return F.coalesce(part["n"], F.lit(0))
         if self.exact and self.kind in ("sum", "average", "averageall"):
-            limbs = {n: F.coalesce(part[n], F.lit(0)) for n in LIMBS}
-            return summed(limbs) if self.kind == "sum" else divided(limbs, part["n"])
+            added = self._added(part)
+            return summed(added) if self.kind == "sum" else divided(added, part["n"])
         if self.kind == "sum":
             return F.coalesce(part["s"], F.lit(0))
         if self.kind in ("average", "averageall"):
@@ -63,19 +63,39 @@ class Variable:
             return F.try_divide(s.cast("double"), part["n"])
         return part["m"]
 
+    def _added(self, part: Mapping[str, Column]) -> dict[str, Column]:
+        return {n: F.coalesce(part[n], F.lit(0)) for n in HALVES}
+
     def aggregate(self) -> Column:
         """As an aggregate of a groupBy."""
         kinds = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
         return self.of({k: kinds[kind](x) for k, (kind, x) in self.parts().items()})
 
 
+def _parts(variables: Mapping[str, Variable]) -> dict[str, tuple[str, Column]]:
+    return {f"__v_{n}_{k}": part for n, v in variables.items() for k, part in v.parts().items()}
+
+
+def _made(df: DataFrame, variables: Mapping[str, Variable]) -> DataFrame:
+    """The variables of their parts, in steps where they are exact sums."""
+    part = {n: {k: F.col(f"__v_{n}_{k}") for k in v.parts()} for n, v in variables.items()}
+    exact_sums = {n: v._added(part[n]) for n, v in variables.items() if v.exact and v.kind == "sum"}
+    out = df.withColumns({n: v.of(part[n]) for n, v in variables.items() if n not in exact_sums})
+    return (summed_columns(out, exact_sums) if exact_sums else out).drop(*_parts(variables))
+
+
 def running_variables(df: DataFrame, order: Sequence[str], variables: Mapping[str, Variable], by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Add the variables as they stand after each row; by: the break that resets them."""
-    parts = {f"__v_{n}_{k}": part for n, v in variables.items() for k, part in v.parts().items()}
-    out = running(df, order, parts, by, rows_per_bucket)
-    for n, v in variables.items():
-        out = out.withColumn(n, v.of({k: F.col(f"__v_{n}_{k}") for k in v.parts()}))
-    return out.drop(*parts)
+    return _made(running(df, order, _parts(variables), by, rows_per_bucket), variables)
+
+
+def running_of_breaks(df: DataFrame, order: Sequence[str], breaks: Sequence[tuple[Sequence[str], Mapping[str, Variable]]], rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """The same for several breaks (columns, variables) in one order, with one shuffle for all: for breaks of few groups, see prefix.scan()."""
+    dealt, out = dealt_once(df, order, rows_per_bucket)
+    for by, variables in breaks:
+        # made before the next scan, which sorts numbers then and not their parts
+        out = _made(scan(out, dealt, order, _parts(variables), by), variables)
+    return out.drop(BUCKET)
 
 
 def grand_totals(df: DataFrame, variables: Mapping[str, Variable]) -> DataFrame:

@@ -1,4 +1,7 @@
+import contextlib
+import io
 import random
+import re
 from fractions import Fraction
 
 import pytest
@@ -7,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tallyband.functions.exact import exact, exact_decimal, exact_text
 from tallyband.operators import breaks, fold, followers, prefix, projection, sections
-from tallyband.operators.variables import CustomVariable, Variable, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, running_variables
+from tallyband.operators.variables import CustomVariable, Variable, custom_totals, custom_variables, grand_totals, group_totals, in_rounds, running_of_breaks, running_variables
+from tallyband.sources.casts import cast_columns
 
 #: Boats: id, name, length, under sail.
 BOATS = [(1, "Heron", 40.0, 1), (2, "Otter", 22.5, 1), (3, "Wren", 3.0, 1), (4, "Badger", 35.0, 0), (5, "Lynx", 19.0, 0), (6, "Mole", 1.5, 0)]
@@ -420,3 +424,45 @@ def test_exact_sums(spark, per_bucket):
     total = table.agg(made["s"].aggregate().alias("s")).select(exact_text(F.col("s")).alias("s")).first().s
     assert Fraction(total) == sum(values.values())
     assert table.limit(0).agg(made["s"].aggregate().alias("s"), made["a"].aggregate().alias("a")).select(exact_text(F.col("s")).alias("s"), "a").first()[:] == ("0", None)
+
+
+def test_exact_sums_of_any_sign(spark):
+    """Carries and borrows over all limbs, sums that cancel out, and sums of too many digits."""
+    near = ["9" * 36, "-" + "9" * 36, "0." + "0" * 35 + "1", "-0." + "0" * 35 + "1", "1" + "0" * 18, "-1" + "0" * 18, "0.999999999", "-0.000000001", "5" + "0" * 35, "-0." + "9" * 36]
+    rng = random.Random(5)
+    texts = [rng.choice(near) for _ in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    table = cast_columns(table.repartition(3), {"t": "exact"})
+    made = {"s": Variable("sum", F.col("t"), exact=True)}
+    got = running_variables(table, ["k"], made, rows_per_bucket=50).select("k", exact_text(F.col("s")).alias("s")).orderBy("k").collect()
+    total = Fraction(0)
+    for r, t in zip(got, texts, strict=True):
+        total += Fraction(t)
+        assert (r.s is None) == (abs(total) >= 10**36) and (r.s is None or Fraction(r.s) == total)
+
+
+def test_exact_running_of_breaks(spark):
+    """Several breaks in one order, by one shuffle, equal one after the other."""
+    rows = [(k, k * 7 % 3 or None, f"{(-1) ** k * k}.{k % 10}") for k in range(500)]
+    table = cast_columns(spark.createDataFrame(rows, "k int, g int, t string").repartition(3), {"t": "exact"})
+    total = Variable("sum", F.col("t"), exact=True)
+    want = running_variables(running_variables(table, ["k"], {"s": total}), ["k"], {"own": total}, ["g"])
+    got = running_of_breaks(table, ["k"], [([], {"s": total}), (["g"], {"own": total})], 40)
+    texts = [exact_text(F.col(n)).alias(n) for n in ("s", "own")]
+    assert sorted(got.select("k", *texts).collect()) == sorted(want.select("k", *texts).collect())
+
+
+def test_code_for_rows_stays_short(spark):
+    """Java compiles no method over 8,000 bytes: one that finds buckets or adds exact numbers would be interpreted for every row."""
+    table = spark.range(2000).select((F.col("id") % 50).alias("a"), F.col("id").cast("string").alias("b"), F.col("id").alias("k")).repartition(3)
+    table = cast_columns(table.withColumn("x", F.col("k")), {"x": "exact"})
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = running_variables(table, ["a", "b", "k"], {"s": Variable("sum", F.col("x"), exact=True)}, rows_per_bucket=10)
+        shown = io.StringIO()
+        with contextlib.redirect_stdout(shown):
+            out.select("k", exact_text(F.col("s"))).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", shown.getvalue())]
+    assert sizes and max(sizes) < 8000
