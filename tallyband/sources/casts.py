@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyband.functions.exact import exact, let
+from tallyband.functions.exact import exact, exact_columns, let
 
 #: Words that are numbers, in this case only.
 TRUE_WORDS = ("yes", "true", "t")
@@ -139,7 +139,8 @@ def cast_columns(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     """types: column to string, number, exact (see functions.exact), datetime (TIMESTAMP_NTZ), time (seconds of the day), interval or moment (any of these three); others stay as they are."""
     casts = {"string": lambda c: c.cast("string"), "number": cast_number, "exact": exact, "datetime": cast_datetime, "time": cast_time, "interval": cast_interval, "moment": cast_moment}
     out = df.select(*(casts[types[c]](F.col(f"`{c}`")).alias(c) if types.get(c, "moment") not in ("moment", "exact") else F.col(f"`{c}`") for c in df.columns))
-    for c in (c for c in df.columns if types.get(c) in ("moment", "exact")):
+    for c in (c for c in df.columns if types.get(c) == "moment"):
         # what has several fields is parsed once, whatever is made of it: an explode isn't merged with the projections above it
-        out = out.select(*(F.explode(F.array(casts[types[c]](F.col(f"`{c}`")))).alias(c) if x == c else F.col(f"`{x}`") for x in df.columns))
-    return out
+        out = out.select(*(F.explode(F.array(cast_moment(F.col(f"`{c}`")))).alias(c) if x == c else F.col(f"`{x}`") for x in df.columns))
+    numbers = [c for c in df.columns if types.get(c) == "exact"]
+    return exact_columns(out, numbers) if numbers else out
