@@ -262,6 +262,73 @@ def test_wide_ranges_have_few_copies(spark):
     assert found == [(len(pairs), sum(b for b, _ in pairs), sum(v for _, v in pairs) + sum(alone), len(pairs) + len(alone))]
 
 
+@pytest.mark.parametrize("name", ["first_match_in_range", "range_join"])
+def test_rows_outside_all_ranges_are_not_shuffled(spark, name):
+    """All rows went through a shuffle and a table on disk before. Below, above and without a value, 19,000 of 20,000 rows can be in no range; none is lost."""
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 5000 != 7, F.col("id").cast("double")).alias("v"))
+    right = spark.range(50).select(F.col("id").alias("b"), (F.col("id") * 20 + 8000.0).alias("lo"), (F.col("id") * 20 + 8009.0).alias("hi"))
+    found = []
+
+    def run():
+        rows = followers.range_join(left, "v", right, "lo", "hi") if name == "range_join" else followers.first_match_in_range(left, "v", right, "lo", "hi", ["b"])
+        found.append(rows.agg(F.count("*"), F.sum("id"), F.count("b"), F.sum("b")).first())
+
+    assert shuffled_rows(spark, run) < 10_000
+    assert [tuple(r) for r in found] == [(20_000, sum(range(20_000)), 500, 10 * sum(range(50)))]
+
+
+def test_bounds_of_other_types(spark):
+    """The least and the greatest bound are compared as values are."""
+    left = spark.createDataFrame([(k, v) for k, v in enumerate([-3, 0, 1, 2, 9, None])], "x int, v int")
+    right = spark.createDataFrame([(1, -0.0, 0.5), (2, 1.5, float("nan")), (3, None, 9.0)], "b int, lo double, hi double")
+    assert sorted((r.x, r.b) for r in followers.range_join(left, "v", right, "lo", "hi").filter("b IS NOT NULL").collect()) == [(1, 1), (3, 2), (4, 2)]
+    nans = left.withColumn("v", F.when(F.col("x") == 0, float("nan")).otherwise(-F.col("v").cast("float")))
+    assert sorted((r.x, r.b) for r in followers.range_join(nans, "v", right, "lo", "hi").filter("b IS NOT NULL").collect()) == [(0, 2), (1, 1)]
+    words = spark.createDataFrame([("b",), ("B",), ("zz",), ("",), (None,)], "w string")
+    spans = spark.createDataFrame([(1, "a", "c"), (2, "b", "b"), (3, "x", "a")], "b int, lo string, hi string")
+    got = followers.range_join(words, "w", spans, "lo", "hi").select("w", "b").collect()
+    assert sorted((str(r.w), str(r.b)) for r in got) == sorted([("b", "1"), ("b", "2"), ("B", "None"), ("zz", "None"), ("", "None"), ("None", "None")])
+
+
+@pytest.mark.parametrize(("block", "hot"), [(4, 1), (16, 3), (64, 2048)])
+def test_hot_blocks_and_lines(spark, monkeypatch, block, hot):
+    """Ranges over parts of lines, whole lines and many blocks, rows that no range holds between them, equal rows and equal ranges; blocks that many tasks share."""
+    monkeypatch.setattr(followers, "HOT", hot)
+    monkeypatch.setattr(followers, "SHORTEST", 3)
+    rng = random.Random(block)
+    values = [float(rng.choice([7, rng.randrange(900), 3000 + rng.randrange(50)])) for _ in range(700)]
+    bands = [(lo := rng.randrange(-20, 400), lo + rng.choice([0, 3, 40, 300])) for _ in range(90)] + [(7, 7)] * 20 + [(3010, 3020)] * 5
+    left = spark.createDataFrame(list(enumerate(values)), "x int, v double").repartition(3)
+    right = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(bands)], "b int, lo double, hi double").repartition(3)
+    got = sorted((r.x, -1 if r.b is None else r.b) for r in followers.range_join(left, "v", right, "lo", "hi", block).collect())
+    assert got == sorted((x, b) for x, v in enumerate(values) for b in ([k for k, (lo, hi) in enumerate(bands) if lo <= v <= hi] or [-1]))
+
+
+def test_wide_ranges_are_copied_to_long_blocks(spark, monkeypatch):
+    """400 ranges of half of the rows at blocks of 4: they were copied to blocks of 64 rows at most, three copies for each row; now copies are as many as rows."""
+    monkeypatch.setattr(followers, "HOT", 1_000_000)
+    left = spark.range(4000).select("id", F.col("id").cast("double").alias("v"))
+    right = spark.range(400).select(F.col("id").alias("b"), F.col("id").cast("double").alias("lo"), (F.col("id") + 1999.0).alias("hi"))
+    found = []
+    assert shuffled_rows(spark, lambda: found.append(followers.range_join(left, "v", right, "lo", "hi", block=4).agg(F.count("b"), F.sum("b"), F.sum("id")).first())) < 16_000
+    alone = range(399 + 2000, 4000)
+    assert found == [(800_000, 2000 * sum(range(400)), sum(2000 * b + 1999 * 1000 for b in range(400)) + sum(alone))]
+
+
+def test_pairs_take_few_bytes_in_columnar_files(spark, tmp_path):
+    """Pairs come line by line, so files repeat them: 3,276,800 took 1.75 bytes each where every range went over all rows of a long block."""
+    left = spark.range(16_384).select(F.col("id").alias("a"), F.col("id").cast("double").alias("v"))
+    right = spark.range(200).select(F.col("id").alias("b"), F.lit(0.0).alias("lo"), F.lit(1e6).alias("hi"))
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        followers.range_join(left, "v", right, "lo", "hi").select("a", "b").write.parquet(str(tmp_path / "pairs"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert sum(p.stat().st_size for p in (tmp_path / "pairs").glob("*.parquet")) < 0.3 * 200 * 16_384
+    assert spark.read.parquet(str(tmp_path / "pairs")).agg(F.count("*"), F.sum("a"), F.sum("b")).first() == (200 * 16_384, 200 * sum(range(16_384)), 16_384 * sum(range(200)))
+
+
 def test_links():
     assert followers.check_links([("a", "b"), ("b", "c"), ("a", "d")]) == ["a", "b", "c", "d"]
     for bad in ([("a", "a")], [("a", "b"), ("b", "a")], [("a", "c"), ("b", "c")]):
