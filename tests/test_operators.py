@@ -329,6 +329,15 @@ def test_pairs_take_few_bytes_in_columnar_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "pairs")).agg(F.count("*"), F.sum("a"), F.sum("b")).first() == (200 * 16_384, 200 * sum(range(16_384)), 16_384 * sum(range(200)))
 
 
+def test_pairs_come_line_by_line(spark):
+    """Blocks of several lines: a line with all of its ranges, then the next, not all lines of a block for each range."""
+    left = spark.range(512).select(F.col("id").alias("a"), F.col("id").cast("double").alias("v"))
+    right = spark.range(200).select(F.col("id").alias("b"), F.lit(0.0).alias("lo"), F.lit(1e6).alias("hi"))
+    rows = followers.range_join(left, "v", right, "lo", "hi", block=16).select("a", "b", F.spark_partition_id().alias("p")).collect()
+    assert sorted((r.a, r.b) for r in rows) == [(a, b) for a in range(512) for b in range(200)]
+    assert sum((x.p, x.a // 16) != (y.p, y.a // 16) for x, y in zip(rows[:-1], rows[1:], strict=True)) < 40
+
+
 def test_links():
     assert followers.check_links([("a", "b"), ("b", "c"), ("a", "d")]) == ["a", "b", "c", "d"]
     for bad in ([("a", "a")], [("a", "b"), ("b", "a")], [("a", "c"), ("b", "c")]):
